@@ -9,10 +9,16 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillgate.terms import DROPPED_TAGS
 
-PAGE_SCHEMA = "title string, text string, links array<struct<href:string,label:string>>"
+PAGE_SCHEMA = StructType([
+    StructField("title", StringType()),
+    StructField("text", StringType()),
+    StructField("links", ArrayType(StructType([
+        StructField("href", StringType()), StructField("label", StringType())]))),
+])
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
     "source", "track", "wbr",

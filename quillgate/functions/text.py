@@ -71,13 +71,24 @@ def _needed(terms):
     return [t for t in terms if not any(o != t and o in t for o in terms)]
 
 
+def _sql_text(value):
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def has_any(lowered, terms):
-    """Does the (already lower-case) text contain one of the terms?"""
-    return any_of([col(lowered).contains(t) for t in _needed(terms)])
+    """Does the (already lower-case) text contain one of the terms?
+
+    A column name is the quick way: the whole test is then handed over as one expression.
+    """
+    if isinstance(lowered, str):
+        return F.expr(" or ".join(f"contains(`{lowered}`, {_sql_text(t)})" for t in _needed(terms)))
+    return any_of([lowered.contains(t) for t in _needed(terms)])
 
 
 def starts_any(lowered, prefixes):
-    return any_of([col(lowered).startswith(p) for p in prefixes])
+    if isinstance(lowered, str):
+        return F.expr(" or ".join(f"startswith(`{lowered}`, {_sql_text(p)})" for p in prefixes))
+    return any_of([lowered.startswith(p) for p in prefixes])
 
 
 def array_of(*items):

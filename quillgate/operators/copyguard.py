@@ -90,15 +90,15 @@ def _overlap_below(claim, evidence, limit):
 def grounding(df, line="opening_line", used="used_text", evidence="evidence_text", out="grounding_flags"):
     """Keyword overlap of the claimed text with the evidence text."""
     df = df.withColumns({
-        "__ev": X.keywords(evidence), "__line": X.keywords(line), "__used": X.keywords(used),
+        "__kev": X.keywords(evidence), "__kline": X.keywords(line), "__kused": X.keywords(used),
     })
-    none = F.size("__ev") == 0
+    none = F.size("__kev") == 0
     found = X.flags(
         (none, "missing_grounding_evidence"),
-        (~none & _overlap_below(F.col("__used"), F.col("__ev"), 0.2), "evidence_used_not_in_extracted_facts"),
-        (~none & _overlap_below(F.col("__line"), F.col("__ev"), 0.18), "line_not_grounded_in_evidence"),
+        (~none & _overlap_below(F.col("__kused"), F.col("__kev"), 0.2), "evidence_used_not_in_extracted_facts"),
+        (~none & _overlap_below(F.col("__kline"), F.col("__kev"), 0.18), "line_not_grounded_in_evidence"),
     )
-    return df.withColumn(out, found).drop("__ev", "__line", "__used")
+    return df.withColumn(out, found).drop("__kev", "__kline", "__kused")
 
 
 def copy_flags(df, out="copy_flags", has_evidence=True):
@@ -112,22 +112,22 @@ def copy_flags(df, out="copy_flags", has_evidence=True):
         "__line": F.lower(X.text("opening_line")),
     })
     df = df.withColumn("__low", F.lower("__text"))
-    line, low, has_line = F.col("__line"), F.col("__low"), X.text("opening_line") != ""
-    friction = X.has_any(line, T.COPY_FRICTION_TERMS)
+    line, has_line = F.col("__line"), X.text("opening_line") != ""
+    friction = X.has_any("__line", T.COPY_FRICTION_TERMS)
     own = X.flags(
         (F.col("__text").contains("—"), "em_dash"),
-        (X.has_any(low, T.FILLER_WORDS), "generic_praise"),
+        (X.has_any("__low", T.FILLER_WORDS), "generic_praise"),
         (line.contains("blog") | line.contains("article"), "blog_angle_low_value"),
         (X.word_count("opening_line", slash_splits=False) > 40, "opening_line_too_long"),
         (X.clean("used_text") == "", "missing_evidence_used_for_copy"),
         (has_download_claim("__text"), "download_claim"),
         (has_non_lowercase_brand("opening_line", F.col("company_name"), F.col("website_url")),
          "company_name_not_lowercase"),
-        (has_line & ~X.starts_any(line, T.TEMPLATE_STARTS), "missing_conversational_template_open"),
-        (has_line & ~X.has_any(line, T.OUTCOME_TERMS + ["complete"]), "missing_specific_dropoff_hypothesis"),
-        (X.has_any(line, T.ABSTRACT_PHRASES) & ~friction, "too_abstract"),
-        (X.has_any(line, T.POSITIVE_OBSERVATION_TERMS) & ~friction, "missing_visible_friction"),
-        (X.has_any(line, T.TECHNICAL_TERMS), "technical_audit_language"),
+        (has_line & ~X.starts_any("__line", T.TEMPLATE_STARTS), "missing_conversational_template_open"),
+        (has_line & ~X.has_any("__line", T.OUTCOME_TERMS + ["complete"]), "missing_specific_dropoff_hypothesis"),
+        (X.has_any("__line", T.ABSTRACT_PHRASES) & ~friction, "too_abstract"),
+        (X.has_any("__line", T.POSITIVE_OBSERVATION_TERMS) & ~friction, "missing_visible_friction"),
+        (X.has_any("__line", T.TECHNICAL_TERMS), "technical_audit_language"),
     )
     parts = [own, deliverability("opening_line")]
     if has_evidence:

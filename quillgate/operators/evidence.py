@@ -66,7 +66,7 @@ def _texts(df):
         "_bug": X.has_any("_all", T.BUG_TERMS),
         "_cta": X.has_any("_all", T.CTA_TERMS),
         "_flow": X.has_any("_all", T.FLOW_TERMS),
-        "_vis": visual_rank(F.col("_all")),
+        "_vis": visual_rank("_all"),
     })
 
 
@@ -117,15 +117,15 @@ def _bucket():
 
 
 def _surface_rank():
-    s, ev = F.col("_surf"), F.col("_ev")
+    s, ev = "_surf", "_ev"
     return (
         F.when(X.has_any(s, ["app onboarding", "signup", "checkout", "booking"])
                | X.has_any(ev, T.TOP_SURFACE_TERMS), 0)
         .when(X.has_any(s, ["app listing", "app-store", "google play"]), 1)
-        .when(s.contains("mobile") | ev.contains("screenshot"), 2)
+        .when(F.col(s).contains("mobile") | F.col(ev).contains("screenshot"), 2)
         .when(X.has_any(s, ["landing", "homepage", "website"]), 3)
         .when(X.has_any(s, ["case study", "testimonial"]), 4)
-        .when(s.contains("blog"), 7)
+        .when(F.col(s).contains("blog"), 7)
         .otherwise(5)
     )
 

@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quillgate.functions import stats as S
 from quillgate.functions import text as X
@@ -73,7 +74,7 @@ def posteriors(results):
     })
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _beta_draws(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for seeds, alphas, betas in batches:
         yield pd.Series([

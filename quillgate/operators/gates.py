@@ -54,11 +54,11 @@ def _inputs(df):
     return df.withColumns({
         "_no_line": line == "",
         "_unsendable": nothing,
-        "_opens": X.starts_any(F.col("_low"), T.CONVERSATIONAL_STARTS),
-        "_line_outcome": X.has_any(F.col("_low"), T.OUTCOME_TERMS),
-        "_line_visual": X.has_any(F.col("_low"), T.VISUAL_CLAIM_TERMS),
+        "_opens": X.starts_any("_low", T.CONVERSATIONAL_STARTS),
+        "_line_outcome": X.has_any("_low", T.OUTCOME_TERMS),
+        "_line_visual": X.has_any("_low", T.VISUAL_CLAIM_TERMS),
         "_html": line.rlike(_HTML),
-        "_spam": X.has_any(F.col("_low"), T.SPAM_PHRASES),
+        "_spam": X.has_any("_low", T.SPAM_PHRASES),
         "_has_shots": F.col("_shots") != "",
         "_has_source": F.col("source_urls") != "",
     })
@@ -169,7 +169,7 @@ def _visual():
 
 
 def _viewport():
-    claim = F.col("_line_visual") | X.has_any(F.col("_blob"), T.VISUAL_CLAIM_TERMS)
+    claim = F.col("_line_visual") | X.has_any("_blob", T.VISUAL_CLAIM_TERMS)
     mobile, desktop = F.col("_blob").contains("mobile"), F.col("_blob").contains("desktop")
     scope = (
         F.when(~claim, "not_required")
@@ -202,15 +202,15 @@ def _privacy():
     found = X.flags(
         (F.col("trace_files") != "", "trace_files_internal_only"),
         (debug.contains("c:\\users\\") | debug.contains("/users/"), "local_paths_need_sanitizing"),
-        (X.has_any(debug, ["headers", "cookie", "authorization"]), "possible_sensitive_debug_metadata"),
+        (X.has_any("_debug", ["headers", "cookie", "authorization"]), "possible_sensitive_debug_metadata"),
     )
     return X.join_list(found)
 
 
 def _surface():
     """Struct of label, score, reason and whether the reason is a hard failure."""
-    ps, low, combined = F.col("_ps"), F.col("_low"), F.col("_combined")
-    site_line = X.has_any(low, T.WEBSITE_LINE_TERMS) & ~low.contains("app")
+    ps, low, combined = F.col("_ps"), "_low", "_combined"
+    site_line = X.has_any(low, T.WEBSITE_LINE_TERMS) & ~F.col(low).contains("app")
     app, app_line = X.has_any(combined, T.APP_SURFACE_TERMS), X.has_any(low, T.APP_SURFACE_TERMS)
     web = X.has_any(combined, T.B2B_TERMS + T.WEBSITE_SURFACE_TERMS)
 
@@ -287,18 +287,24 @@ def score_lines(canonical):
     capped = F.when(F.col("_no_line"), F.least(weighted, F.lit(20))).otherwise(weighted)
     capped = F.when(has_hard, F.least(capped, F.lit(59))).when(
         has_soft, F.least(capped, F.lit(84))).otherwise(capped)
-    df = df.withColumn("sendability_score", clamp(capped, 0, 100))
+    df = df.withColumn("_score", clamp(capped, 0, 100))
     decision = (
         F.when(has_hard, "Reject")
-        .when(has_soft | (F.col("sendability_score") < 85), "Edit")
+        .when(has_soft | (F.col("_score") < 85), "Edit")
         .otherwise("Send")
     )
+    verdict = F.struct(
+        decision.alias("sendability_decision"), F.col("_score").alias("sendability_score"),
+        F.col("_hard").alias("_hard_list"), F.col("_soft").alias("_soft_list"),
+        F.col("_surface.label").alias("surface_correctness"),
+    )
+    # the one-row generator keeps later filters on the verdict from being rewritten into the
+    # sub-gate expressions, where each reference would repeat the whole tree below it
+    df = df.select("*", F.inline(F.array(verdict)))
     df = df.withColumns({
-        "sendability_decision": decision,
-        "sendability_reasons": X.join_list(F.concat("_hard", "_soft")),
-        "hard_fail_reasons": X.join_list("_hard"),
-        "soft_edit_reasons": X.join_list("_soft"),
-        "surface_correctness": F.col("_surface.label"),
+        "sendability_reasons": X.join_list(F.concat("_hard_list", "_soft_list")),
+        "hard_fail_reasons": X.join_list("_hard_list"),
+        "soft_edit_reasons": X.join_list("_soft_list"),
         "surface_correctness_score": F.col("_surface.score"),
         "surface_correctness_reasons": reason,
         "viewport_scope_reasons": X.join_list("_viewport_reasons"),

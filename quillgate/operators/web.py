@@ -23,7 +23,7 @@ def page_links(parsed, url="url", links="links"):
     """Absolute http(s) links with label; anchors, mail, phone and script links are skipped."""
     rows = parsed.select("page_id", url, F.posexplode(links).alias("link_pos", "l"))
     rows = rows.select("page_id", url, "link_pos", F.col("l.href").alias("href"), X.collapse("l.label").alias("label"))
-    skip = X.starts_any(F.col("href"), ["#", "mailto:", "tel:", "javascript:"])
+    skip = X.starts_any("href", ["#", "mailto:", "tel:", "javascript:"])
     rows = rows.filter(~skip).withColumn("link_url", urls.join(url, "href"))
     return rows.filter(urls.netloc("link_url") != "")
 

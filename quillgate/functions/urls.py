@@ -26,19 +26,20 @@ def host(url):
 
 
 def with_scheme(url):
-    raw = clean(url)
-    return F.when(raw == "", raw).when(
-        raw.startswith("http://") | raw.startswith("https://"), raw
-    ).otherwise(F.concat(F.lit("https://"), raw))
+    """https:// in front of a non-blank URL without a scheme."""
+    return F.regexp_replace(clean(url), r"^(?!https?://)(?=(?s:.))", "https://")
 
 
 def normalize(url):
-    """Scheme added, host lower without www., no query, fragment or trailing slash."""
+    """Scheme added, host lower without www., no query, fragment or trailing slash.
+
+    Text without a host part is returned as it is (blank or broken).
+    """
     raw = with_scheme(url)
-    norm = F.concat(
-        scheme(raw), F.lit("://"), host(raw), F.regexp_replace(path(raw), "/+$", "")
-    )
-    return F.when(raw == "", raw).when(netloc(raw) == "", raw).otherwise(norm)
+    tidy = F.regexp_replace(raw, r"^(https?://[^/?#]+)([^?#]*?)/*(?:[?#].*)?$", "$1$2")
+    start = F.regexp_extract(tidy, r"^https?://[^/?#]*", 0)
+    return F.concat(F.regexp_replace(F.lower(start), r"^(https?://)www\.", "$1"),
+                    F.regexp_replace(tidy, r"^https?://[^/?#]*", ""))
 
 
 def strip_query(url):

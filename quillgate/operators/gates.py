@@ -10,7 +10,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions.stats import clamp
 from quillgate.operators.canonical import canonicalize
-from quillgate.operators.rows import ensure_columns
+from quillgate.operators.rows import ensure_columns, settle
 
 GATE_COLUMNS = [
     "sendability_decision", "sendability_score", "sendability_reasons", "hard_fail_reasons",
@@ -293,14 +293,13 @@ def score_lines(canonical):
         .when(has_soft | (F.col("_score") < 85), "Edit")
         .otherwise("Send")
     )
-    verdict = F.struct(
-        decision.alias("sendability_decision"), F.col("_score").alias("sendability_score"),
-        F.col("_hard").alias("_hard_list"), F.col("_soft").alias("_soft_list"),
-        F.col("_surface.label").alias("surface_correctness"),
-    )
-    # the one-row generator keeps later filters on the verdict from being rewritten into the
-    # sub-gate expressions, where each reference would repeat the whole tree below it
-    df = df.select("*", F.inline(F.array(verdict)))
+    # filters on the verdict must not be rewritten into the sub-gate expressions
+    verdict = {
+        "sendability_decision": decision, "sendability_score": F.col("_score"),
+        "_hard_list": F.col("_hard"), "_soft_list": F.col("_soft"),
+        "surface_correctness": F.col("_surface.label"),
+    }
+    df = settle(df.withColumns(verdict), list(verdict))
     df = df.withColumns({
         "sendability_reasons": X.join_list(F.concat("_hard_list", "_soft_list")),
         "hard_fail_reasons": X.join_list("_hard_list"),

@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions import urls
 from quillgate.functions.stats import clamp
-from quillgate.operators.rows import fill_down
+from quillgate.operators.rows import fill_down, settle
 
 
 def _cell(c):
@@ -56,9 +56,9 @@ def _pick(df, headers):
 
 
 def url_error(raw):
-    full = urls.with_scheme(raw)
-    return F.when(full == "", F.lit(T.ERR_URL_MISSING)).when(
-        urls.netloc(full) == "", F.lit(T.ERR_URL_INVALID)
+    """Error text of a URL that already has its scheme, null when it is fine."""
+    return F.when(X.col(raw) == "", F.lit(T.ERR_URL_MISSING)).when(
+        ~X.col(raw).rlike(r"^https?://[^/?#]"), F.lit(T.ERR_URL_INVALID)
     )
 
 
@@ -91,11 +91,9 @@ def build_leads(prepared, default_context="", order="row_idx"):
     """Canonical lead rows with validation errors, depth and the original cells."""
     df = prepared
     raw_url = _pick(df, ["website_url", "Website"])
-    df = df.withColumn("__url", raw_url)
-    df = df.withColumns({
-        "__norm": urls.normalize("__url"),
-        "__url_error": url_error("__url"),
-    })
+    df = df.withColumn("__url", raw_url).withColumn("__raw", urls.with_scheme("__url"))
+    df = df.withColumns({"__norm": urls.normalize("__raw"), "__url_error": url_error("__raw")})
+    df = settle(df, ["__norm", "__url_error"])
     company = X.first_present(
         _pick(df, ["company_name", "Organization Name", "Organization Name.1"]),
         F.when(F.col("__url_error").isNull(), urls.company_from_host("__norm")).otherwise(F.lit("")),
@@ -116,10 +114,9 @@ def build_leads(prepared, default_context="", order="row_idx"):
         F.when(F.col("company_name") == "", F.lit(T.ERR_COMPANY_MISSING)),
     )
     out = out.withColumn("validation_errors", errors).drop("__url_error")
-    return out.withColumns({
-        "is_valid": F.size("validation_errors") == 0,
-        "research_depth": depth_score(),
-    })
+    out = out.withColumn("is_valid", F.size("validation_errors") == 0)
+    out = settle(out, ["company_name", "website_url", "validation_errors", "is_valid"])
+    return out.withColumn("research_depth", depth_score())
 
 
 def dedupe_key():

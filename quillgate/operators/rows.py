@@ -15,6 +15,18 @@ def ensure_columns(df, columns, default=""):
     return df.withColumns(missing) if missing else df
 
 
+def settle(df, columns):
+    """Fix the values of derived columns at this point of the plan.
+
+    Filters and projections further up would otherwise be rewritten into the expressions
+    behind these columns, repeating them at every reference.  A one-row generator is a
+    boundary for that rewriting and stays inside generated code.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    packed = F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])
+    return df.select(*rest, F.inline(F.array(packed)))
+
+
 def with_row_index(df, name="row_idx"):
     """Number the rows of a file scan in file order, starting at 0.
 
@@ -118,24 +130,18 @@ def top_k(df, keys, order, k, rank="rank"):
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def lookup_join(facts, dim, keys, how="left", hot_share=0.01):
+def lookup_join(facts, dim, keys, how="left", salts=16):
     """Join a large table to a lookup with one row per key, whatever the key skew.
 
-    Keys that hold at least ``hot_share`` of the fact rows number at most 1/hot_share, so
-    their lookup rows are broadcast; all other keys take the shuffle join.
+    Every fact row gets a salt from its own content and each lookup row is repeated once per
+    salt, so the rows of one hot key spread over ``salts`` tasks; adaptive execution splits
+    further where a partition is still too large.
     """
-    total = facts.agg((F.count(F.lit(1)) * F.lit(float(hot_share))).alias("n"))
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") >= total.scalar()).select(*keys)
-    tagged = facts.join(
-        F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left"
-    )
-    hot_rows = tagged.filter(F.col("__hot")).drop("__hot")
-    cold_rows = tagged.filter(F.col("__hot").isNull()).drop("__hot")
-    hot_dim = dim.join(F.broadcast(hot), keys, "left_semi")
-    hot_part = hot_rows.join(F.broadcast(hot_dim), keys, how)
-    cold_part = cold_rows.join(dim, keys, how)
-    return hot_part.unionByName(cold_part)
+    plain = [c for c, t in facts.dtypes if "map<" not in t and t != "variant"]
+    salted = facts.withColumn(
+        "__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int"))
+    spread = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
 def upsert(old, new, keys, created="created_at", order=None):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgate import terms as T
 from quillgate.functions import text as X
-from quillgate.operators.rows import attach_scalar, lookup_join, top_k
+from quillgate.operators.rows import attach_scalar, lookup_join, settle, top_k
 
 
 def region_from_url(url):
@@ -118,6 +118,7 @@ def advise(leads, pattern, as_of, days_ahead=0, region=None, match="reference"):
                  F.lit(" (factor "), F.format_string("%.2f", "weekday_factor"), F.lit(")")),
     )
     df = df.withColumns({"confidence": F.bround(confidence, 2), "reasoning": reasoning})
+    df = settle(df, ["send_at_utc", "confidence", "timezone_label", "source"])
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 

@@ -125,13 +125,13 @@ def known_results(spark, sf_dir):
 
 
 @query("upsert_feedback", with_(V.SENDS, select="""
-select run_id, row_id, created_at, case when event_id % 2 = 0 then 'new' else friction_type end as friction_type from sends where event_id % 7 <> 0
-union all select run_id, row_id, '2024-03-01', 'new' from sends where event_id % 7 = 0 and event_id % 2 = 0"""))
+select run_id, row_id, created_at, case when was_opened then 'new' else friction_type end as friction_type from sends where friction_type <> ''
+union all select run_id, row_id, '2024-03-01', 'new' from sends where friction_type = '' and was_opened"""))
 def upsert_feedback(spark, sf_dir):
-    s = V.sends(spark, sf_dir).select("run_id", "row_id", "friction_type", "created_at", "updated_at", "event_id")
-    old = s.filter(F.col("event_id") % 7 != 0).drop("event_id")
-    new = s.filter(F.col("event_id") % 2 == 0).withColumns({
-        "friction_type": F.lit("new"), "created_at": F.lit("2024-03-01"), "updated_at": F.lit("2024-03-01")}).drop("event_id")
+    s = V.sends(spark, sf_dir).select("run_id", "row_id", "friction_type", "created_at", "updated_at", "was_opened")
+    old = s.filter(F.col("friction_type") != "").drop("was_opened")
+    new = s.filter("was_opened").withColumns({
+        "friction_type": F.lit("new"), "created_at": F.lit("2024-03-01"), "updated_at": F.lit("2024-03-01")}).drop("was_opened")
     return feedback.save(old, new).select("run_id", "row_id", "created_at", "friction_type")
 
 
@@ -143,7 +143,7 @@ def dedupe_keep_last(spark, sf_dir):
         F.col("run_id").alias("campaign_name"), F.lit("c").alias("company"), F.col("lead_id").alias("person"), F.lit("l").alias("delivered_line"),
         yes("was_opened").alias("opened"), yes("got_reply").alias("replied"), "event_id")
     rows = evals.normalize_campaign(rows, "2024-02-01")
-    old, new = rows.filter(F.col("event_id") % 2 == 0), rows.filter(F.col("event_id") % 2 == 1)
+    old, new = rows.filter(F.col("replied") == ""), rows.filter(F.col("replied") != "")
     kept = last_per_key(append_rows(old, new), ["campaign_name", "company", "person", "delivered_line"], ["imported_at", "event_id"])
     return kept.select("campaign_name", "person", F.col("event_id").alias("last_event"))
 
@@ -229,12 +229,11 @@ def ab_fixed(spark, sf_dir):
 
 
 @query("ab_sticky", with_(V.EXPERIMENT_SENDS, select="""
-select experiment_id, lead_id, case when cast(lead_id as bigint) % 2 = 0 then 'b_proof' else variant_id end as variant_id, cast(lead_id as bigint) % 2 <> 0 as is_new,
-  case when (case when cast(lead_id as bigint) % 2 = 0 then 'b_proof' else variant_id end) = 'a_control' then 'Control' else (case when cast(lead_id as bigint) % 2 = 0 then 'b_proof' else variant_id end) end as variant_label
-from (select distinct experiment_id, lead_id, variant_id from esends)"""))
+select experiment_id, lead_id, v as variant_id, experiment_id <> 'exp_0' as is_new, case when v = 'a_control' then 'Control' else v end as variant_label
+from (select distinct experiment_id, lead_id, case when experiment_id = 'exp_0' then 'b_proof' else variant_id end as v from esends)"""))
 def ab_sticky(spark, sf_dir):
     rows = _experiment_leads(spark, sf_dir)
-    known = rows.filter(F.col("lead_id").cast("bigint") % 2 == 0).withColumn("variant_id", F.lit("b_proof"))
+    known = rows.filter(F.col("experiment_id") == "exp_0").withColumn("variant_id", F.lit("b_proof"))
     out = experiments.assign(rows, known, "random", V.VARIANTS, labels={"a_control": "Control"})
     return out.select("experiment_id", "lead_id", "variant_id", "is_new", "variant_label")
 
@@ -309,7 +308,7 @@ def blocked_facts(spark, sf_dir):
 
 
 _SELECTION = """sel as (
-  select f.lead_id, count(*) filter (len(reasons) = 0) as allowed, count(*) filter (len(reasons) > 0) as blocked, any_value(r.fact) as fact,
+  select f.lead_id, count(*) filter (len(f.reasons) = 0) as allowed, count(*) filter (len(f.reasons) > 0) as blocked, any_value(r.fact) as fact,
     any_value(r.strength) as strength, any_value(r.friction_type) as friction from f2 f left join ranked r on r.lead_id = f.lead_id and r.rank = 1 group by 1),
 firstflags as (select lead_id, reason, min(fact_pos * 10 + idx) as p from (
   select lead_id, fact_pos, unnest(reasons) as reason, list_position(%s, unnest(reasons)) as idx from f2) group by 1, 2),
@@ -391,12 +390,12 @@ def format_facts(spark, sf_dir):
 
 @query("parse_facts", with_(V.LINES, select=f"""
 select row_idx as lead_id, case when row_idx % 4 = 0 then '' else {V.strip_sql('evidence_found')} end as fact, 'strong' as strength, cast(row_idx % 9 as bigint) as angle_priority, true as too_generic_to_use
-from lines where row_idx % 5 <> 0"""))
+from lines where trace_files = ''"""))
 def parse_facts(spark, sf_dir):
     k = F.col("row_idx")
     fact = F.to_json(F.struct(F.when(k % 4 != 0, F.col("evidence_found")).alias("fact"), F.lit(" Strong ").alias("strength"), (k % 9).cast("string").alias("angle_priority")))
     body = F.concat(F.lit('{"facts": ["skip me", '), fact, F.lit(']}'))
-    reply = F.when(k % 5 == 0, F.lit("no json here")).when(k % 3 == 0, F.concat(F.lit("Sure:\n"), body, F.lit("\nDone"))).otherwise(body)
+    reply = F.when(F.col("trace_files") != "", F.lit("no json here")).when(k % 3 == 0, F.concat(F.lit("Sure:\n"), body, F.lit("\nDone"))).otherwise(body)
     rows = V.lines(spark, sf_dir).select(k.alias("lead_id"), reply.alias("reply"))
     return E.parse_facts(rows).select("lead_id", "fact", "strength", F.col("angle_priority").cast("bigint").alias("angle_priority"), "too_generic_to_use")
 
@@ -472,10 +471,11 @@ def sequence_rows(spark, sf_dir):
 
 @query("step_grid", f"""
 select conv_id as lead_id, cast(i as bigint) as step_number, ({items(T.STEP_STRATEGIES)})[i] as step_strategy, case when i < 4 then 'has not replied' else 'no reply after previous follow-ups' end as reply_status
-from (select distinct conv_id from conversations), (select unnest([1, 2, 3, 4]) as i) where conv_id % 10 >= 6""")
+from (select conv_id, count(*) as turns from conversations group by 1), (select unnest([1, 2, 3, 4]) as i) where least(1.0, turns * 0.2) >= 0.6""")
 def step_grid(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("lead_id")).distinct().withColumns({
-        "send_confidence": F.lit("send"), "research_depth": F.col("lead_id") % 10 / F.lit(10.0)})
+    turns = V.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("lead_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = turns.withColumns({
+        "send_confidence": F.lit("send"), "research_depth": F.round(F.least(F.lit(1.0), F.col("n") * 0.2), 2)})
     return sequences.step_grid(sequences.eligible(rows)).select("lead_id", F.col("step_number").cast("bigint").alias("step_number"), "step_strategy", "reply_status")
 
 
@@ -532,15 +532,15 @@ def running_tokens(spark, sf_dir):
 
 def _cache(spark, sf_dir):
     p = V.prompts(spark, sf_dir).withColumn("cache_key", prompts.response_key())
-    rows = p.groupBy("cache_key").agg(F.min("call_key").alias("k"))
-    return rows.filter(F.col("k") % 3 != 0).select(
+    rows = p.filter(F.col("system_prompt") != "user").groupBy("cache_key").agg(F.min("call_key").alias("k"))
+    return rows.select(
         "cache_key", F.when(F.col("k") % 7 != 0, F.lit(1000000.0) - F.col("k") % 5 * 40000.0).alias("cached_at"), F.concat(F.lit("reply "), F.col("k").cast("string")).alias("reply"))
 
 
 _CACHE = V.PROMPTS + """,
 keyed as (select *, sha256('openrouter:' || model_name || ':0.4:' || system_prompt || ':' || user_payload) as cache_key from prompts),
 cache as (select cache_key, case when k % 7 <> 0 then 1000000.0::double - k % 5 * 40000.0::double end as cached_at, 'reply ' || k as reply
-  from (select cache_key, min(call_key) as k from keyed group by 1) where k % 3 <> 0)"""
+  from (select cache_key, min(call_key) as k from keyed where system_prompt <> 'user' group by 1))"""
 
 
 @query("cache_misses", with_(_CACHE, select="""
@@ -562,11 +562,11 @@ def cache_purge(spark, sf_dir):
     return prompts.expired_count(_cache(spark, sf_dir), 1000000.0)
 
 
-@query("resume_rows", with_(V.PROMPTS, select="select call_key, call_key % 4 <> 0 as was_open from prompts"))
+@query("resume_rows", with_(V.PROMPTS, select="select call_key, system_prompt <> 'user' as was_open from prompts"))
 def resume_rows(spark, sf_dir):
-    todo = V.prompts(spark, sf_dir).select("call_key")
-    finished, rest = resume_split(todo, todo.filter(F.col("call_key") % 4 == 0), "call_key")
-    return finished.withColumn("was_open", F.lit(False)).unionByName(rest.withColumn("was_open", F.lit(True)))
+    todo = V.prompts(spark, sf_dir).select("call_key", "system_prompt")
+    finished, rest = resume_split(todo, todo.filter(F.col("system_prompt") == "user"), "call_key")
+    return finished.withColumn("was_open", F.lit(False)).unionByName(rest.withColumn("was_open", F.lit(True))).select("call_key", "was_open")
 
 
 @query("batch_cost", with_(_CALLS, select="""

@@ -664,8 +664,8 @@ _SUMMARY = [
 
 
 @query("batch_summary", with_(GATES, select=" union all ".join(
-    f"select cast({i} as bigint) as position, {q(n)} as metric, cast({e} as varchar) as value from gates" if "select" not in e and not e.startswith("'")
-    else f"select cast({i} as bigint), {q(n)}, {e}" for i, (n, e) in enumerate(_SUMMARY))))
+    f"select cast({i} as bigint) as position, {q(n)} as metric, cast({e} as varchar) as value from gates" if "count" in e and "select" not in e
+    else f"select cast({i} as bigint), {q(n)}, cast({e} as varchar)" for i, (n, e) in enumerate(_SUMMARY))))
 def batch_summary(spark, sf_dir):
     return reports.batch_summary(scored(spark, sf_dir)).withColumn("position", F.col("position").cast("bigint"))
 

@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions import urls
 from quillgate.functions.stats import clamp
-from quillgate.operators.rows import fill_down, settle
+from quillgate.operators.rows import fill_down, lookup_join, settle
 
 
 def _cell(c):
@@ -193,7 +193,7 @@ def attach_workspace(args, workspaces, key="client_id"):
         "export_preset": "default_export_preset",
     }
     dim = workspaces.select(key, *[F.col(d).alias(f"__{f}") for f, d in fields.items()])
-    joined = args.join(dim, key, "left")
+    joined = lookup_join(args, dim, [key])
     return joined.withColumns({
         f: X.first_present(F.col(f), F.col(f"__{f}")) for f in fields
     }).drop(*[f"__{f}" for f in fields])
@@ -204,8 +204,6 @@ def reuse_for_contacts(contacts, processed, order="row_idx"):
 
     ``processed`` holds one row per website.
     """
-    from quillgate.operators.rows import lookup_join
-
     contact_columns = [c for c in [
         "company_name", "website_url", "linkedin_url", "recipient_name", "recipient_role",
         "campaign_context", "linkedin_observation", "linkedin_source_note", "app_store_url",

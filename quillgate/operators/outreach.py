@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions import urls
-from quillgate.operators.rows import ensure_columns
+from quillgate.operators.rows import ensure_columns, lookup_join
 
 _SURFACE_TEXT = ["website_url", "optional_notes", "app_store_url", "app_flow_observation"]
 
@@ -156,9 +156,14 @@ def route_rows(leads, processed, note, order="row_idx"):
     return done.unionByName(invalid.withColumn("row_kind", F.lit("placeholder")), allowMissingColumns=True)
 
 
-def attach_research(leads, summaries, chosen, key="company_key"):
-    """Research summary, surface and chosen fact beside each lead; status of missing parts."""
-    df = leads.join(summaries, key, "left").join(chosen, key, "left")
+def attach_research(leads, summaries, chosen=None, key="company_key"):
+    """Research summary, surface and chosen fact beside each lead; status of missing parts.
+
+    Without ``chosen`` the leads already carry their ``selected`` fact.
+    """
+    df = lookup_join(leads, summaries, [key])
+    if chosen is not None:
+        df = lookup_join(df, chosen, [key])
     df = classify_surface(df, research=["summary", "source_urls"])
     df = df.withColumn("research_priority", research_priority())
     headline = F.concat(

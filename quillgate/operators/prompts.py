@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions.json import parse_object
 from quillgate.operators.reports import price_columns
-from quillgate.operators.rows import block_prefix_sum
+from quillgate.operators.rows import block_prefix_sum, lookup_join
 
 
 def render(template, columns):
@@ -80,9 +80,11 @@ def fresh(cache, as_of_epoch, ttl_seconds=86400):
 
 
 def cache_split(calls, cache, as_of_epoch, ttl_seconds=86400, key="cache_key"):
-    """(hits with their stored reply, misses)."""
-    valid = fresh(cache, as_of_epoch, ttl_seconds).select(key, "reply")
-    return calls.join(valid, key), calls.join(valid.select(key), key, "left_anti")
+    """(hits with their stored reply, misses); one salted lookup, as popular calls repeat."""
+    valid = fresh(cache, as_of_epoch, ttl_seconds).select(key, "reply", F.lit(True).alias("__hit"))
+    joined = lookup_join(calls, valid, [key])
+    hits = joined.filter(F.col("__hit")).drop("__hit")
+    return hits, joined.filter(F.col("__hit").isNull()).drop("__hit", "reply")
 
 
 def expired_count(cache, as_of_epoch, ttl_seconds=86400):

@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions import urls
 from quillgate.functions.html import parse_page
-from quillgate.operators.rows import top_k
+from quillgate.operators.rows import lookup_join, top_k
 
 
 def parse_pages(pages, html="html", keep=("page_id", "url")):
@@ -389,7 +389,7 @@ def deep_research(leads, store_links, store_pages, complaints, themes, key="page
     app, 4 themes), so each group stays small.
     """
     pages = store_pages.select(F.col("url").alias("link_url"), "title", "text")
-    joined = store_links.join(pages, "link_url", "left")
+    joined = lookup_join(store_links, pages, ["link_url"])
     item = F.struct("rank", "link_url", F.col("text").isNotNull().alias("found"),
                     page_excerpt("link_url", "title", "text", 1000, False).alias("excerpt"))
     links = joined.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("l"))

@@ -337,10 +337,8 @@ def company_rows(spark, sf_dir):
     df = built(spark, sf_dir).withColumn("company_key", urls.host("website_url"))
     fact = F.when(F.col("row_idx") % 5 != 0, F.struct(
         F.lit("signup_friction").alias("friction_type"), F.lit("app").alias("surface_checked"), F.lit("activation").alias("conversion_outcome"), F.lit(False).alias("blog_used")))
-    df = df.withColumn("fact_key", F.col("row_idx"))
-    chosen = df.select("fact_key", fact.alias("selected"))
     summaries = web.company_summary(V.site_pages(spark, sf_dir)).select("company_key", "summary", "source_urls")
-    joined = outreach.attach_research(df.join(chosen, "fact_key"), summaries, df.select(F.lit("-").alias("company_key")).limit(0), "company_key")
+    joined = outreach.attach_research(df.withColumn("selected", fact), summaries)
     return joined.select("row_idx", "row_state", "quality_flags")
 
 

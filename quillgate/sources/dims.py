@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgate import schemas
 from quillgate.functions import text as X
-from quillgate.operators.rows import first_per_key, upsert
+from quillgate.operators.rows import first_per_key, lookup_join, upsert
 
 _LISTS = [
     "angle_priorities", "preferred_phrases", "banned_phrases", "qc_focus", "example_good_lines",
@@ -80,7 +80,7 @@ def profile_names(*sources):
 def with_profile(rows, profiles, column="tone_profile", fallback="friction_first"):
     """Profile name that really exists for each row, the fallback otherwise."""
     dim = profiles.select(F.col("name").alias(column), F.lit(True).alias("__known"))
-    joined = rows.withColumn(column, X.first_present(column, F.lit(fallback))).join(dim, column, "left")
+    joined = lookup_join(rows.withColumn(column, X.first_present(column, F.lit(fallback))), dim, [column])
     return joined.withColumn(
         "resolved_profile", F.when(F.col("__known"), F.col(column)).otherwise(F.lit(fallback))).drop("__known")
 

@@ -597,3 +597,29 @@ def parse_judgements(spark, sf_dir):
     body = F.to_json(F.struct(F.when(k % 3 == 0, " Send ").otherwise("maybe").alias("decision"), F.array(F.lit("a"), F.lit(""), F.lit("b")).alias("reasons"), F.col("user_payload").alias("preferred_rewrite")))
     df = V.prompts(spark, sf_dir).withColumn("reply", F.when(k % 4 == 0, F.lit("?")).otherwise(body))
     return prompts.parse_judgements(df, keep=["call_key"]).select("call_key", "judge_decision", "judge_reasons")
+
+
+@query("format_evidence", with_(V.LINES, select=f"""
+select row_idx, {V.strip_sql('evidence_found')} || ' (strong, specific, ' || friction_type || ', source: ' || website || ') | second (weak, generic, ' || friction_type || ', source: ' || website || ')' as evidence_points from lines
+where friction_type <> '' and {V.strip_sql('evidence_found')} <> ''"""))
+def format_evidence(spark, sf_dir):
+    def fact(text, strength, generic):
+        return F.struct(text.alias("fact"), F.lit(strength).alias("strength"), F.lit(generic).alias("too_generic_to_use"), F.col("friction_type"),
+                        F.lit("").alias("surface_checked"), F.lit("").alias("conversion_outcome"), F.col("website").alias("source_url"))
+
+    rows = V.lines(spark, sf_dir).filter((F.col("friction_type") != "") & (X.clean("evidence_found") != ""))
+    rows = rows.select("row_idx", F.array(fact(X.clean("evidence_found"), "strong", False), fact(F.lit("second"), "weak", True)).alias("facts"))
+    return E.format_evidence(rows).select("row_idx", "evidence_points")
+
+
+@query("send_hour_opened_only", with_(V.SENDS, select="""
+select cast(substr(sent_at, 12, 2) as bigint) as hour, 1.0::double as open_rate from sends where was_opened group by 1 having count(*) >= 3"""))
+def send_hour_opened_only(spark, sf_dir):
+    from quillgate.operators.sendtime import hour_pattern
+
+    return hour_pattern(V.sends(spark, sf_dir), opened_only=True).select(F.col("hour").cast("bigint").alias("hour"), "open_rate")
+
+
+@query("sequence_minimum", with_(_SEQ, select="select lead_id, cast(step_number as bigint) as step_number from scored where greatest(0.0, least(10.0, raw)) >= 6"))
+def sequence_minimum(spark, sf_dir):
+    return sequences.minimum_score(sequences.check_steps(V.steps(spark, sf_dir)), 6).select("lead_id", F.col("step_number").cast("bigint").alias("step_number"))

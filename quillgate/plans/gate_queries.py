@@ -728,3 +728,63 @@ select row_idx, 'Company: ' || company || chr(10) || 'Line: ' || personalized_li
 def prompt_render(spark, sf_dir):
     df = V.lines(spark, sf_dir).withColumn("template", F.lit("Company: {company}\nLine: {personalized_line}\nKeep {unknown}"))
     return df.select("row_idx", prompts.render("template", ["company", "personalized_line"]).alias("prompt"), prompts.page_key("text").alias("text_key"))
+
+
+# --- run rows ----------------------------------------------------------------------------------------
+@query("send_confidence", with_(_COPYFLAGS, select=f"""
+select row_idx, case when not list_has_any(cflags, {items(T.SERIOUS_FLAGS)}) and row_idx % 12 >= 8 and not list_has_any(cflags, {items(T.BLOCKING_QC_FLAGS)}) and row_idx % 6 >= 3
+  then 'send' else 'review' end as send_confidence from cf"""))
+def send_confidence(spark, sf_dir):
+    k = F.col("row_idx")
+    df = copyguard.copy_flags(_drafts(spark, sf_dir)).withColumns({
+        "model_flags": F.array().cast("array<string>"), "model_score": k % 12, "model_pass": F.lit(True),
+        "evidence_strength_score": k % 6, "research_review": F.lit(False)})
+    df = copyguard.needs_review(copyguard.merge_qc(df), carried=["research_review"], all_flags="qc_flags")
+    return df.select("row_idx", copyguard.send_confidence().alias("send_confidence"))
+
+
+@query("run_stamp", with_(V.LINES, select=f"""
+select row_idx, run_id, row_id, {_stable('run_id', 'row_id', 'company', 'person', V.strip_sql('personalized_line'))} as example_id, 'h1' as write_prompt_hash, 't1' as tone_profile_hash from lines"""))
+def run_stamp(spark, sf_dir):
+    rows = run_rows(spark, sf_dir)
+    return canonical.stamp_run(rows, "run_x", {"write_prompt_hash": "h1"}, "t1").select(
+        "row_idx", "run_id", "row_id", "example_id", "write_prompt_hash", "tone_profile_hash")
+
+
+@query("run_counts", with_(V.LINES, select=f"""
+select count(*) as rows, count(*) filter ({V.strip_sql('personalized_line')} <> '') as generated, count(*) filter (needs_manual_review = 'yes') as needs_review,
+  cast(0 as bigint) as timed, cast(0 as bigint) as in_test, cast(0 as bigint) as in_sequence from lines"""))
+def run_counts(spark, sf_dir):
+    return reports.run_counts(run_rows(spark, sf_dir))
+
+
+@query("strongest_visual", with_(V.LINES, select="""
+select c as class, n as rows from (select case when visual_confidence = '' then 'none' else visual_confidence end as c, count(*) as n from lines group by 1)
+order by n desc, list_position(['high', 'medium', 'low', 'none'], c) limit 1"""))
+def strongest_visual(spark, sf_dir):
+    return reports.strongest_class(V.lines(spark, sf_dir), "visual_confidence", ["high", "medium", "low", "none"])
+
+
+@query("email_log", with_(V.LINES, select=f"""
+select run_id, row_id, company, person, website, model_name, {V.strip_sql('personalized_line')} as personalized_line from (select * replace ({V.strip_sql('person')} as person) from lines)"""))
+def email_log(spark, sf_dir):
+    from quillgate.sources.tables import email_log_rows
+
+    return email_log_rows(run_rows(spark, sf_dir), "2024-02-01").select(
+        "run_id", "row_id", "company", "person", "website", "model_name", "personalized_line")
+
+
+@query("profile_resolution", with_(V.LINES, select="""
+select row_idx, 'friction_first' as resolved_profile from lines where tone_profile <> 'proof_led' union all select row_idx, 'proof_led' from lines where tone_profile = 'proof_led'"""))
+def profile_resolution(spark, sf_dir):
+    from quillgate.sources.dims import expand_presets, profile_dimension, with_profile
+
+    rows = V.lines(spark, sf_dir)
+    specs = rows.filter(F.col("tone_profile") != "").select(F.col("tone_profile").alias("name")).distinct().withColumns({
+        "description": F.lit("d"), "surface": F.lit("s"), "outcome": F.lit("o"), "priorities": F.array(F.lit("a"))})
+    return with_profile(rows, profile_dimension(expand_presets(specs))).select("row_idx", "resolved_profile")
+
+
+@query("reviewer_table", with_(GATES, select="select decision as sendability_decision, company, person, role, website, tone_profile from (select * replace (trim(person) as person) from gates)"))
+def reviewer_table(spark, sf_dir):
+    return delivery.reviewer_table(scored(spark, sf_dir)).select("sendability_decision", "company", "person", "role", "website", "tone_profile")

@@ -135,7 +135,7 @@ g6 as (
 ),
 g7 as (select *, case when noline then least(w0, 20) else w0 end as w1 from g6),
 g8 as (select *, greatest(0, least(100, case when len(hard) > 0 then least(w1, 59) when len(soft) > 0 then least(w1, 84) else w1 end)) as score from g7),
-gates as (
+gates as materialized (
   select *, case when len(hard) > 0 then 'Reject' when len(soft) > 0 or score < 85 then 'Edit' else 'Send' end as decision,
     {flags_sql(("trace_files <> ''", 'trace_files_internal_only'),
                ("contains(debug, 'c:\\users\\') or contains(debug, '/users/')", 'local_paths_need_sanitizing'),
@@ -334,7 +334,7 @@ def draft_sanitize(spark, sf_dir):
 
 # --- evaluation ----------------------------------------------------------------------------------
 _METRICS = GATES + f""",
-agg as (
+agg as materialized (
   select cast(count(*) as double) as frozen_eval_rows,
     {pct_sql("count(*) filter (e = decision)", "count(*)")} as exact_gate_human_agreement_pct,
     {pct_sql("count(*) filter (decision = 'Send' and human_decision = 'send')", "count(*) filter (decision = 'Send')")} as send_precision_pct,
@@ -345,7 +345,7 @@ agg as (
     round_even(avg(ev), 1) as avg_evidence_score, round_even(avg(tp), 1) as avg_template_fit_score
   from (select *, case human_decision when 'send' then 'Send' when 'edit' then 'Edit' when 'reject' then 'Reject' else 'Unknown' end as e from gates)
 ),
-metrics as (select metric, value from (unpivot agg on columns(*) into name metric value value))"""
+metrics as materialized (select metric, value from (unpivot agg on columns(*) into name metric value value))"""
 
 
 @query("eval_metrics", with_(_METRICS, select="select metric, value from metrics"))

@@ -379,12 +379,10 @@ from (select pos, rating, trim('Title: ' || text, ': ') as t from reviews) where
 def review_feed(spark, sf_dir):
     label = lambda c: F.struct(c.alias("label"))
     entry = F.struct(label(F.lit("Title")).alias("title"), label(F.col("text")).alias("content"), label(F.col("rating")).alias("im:rating"))
-    app = F.struct(label(F.lit("The app")).alias("im:name"))
-    feeds = V.reviews(spark, sf_dir).select(F.col("pos").alias("app_key"), F.when(
-        F.col("pos") % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(app["im:name"].alias("im:name")).cast(
-            "struct<`im:name`:struct<label:string>,title:struct<label:string>,content:struct<label:string>,`im:rating`:struct<label:string>>")
-            if False else F.struct(F.lit(None).cast("struct<label:string>").alias("im:name"), *[entry[n].alias(n) for n in ("title", "content", "im:rating")])).alias("entry")).alias("feed")))
-    ).otherwise(F.to_json(F.struct(F.struct(entry.alias("entry")).alias("feed")))).alias("feed_json"))
+    many = F.to_json(F.struct(F.struct(F.array(entry).alias("entry")).alias("feed")))
+    single = F.to_json(F.struct(F.struct(entry.alias("entry")).alias("feed")))
+    feeds = V.reviews(spark, sf_dir).select(
+        F.col("pos").alias("app_key"), F.when(F.col("pos") % 2 == 0, many).otherwise(single).alias("feed_json"))
     return web.feed_complaints(feeds).select("app_key", "complaint")
 
 

@@ -30,8 +30,7 @@ def test_row_index_over_many_splits(spark, tmp_path):
     try:
         from quillgate.operators.rows import with_row_index
 
-        rows = with_row_index(files.read_text_table(spark, str(tmp_path))).collect() if False else with_row_index(
-            spark.read.option("header", True).csv(str(tmp_path))).collect()
+        rows = with_row_index(spark.read.option("header", True).csv(str(tmp_path))).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.row_idx, r.company_name) for r in rows) == [(i, f"c{i}") for i in range(1500)]

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgate.llm.store import held_out, spread_sample
 from quillgate.llm.words import LOWER, column_passes, scan
 
 #: Buckets for hashed shape 4-grams and byte trigrams.
@@ -96,21 +95,6 @@ def vectors(column, weights, projection):
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
 
-def labelled_sample(docs, labels, label_column, per_label=PER_LABEL, learn_all=False):
-    """(text, label) of at most ``per_label`` documents of each label, and the counts of both labels.
-
-    Rows whose id is held out never enter.  The ids are picked first; texts are fetched for those alone.
-    """
-    marked = labels.where(F.col(label_column).isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = marked if learn_all else marked.where(~held_out("doc_id"))
-    known = marked.select("doc_id", F.col(label_column).cast("int").alias("label")).join(
-        docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picked = spread_sample(known, "doc_id", per_label, "label", (0, 1))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label ids
-    return texts.select("doc_id", "text", "label"), (sizes.get(0, 0), sizes.get(1, 0))
-
-
 def fit(sample, counts, dimensions=DIMENSIONS):
     """Singular vectors and labelled vectors from a bounded (text, label) sample; features are made on the executors."""
     prior = counts[1] / sum(counts) if sum(counts) else 0.5

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillgate.llm import quality, severity
-from quillgate.llm.store import held_out, table
+from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
 
@@ -20,13 +20,13 @@ def query(name, sql=None):
 
 def toxicity_model(docs, labels):
     """Fitted on a bounded sample of the labelled documents."""
-    known = docs.select("doc_id", "text").join(
-        labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic"), "doc_id")
-    return severity.fit(severity.grades_of(known))
+    sample, _ = labelled_sample(docs, labels, "toxic", severity.PER_LABEL, withheld=False)
+    return severity.fit(severity.grades_of(sample))
 
 
 def quality_model(docs, labels):
-    sample, counts = quality.labelled_sample(docs, labels, "quality")
+    """Fitted on a bounded sample of the labelled documents that are not held out."""
+    sample, counts = labelled_sample(docs, labels, "quality", quality.PER_LABEL)
     return quality.fit(sample, counts)
 
 

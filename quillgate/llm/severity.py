@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillgate.llm.store import saved
 from quillgate.llm.words import column_passes, eight_bytes, keep_bytes, mix, scan
 
 #: Bytes of word beginnings used as features beside whole words.
 STEMS = (4, 5)
+#: Most labelled rows of each label that a model learns from.
+PER_LABEL = 4000
 #: Most features of a model.
 MOST_FEATURES = 4096
 #: Least G statistic (chi-square with one degree) of a feature.
@@ -165,20 +168,16 @@ def fit(graded):
     return Model(features, weights, thresholds)
 
 
-def grades_of(labelled, per_class=4000):
-    """Ordered grades from yes/no labels: (doc_id, text, toxic) to (text, grade).
+def grades_of(sample):
+    """Ordered grades from yes/no labels: a bounded (text, label) sample to (text, grade).
 
-    At most ``per_class`` toxic and as many clean rows are used, those with the smallest hash of their id.
-    Clean rows are grade 0.  Toxic rows are ranked by how often words that only toxic rows share occur
-    in them, and split into three grades of equal size.
+    Rows of label 0 are grade 0.  Rows of label 1 are ranked by how often the features that tell the two
+    labels apart occur in them, and split into three grades of equal size.
     """
-    from quillgate.llm.store import spread_sample
-
-    picked = spread_sample(labelled.where("doc_id is not null"), "doc_id", per_class, "toxic", (0, 1))
-    picked = picked.select("doc_id", "text", F.col("toxic").alias("grade"))
+    picked = sample.select("text", F.col("label").alias("grade"))
     sizes = {r["grade"]: r["count"] for r in picked.groupBy("grade").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return picked.select("text", "grade")
+        return picked
     features = _strongest(picked, sizes[1], sizes[0])
 
     @F.arrow_udf("long")
@@ -189,7 +188,7 @@ def grades_of(labelled, per_class=4000):
     scored = picked.withColumn("evidence", evidence("text"))
     low, high = scored.where("grade = 1").approxQuantile("evidence", [1 / 3, 2 / 3], 0.001)
     step = 1 + (F.col("evidence") > low).cast("int") + (F.col("evidence") > high).cast("int")
-    return scored.select("text", F.when(F.col("grade") == 1, step).otherwise(0).cast("int").alias("grade"))
+    return saved(scored.select("text", F.when(F.col("grade") == 1, step).otherwise(0).cast("int").alias("grade")), "graded")
 
 
 def severity(model, text_column):

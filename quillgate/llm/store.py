@@ -32,10 +32,21 @@ def held_out(id_column):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def spread_sample(rows, key, per_class, class_column, classes):
-    """At most ``per_class`` rows of each class, those with the smallest hash of ``key``: bounded, and the same on every run."""
+def labelled_sample(docs, labels, label_column, per_label, withheld=True):
+    """(doc_id, text, label) of at most ``per_label`` documents of each label 0 and 1, and the counts of both labels.
+
+    The ids with the smallest hashes are picked: bounded, and the same on every run.  Texts are fetched
+    for those alone.  With ``withheld``, rows whose id is held out never enter.
+    """
+    marked = labels.where(F.col(label_column).isin(0, 1) & F.col("doc_id").isNotNull())
+    marked = marked.where(~held_out("doc_id")) if withheld else marked
+    marked = marked.select("doc_id", F.col(label_column).cast("int").alias("label"))
+    known = saved(marked.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id"), "labelled")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
-    for value in classes:
-        part = rows.where(F.col(class_column) == F.lit(value)).orderBy(F.xxhash64(key), key).limit(per_class)
+    for value in (0, 1):
+        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    return picked
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label ids
+    sample = saved(texts.select("doc_id", "text", "label"), "sample")
+    return sample, (sizes.get(0, 0), sizes.get(1, 0))

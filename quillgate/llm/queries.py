@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillgate.llm import quality, severity
+from quillgate.llm import decontam, probmin, quality, severity
 from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
@@ -30,6 +30,42 @@ def quality_model(docs, labels):
     return quality.fit(sample, counts)
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op4_suffix_decontamination", sql=f"""
+with d as (select row_number() over () r, doc_id, coalesce({_WORDS}, []) w from documents),
+b as (select cast(item_id as varchar) item_id, {_WORDS} w from benchmark where text is not null),
+g as (
+  select distinct item_id, 13 n, array_to_string(w[i:i + 12], ' ') t
+  from (select item_id, w, unnest(range(1, len(w) - 11)) i from b where len(w) >= 13)
+  union
+  select distinct item_id, len(w), array_to_string(w, ' ') from b where len(w) between 1 and 12),
+p as (
+  select r, n, i, array_to_string(w[i:i + n - 1], ' ') t
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from g) where len(w) >= n)),
+h as (select p.r, p.n, p.i, g.item_id from p join g on p.n = g.n and p.t = g.t),
+words as (select r, count(distinct k) n_hit from (select r, unnest(range(i, i + n)) k from (select distinct r, n, i from h)) group by r),
+found as (
+  select r, count(*) n_items, string_agg(item_id, ',' order by item_id) ids
+  from (select distinct r, item_id from h where item_id is not null) group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join words using (r) left join found using (r)""")
+def op4_suffix_decontamination(spark, sf_dir):
+    items = decontam.load_items(table(spark, sf_dir, "benchmark"))
+    found = table(spark, sf_dir, "documents").select("doc_id", decontam.matches(items, F.col("text")).alias("m"))
+    return found.select(
+        "doc_id", "m.n_words", "m.n_hit", F.size("m.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("m.items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontam.contaminated(F.col("m")).alias("contaminated"))
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark, sf_dir):
+    return probmin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_quality_vote")
 def op5_quality_vote(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -71,6 +71,7 @@ class Encoder(dict):
     def __init__(self, ranks, pattern):
         super().__init__()
         self.ranks, self.cut, self.pieces, self.edges = ranks, _pieces(pattern), {}, {}
+        self.never = max(ranks.values()) + 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.beginnings = {token[:k] for token in ranks for k in range(1, len(token))}
         self.pairs = {}
@@ -96,10 +97,9 @@ class Encoder(dict):
             for merge, first, last in merges(self.ranks, raw):
                 left += [(first, merge)] * (first is not None)
                 right += [(last, merge)] * (last is not None)
-            never = len(self.ranks) + 1
             grows = all(x < y for side in (left, right) for (_, x), (_, y) in zip(side, side[1:]))
-            plain = grows and merged(self.ranks, raw) == [token] and max(self.ranks.values()) < never
-            self.edges[token] = ([*left, (raw, never)], [*right, (raw, never)]) if plain else None
+            plain = grows and merged(self.ranks, raw) == [token]
+            self.edges[token] = ([*left, (raw, self.never)], [*right, (raw, self.never)]) if plain else None
         return self.edges[token]
 
     def _follows(self, before, token):
@@ -145,16 +145,19 @@ class Encoder(dict):
         """Token ids of one piece, byte by byte."""
         if len(self.states) >= MOST_STATES:
             self._forget()
-        state, out = 0, []
+        state, out, steps = 0, [], self.steps
         for byte in piece:
-            state, emitted = self.steps.get(state << 8 | byte) or self._step(state, byte)
+            found = steps.get(state << 8 | byte)
+            if found is None:
+                if len(self.states) >= 2 * MOST_STATES:  # within one very long piece: keep only where it stands
+                    here = self.states[state]
+                    self._forget()
+                    state, steps = self._number(here), self.steps
+                found = self._step(state, byte)
+            state, emitted = found
             if emitted:
-                out.extend(emitted)
-            if len(self.states) >= 2 * MOST_STATES:  # within one very long piece: keep only where it stands
-                here = self.states[state]
-                self._forget()
-                state = self._number(here)
-        out.extend(self.finals[state])
+                out += emitted
+        out += self.finals[state]
         return out
 
     def piece(self, text):

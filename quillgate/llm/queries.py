@@ -1,8 +1,9 @@
 """One registered query per operator, over whole tables, and the check SQL of those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgate.llm import decontam, probmin, quality, severity
+from quillgate.llm import bpe, decontam, probmin, quality, severity
 from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
@@ -74,6 +75,17 @@ def op5_quality_vote(spark, sf_dir):
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query("op7_bpe_transducer")
+def op7_bpe_transducer(spark, sf_dir):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", bpe.coded(ranks, public_tokenizers.PATTERN, F.col("text")).alias("c"))
+    ids = F.array_join(F.col("c.ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("c.ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("c.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op9_toxicity_severity")
 def op9_toxicity_severity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgate.llm import bpe, decontam, probmin, quality, severity
+from quillgate.llm import bpe, decontam, langid, probmin, quality, severity, sharding, topk, urls
 from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
@@ -31,6 +31,42 @@ def quality_model(docs, labels):
     return quality.fit(sample, counts)
 
 
+@query("op1_ball_tree_top_k", sql="""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score
+  from (select * from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id),
+r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) n from s)
+select query_id, cast(n as integer) rank, vec_id, score from r where n <= 5""")
+def op1_ball_tree_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+#: The contract's list: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op3_url_digests", sql=f"""
+with rules(rule_host, rule_path, verdict) as (values {", ".join(map(str, URL_RULES))}),
+u as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path
+  from pages),
+m as (
+  select page_id, host, path, max_by(rule_host || rule_path, len(rule_host || rule_path)) rule,
+    max_by(verdict, len(rule_host || rule_path)) verdict
+  from u left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by all)
+select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from m""")
+def op3_url_digests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select("page_id", urls.url_verdict(spark, URL_RULES, F.col("url")).alias("u")).select("page_id", "u.*")
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -75,6 +111,14 @@ def op5_quality_vote(spark, sf_dir):
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query("op6_byte_cnn_language")
+def op6_byte_cnn_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = docs.select("doc_id", held_out("doc_id").alias("held_out"), langid.language(model, F.col("text")).alias("l"))
+    return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
+
+
 @query("op7_bpe_transducer")
 def op7_bpe_transducer(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -86,6 +130,11 @@ def op7_bpe_transducer(spark, sf_dir):
         F.sha2(F.col("c.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op8_jump_shards")
+def op8_jump_shards(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
 @query("op9_toxicity_severity")
 def op9_toxicity_severity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

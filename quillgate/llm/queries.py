@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgate.llm import bpe, decontam, langid, probmin, quality, severity, sharding, topk, urls
+from quillgate.llm import bpe, decontam, langid, probmin, quality, quotes, severity, sharding, topk, urls
 from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
@@ -46,6 +46,53 @@ def op1_ball_tree_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+@query("op2_quote_linking", sql=r"""
+with c as (
+  select conv_id, turn, role, coalesce(text, '') t, md5(coalesce(text, '')) message from conversations
+  where conv_id is not null and turn is not null),
+l as (
+  select conv_id, turn, role, message, t, i, regexp_extract(x, '^((?:[ \t]*>)+)', 1) marks,
+    regexp_replace(x, '^((?:[ \t]*>)+)[ \t]?', '') body
+  from (select *, unnest(regexp_split_to_array(t, '\r?\n')) x, generate_subscripts(regexp_split_to_array(t, '\r?\n'), 1) i from c)),
+d as (
+  select *, len(regexp_replace(marks, '[^>]', '', 'g')) depth,
+    trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) plain from l),
+e as (
+  select *, depth = 0 and regexp_full_match(body, '[^>].*:\s*')
+      and coalesce(lead(depth) over w, 0) > 0 announces,
+    case when coalesce(lag(depth) over w, -1) <> depth then 1 else 0 end fresh
+  from d window w as (partition by conv_id, turn, message order by i)),
+o as (
+  select conv_id, turn, role, message, max(depth) > 0 quotes,
+    coalesce(string_agg(body, chr(10) order by i) filter (where depth = 0 and not announces), '') raw
+  from e group by all),
+m as (select *, case when quotes then trim(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), ' ') else raw end own from o),
+p as (
+  select conv_id, turn, message, passage, depth, trim(regexp_replace(string_agg(plain, ' ' order by i), ' +', ' ', 'g')) whole,
+    max_by(plain, (len(plain), plain)) line
+  from (select *, sum(fresh) over (partition by conv_id, turn, message order by i) passage from e) where depth > 0 group by all),
+s as (
+  select distinct conv_id, turn, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) k
+  from (select conv_id, turn, unnest(list_append(string_split(own, chr(10)), own)) x from m)),
+f as (
+  select p.conv_id, p.turn, p.message, p.depth, coalesce(
+    (select max(s.turn) from s where s.conv_id = p.conv_id and s.k = p.whole and s.k <> '' and s.turn < p.turn),
+    (select max(s.turn) from s where s.conv_id = p.conv_id and s.k = p.line and s.k <> '' and s.turn < p.turn)) source
+  from p),
+g as (
+  select conv_id, turn, message, count(*) n_passages, count(source) n_linked, max(depth) depth,
+    max(case when depth = 1 then source end) outer_source
+  from f group by all)
+select m.conv_id, m.turn, m.role,
+  cast(row_number() over (partition by m.conv_id order by m.turn, m.role, m.message) - 1 as bigint) as position,
+  cast(coalesce(outer_source, max(m.turn) over (partition by m.conv_id order by m.turn range between unbounded preceding and 1 preceding)) as bigint) reply_to,
+  cast(coalesce(n_passages, 0) as bigint) n_passages, cast(coalesce(n_linked, 0) as bigint) n_linked,
+  cast(coalesce(g.depth, 0) as integer) as depth, m.own as text
+from m left join g using (conv_id, turn, message)""")
+def op2_quote_linking(spark, sf_dir):
+    return quotes.linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 #: The contract's list: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

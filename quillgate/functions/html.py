@@ -1,97 +1,107 @@
-"""Page parse: title, visible text and links from one HTML text.
+"""Page parse as column functions: title, visible text and links of one HTML text.
 
-The only place where a Python worker sees page text; Spark streams Arrow batches through it.
+Comments go first, then elements that hold no page text (up to their end tag, or to the end of a page
+that was cut off), then all other tags become blanks and entities become characters.  An element nested
+in another of its own name ends with the inner end tag.
 """
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-
-from quillgate.terms import DROPPED_TAGS
-
-PAGE_SCHEMA = StructType([
-    StructField("title", StringType()),
-    StructField("text", StringType()),
-    StructField("links", ArrayType(StructType([
-        StructField("href", StringType()), StructField("label", StringType())]))),
-])
-_VOID = {
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-    "source", "track", "wbr",
-}
-
-
-class _Page(HTMLParser):
-    """Collects text pieces; a piece ends at every tag or comment."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open, self.pieces, self.links = [], [], []
-        self.dropped, self.title, self.buffer = 0, None, []
-
-    def _flush(self):
-        piece = "".join(self.buffer).strip()
-        self.buffer = []
-        if not piece:
-            return
-        if self.open and self.open[-1][0] == "title" and self.title is None:
-            self.title = piece
-        if not self.dropped:
-            self.pieces.append(piece)
-        for _, link in self.open:
-            if link is not None:
-                link[1].append(piece)
-
-    def handle_data(self, data):
-        self.buffer.append(data)
-
-    def handle_comment(self, data):
-        self._flush()
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
-
-    def handle_starttag(self, tag, attrs):
-        self._flush()
-        link = None
-        if tag == "a":
-            href = dict(attrs).get("href")
-            if href is not None:
-                link = (href.strip(), [])
-                self.links.append(link)
-        if tag not in _VOID:
-            self.open.append((tag, link))
-            self.dropped += tag in DROPPED_TAGS
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._flush()
-        if any(name == tag for name, _ in self.open):
-            while True:
-                name, _ = self.open.pop()
-                self.dropped -= name in DROPPED_TAGS
-                if name == tag:
-                    break
-
-
-def parse(html):
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page._flush()
-    text = re.sub(r"\s+", " ", " ".join(page.pieces)).strip()
-    links = [{"href": h, "label": " ".join(p)} for h, p in page.links]
-    return page.title or "", text, links
-
-
-@F.pandas_udf(PAGE_SCHEMA)
-def parse_page(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for html in batches:
-        yield pd.DataFrame([parse(h) for h in html], columns=["title", "text", "links"])
+
+from quillgate import terms as T
+
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
+_TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title|\z)"
+#: An anchor with an href: the quoted or bare value, and what follows up to the next end or start of an anchor.
+_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)(?:</a\s*>|<a\s|\z)"""
+
+
+def _element(tag):
+    return rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)"
+
+
+def _squeeze(c):
+    return F.trim(F.regexp_replace(c, r"[\s\x{A0}]+", " "))
+
+
+def _number(part):
+    """Text after "&#": the character of its number, and the rest; texts without a number keep the mark."""
+    whole = F.regexp_extract(part, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 0)
+    decimal, hexadecimal = F.regexp_extract(whole, r"^([0-9]+)", 1), F.regexp_extract(whole, r"^[xX]([0-9a-fA-F]+)", 1)
+    code = F.when(decimal != "", decimal.cast("int")).otherwise(F.conv(hexadecimal, 16, 10).cast("int"))
+    good = (whole != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(good, F.concat(char, F.substring(part, F.length(whole) + 1, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+
+def entities(c):
+    """Characters for numeric and the common named entities; "&amp;" last, so nothing is decoded twice."""
+    parts = F.split(c, "&#", -1)
+    numbered = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _number), ""))
+    c = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(c)
+    for name, char in T.ENTITIES.items():
+        c = F.regexp_replace(c, f"&{name};?" if name in T.BARE_ENTITIES else f"&{name};", char)
+    return c
+
+
+def title(html):
+    return _squeeze(entities(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), _TITLE, 1), _TAG, " ")))
+
+
+def visible_text(html):
+    """Text outside of comments, scripts, styles, forms and the page's head and foot bars."""
+    c = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, " ")
+    for tag in T.DROPPED_TAGS:
+        c = F.regexp_replace(c, _element(tag), " ")
+    return _squeeze(entities(F.regexp_replace(c, _TAG, " ")))
+
+
+def links(html):
+    """array<struct<href, label>> of anchors with an href, in page order, also of head and foot bars."""
+    c = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, "")
+    for tag in ("script", "style"):
+        c = F.regexp_replace(c, _element(tag), " ")
+    hrefs = F.regexp_extract_all(c, F.lit(_ANCHOR), 1)
+    labels = F.regexp_extract_all(c, F.lit(_ANCHOR), 2)
+    return F.zip_with(hrefs, labels, lambda h, x: F.struct(
+        F.trim(entities(F.regexp_replace(h, r"""^["']|["']$""", ""))).alias("href"),
+        _squeeze(entities(F.regexp_replace(x, _TAG, " "))).alias("label")))
+
+
+# --- the same in SQL for the check engine -------------------------------------------------------
+def _replace_sql(expr, pattern, by):
+    return f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+
+
+def _entities_sql(expr):
+    for name, char in T.ENTITIES.items():
+        expr = _replace_sql(expr, f"&{name};?" if name in T.BARE_ENTITIES else f"&{name};", char)
+    return expr
+
+
+def _squeeze_sql(expr):
+    return f"trim({_replace_sql(expr, '[' + chr(92) + 's' + chr(92) + 'x{A0}]+', ' ')})"
+
+
+def title_sql(html="html"):
+    found = f"regexp_extract({html}, '{_TITLE}', 1)"
+    return _squeeze_sql(_entities_sql(_replace_sql(found, _TAG, " ")))
+
+
+def visible_sql(html="html"):
+    expr = _replace_sql(html, _COMMENT, " ")
+    for tag in T.DROPPED_TAGS:
+        expr = _replace_sql(expr, _element(tag), " ")
+    return _squeeze_sql(_entities_sql(_replace_sql(expr, _TAG, " ")))
+
+
+def links_sql(html="html"):
+    """List of {href, label} structs."""
+    expr = _replace_sql(html, _COMMENT, "")
+    for tag in ("script", "style"):
+        expr = _replace_sql(expr, _element(tag), " ")
+    anchor = _ANCHOR.replace("'", "''")
+    pairs = f"list_zip(regexp_extract_all({expr}, '{anchor}', 1), regexp_extract_all({expr}, '{anchor}', 2))"
+    href = f"trim({_entities_sql(_replace_sql('x[1]', chr(94) + '[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$', ''))})"
+    label = _squeeze_sql(_entities_sql(_replace_sql("x[2]", _TAG, " ")))
+    return f"list_transform({pairs}, lambda x: {{'href': {href}, 'label': {label}}})"

@@ -3,16 +3,16 @@
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
+from quillgate.functions import html as H
 from quillgate.functions import text as X
 from quillgate.functions import urls
-from quillgate.functions.html import parse_page
 from quillgate.operators.rows import lookup_join, top_k
 
 
 def parse_pages(pages, html="html", keep=("page_id", "url")):
-    """Title, visible text and raw links; one parse per page."""
-    parsed = pages.select(*keep, parse_page(html).alias("p"))
-    return parsed.select(*keep, "p.title", "p.text", "p.links")
+    """Title, visible text and raw links of each page."""
+    c = F.col(html)
+    return pages.select(*keep, H.title(c).alias("title"), H.visible_text(c).alias("text"), H.links(c).alias("links"))
 
 
 def cut_text(c, limit):

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
+from quillgate.functions import html, urls
 from quillgate.functions import text as X
-from quillgate.functions import urls
 from quillgate.operators import evals, leads, outreach, sendtime, web
 from quillgate.operators.rows import first_per_key, ensure_columns, top_k, with_generated_ids
 from quillgate.plans import views as V
@@ -221,28 +221,55 @@ def send_time_mean(spark, sf_dir):
 
 
 # --- pages --------------------------------------------------------------------------------------------
-@query("html_text")
+@query("html_text", f"""
+select page_id, url, {html.title_sql()} as title, {html.visible_sql()} as text, cast(len({html.links_sql()}) as bigint) as links from pages""")
 def html_text(spark, sf_dir):
     parsed = web.parse_pages(V.table(spark, sf_dir, "pages"))
-    return parsed.select("page_id", "url", "title", "text", F.size("links").cast("bigint").alias("links"), F.length(web.cut_text("text", T.PAGE_TEXT_CHARS)).cast("bigint").alias("stored_chars"))
+    return parsed.select("page_id", "url", "title", "text", F.size("links").cast("bigint").alias("links"))
 
 
-@query("page_links")
+# hrefs resolved against the page: absolute, of the page's scheme, of its host, or beside it
+_FOUND = rf"""
+found as (
+  select page_id, url, i - 1 as link_pos, links[i].href as href, links[i].label as label
+  from (select *, unnest(range(1, len(links) + 1)) as i from (select page_id, url, {html.links_sql()} as links from pages))
+),
+page_links as (
+  select * from (
+    select page_id, url, link_pos, label,
+      case when regexp_matches(href, '^https?://') then href
+        when starts_with(href, '//') then regexp_extract(url, '^(https?:)', 1) || href
+        when starts_with(href, '/') then regexp_extract(url, '^(https?://[^/?#]*)', 1) || href
+        else regexp_extract(url, '^(https?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || href end as link_url
+    from found where {" and ".join(f"not starts_with(href, {q(x)})" for x in ["#", "mailto:", "tel:", "javascript:"])})
+  where regexp_extract(link_url, '{_P}', 2) <> ''
+),
+site as (
+  select *, regexp_replace(regexp_replace(link_url, '[?#].*$', ''), '/+$', '') as clean_url from page_links
+  where {_HOST % 'url'} = {_HOST % 'link_url'}
+)"""
+_MATCHES = " + ".join(f"contains(lower(regexp_extract(clean_url, '{_P}', 3) || ' ' || label), {q(t)})::int" for t in T.PRIORITY_PATH_TERMS)
+
+
+@query("page_links", with_(_FOUND, select="select page_id, link_pos, link_url, label from page_links"))
 def page_links(spark, sf_dir):
-    return web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))).select("page_id", "link_pos", "link_url", "label")
+    links = web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages")))
+    return links.select("page_id", F.col("link_pos").cast("bigint").alias("link_pos"), "link_url", "label")
 
 
-@query("site_link_counts", rf"""
-select page_id, count(*) as links from (select page_id, url, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) as href from pages)
-where href <> '' and not starts_with(href, '#') and (starts_with(href, '/') or regexp_extract(href, '{_P}', 2) = regexp_extract(url, '{_P}', 2)) group by page_id""")
+@query("site_link_counts", with_(_FOUND, select="select page_id, count(*) as links from site group by page_id"))
 def site_link_counts(spark, sf_dir):
     links = web.same_site_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("priority_links")
+@query("priority_links", with_(_FOUND, select=f"""
+select page_id, link_url, matches, cast(row_number() over (partition by page_id order by matches desc, link_url desc) as bigint) as rank from (
+  select page_id, clean_url as link_url, cast(max({_MATCHES}) as bigint) as matches from site
+  where {_MATCHES} > 0 and clean_url <> url group by 1, 2) qualify rank <= 4"""))
 def priority_links(spark, sf_dir):
-    return web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))))
+    out = web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))))
+    return out.select("page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # link rows derived from the stored URLs: every page links to topic paths of its own site
@@ -511,7 +538,7 @@ def deep_research(spark, sf_dir):
     df = built(spark, sf_dir).withColumn("page_id", F.col("row_idx")).drop("app_store_url")
     pages = V.table(spark, sf_dir, "pages")
     store_pages = pages.filter(F.col("page_id") % 2 == 0).select(
-        F.concat(F.lit("https://apps.apple.com/de/app/id"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"), F.col("html").alias("text"))
+        F.concat(F.lit("https://apps.apple.com/de/app/id"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"), html.visible_text(F.col("html")).alias("text"))
     talk = _complaints(spark, sf_dir).withColumn("page_id", F.col("pos") % 50)
     talk = top_k(talk, ["page_id"], [F.col("pos")], 4, "complaint_rank")
     themes = web.review_themes(talk, "page_id")

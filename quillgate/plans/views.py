@@ -8,6 +8,8 @@ as a DataFrame and as the SQL text of a common table expression for the check en
 
 from pyspark.sql import functions as F
 
+from quillgate.functions import html, urls
+
 OPENERS = [
     "I was checking the", "I opened the app and", "I tried the", "Saw the", "I was on the website,",
     "I had a look at the landing page:", "Your homepage", "I clicked the CTA button on the page,",
@@ -424,20 +426,17 @@ pm as (
 
 # --- pages ---------------------------------------------------------------------------------------
 def site_pages(spark, sf_dir):
-    """Stored pages with company key (host) and position, text straight from the HTML source."""
-    from quillgate.functions import urls
-
+    """Stored pages with company key (host), position, title and visible text."""
     p = table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     return p.select(
         "page_id", "url", urls.host("url").alias("company_key"), F.col("page_id").alias("page_pos"),
-        title.alias("title"), F.col("html").alias("text"))
+        html.title(F.col("html")).alias("title"), html.visible_text(F.col("html")).alias("text"))
 
 
 SITE_PAGES = rf"""
 site_pages as (
   select page_id, url, regexp_replace(lower(regexp_extract(url, '{_PARTS}', 2)), '^www\.', '') as company_key, page_id as page_pos,
-    regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, html as text from pages
+    {html.title_sql()} as title, {html.visible_sql()} as text from pages
 )"""
 
 

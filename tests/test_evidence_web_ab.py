@@ -2,17 +2,22 @@ import math
 
 from pyspark.sql import functions as F
 
-from quillgate.functions import html
 from quillgate.functions.json import object_text
 from quillgate.operators import evidence, experiments, sendtime, sequences, web
 
 
-def test_html_parse():
-    title, text, links = html.parse(
+def test_html_parse(spark):
+    pages = [
         "<html><head><title> A &amp; B </title><script>x</script></head><body><nav><a href='/about'>About <b>us</b></a></nav>"
-        "<p>One<br>two<!-- no -->three</p><form>hidden</form><a name='x'>plain</a><a href=' #top '>Top</a> end</body>")
-    assert title == "A & B" and text == "A & B One two three plain Top end"
-    assert links == [{"href": "/about", "label": "About us"}, {"href": "#top", "label": "Top"}]
+        "<p>One<br>two<!-- no -->three</p><form>hidden</form><a name='x'>plain</a><a href=' #top '>Top</a> end</body>",
+        "", None, "<p>a &lt;b&gt; &#233;&#x4e2d;&#0; &amp;lt; &copy 1 < 2</p><script>var s = '<p>no</p>';", "<a class=x href=/bare data-y=1>bare</a><style>p{}</style><a hre"]
+    df = spark.createDataFrame([(i, "https://x.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in web.parse_pages(df).collect()}
+    assert got[0].title == "A & B" and got[0].text == "A & B One two three plain Top end"
+    assert [tuple(x) for x in got[0].links] == [("/about", "About us"), ("#top", "Top")]
+    assert got[1].text == got[2].text == "" and got[1].links == []
+    assert got[3].text == "a <b> \u00e9\u4e2d&#0; &lt; \u00a9 1 < 2"
+    assert got[4].text == "bare" and [tuple(x) for x in got[4].links] == [("/bare", "bare")]
 
 
 def test_links_and_priority(spark):

@@ -1,11 +1,17 @@
-"""Training-corpus pipeline: toxicity, quality, near duplicates, benchmark decontamination, token ids."""
+"""Training-corpus pipeline: toxicity, quality, near duplicates, benchmark decontamination, token ids.
 
+Every stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next
+one's docs.  The first four return the columns of documents; a null text is never toxic, contaminated or
+a copy, and its quality is the share of good labels.
+"""
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgate.llm import quality, queries, severity
+from quillgate.llm import bpe, decontam, probmin, quality, queries, severity
 from quillgate.llm.store import saved, table
 
-#: The fitted models have no SQL form.
+#: The fitted models and the byte-pair encoding have no SQL form; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
@@ -21,7 +27,28 @@ def quality_vote(spark, docs, sf_dir):
     return docs.where(quality.quality(model, F.col("text")) >= 0.5)
 
 
-STAGES = [("toxicity", toxicity), ("quality", quality_vote)]
+def near_duplicates(spark, docs, sf_dir):
+    """The document of the smallest id of each class of copies and near copies."""
+    return probmin.keep_one(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents of which benchmark windows cover less than a twentieth of the words."""
+    items = decontam.load_items(table(spark, sf_dir, "benchmark"))
+    return docs.where(~decontam.contaminated(decontam.matches(items, F.col("text"))))
+
+
+def token_ids(spark, docs, sf_dir):
+    """Token ids of each document, and whether they decode to its text."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "c", bpe.coded(ranks, public_tokenizers.PATTERN, F.col("text")))
+    return found.select("doc_id", "lang", "source", "c.ids", (F.col("c.decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", toxicity), ("quality", quality_vote), ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination), ("token_ids", token_ids)]
 
 
 def run(spark, sf_dir):

@@ -161,7 +161,7 @@ def _spans(windows, places, words, items):
     same[1:] = (place[1:] == place[:-1] + 1) & (start[1:] == start[:-1] + 1) & (doc[1:] == doc[:-1]) & (
         items.item_of[start[1:]] == items.item_of[start[:-1]])
     heads = np.flatnonzero(~same)
-    tails = np.append(heads[1:], len(place)) - 1
+    tails = np.append(heads[1:], len(place))[:len(heads)] - 1
     total = place[tails] + length[tails] - place[heads]
     found = np.stack([doc[heads], place[heads], total, items.item_of[start[heads]], start[heads]], axis=1)
     return found[np.lexsort((found[:, 4], found[:, 1], found[:, 0]))]

@@ -19,7 +19,3 @@ def parse_object(c, schema):
     candidate = object_text(c)
     usable = F.try_parse_json(F.nullif(candidate, F.lit(""))).isNotNull()
     return F.when(usable, F.from_json(candidate, schema))
-
-
-def build(*cols):
-    return F.to_json(F.struct(*cols))

@@ -238,11 +238,3 @@ def lookup(c, mapping, default):
     for key, value in mapping.items():
         expr = F.when(col(c) == key, F.lit(value)) if expr is None else expr.when(col(c) == key, F.lit(value))
     return expr.otherwise(default if not isinstance(default, (str, int, float)) else F.lit(default))
-
-
-def to_double(c):
-    return F.expr(f"try_cast(`{c}` as double)") if isinstance(c, str) else c.try_cast("double")
-
-
-def to_int(c):
-    return F.expr(f"try_cast(`{c}` as int)") if isinstance(c, str) else c.try_cast("int")

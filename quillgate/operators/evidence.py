@@ -158,11 +158,10 @@ def rank_allowed(scored, key="lead_id", k=3):
     return top_k(allowed, [key], [F.col(c) for c in RANK_KEYS], k)
 
 
-def blocked_facts(scored, key="lead_id", k=6):
-    """The first k blocked facts per lead with their reasons."""
-    blocked = scored.filter(F.size("block_reasons") > 0)
+def blocked_facts(scored):
+    """All blocked facts with their reasons, one row each."""
     note = F.concat("fact", F.lit(" ["), F.array_join("block_reasons", ", "), F.lit("]"))
-    return top_k(blocked.withColumn("blocked_note", note), [key], [F.col("fact_pos")], k)
+    return scored.filter(F.size("block_reasons") > 0).withColumn("blocked_note", note)
 
 
 _FACT_FIELDS = [
@@ -344,27 +343,23 @@ def best_attempt(attempts, keys=("lead_id", "variant")):
     return best.select(*keys, *[F.col(f"__b.`{c}`").alias(c) for c in columns])
 
 
-def best_variant(variants, key="lead_id", max_options=3):
-    """Index of the best option; options after the first score-10 pass without serious
+def best_variant(variants, key="lead_id"):
+    """Index of the best option of any number; options after the first score-10 pass without serious
     flags count as never written.  Needs one row per (lead, variant)."""
     stop = F.min(F.when(
         F.col("passed") & (F.col("score") >= 10) & ~F.col("serious"), F.col("variant")))
-    aggs = [stop.alias("__stop")]
-    for i in range(1, max_options + 1):
-        aggs.append(F.min(F.when(F.col("variant") == i, F.struct(
-            F.col("needs_review").cast("int").alias("review"), (-F.col("score")).alias("score"),
-            F.col("serious").cast("int").alias("serious"), F.lit(i).alias("variant"),
-        ))).alias(f"__v{i}"))
-    wide = variants.groupBy(key).agg(*aggs)
-    best = F.least(*[
-        F.when(F.col("__stop").isNull() | (F.lit(i) <= F.col("__stop")), F.col(f"__v{i}"))
-        for i in range(1, max_options + 1)
-    ], F.lit(None).cast("struct<review:int,score:int,serious:int,variant:int>"))
-    return wide.select(key, F.coalesce(best["variant"], F.lit(0)).alias("best_variant"))
-
-
-def widen_variants(variants, fields, key="lead_id", max_options=3):
-    """Option columns <field>_option_1..k, one row per lead."""
+    options = variants.withColumn("__stop", stop.over(W.partitionBy(key)))  # the options of one lead
+    written = F.col("__stop").isNull() | (F.col("variant") <= F.col("__stop"))
+    best = F.min(F.when(written, F.struct(
+        F.col("needs_review").cast("int").alias("review"), (-F.col("score")).alias("score"),
+        F.col("serious").cast("int").alias("serious"), F.col("variant").cast("int").alias("variant"))))
+    return options.groupBy(key).agg(F.coalesce(best["variant"], F.lit(0)).alias("best_variant"))
+
+
+def widen_variants(variants, fields, key="lead_id", max_options=None):
+    """Option columns <field>_option_1..k, one row per lead; k is the largest variant unless given."""
+    if max_options is None:
+        max_options = variants.agg(F.max("variant")).head()[0] or 0
     return variants.groupBy(key).agg(*[
         F.max(F.when(F.col("variant") == i, F.col(f))).alias(f"{f}_option_{i}")
         for i in range(1, max_options + 1) for f in fields

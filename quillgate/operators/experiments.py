@@ -97,7 +97,7 @@ def assign_thompson(leads, results, variants, seed=0):
 
     snapshot = stats.groupBy("experiment_id").agg(
         collected("alpha", 1.0).alias("__a"), collected("beta", 1.0).alias("__b"))
-    df = lookup_join(leads, snapshot, ["experiment_id"], salts=64)
+    df = lookup_join(leads, snapshot, ["experiment_id"])
     flat = F.array(*[F.lit(1.0) for _ in variants])
     df = df.withColumns({"__a": F.coalesce("__a", flat), "__b": F.coalesce("__b", flat)})
     df = df.withColumn("__d", _beta_draws(F.xxhash64(X.text("experiment_id"), X.text("lead_id"), F.lit(seed)), "__a", "__b"))

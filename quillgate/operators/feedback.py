@@ -62,8 +62,9 @@ def known_results(results, sends, key="row_id"):
 
 
 def newest_first(sends, run_id=None):
+    """Sends (of one run) with ``newest``, the number to sort by downwards; the sink sorts."""
     rows = sends.filter(F.col("run_id") == run_id) if run_id else sends
-    return rows.orderBy(F.desc("updated_at"), "run_id", "row_id")
+    return rows.withColumn("newest", F.struct("updated_at", "run_id", "row_id"))
 
 
 def latest_run(rows):
@@ -137,18 +138,18 @@ def pattern_lines(sends):
     return rows.groupBy(*PATTERN, "opening_line").agg(F.count(F.lit(1)).alias("times_used"))
 
 
-def success_patterns(sends, limit=20, examples=2):
-    """Best converting patterns with their first example lines.
+def success_patterns(sends, limit=20, examples=2, sep="|"):
+    """Best converting patterns with their first example lines, joined by ``sep`` or as an array without one.
 
     The complete line list of a pattern stays in ``pattern_lines``; the report carries the
     number of distinct lines and the first few.
     """
     top = _patterns(sends).orderBy(F.desc("conversions"), F.desc("conv_rate"), *PATTERN).limit(limit)
-    lines = pattern_lines(sends)
+    lines = pattern_lines(sends.join(F.broadcast(top.select(*PATTERN)), PATTERN, "left_semi"))  # at most ``limit`` patterns
     n = lines.groupBy(*PATTERN).agg(F.count(F.lit(1)).alias("example_lines"))
     first = top_k(lines, PATTERN, [F.col("opening_line")], examples)
-    shown = first.groupBy(*PATTERN).agg(
-        F.array_join(F.sort_array(F.collect_list("opening_line")), "|").alias("examples"))
+    shown = F.sort_array(F.collect_list("opening_line"))
+    shown = first.groupBy(*PATTERN).agg((F.array_join(shown, sep) if sep else shown).alias("examples"))
     return top.join(n, PATTERN, "left").join(shown, PATTERN, "left")
 
 
@@ -162,7 +163,7 @@ def failing_patterns(sends, limit=20):
 def feedback_context(sends, limit=20):
     """One text block for prompt rendering, built from the small aggregates only."""
     total = funnel_totals(sends)
-    best, worst = success_patterns(sends, limit), failing_patterns(sends, limit)
+    best, worst = success_patterns(sends, limit, sep=None), failing_patterns(sends, limit)
     num = lambda c: F.col(c).cast("string")
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
 
@@ -173,7 +174,7 @@ def feedback_context(sends, limit=20):
     def lines(df, section, text):
         return df.select(F.lit(section).alias("section"), F.col("pos").cast("int").alias("pos"), text.alias("line"))
 
-    overview = total.select(F.explode(F.array(*[
+    overview = total.filter("total_sends > 0").select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.concat(F.lit(f"  {label}: "), num(c), F.lit(unit)).alias("line"))
         for i, (label, c, unit) in enumerate([
             ("Total sends", "total_sends", ""), ("Open rate", "open_rate", "%"),
@@ -182,7 +183,7 @@ def feedback_context(sends, limit=20):
     ])).alias("x")).select(F.lit(1).alias("section"), "x.pos", "x.line")
     top5 = ranked(best, F.desc("conversions"), F.desc("conv_rate"), *PATTERN)
     example = F.transform(
-        F.filter(F.split("examples", r"\|"), lambda e: X.strip(e) != ""),
+        F.filter("examples", lambda e: X.strip(e) != ""),
         lambda e: F.concat(F.lit('      Ex: "'), F.left(X.strip(e), F.lit(100)), F.lit('"')))
     works = lines(top5, 2, F.concat_ws("\n", F.concat(
         F.lit("  - Angle "), quote(F.col("chosen_angle")), F.lit(": "), num("conv_rate"),
@@ -219,4 +220,5 @@ def feedback_context(sends, limit=20):
     blocks = blocks.withColumn("text", F.concat(title, F.lit("\n"), "text", F.lit("\n")))
     whole = blocks.agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    return whole.select(F.concat(F.lit("\n--- FEEDBACK FROM PREVIOUS SENDS ---\n\n"), "t").alias("feedback_context"))
+    text = F.concat(F.lit("\n--- FEEDBACK FROM PREVIOUS SENDS ---\n\n"), "t")
+    return whole.select(F.when(F.coalesce("t", F.lit("")) == "", "").otherwise(text).alias("feedback_context"))

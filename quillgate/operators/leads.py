@@ -178,12 +178,6 @@ def original_keys(df, source="original_columns"):
     return keys.orderBy(F.lower("key"), "key")
 
 
-def missing_columns_error(columns, required):
-    absent = [c for c in required if c not in columns]
-    if absent:
-        raise ValueError(f"Missing required columns: {', '.join(absent)}")
-
-
 def attach_workspace(args, workspaces, key="client_id"):
     """Workspace defaults fill only the blank arguments."""
     fields = {

@@ -212,7 +212,7 @@ def research_only_rows(df):
         part("Public review complaint signals: ", "app_review_complaints"),
         part("Public review theme clusters: ", "app_review_themes"),
         F.when(app, F.concat(F.lit("Research priority: "), "research_priority")),
-        "first_pages_text", F.left(X.text("app_store_summary"), F.lit(1000)), visual, validator,
+        "first_pages_text", X.text("app_store_summary"), visual, validator,
     )
     return df.withColumns({
         "evidence_points": evidence,

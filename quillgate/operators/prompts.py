@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions.json import parse_object
 from quillgate.operators.reports import price_columns
-from quillgate.operators.rows import block_prefix_sum, lookup_join
+from quillgate.operators.rows import block_prefix_sums, lookup_join
 
 
 def render(template, columns):
@@ -17,11 +17,6 @@ def render(template, columns):
     return out
 
 
-def payload(columns):
-    """JSON object of the named columns."""
-    return F.to_json(F.struct(*[X.text(c).alias(c) for c in columns]))
-
-
 def with_tokens(prompts, system="system_prompt", user="user_payload"):
     return prompts.withColumn("input_tokens", X.token_estimate(system) + X.token_estimate(user))
 
@@ -34,7 +29,7 @@ def with_cost(rows, model="model_name", input_tokens="input_tokens", output_toke
 
 
 def admit(rows, max_calls=0, max_cost=0.0, input_price=0.10, output_price=0.40, order="row_idx"):
-    """Calls admitted under a call limit and a cost limit, in row order.
+    """Calls admitted under a call limit and a cost limit, in the order of a unique number, gaps allowed.
 
     Before each call the cost of everything so far plus this input and a fixed output
     reserve must stay inside the limit.  A batch stops at its first refused call.
@@ -42,15 +37,14 @@ def admit(rows, max_calls=0, max_cost=0.0, input_price=0.10, output_price=0.40,
     df = rows
     if not max_calls and not max_cost:
         return df
-    df = block_prefix_sum(df, F.col("input_tokens"), order, "__in")
-    df = block_prefix_sum(df, F.col("output_tokens"), order, "__out")
+    df = block_prefix_sums(df, {"__in": F.col("input_tokens"), "__out": F.col("output_tokens"), "__calls": F.lit(1)}, order)
     out_before = F.col("__out") - F.col("output_tokens")
     projected = F.col("__in") / F.lit(1e6) * F.lit(float(input_price)) + (
         out_before + T.RESERVED_OUTPUT_TOKENS) / F.lit(1e6) * F.lit(float(output_price))
     df = df.withColumn("projected_cost", projected)
     refused = F.lit(False)
     if max_calls:
-        refused = refused | (F.col(order) + 1 > max_calls)
+        refused = refused | (F.col("__calls") > max_calls)
     if max_cost:
         refused = refused | (F.col("projected_cost") > max_cost)
     df = df.withColumn("__refused", refused)
@@ -58,7 +52,7 @@ def admit(rows, max_calls=0, max_cost=0.0, input_price=0.10, output_price=0.40,
     stop = first.scalar()
     return df.withColumn("__stop", stop).filter(
         F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))
-    ).drop("__in", "__out", "__refused", "__stop")
+    ).drop("__in", "__out", "__calls", "__refused", "__stop")
 
 
 def response_key(provider="provider", model="model_name", temperature="temperature",
@@ -70,17 +64,13 @@ def page_key(url="url", prefix=""):
     return F.sha2(F.concat(F.lit(prefix), X.text(url)), 256)
 
 
-def evidence_key(company="company_name", website="website_url", summary="summary", tone="tone_profile"):
-    return F.sha2(F.concat_ws(":", *[X.text(c) for c in (company, website, summary, tone)]), 256)
-
-
 def fresh(cache, as_of_epoch, ttl_seconds=86400):
     """Cache rows that are not expired; rows without a time stamp count as valid."""
     return cache.filter(F.col("cached_at").isNull() | (F.lit(float(as_of_epoch)) - F.col("cached_at") <= ttl_seconds))
 
 
 def cache_split(calls, cache, as_of_epoch, ttl_seconds=86400, key="cache_key"):
-    """(hits with their stored reply, misses); one salted lookup, as popular calls repeat."""
+    """(hits with their stored reply, misses)."""
     valid = fresh(cache, as_of_epoch, ttl_seconds).select(key, "reply", F.lit(True).alias("__hit"))
     joined = lookup_join(calls, valid, [key])
     hits = joined.filter(F.col("__hit")).drop("__hit")
@@ -110,7 +100,8 @@ QC_SCHEMA = "score int, `pass` boolean, reasons array<string>, quality_flags arr
 
 def _tidy(arr):
     """Trimmed, non-blank items of a reply list."""
-    return F.coalesce(X.split_list(F.array_join(arr, X.SEP), X.SEP), F.array().cast("array<string>"))
+    kept = F.filter(F.transform(F.array_compact(arr), X.strip), lambda x: x != "")
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def parse_drafts(replies, reply="reply", keep=("lead_id",)):

@@ -54,25 +54,27 @@ def with_row_index(df, name="row_idx"):
     )
 
 
-def block_prefix_sum(df, value, order="row_idx", name="running", block_rows=100_000):
-    """Running total of ``value`` in the order of a dense row number.
+def block_prefix_sums(df, values, order="row_idx", block_rows=100_000):
+    """Running totals of several values (name -> column) in the order of a unique number, in one pass.
 
-    Rows are cut into equal blocks: block totals are summed first (one row per block), then
-    each block only adds its own rows, so no task ever sees the whole order.
+    Rows are cut into blocks of the number: block totals are summed first (one row per block), then each
+    block only adds its own rows, so no task ever sees the whole order.
     """
     block = F.floor(F.col(order) / F.lit(block_rows)).cast("bigint")
     tagged = df.withColumn("__block", block)
-    totals = tagged.groupBy("__block").agg(F.sum(col(value)).alias("__total"))
+    totals = tagged.groupBy("__block").agg(*[F.sum(col(v)).alias(f"__total_{n}") for n, v in values.items()])
     before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
-        "__block", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carry")
-    )
+        "__block", *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__carry_{n}") for n in values])
     inside = W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        tagged.join(totals, "__block")
-        .withColumn(name, F.col("__carry") + F.sum(col(value)).over(inside))
-        .drop("__block", "__carry")
-    )
+    return tagged.join(totals, "__block").withColumns({
+        n: F.col(f"__carry_{n}") + F.sum(col(v)).over(inside) for n, v in values.items()
+    }).drop("__block", *[f"__carry_{n}" for n in values])
+
+
+def block_prefix_sum(df, value, order="row_idx", name="running", block_rows=100_000):
+    """Running total of one value; see ``block_prefix_sums``."""
+    return block_prefix_sums(df, {name: value}, order, block_rows)
 
 
 def fill_down(df, columns, order="row_idx", block_rows=100_000):
@@ -130,18 +132,13 @@ def top_k(df, keys, order, k, rank="rank"):
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def lookup_join(facts, dim, keys, how="left", salts=16):
-    """Join a large table to a lookup with one row per key, whatever the key skew.
+def lookup_join(facts, dim, keys, how="left"):
+    """Join a large table to a lookup with one row per key.
 
-    Every fact row gets a salt from its own content and each lookup row is repeated once per
-    salt, so the rows of one hot key spread over ``salts`` tasks; adaptive execution splits
-    further where a partition is still too large.
+    Nothing is copied beforehand: adaptive execution (on in ``session``) sends small lookups to every task
+    and splits the partition of a hot key, repeating the lookup rows of that partition alone.
     """
-    plain = [c for c, t in facts.dtypes if "map<" not in t and t != "variant"]
-    salted = facts.withColumn(
-        "__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int"))
-    spread = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+    return facts.join(dim, keys, how)
 
 
 def upsert(old, new, keys, created="created_at", order=None):
@@ -168,21 +165,18 @@ def upsert(old, new, keys, created="created_at", order=None):
 
 
 def merge_fields(base, updates, keys, fields, order):
-    """Partial update: per field the last non-null value in ``updates`` replaces the base.
+    """Partial update: per field the latest non-null value in ``updates`` replaces the base.
 
-    Rows of ``updates`` without a partner in ``base`` are ignored.
+    Updates without an order value come before all others; at equal order the larger value wins.  Rows of
+    ``updates`` without a partner in ``base`` are ignored.
     """
     latest = updates.groupBy(*keys).agg(*[
-        F.expr(f"max_by(`{f}`, `{order}`) filter (where `{f}` is not null)").alias(f"__{f}")
+        F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(order).isNotNull(), F.col(order), F.col(f).alias("value")))).alias(f"__{f}")
         for f in fields
-    ], F.max(order).alias("__order"))
-    joined = base.join(latest, keys, "left")
-    joined = joined.withColumns(
-        {f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in fields}
-    )
-    return joined.withColumn("was_updated", F.col("__order").isNotNull()).drop(
-        "__order", *[f"__{f}" for f in fields]
-    )
+    ], F.count(F.lit(1)).alias("__updates"))
+    joined = base.join(latest, keys, "left").withColumns(
+        {f: F.coalesce(F.col(f"__{f}.value"), F.col(f)) for f in fields})
+    return joined.withColumn("was_updated", F.col("__updates").isNotNull()).drop("__updates", *[f"__{f}" for f in fields])
 
 
 def resume_split(todo, done, key="row_idx"):
@@ -213,12 +207,10 @@ def with_generated_ids(df, name="row_id", order="row_idx"):
 
 
 def append_with_ids(main, extra, order, name="row_id"):
-    """Follow-up rows go after the main rows and continue their numbering.
-
-    ``order`` must be a dense zero-based number of the extra rows.
-    """
+    """Follow-up rows go after the main rows and continue their numbering without gaps, in ``order`` (a unique number)."""
     count = main.agg(F.count(F.lit(1)).alias("__base"))
-    numbered = attach_scalar(extra, count).withColumn(
-        name, (F.col("__base") + F.col(order) + 1).cast("string")
-    ).drop("__base")
+    placed = block_prefix_sums(extra, {"__place": F.lit(1)}, order)
+    numbered = attach_scalar(placed, count).withColumn(
+        name, (F.col("__base") + F.col("__place")).cast("string")
+    ).drop("__base", "__place")
     return append_rows(main, numbered)

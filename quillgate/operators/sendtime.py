@@ -65,17 +65,11 @@ def _weight(weekday):
     return F.element_at(X.lits(T.WEEKDAY_WEIGHTS), weekday + 1)
 
 
-def _best_hour(hours, rates, n_max=4):
-    """Struct (rate, hour) of the best candidate; earlier candidates win ties."""
-    scored = [
-        F.struct(
-            F.coalesce(F.element_at(rates, F.get(hours, F.lit(i))), F.lit(0.0)).alias("rate"),
-            F.lit(-i).alias("turn"),
-            F.get(hours, F.lit(i)).alias("hour"),
-        )
-        for i in range(n_max)
-    ]
-    return F.greatest(*[F.when(F.get(hours, F.lit(i)).isNotNull(), s) for i, s in enumerate(scored)])
+def _best_hour(hours, rates):
+    """Struct (rate, turn, hour) of the best candidate; earlier candidates win ties."""
+    return F.array_max(F.filter(F.transform(hours, lambda h, i: F.struct(
+        F.coalesce(F.element_at(rates, h), F.lit(0.0)).alias("rate"), (-i).alias("turn"), h.alias("hour"))),
+        lambda x: x["hour"].isNotNull()))
 
 
 def advise(leads, pattern, as_of, days_ahead=0, region=None, match="reference"):

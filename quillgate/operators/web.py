@@ -124,11 +124,11 @@ def is_complaint(text, rating):
 
 def format_complaint(text, rating):
     stars = F.when(rating == "", "unknown").otherwise(rating)
-    return F.concat(F.lit("Apple review ("), stars, F.lit(" stars): "), F.left(text, F.lit(260)))
+    return F.concat(F.lit("Apple review ("), stars, F.lit(" stars): "), text)
 
 
-def feed_complaints(feeds, key="app_key", feed="feed_json", k=4):
-    """The first complaints of each review feed, from the feed document itself."""
+def feed_complaints(feeds, key="app_key", feed="feed_json"):
+    """All complaints of each review feed with their position, from the feed document itself."""
     many = F.from_json(feed, FEED_SCHEMA)["feed"]["entry"]
     one = F.from_json(feed, FEED_SINGLE)["feed"]["entry"]
     entries = F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
@@ -141,21 +141,21 @@ def feed_complaints(feeds, key="app_key", feed="feed_json", k=4):
         X.text("e.`im:rating`.label").alias("rating"),
     )
     rows = rows.filter((F.col("text") != "") & is_complaint(F.col("text"), F.col("rating")))
-    rows = rows.withColumn("complaint", format_complaint(F.col("text"), F.col("rating")))
-    return top_k(rows, [key], [F.col("pos")], k, "complaint_rank")
+    return rows.withColumn("complaint", format_complaint(F.col("text"), F.col("rating")))
 
 
-def review_themes(complaints, key="app_key", text="complaint", pos="pos", k=4):
-    """Theme counts with the first example, at most four themes per app.
+def review_themes(complaints, key="app_key", text="complaint", pos="pos"):
+    """Counts of all themes with the first example, ranked by count within each app.
 
     Themes are matched row by row, so a complaint never meets the term list in a join.
     """
     low = F.lower(text)
     matched = X.flags(*[(X.has_any(low, terms), name) for name, terms in T.REVIEW_THEMES.items()])
-    rows = complaints.select(key, F.col(pos).alias("__pos"), F.left(text, F.lit(180)).alias("__ex"), F.explode(matched).alias("theme"))
+    rows = complaints.select(key, F.col(pos).alias("__pos"), F.col(text).alias("__ex"), F.explode(matched).alias("theme"))
     counts = rows.groupBy(key, "theme").agg(
         F.count(F.lit(1)).alias("signals"), F.min_by("__ex", "__pos").alias("example"))
-    ranked = top_k(counts, [key], [F.desc("signals"), F.col("theme")], k, "theme_rank")
+    # a row per theme: no more rows per app than the list has themes
+    ranked = top_k(counts, [key], [F.desc("signals"), F.col("theme")], len(T.REVIEW_THEMES), "theme_rank")
     return ranked.withColumn("theme_text", F.concat(
         "theme", F.lit(": "), F.col("signals"), F.lit(" public review signal(s), e.g. "), "example"))
 
@@ -310,9 +310,9 @@ def element_findings(rows, label="viewport"):
 AXE_SCHEMA = "violations array<struct<impact:string,id:string,help:string,nodes:array<string>>>"
 
 
-def axe_findings(rows, report="report_json", key="page_key", label="viewport", k=8):
-    """Of the first eight violations the critical, serious or listed ones."""
-    parsed = rows.select(key, label, F.posexplode(F.slice(F.from_json(report, AXE_SCHEMA)["violations"], 1, k)).alias("pos", "v"))
+def axe_findings(rows, report="report_json", key="page_key", label="viewport"):
+    """All critical, serious or listed violations."""
+    parsed = rows.select(key, label, F.posexplode(F.from_json(report, AXE_SCHEMA)["violations"]).alias("pos", "v"))
     parsed = parsed.select(
         key, label, "pos",
         X.first_present("v.impact", F.lit("unknown")).alias("impact"),
@@ -352,19 +352,17 @@ def audit_findings(rows, report="report_json", key="page_key"):
     return r.select(key, F.explode(F.array_compact(F.array(*pairs))).alias("f")).select(key, "f.*")
 
 
-def failed_links(checks, key="page_key", k=10):
-    """The first checked links per page that failed or could not be reached."""
-    first = top_k(checks, [key], [F.col("link_pos")], k, "check_rank")
-    label = F.concat(F.lit(" ("), F.left("label", F.lit(80)), F.lit(")"))
+def failed_links(checks):
+    """All checked links that failed or could not be reached."""
+    label = F.concat(F.lit(" ("), "label", F.lit(")"))
     note = F.when(F.col("status").isNull(), F.concat(F.lit("dead_link_check_failed: "), "link_url", label)).otherwise(
         F.concat(F.lit("dead_link_candidate: "), F.col("status"), F.lit(" "), F.col("link_url"), label))
-    return first.filter(F.col("status").isNull() | (F.col("status") >= 400)).withColumn("note", note)
+    return checks.filter(F.col("status").isNull() | (F.col("status") >= 400)).withColumn("note", note)
 
 
-def failed_responses(checks, key="page_key", k=8):
-    """The first failed network responses of a page load."""
-    failed = checks.filter(F.col("status") >= 400)
-    return top_k(failed, [key], [F.col("link_pos")], k, "failure_rank").withColumn(
+def failed_responses(checks):
+    """All failed network responses of a page load."""
+    return checks.filter(F.col("status") >= 400).withColumn(
         "note", F.concat(F.col("status"), F.lit(" "), F.col("link_url")))
 
 
@@ -382,11 +380,10 @@ def merge_detectors(findings, key="page_key", columns=("flag", "finding")):
     return long.groupBy(key, "kind", "value").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("times"))
 
 
-def deep_research(leads, store_links, store_pages, complaints, themes, key="page_id"):
-    """Per company: best app link, store page summaries, complaints, themes and notes.
+def deep_research(leads, store_links, store_pages, complaints, themes, key="page_id", shown=4):
+    """Per company: best app link, store page summaries, the first complaints, all themes and notes.
 
-    Every gathered list is limited by the operators before it (3 links, 4 complaints per
-    app, 4 themes), so each group stays small.
+    The report shows ``shown`` complaints; themes are counted over all of them beforehand.
     """
     pages = store_pages.select(F.col("url").alias("link_url"), "title", "text")
     joined = lookup_join(store_links, pages, ["link_url"])
@@ -396,7 +393,7 @@ def deep_research(leads, store_links, store_pages, complaints, themes, key="page
     links = links.select(
         key, F.element_at("l", 1)["link_url"].alias("app_store_url"),
         F.filter("l", lambda x: x["found"]).alias("hit"), F.filter("l", lambda x: ~x["found"]).alias("miss"))
-    talk = complaints.filter(F.col("complaint_rank") <= 4).groupBy(key).agg(
+    talk = top_k(complaints, [key], [F.col("pos")], shown, "complaint_rank").groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("complaint_rank", "complaint"))).alias("c"))
     theme = themes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("theme_rank", "theme_text"))).alias("t"))
     out = leads.join(links, key, "left").join(talk, key, "left").join(theme, key, "left")

@@ -301,10 +301,9 @@ def rank_facts(spark, sf_dir):
 
 
 @query("blocked_facts", with_(_FACTS, select="""
-select lead_id, fact || ' [' || array_to_string(reasons, ', ') || ']' as blocked_note, rank from (
-  select *, row_number() over (partition by lead_id order by fact_pos) as rank from f2 where len(reasons) > 0) where rank <= 6"""))
+select lead_id, cast(fact_pos as bigint) as fact_pos, fact || ' [' || array_to_string(reasons, ', ') || ']' as blocked_note from f2 where len(reasons) > 0"""))
 def blocked_facts(spark, sf_dir):
-    return E.blocked_facts(scored_facts(spark, sf_dir)).select("lead_id", "blocked_note", F.col("rank").cast("bigint").alias("rank"))
+    return E.blocked_facts(scored_facts(spark, sf_dir)).select("lead_id", F.col("fact_pos").cast("bigint").alias("fact_pos"), "blocked_note")
 
 
 _SELECTION = """sel as (
@@ -487,7 +486,7 @@ def unused_evidence(spark, sf_dir):
     return V.lines(spark, sf_dir).select("row_idx", X.join_list(rest).alias("remaining"))
 
 
-@query("follow_up_ids", "select conv_id * 64 + turn as call_key, (select count(*) from events) + conv_id * 64 + turn + 1 || '' as row_id from conversations")
+@query("follow_up_ids", "select conv_id * 1000000 + turn as call_key, (select count(*) from events) + row_number() over (order by conv_id, turn) || '' as row_id from conversations")
 def follow_up_ids(spark, sf_dir):
     main = V.sends(spark, sf_dir).select("row_id")
     extra = V.prompts(spark, sf_dir).select("call_key")
@@ -525,6 +524,12 @@ def budget_admit(spark, sf_dir):
     return prompts.admit(_calls(spark, sf_dir), max_cost=0.0005, order="call_key").select("call_key", F.round("projected_cost", 10).alias("projected_cost"))
 
 
+@query("call_limit_admit", with_(_CALLS, select="""
+select call_key from (select call_key, row_number() over (order by call_key) as n from calls) where n <= 100"""))
+def call_limit_admit(spark, sf_dir):
+    return prompts.admit(_calls(spark, sf_dir), max_calls=100, order="call_key").select("call_key")
+
+
 @query("running_tokens", with_(_CALLS, select="select call_key, cast(sum(input_tokens) over (order by call_key) as bigint) as running from calls"))
 def running_tokens(spark, sf_dir):
     return block_prefix_sum(_calls(spark, sf_dir), "input_tokens", "call_key", "running", block_rows=1000).select("call_key", "running")

@@ -777,12 +777,11 @@ def email_log(spark, sf_dir):
 @query("profile_resolution", with_(V.LINES, select="""
 select row_idx, 'friction_first' as resolved_profile from lines where tone_profile <> 'proof_led' union all select row_idx, 'proof_led' from lines where tone_profile = 'proof_led'"""))
 def profile_resolution(spark, sf_dir):
-    from quillgate.sources.dims import expand_presets, profile_dimension, with_profile
+    from quillgate.sources.dims import profile_dimension, with_profile
 
     rows = V.lines(spark, sf_dir)
-    specs = rows.filter(F.col("tone_profile") != "").select(F.col("tone_profile").alias("name")).distinct().withColumns({
-        "description": F.lit("d"), "surface": F.lit("s"), "outcome": F.lit("o"), "priorities": F.array(F.lit("a"))})
-    return with_profile(rows, profile_dimension(expand_presets(specs))).select("row_idx", "resolved_profile")
+    names = rows.filter(F.col("tone_profile") != "").select(F.col("tone_profile").alias("name")).distinct()
+    return with_profile(rows, profile_dimension(names.withColumn("description", F.lit("d")))).select("row_idx", "resolved_profile")
 
 
 @query("reviewer_table", with_(GATES, select="select decision as sendability_decision, company, person, role, website, tone_profile from (select * replace (trim(person) as person) from gates)"))

@@ -372,7 +372,7 @@ def company_rows(spark, sf_dir):
 # --- reviews -------------------------------------------------------------------------------------------
 _COMPLAINTS = V.REVIEWS + f""",
 complaints as (
-  select *, 'Apple review (' || case when rating = '' then 'unknown' else rating end || ' stars): ' || left(text, 260) as complaint
+  select *, 'Apple review (' || case when rating = '' then 'unknown' else rating end || ' stars): ' || text as complaint
   from reviews where rating in ('1', '2', '3') or {any_sql('lower(text)', T.COMPLAINT_TERMS)}
 )"""
 
@@ -383,25 +383,22 @@ def _complaints(spark, sf_dir):
     return r.withColumn("complaint", web.format_complaint(F.col("text"), F.col("rating")))
 
 
-@query("review_complaints", with_(_COMPLAINTS, select="""
-select app_key, complaint, cast(r as bigint) as complaint_rank from (select *, row_number() over (partition by app_key order by pos) as r from complaints) where r <= 4"""))
+@query("review_complaints", with_(_COMPLAINTS, select="select app_key, pos, complaint from complaints"))
 def review_complaints(spark, sf_dir):
-    return top_k(_complaints(spark, sf_dir), ["app_key"], [F.col("pos")], 4, "complaint_rank").select(
-        "app_key", "complaint", F.col("complaint_rank").cast("bigint").alias("complaint_rank"))
+    return _complaints(spark, sf_dir).select("app_key", "pos", "complaint")
 
 
 @query("review_themes", with_(_COMPLAINTS, select=f"""
 select app_key, theme, n as signals, theme || ': ' || n || ' public review signal(s), e.g. ' || ex as theme_text from (
-  select *, row_number() over (partition by app_key order by n desc, theme) as r from (
-    select app_key, theme, count(*) as n, arg_min(left(complaint, 180), pos) as ex from (
+    select app_key, theme, count(*) as n, arg_min(complaint, pos) as ex from (
       select *, unnest({flags_sql(*[(any_sql('lower(complaint)', t), n) for n, t in T.REVIEW_THEMES.items()])}) as theme from complaints)
-    group by 1, 2)) where r <= 4"""))
+    group by 1, 2)"""))
 def review_themes(spark, sf_dir):
     return web.review_themes(_complaints(spark, sf_dir)).select("app_key", "theme", "signals", "theme_text")
 
 
 @query("review_feed", with_(V.REVIEWS, select=f"""
-select pos as app_key, 'Apple review (' || case when rating = '' then 'unknown' else rating end || ' stars): ' || left(t, 260) as complaint
+select pos as app_key, 'Apple review (' || case when rating = '' then 'unknown' else rating end || ' stars): ' || t as complaint
 from (select pos, rating, trim('Title: ' || text, ': ') as t from reviews) where rating in ('1', '2', '3') or {any_sql('lower(t)', T.COMPLAINT_TERMS)}"""))
 def review_feed(spark, sf_dir):
     label = lambda c: F.struct(c.alias("label"))
@@ -467,13 +464,13 @@ checks as (select l_suppkey as page_key, l_orderkey * 1000000 + l_partkey * 8 +
 
 @query("failed_links", with_(_CHECKS, select="""
 select page_key, link_pos, case when status is null then 'dead_link_check_failed: ' else 'dead_link_candidate: ' || status || ' ' end || link_url || ' (' || label || ')' as note
-from (select *, row_number() over (partition by page_key order by link_pos) as r from checks) where r <= 10 and (status is null or status >= 400)"""))
+from checks where status is null or status >= 400"""))
 def failed_links(spark, sf_dir):
     return web.failed_links(_checks(spark, sf_dir)).select("page_key", "link_pos", "note")
 
 
 @query("failed_responses", with_(_CHECKS, select="""
-select page_key, link_pos, status || ' ' || link_url as note from (select *, row_number() over (partition by page_key order by link_pos) as r from checks where status >= 400) where r <= 8"""))
+select page_key, link_pos, status || ' ' || link_url as note from checks where status >= 400"""))
 def failed_responses(spark, sf_dir):
     return web.failed_responses(_checks(spark, sf_dir)).select("page_key", "link_pos", "note")
 
@@ -504,7 +501,7 @@ def _axe(spark, sf_dir):
 @query("axe_findings", f"""
 select page_key, 'axe_' || id as flag, 'mobile: axe-core ' || case when impact = '' then 'unknown' else impact end || ' issue, Fix it (2 node(s)).' as finding, pos from (
   select page_id as page_key, i as pos, {V.pick_sql(["critical", "minor", "serious", "moderate", ""], '(page_id + i)')} as impact, {V.pick_sql(["color-contrast", "region", "label", "tabindex"], '(page_id + i * i)')} as id
-  from pages, (select unnest(range(8)) as i)) where impact in ('critical', 'serious') or id in ('color-contrast', 'label')""")
+  from pages, (select unnest(range(10)) as i)) where impact in ('critical', 'serious') or id in ('color-contrast', 'label')""")
 def axe_findings(spark, sf_dir):
     return web.axe_findings(_axe(spark, sf_dir)).select("page_key", "flag", "finding", F.col("pos").cast("bigint").alias("pos"))
 
@@ -527,7 +524,7 @@ def audit_findings(spark, sf_dir):
 select page_key, kind, value, min(pos) as first_pos, count(*) as times from (
   select page_key, pos, 'flag' as kind, 'axe_' || id as value from (
     select page_id % 20 as page_key, page_id * 10 + i as pos, {V.pick_sql(["critical", "minor", "serious", "moderate", ""], '(page_id + i)')} as impact, {V.pick_sql(["color-contrast", "region", "label", "tabindex"], '(page_id + i * i)')} as id
-    from pages, (select unnest(range(8)) as i)) where impact in ('critical', 'serious') or id in ('color-contrast', 'label')) group by 1, 2, 3""")
+    from pages, (select unnest(range(10)) as i)) where impact in ('critical', 'serious') or id in ('color-contrast', 'label')) group by 1, 2, 3""")
 def detector_merge(spark, sf_dir):
     rows = web.axe_findings(_axe(spark, sf_dir)).withColumns({"pos": F.col("page_key") * 10 + F.col("pos"), "page_key": F.col("page_key") % 20})
     return web.merge_detectors(rows, columns=["flag"]).select("page_key", "kind", "value", "first_pos", "times")
@@ -537,22 +534,20 @@ def detector_merge(spark, sf_dir):
 def deep_research(spark, sf_dir):
     df = built(spark, sf_dir).withColumn("page_id", F.col("row_idx")).drop("app_store_url")
     pages = V.table(spark, sf_dir, "pages")
-    store_pages = pages.filter(F.col("page_id") % 2 == 0).select(
+    store_pages = pages.select(
         F.concat(F.lit("https://apps.apple.com/de/app/id"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"), html.visible_text(F.col("html")).alias("text"))
-    talk = _complaints(spark, sf_dir).withColumn("page_id", F.col("pos") % 50)
-    talk = top_k(talk, ["page_id"], [F.col("pos")], 4, "complaint_rank")
+    talk = _complaints(spark, sf_dir).withColumn("page_id", F.col("pos"))
     themes = web.review_themes(talk, "page_id")
     out = web.deep_research(df, _stores(spark, sf_dir), store_pages, talk, themes)
     return out.select("page_id", "app_store_url", "app_store_summary", "app_review_themes", "app_review_complaints", "deep_source_urls", "deep_notes")
 
 
 @query("research_only_rows", with_(V.LEADS, select=f"""
-select row_idx, case when s = 'app_first_product' then 'Research priority: ' || p || ' | ' else '' end || 'Source: ' || website_url as evidence_points,
+select row_idx, case when s = 'app_first_product' then 'Research priority: ' || p || ' | ' else '' end || rtrim('Source: ' || website_url) as evidence_points,
   'offline_research_only | ai_generation_unavailable | visual_no_clear_cta' as quality_flags
 from (select *, case s {" ".join(f"when {q(k)} then {q(v)}" for k, v in T.RESEARCH_PRIORITY.items())} else {q(T.RESEARCH_PRIORITY_DEFAULT)} end as p from (select *, {_SURFACE} as s from leads))"""))
 def research_only_rows(spark, sf_dir):
     df = outreach.classify_surface(built(spark, sf_dir)).withColumns({
         "research_priority": outreach.research_priority(), "first_pages_text": X.strip(F.concat(F.lit("Source: "), "website_url")),
         "visual_quality_flags": F.lit("visual_no_clear_cta")})
-    out = outreach.research_only_rows(df).select("row_idx", "evidence_points", "quality_flags", "website_url")
-    return out.withColumn("evidence_points", F.when(F.col("website_url") == "", F.concat("evidence_points", F.lit(" "))).otherwise(F.col("evidence_points"))).drop("website_url")
+    return outreach.research_only_rows(df).select("row_idx", "evidence_points", "quality_flags")

@@ -381,7 +381,7 @@ kept as (
 def prompts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 64 + F.col("turn")).alias("call_key"), F.col("conv_id"), F.col("turn"),
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("call_key"), F.col("conv_id"), F.col("turn"),
         F.col("role").alias("system_prompt"), F.col("text").alias("user_payload"),
         pick(MODELS, F.col("conv_id")).alias("model_name"), F.lit("openrouter").alias("provider"),
         F.lit("0.4").alias("temperature"))
@@ -389,7 +389,7 @@ def prompts(spark, sf_dir):
 
 PROMPTS = f"""
 prompts as (
-  select conv_id * 64 + turn as call_key, conv_id, turn, role as system_prompt, text as user_payload,
+  select conv_id * 1000000 + turn as call_key, conv_id, turn, role as system_prompt, text as user_payload,
     {pick_sql(MODELS, 'conv_id')} as model_name from conversations
 )"""
 

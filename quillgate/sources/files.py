@@ -129,8 +129,3 @@ def prompt_hashes(spark, folder, files):
         F.coalesce(F.max(F.when(F.col("file_name") == files[n], F.col("sha256"))), F.lit("")).alias(n) for n in names])
     body = F.concat_ws(", ", *[F.concat(F.lit(json.dumps(n) + ': "'), F.col(n), F.lit('"')) for n in names])
     return row.withColumn("prompt_set_hash", F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256))
-
-
-def profile_hash(json_text):
-    """Hash of a profile's JSON text (sorted keys)."""
-    return F.sha2(X.text(json_text), 256)

@@ -1,4 +1,4 @@
-"""Append-only logs, change logs and restartable stages on plain Parquet folders."""
+"""Append-only logs and change logs on plain Parquet folders."""
 
 from pyspark.sql import functions as F
 
@@ -12,11 +12,9 @@ def append_history(records, path, created_at):
 
 
 def load_history(spark, path, limit=50):
-    """Newest run payloads; payloads that are no JSON are left out."""
-    df = spark.read.parquet(path)
-    order = [F.desc("created_at"), F.desc("payload_json")]
-    newest = df.orderBy(*order).limit(max(1, limit))
-    return newest.filter(F.try_parse_json("payload_json").isNotNull())
+    """The newest ``limit`` run payloads among those that are JSON (all of them with ``limit=None``)."""
+    df = spark.read.parquet(path).filter(F.try_parse_json("payload_json").isNotNull())
+    return df if limit is None else df.orderBy(F.desc("created_at"), F.desc("payload_json")).limit(max(1, limit))
 
 
 def load_history_jsonl(spark, path, schema, limit=50, order="created_at"):
@@ -66,34 +64,3 @@ def purge_cache(cache, path, as_of_epoch, ttl_seconds=86400):
     from quillgate.operators.prompts import fresh
 
     fresh(cache, as_of_epoch, ttl_seconds).write.mode("overwrite").parquet(path)
-
-
-# --- restartable stages -----------------------------------------------------------------
-def checkpoint_root(spark, fallback=None):
-    """Shared folder for intermediate tables; the cluster's own setting comes first."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
-
-
-def run_stage(spark, todo, work, root, stage, key="row_idx"):
-    """Process only rows the stage has not finished yet, append them, return all rows.
-
-    Helper columns (leading underscore) are not stored.
-    """
-    path = f"{root}/{stage}"
-    try:
-        done = spark.read.parquet(path)
-        rest = todo.join(done.select(key), key, "left_anti")
-    except Exception as error:  # first run: nothing stored yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        rest = todo
-    result = work(rest)
-    result.drop(*[c for c in result.columns if c.startswith("_")]).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def drop_stage(spark, root, stage):
-    """Remove a stage's table once the whole job has succeeded."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{stage}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

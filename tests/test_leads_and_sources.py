@@ -118,7 +118,7 @@ def test_goldset_partitions(spark, tmp_path, sf_dir):
         files.read_goldset(spark, root, "other")
 
 
-def test_history_log_cache_and_stage(spark, tmp_path):
+def test_history_log_and_cache(spark, tmp_path):
     path = str(tmp_path / "history")
     for i, stamp in enumerate(["2024-01-01", "2024-01-02"]):
         tables.append_history(spark.createDataFrame([(i, f"out{i}.csv")], "rows int, output_file string"), path, stamp)
@@ -129,18 +129,9 @@ def test_history_log_cache_and_stage(spark, tmp_path):
     cache = spark.createDataFrame([("a", 1.0, "x"), ("b", 100.0, "y"), ("c", None, "z")], "cache_key string, cached_at double, reply string")
     tables.purge_cache(cache, str(tmp_path / "cache"), 110.0, 50)
     assert sorted(r.cache_key for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == ["b", "c"]
-    seen = []
-    todo = spark.range(10).withColumnRenamed("id", "row_idx")
-
-    def work(df):
-        seen.append(df.count())
-        return df.withColumn("v", F.col("row_idx") * 2).withColumn("_tmp", F.lit(1))
-
-    root = str(tmp_path / "stages")
-    tables.run_stage(spark, todo.filter("row_idx < 4"), work, root, "s")
-    out = tables.run_stage(spark, todo, work, root, "s")
-    assert seen == [4, 6] and out.count() == 10 and "_tmp" not in out.columns
-    assert tables.drop_stage(spark, root, "s")
+    spark.createDataFrame([("9999-01-01", "no json")], "created_at string, payload_json string").write.mode("append").parquet(path)
+    assert json.loads(tables.load_history(spark, path, 1).collect()[0].payload_json)["output_file"] == "out1.csv"
+    assert tables.load_history(spark, path, None).count() == 2
 
 
 def test_profiles_and_workspaces(spark, tmp_path):
@@ -148,11 +139,11 @@ def test_profiles_and_workspaces(spark, tmp_path):
     read = dims.read_profiles(spark, str(tmp_path / "*.json"))
     row = read.collect()[0]
     assert (row.name, row.description, row.qc_focus, row.banned_phrases) == ("casual", "d", ["one"], ["x", "y"])
-    specs = spark.createDataFrame([("casual", "p", "s", "o", ["a"]), ("friction_first", "p", "s", "o", ["a"])],
-                                  "name string, description string, surface string, outcome string, priorities array<string>")
-    dim = dims.profile_dimension(read, dims.expand_presets(specs))
+    presets = read.limit(0).unionByName(spark.createDataFrame(
+        [("casual", "p"), ("friction_first", "p")], "name string, description string"), allowMissingColumns=True)
+    dim = dims.profile_dimension(read, presets)
     assert {r.name: r.description for r in dim.collect()} == {"casual": "d", "friction_first": "p"}
-    assert [r.name for r in dims.profile_names(read, dims.expand_presets(specs)).collect()] == ["casual", "friction_first"]
+    assert [r.name for r in dims.profile_names(read, presets).collect()] == ["casual", "friction_first"]
     new = spark.createDataFrame([("", "Acme & Co", "", "", "", "", "", "", "")], "client_id string, display_name string, tone_profile string, default_campaign_context string, default_research_region string, default_export_preset string, notes string, created_at string, updated_at string")
     first = dims.save_workspaces(dims.workspace_defaults(new.limit(0)), new, "2024-01-01")
     second = dims.save_workspaces(first, new.withColumn("notes", F.lit("n")), "2024-02-01").collect()
@@ -199,3 +190,33 @@ def test_streams(spark, tmp_path, sf_dir):
     ingest.stream_experiment_results(spark, str(src2), log2, str(tmp_path / "ck2")).awaitTermination()
     rep = ingest.experiment_report(spark, log2).collect()[0]
     assert (rep.total_leads, rep.status, rep.winner_variant_id) == (80, "significant", "b")
+
+
+def test_results_without_a_time_are_kept(spark):
+    from quillgate.operators import feedback
+
+    sends = spark.createDataFrame([("r", "1", "", False), ("r", "2", "", False), ("r", "3", "", False)], "run_id string, row_id string, example_id string, was_opened boolean")
+    results = spark.createDataFrame(
+        [("r", "1", None, True, "early"), ("r", "1", "2024-01-02", None, "late"), ("r", "2", "2024-01-01", None, "a"), ("r", "2", "2024-01-01", None, "b"), ("x", "9", None, True, "")],
+        "run_id string, row_id string, reviewed_at string, was_opened boolean, reply_text string")
+    got = {r.row_id: (r.was_opened, r.reply_text, r.was_updated) for r in feedback.ingest_results(sends, results).collect()}
+    assert got == {"1": (True, "late", True), "2": (False, "b", True), "3": (False, None, False)}
+
+
+def test_admission_and_ids_with_gaps(spark):
+    from quillgate.operators import prompts, rows
+
+    calls = spark.createDataFrame([(i * 977, 1000, 1000) for i in range(9)], "row_idx long, input_tokens long, output_tokens long")
+    assert [r.row_idx for r in prompts.admit(calls, max_calls=3).orderBy("row_idx").collect()] == [0, 977, 1954]
+    cost = prompts.admit(calls, max_cost=0.0025).orderBy("row_idx").collect()
+    assert [r.row_idx for r in cost] == [0, 977, 1954, 2931]
+    main = spark.createDataFrame([("1",), ("2",)], "row_id string")
+    ids = rows.append_with_ids(main, calls.select("row_idx"), "row_idx").filter("row_idx is not null").orderBy("row_idx").collect()
+    assert [r.row_id for r in ids] == [str(3 + i) for i in range(9)]
+
+
+def test_feedback_context_of_nothing(spark, sf_dir):
+    from quillgate.operators import feedback
+    from quillgate.plans import views as V
+
+    assert feedback.feedback_context(V.sends(spark, sf_dir).limit(0)).collect()[0][0] == ""

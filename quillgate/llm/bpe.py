@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Most remembered states, token pairs and pieces of one task.
-MOST_STATES = 200_000
+MOST_STATES = 300_000
 MOST_PAIRS = 1_000_000
-MOST_PIECES = 400_000
+MOST_PIECES = 250_000
+#: Characters of text encoded together, and bytes from which a piece is read on its own.
+PASS_CHARS = 4 << 20
+LONG_PIECE = 256
 #: Most bytes of a rank file.
 MOST_RANK_BYTES = 64 << 20
 
@@ -65,21 +68,26 @@ def merged(ranks, piece):
     return [ranks[p] for p in parts]
 
 
-class Encoder(dict):
-    """Words with the white space before them, to token ids; pieces of a missing word go through the transducer."""
+class Encoder:
+    """Texts to token ids; pieces that are not remembered go through the transducer."""
 
     def __init__(self, ranks, pattern):
-        super().__init__()
-        self.ranks, self.cut, self.pieces, self.edges = ranks, _pieces(pattern), {}, {}
+        self.ranks, self.cut, self.words, self.pieces, self.edges, self.pairs = ranks, _pieces(pattern), {}, {}, {}, {}
         self.never = max(ranks.values()) + 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.beginnings = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.pairs = {}
+        self.words_first = pattern == WORDS_FIRST
+        # token + 1 (0: none) and whether a longer token begins so, in one number
+        self.begins = {token: rank + 1 << 1 for token, rank in ranks.items()}
+        for token in ranks:
+            for k in range(1, len(token)):
+                self.begins[token[:k]] = self.begins.get(token[:k], 0) | 1
         self._forget()
 
     def _forget(self):
         """Start anew with the initial state alone: one guess, nothing read, nothing emitted."""
         self.states, self.numbers, self.steps, self.finals = [], {}, {}, []
+        self.outputs, self.output_numbers = [()], {(): 0}
+        self.known = np.zeros((3, 0), np.int64)  # sorted step keys, next states, outputs
         self._number((-1, ((b"", ()),)))
 
     def _number(self, state):
@@ -120,26 +128,30 @@ class Encoder(dict):
         return self.pairs[key]
 
     def _step(self, number, byte):
-        """Next state and the tokens emitted on the way, remembered."""
+        """Next state and the tokens emitted on the way."""
         last, guesses = self.states[number]
-        after, letter = [], bytes((byte,))
+        after, letter, begins, ended = [], bytes((byte,)), self.begins, None
         for part, pending in guesses:
             longer = part + letter
-            token = self.ranks.get(longer)
-            if token is not None and self._follows(pending[-1] if pending else last, token):
-                after.append((b"", (*pending, token)))
-            if longer in self.beginnings:
+            code = begins.get(longer, 0)
+            if code > 1 and ended is None and self._follows(pending[-1] if pending else last, (code >> 1) - 1):
+                ended = (*pending, (code >> 1) - 1)  # one guess alone ends a valid encoding here
+            if code & 1:
                 after.append((longer, pending))
-        shared, shortest = 0, min(len(pending) for _, pending in after)
-        while shared < shortest and len({pending[shared] for _, pending in after}) == 1:
-            shared += 1
-        emitted = after[0][1][:shared]
-        last = emitted[-1] if emitted else last
-        if shortest > shared:
-            last = -2  # every guess carries its own last token
-        state = (last, tuple(sorted((part, pending[shared:]) for part, pending in after)))
-        self.steps[number << 8 | byte] = found = (self._number(state), emitted)
-        return found
+        after.append((b"", ended))
+        shared = min(len(pending) for _, pending in after)
+        first, emitted = after[0][1], ()
+        if shared:
+            same = 0
+            while same < shared and all(pending[same] == first[same] for _, pending in after):
+                same += 1
+            emitted = first[:same]
+            if same:
+                after = [(part, pending[same:]) for part, pending in after]
+                last = emitted[-1]
+            if shared > same:
+                last = -2  # every guess carries its own last token
+        return self._number((last, tuple(after))), emitted
 
     def transduce(self, piece):
         """Token ids of one piece, byte by byte."""
@@ -153,44 +165,111 @@ class Encoder(dict):
                     here = self.states[state]
                     self._forget()
                     state, steps = self._number(here), self.steps
-                found = self._step(state, byte)
+                steps[state << 8 | byte] = found = self._step(state, byte)
             state, emitted = found
             if emitted:
                 out += emitted
         out += self.finals[state]
         return out
 
-    def piece(self, text):
-        """Token ids of one piece."""
-        ids = self.pieces.get(text)
-        if ids is None:
-            raw = text.encode("utf-8")
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.transduce(raw))
-            if len(text) <= 64:
-                if len(self.pieces) >= MOST_PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = ids
-        return ids
-
-    def __missing__(self, word):
-        ids = tuple(chain.from_iterable(map(self.piece, self.cut(word))))
-        if len(word) <= 64:
-            if len(self) >= MOST_PIECES:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text):
-        """Token ids of a whole text.
-
-        A lone white-space character between others starts a piece, and a lone space stays with what follows,
-        so texts without white space at their ends or side by side may be cut there first.
+    def _output(self, tokens):
+        if tokens not in self.output_numbers:
+            self.output_numbers[tokens] = len(self.outputs)
+            self.outputs.append(tokens)
+        return self.output_numbers[tokens]
+
+    def transduce_many(self, pieces):
+        """Token ids of many pieces: all of them read their next byte at once, known steps by binary search."""
+        if len(self.states) >= MOST_STATES:
+            self._forget()
+        size = np.array([len(p) for p in pieces])
+        order = np.argsort(-size, kind="stable")
+        data = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8).astype(np.int64)
+        size = size[order]
+        start = np.cumsum(size) - size
+        state = np.zeros(len(pieces), np.int64)
+        owners, outputs, fresh = [], [], {}
+        for k in range(int(size[0]) if len(size) else 0):
+            on = int(np.searchsorted(-size, -k, side="left"))  # longer than k
+            key = state[:on] << 8 | data[start[:on] + k]
+            at = np.minimum(np.searchsorted(self.known[0], key), max(self.known.shape[1] - 1, 0))
+            hit = self.known[0][at] == key if self.known.shape[1] else np.zeros(on, bool)
+            found = self.known[1:, at] if self.known.shape[1] else np.zeros((2, on), np.int64)
+            if not hit.all():
+                news, where = np.unique(key[~hit], return_inverse=True)
+                for new in news.tolist():
+                    if new not in fresh:
+                        after, emitted = self._step(new >> 8, new & 255)
+                        fresh[new] = (after, self._output(emitted))
+                found[:, ~hit] = np.array([fresh[n] for n in news.tolist()]).T[:, where]
+            state[:on] = found[0]
+            some = np.flatnonzero(found[1])
+            owners.append(some)
+            outputs.append(found[1][some])
+        if fresh:
+            rows = np.array([(key, *value) for key, value in fresh.items()]).T
+            both = np.concatenate([self.known, rows], axis=1)
+            self.known = both[:, np.argsort(both[0])]
+        owners.append(np.arange(len(pieces)))
+        outputs.append(np.array([self._output(self.finals[n]) for n in state.tolist()], np.int64))
+        owner, output = np.concatenate(owners), np.concatenate(outputs)
+        by_piece = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[by_piece], np.arange(len(pieces) + 1)).tolist()
+        emitted = [self.outputs[n] for n in output[by_piece].tolist()]
+        out = [None] * len(pieces)
+        for i, place in enumerate(order.tolist()):
+            lo, hi = cuts[i], cuts[i + 1]
+            out[place] = emitted[lo] if hi == lo + 1 else tuple(chain.from_iterable(emitted[lo:hi]))
+        return out
+
+    def _learn_pieces(self, texts):
+        """Remember the ids of pieces that are not known yet."""
+        new = [t for t in texts if t not in self.pieces]
+        raw = [t.encode("utf-8") for t in new]
+        for text, piece in zip(new, raw):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self.pieces[text] = (whole,)
+            elif len(piece) > LONG_PIECE:
+                self.pieces[text] = tuple(self.transduce(piece))
+        rest = [(t, r) for t, r in zip(new, raw) if t not in self.pieces]
+        if rest:
+            self.pieces.update(zip([t for t, _ in rest], self.transduce_many([r for _, r in rest])))
+
+    def _learn(self, words):
+        """Remember the ids of words that are not known yet."""
+        parts = {}
+        for word in words:
+            mark = word[-1:]
+            core = word[:-1] if mark in ENDS else word
+            if core.isalpha() or core[:1] == " " and core[1:].isalpha():  # one piece, and perhaps a mark
+                parts[word] = (core,) if core is word else (core, mark)
+            else:
+                parts[word] = self.cut(word)
+        self._learn_pieces(set(chain.from_iterable(parts.values())))
+        get = self.pieces.__getitem__
+        for word, pieces in parts.items():
+            self.words[word] = get(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(get, pieces)))
+
+    def encode_many(self, texts):
+        """Token ids of whole texts.
+
+        With the pattern WORDS_FIRST, a lone white-space character between others starts a piece and a lone space
+        stays with what follows, so texts without white space at their ends or side by side may be cut there first.
         """
-        if _DOUBLE(text):
-            return list(chain.from_iterable(map(self.piece, self.cut(text))))
-        words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return list(chain.from_iterable(map(self.__getitem__, words)))
+        if len(self.words) > MOST_PIECES:
+            self.words.clear()
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        cut = []
+        for text in texts:
+            if not text or not self.words_first or _DOUBLE(text):
+                cut.append((self.pieces, self.cut(text)))
+            else:
+                cut.append((self.words, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        self._learn(set().union(*(parts for known, parts in cut if known is self.words)).difference(self.words))
+        self._learn_pieces(set().union(*(parts for known, parts in cut if known is self.pieces)))
+        return [list(chain.from_iterable(map(known.__getitem__, parts))) for known, parts in cut]
 
 
 class Decoder:
@@ -247,6 +326,11 @@ class Decoder:
         return "".join(out)
 
 
+#: The pattern of contractions, letters, numbers, other marks and white space for which words may be cut first.
+WORDS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that are a piece of their own behind a letter at the end of a word.
+ENDS = frozenset(".,;:!?")
+
 #: Texts that only the pattern itself may cut.
 _DOUBLE = re.compile(r"\s\s|^\s|\s\Z|\0").search
 
@@ -273,6 +357,19 @@ def _pieces(pattern):
         r"\S", r"\P{White_Space}")).findall
 
 
+def _encoded(encoder, column):
+    """Token ids of an Arrow text column, some megabytes at a time."""
+    part, size = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        part.append(text)
+        size += len(text)
+        if size >= PASS_CHARS:
+            yield from encoder.encode_many(part)
+            part, size = [], 0
+    yield from encoder.encode_many(part)
+
+
 def _id_lists(ids):
     cuts = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=cuts[1:])
@@ -287,8 +384,7 @@ def coded(ranks, pattern, text_column):
     def of(text: pa.Array) -> pa.Array:
         encoder, decoder = _machine(Encoder, sent.value, pattern), _machine(Decoder, sent.value)
         ids, decoded = [], []
-        for value in text:
-            mine = encoder.encode(value.as_py() or "")
+        for mine in _encoded(encoder, text):
             ids.append(np.array(mine, np.int32))
             decoded.append(decoder.decode(mine))
         return pa.StructArray.from_arrays([_id_lists(ids), pa.array(decoded, pa.string())], names=["ids", "decoded"])
@@ -303,7 +399,7 @@ def encoded(ranks, pattern, text_column):
     @F.arrow_udf("array<int>")
     def of(text: pa.Array) -> pa.Array:
         encoder = _machine(Encoder, sent.value, pattern)
-        return _id_lists([np.array(encoder.encode(v.as_py() or ""), np.int32) for v in text])
+        return _id_lists([np.array(mine, np.int32) for mine in _encoded(encoder, text)])
 
     return of(text_column)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillgate.llm.store import saved
+from quillgate.llm.store import saved, sent
 
 
 def components(links):
@@ -16,12 +16,12 @@ def components(links):
     now = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(
         F.col("a").alias("node"), F.least("a", "b").alias("component")), "components")
     while True:
-        near = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("component").alias("near"))
-        step = now.join(near, "node").select(
-            "node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
+        heard = both.join(sent(now.select(F.col("node").alias("b"), "component")), "b").select(F.col("a").alias("node"), "component")
+        own = now.select("node", "component", F.col("component").alias("before"))
+        step = heard.unionByName(own, allowMissingColumns=True).groupBy("node").agg(
+            F.min("component").alias("component"), F.min("before").alias("before"))
         step = saved(step, "step")
         up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        now = saved(step.join(up, "component").select("node", "before", F.col("top").alias("component")), "components")
+        now = saved(step.join(sent(up), "component").select("node", "before", F.col("top").alias("component")), "components")
         if now.where("component <> before").isEmpty():
             return now.select("node", "component")

@@ -7,8 +7,8 @@ of a text are taken end the process early.  Two texts agree in a register with t
 Jaccard similarity; five registers make a band.
 
 Texts of equal words are one node.  Nodes that share a band are compared in their exact probability
-Jaccard, first with the bucket's most connected node, later - only where a bucket still spans several
-components - with further ones and at last among each other, so no link that a band shows is lost.
+Jaccard: first with the bucket's most connected node, then, only in buckets that do not hang together yet,
+with each other, unless the weights alone rule a link out.  No link that a band shows is lost.
 
 Defined results: a text of one to four words is one shingle; texts without words are equal only if their
 characters are; a null text or id is a class of its own (the class of a null id is null, unless its text
@@ -17,24 +17,23 @@ has one); repeated rows share a class.  Only the two named columns are read.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgate.llm.components import components
-from quillgate.llm.store import saved
+from quillgate.llm.store import saved, sent
 from quillgate.llm.words import column_passes, hash_spans, mix, scan
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 26, 5
 REGISTERS = BANDS * BAND_ROWS
-#: Rounds in which a large unfinished bucket is compared with one more member.
-PIVOT_ROUNDS = 3
-#: Buckets of so few unfinished members are compared at once.
-SMALL_BUCKET = 32
-#: Most rows of a side sent to every task; beyond, both sides are shuffled.
-MOST_SENT = 200_000
+
+#: Members up to which an unfinished bucket is compared as it is, and nodes up to which a shingle is rare.
+FEW, RARE = 32, 10
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 
 
 def node_keys(words, data, offsets):
@@ -90,7 +89,7 @@ def registers(doc, key, weight, n, m=REGISTERS):
         cells, times, who = [], [], []
         while len(active):
             step += 1
-            u = mix(key[active] + np.uint64(step) * _GOLD)
+            u = mix(key[active] + np.uint64(step * int(_GOLD) & _ALL))
             clock = clock - np.log(((u >> np.uint64(11)).astype(float) + 1.0) * 2.0 ** -53) / weight[active]
             alive = clock <= limit[doc[active]]
             active, clock, u = active[alive], clock[alive], u[alive]
@@ -189,63 +188,89 @@ def _similarities(keys_a: pa.Array, counts_a: pa.Array, keys_b: pa.Array, counts
         for i in range(len(keys_a))], pa.float64())
 
 
-def sent(small):
-    """Hint to send a saved table to every task where its counted rows are few; else the table as it is."""
-    return F.broadcast(small) if small.count() <= MOST_SENT else small
-
-
-def verified(pairs, lists, similarity):
-    """The (a, b) pairs whose exact similarity reaches the threshold."""
+def verified(pairs, lists, similarity, *more):
+    """The (a, b) pairs whose exact similarity reaches the threshold; ``more`` columns go along."""
     def side(name):
         return lists.select(F.col("node").alias(name), F.col("keys").alias(f"keys_{name}"), F.col("counts").alias(f"counts_{name}"))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     similarity_of = F.arrow_udf(_similarities, "double")
-    return met.where(similarity_of("keys_a", "counts_a", "keys_b", "counts_b") >= similarity).select("a", "b")
+    return met.where(similarity_of("keys_a", "counts_a", "keys_b", "counts_b") >= similarity).select("a", "b", *more)
+
+
+def _bound(a, b):
+    """Most that the similarity of two nodes can be, from their weights n and the weights u that the other does not have.
+
+    Sets: what both share is at most the rest of either, and either's own shingles add to the union.
+    Weights: 1 / (A / a + U_b / b) is concave and grows with the shared weights a and b, so their sums bound the sum.
+    """
+    def c(side, name):
+        return F.col(f"{name}_{side}").cast("double")
+
+    rest_a, rest_b = c(a, "n") - c(a, "u"), c(b, "n") - c(b, "u")
+    sets = F.least(rest_a, rest_b) / F.greatest(c(a, "n") + c(b, "u"), c(b, "n") + c(a, "u"))
+    weights = 1 / F.greatest(c(a, "n") / rest_a + c(b, "u") / rest_b, c(b, "n") / rest_b + c(a, "u") / rest_a)
+    return F.when(F.col(f"plain_{a}") & F.col(f"plain_{b}"), sets).when((rest_a <= 0) | (rest_b <= 0), 0.0).otherwise(weights)
+
+
+def _both(rows, key, columns):
+    """Pairs of rows of one key that hang on different nodes: columns with the endings _a and _b."""
+    def side(name):
+        return rows.select(key, *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    return side("a").join(side("b"), key).where(F.col("top_a") < F.col("top_b"))
 
 
-def _unfinished(members, parts):
-    """Bucket members with their component, of buckets that span several components."""
-    now = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    now = saved(now, "placed")
-    open_ = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    return now.join(open_.where("low <> high").select("band", "size"), "band")
+def _ends(pairs):
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _crowded_pairs(rest, lists, similarity):
+    """Pairs of crowded buckets that may be similar.
+
+    A pair either shares a rare shingle, one of at most RARE nodes, and is found by that; or all rare shingles
+    of either are missing in the other, and then the weights alone mostly rule a link out.
+    """
+    nodes = saved(rest.select("node", "top").distinct(), "crowded")
+    mine = saved(lists.join(sent(nodes), "node"), "crowded-lists")
+    each = mine.select("node", "top", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "top", "s.keys", "s.counts")
+    rare = each.groupBy("keys").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = saved(each.join(rare, "keys").select("keys", "node", "top", "counts", "df"), "rare")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    weights = mine.select("node", total.alias("n"), (total == F.size("keys")).alias("plain")).join(
+        rare.groupBy("node").agg(F.sum("counts").alias("u")), "node", "left").select("node", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))
+    weighed = saved(rest.join(sent(saved(weights, "weights")), "node"), "weighed")
+    apart = _both(weighed, "band", ["node", "top", "n", "u", "plain"]).where(_bound("a", "b") >= similarity - 1e-9)
+    return _ends(_both(rare.where("df > 1"), "keys", ["node", "top"])).unionByName(_ends(apart))
 
 
 def node_links(members, lists, similarity):
-    """Links among bucket members that join all similar nodes: (a, b), every one verified exactly."""
-    size = members.groupBy("band").agg(F.count("*").alias("size"))
-    degree = saved(members.join(size, "band").groupBy("node").agg(F.sum("size").alias("degree")), "degree")
-    members = saved(members.join(degree, "node"), "ranked")
-    links = parts = None
-    # a member that has met all others of its bucket is done there
-    rest = members.withColumn("component", F.col("node")).withColumn("size", F.lit(SMALL_BUCKET + 1).cast("long"))
-    for _ in range(1 + PIVOT_ROUNDS):
-        large = rest.where(F.col("size") > SMALL_BUCKET)
-        pivot = large.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct("degree", "node")).alias("p"))
-        pivot = saved(pivot.select("band", F.col("p.node").alias("pivot"), F.col("p.component").alias("own")), "pivots")
-        if pivot.isEmpty():
-            break
-        pairs = large.join(pivot, "band").where("component <> own").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = verified(pairs, lists, similarity)
-        links = saved(found if links is None else links.unionByName(found), "links")
-        parts = components(links)
-        done = pivot.select("band", F.col("pivot").alias("node"))
-        members = saved(members.join(done, ["band", "node"], "left_anti"), "left")
-        placed = _unfinished(members.select("band", "node"), parts)
-        rest = saved(placed.join(degree, "node"), "rest")
-    if links is None:
-        return None, None
-    left = rest.select("band", "component", "node")
-    right = left.select("band", F.col("component").alias("other"), F.col("node").alias("b"))
-    pairs = left.join(right, "band").where((F.col("component") < F.col("other"))).select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    found = saved(verified(pairs, lists, similarity), "last-links")
-    if found.isEmpty():
-        return links, parts
-    links = saved(links.unionByName(found), "links")
-    return links, components(links)
+    """(a, b) links, each verified exactly, that join all similar nodes of every bucket.
+
+    First every member meets the bucket's most connected one.  Buckets whose members then all hang on one
+    node are done.  In the others, members that hang on different nodes meet: all of them in small buckets,
+    in crowded ones those that may be similar (a family of copies that each changed other words leaves few).
+    """
+    by_node = Window.partitionBy("node")  # at most BANDS rows
+    members = saved(members.withColumn("degree", F.sum("size").over(by_node)).select("band", "node", "degree"), "ranked")
+    pivot = members.groupBy("band").agg(F.max_by(F.struct("node", "degree"), F.struct("degree", "node")).alias("p"))
+    pivot = saved(pivot.select("band", F.col("p.node").alias("pivot"), F.col("p.degree").alias("pivot_degree")), "pivots")
+    met = members.join(sent(pivot), "band").where("node <> pivot").groupBy(
+        F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("pivot_degree").alias("degree"))
+    first = saved(verified(met, lists, similarity, "degree"), "pivot-links")
+    # a node hangs on its most connected verified pivot, and on that one's own
+    hangs = saved(first.groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("b")), "hangs")
+    up = hangs.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    hangs = saved(hangs.join(sent(up), "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("top")), "tops")
+    now = saved(members.select("band", "node").join(sent(hangs), "node", "left").select(
+        "band", "node", F.coalesce("top", "node").alias("top")), "placed")
+    open_ = saved(now.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("band"), "open")
+    rest = saved(now.join(sent(open_), "band"), "rest")
+    size = saved(rest.groupBy("band").agg(F.count("*").alias("members")), "rest-sizes")
+    rest = saved(rest.join(sent(size), "band"), "sized")
+    few = _ends(_both(rest.where(F.col("members") <= FEW), "band", ["node", "top"]))
+    pairs = few.unionByName(_crowded_pairs(rest.where(F.col("members") > FEW), lists, similarity)).distinct()
+    return first.select("a", "b").unionByName(verified(pairs, lists, similarity))
 
 
 def near_duplicates(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY):
@@ -256,23 +281,21 @@ def near_duplicates(docs, id_column="doc_id", text_column="text", similarity=SIM
     whole = sketched.where("node is not null")
     nodes = saved(whole.groupBy("node").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.where("first is not null").select("node", F.explode("bands").alias("band"))
-    shared = saved(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(
-        "low <> high").select("band"), "shared")
-    members = saved(banded.join(sent(shared), "band"), "members")
+    shared = saved(banded.groupBy("band").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size"), "shared")
+    members = saved(banded.join(sent(shared), "band").select("band", "node", "size"), "members")
     wanted = saved(nodes.join(members.select("node").distinct(), "node").select("node", "first"), "wanted")
     texts = rows.join(sent(wanted.select(F.col("first").alias("id"), F.col("node").alias("wanted"))), "id").where("body is not null")
     lists = saved(texts.select("wanted", shingle_lists(F.col("body")).alias("l")).where("wanted = l.node").select(
         "l.node", "l.keys", "l.counts").dropDuplicates(["node"]), "shingles")
-    _, parts = node_links(members, lists, similarity)
-    if parts is None:
-        classes = nodes.select("node", F.col("first").alias("class_id"))
-    else:
-        placed = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = saved(placed, "classed")
-        least = placed.groupBy("component").agg(F.min("first").alias("class_id"))
-        classes = placed.join(least, "component").select("node", "class_id")
-    classes = saved(classes, "classes")
-    named = sketched.select("id", "node").join(classes, "node", "left").select(
+    parts = components(node_links(members, lists, similarity))
+    placed = nodes.select("node", "first").join(sent(parts), "node")
+    placed = saved(placed, "linked")
+    least = placed.groupBy("component").agg(F.min("first").alias("class_id"))
+    linked = placed.join(sent(saved(least, "least")), "component").select("node", F.col("class_id").alias("linked_id"))
+    classes = saved(nodes.select("node", "first").join(sent(saved(linked, "linked-ids")), "node", "left").select(
+        "node", F.coalesce("linked_id", "first").alias("class_id")), "classes")
+    named = sketched.select("id", "node").join(sent(classes), "node", "left").select(
         F.col("id").alias(id_column), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return named
 

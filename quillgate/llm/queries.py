@@ -48,10 +48,10 @@ def op1_ball_tree_top_k(spark, sf_dir):
 
 @query("op2_quote_linking", sql=r"""
 with c as (
-  select conv_id, turn, role, coalesce(text, '') t, md5(coalesce(text, '')) message from conversations
+  select row_number() over () r, conv_id, turn, role, coalesce(text, '') t, md5(coalesce(text, '')) message from conversations
   where conv_id is not null and turn is not null),
 l as (
-  select conv_id, turn, role, message, t, i, regexp_extract(x, '^((?:[ \t]*>)+)', 1) marks,
+  select r, conv_id, turn, role, message, i, regexp_extract(x, '^((?:[ \t]*>)+)', 1) marks,
     regexp_replace(x, '^((?:[ \t]*>)+)[ \t]?', '') body
   from (select *, unnest(regexp_split_to_array(t, '\r?\n')) x, generate_subscripts(regexp_split_to_array(t, '\r?\n'), 1) i from c)),
 d as (
@@ -61,16 +61,17 @@ e as (
   select *, depth = 0 and regexp_full_match(body, '[^>].*:\s*')
       and coalesce(lead(depth) over w, 0) > 0 announces,
     case when coalesce(lag(depth) over w, -1) <> depth then 1 else 0 end fresh
-  from d window w as (partition by conv_id, turn, message order by i)),
+  from d window w as (partition by r order by i)),
 o as (
-  select conv_id, turn, role, message, max(depth) > 0 quotes,
+  select r, conv_id, turn, role, message, max(depth) > 0 quotes,
     coalesce(string_agg(body, chr(10) order by i) filter (where depth = 0 and not announces), '') raw
   from e group by all),
-m as (select *, case when quotes then trim(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), ' ') else raw end own from o),
+m as (select *, case when quotes then regexp_replace(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') else raw end own from o),
 p as (
   select conv_id, turn, message, passage, depth, trim(regexp_replace(string_agg(plain, ' ' order by i), ' +', ' ', 'g')) whole,
     max_by(plain, (len(plain), plain)) line
-  from (select *, sum(fresh) over (partition by conv_id, turn, message order by i) passage from e) where depth > 0 group by all),
+  from (select *, sum(fresh) over (partition by r order by i) passage from e
+    where r in (select min(r) from c group by conv_id, turn, message)) where depth > 0 group by all),
 s as (
   select distinct conv_id, turn, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) k
   from (select conv_id, turn, unnest(list_append(string_split(own, chr(10)), own)) x from m)),

@@ -54,7 +54,7 @@ def parsed(messages):
         lambda x: (x["depth"] == 0) & ~x["announces"])
     text = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
     quoted = F.exists("lines", lambda x: x["depth"] > 0)
-    return rows.select("*", F.when(quoted, F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))).otherwise(text).alias("own"), quoted.alias("quotes"))
+    return rows.select("*", F.when(quoted, F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")).otherwise(text).alias("own"), quoted.alias("quotes"))
 
 
 def passages(rows):

@@ -23,6 +23,15 @@ def saved(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a narrow side that is sent to every task; beyond, both sides are shuffled.
+MOST_SENT = 200_000
+
+
+def sent(small):
+    """Hint to send a saved table to every task where its counted rows are few; else the table as it is."""
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

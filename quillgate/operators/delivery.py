@@ -188,6 +188,10 @@ REVIEW_COLUMNS = [
 ]
 
 
+#: More characters than a cell can have: the whole text in the layout of a cell.
+_WHOLE = 2 ** 31 - 1
+
+
 def _shape(source, how):
     if how is None:
         return X.text(source)
@@ -214,8 +218,9 @@ def _run_inputs(rows):
 
 
 def review_rows(rows, order="row_idx"):
-    """Compact review rows with all gate columns."""
+    """Compact review rows with all gate columns; the gate sees whole texts, cells are shortened after it."""
     df = _run_inputs(rows)
+    cut = {target: (source, how) for target, source, how in _REVIEW_CELLS if isinstance(how, int)}
     line = F.col("__line")
     option = []
     for i in (1, 2, 3):
@@ -232,10 +237,12 @@ def review_rows(rows, order="row_idx"):
         F.col("recipient_name").alias("person"), *option,
         X.cell_lines("template_preview", 520).alias("template_preview"),
         *[X.text(c).alias(c) for c in _REVIEW_PLAIN],
-        *[_shape(source, how).alias(target) for target, source, how in _REVIEW_CELLS],
+        *[_shape(source, _WHOLE if target in cut else how).alias(target) for target, source, how in _REVIEW_CELLS],
+        *[_shape(source, how).alias(f"cell__{target}") for target, (source, how) in cut.items()],
         *[X.text(c).alias(c) for c in _RUN_METADATA], *tail)
     out = apply_sendability(ensure_columns(out, _EDIT_COLUMNS), order=order)
-    return out.select(order, *REVIEW_COLUMNS, *tail)
+    cells = [F.col(f"cell__{c}").alias(c) if c in cut else F.col(c) for c in REVIEW_COLUMNS]
+    return out.select(order, *cells, *tail)
 
 
 # research sheet column -> (source column, limit)

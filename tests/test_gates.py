@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillgate import terms as T
 from quillgate.operators import copyguard, delivery, evals, gates
 from quillgate.operators.rows import ensure_columns
 
@@ -134,6 +135,17 @@ def test_review_row_keeps_three_options(spark):
     assert row.option_1_quality_flags == "a\nb" and row.option_3_qc_score == "10"
 
 
+def test_review_rows_are_gated_before_they_are_shortened(spark):
+    severe = " | ".join(T.SEVERE_FLAGS)
+    mild = " | ".join(f"some_flag_{i}" for i in range(40))
+    base = {"company_name": "Acme", "recipient_name": "Ava", "website_url": "https://a.example", "opening_line": LINE_A, "evidence_used_for_copy": LINE_A}
+    df = spark.createDataFrame([{"row_idx": i, "quality_flags": f, **base} for i, f in enumerate([f"{severe} | {mild}", f"{mild} | {severe}", mild])])
+    rows = {r.row_idx: r for r in delivery.review_rows(df).collect()}
+    assert len(rows[1].quality_flags) <= 240 and T.SEVERE_FLAGS[0] not in rows[1].quality_flags
+    assert rows[0].sendability_score == rows[1].sendability_score and rows[0].sendability_decision == rows[1].sendability_decision
+    assert rows[2].sendability_reasons != rows[1].sendability_reasons == rows[0].sendability_reasons
+
+
 def test_copy_guards(spark):
     df = spark.createDataFrame([
         ("I downloaded the acme app and ACME asks for a login", "x", ["", " Acme page "], "Acme", "https://www.acmeapp.io/x"),

@@ -24,10 +24,13 @@ def overlay_edits(df):
     return df.withColumn("personalized_line", line)
 
 
-def delivery_filter(df):
-    """Human-approved rows when the batch has any, otherwise the gate's Send rows."""
+def delivery_filter(df, source=None):
+    """Human-approved rows when the batch has any, otherwise the gate's Send rows.
+
+    ``source`` are the same rows before the gate; with them the gate does not run for the question whether any is approved.
+    """
     approved = F.lower(X.text("human_decision")).isin("send", "edit")
-    any_approved = df.agg(F.coalesce(F.bool_or(approved), F.lit(False)).alias("__any"))
+    any_approved = (df if source is None else source).agg(F.coalesce(F.bool_or(approved), F.lit(False)).alias("__any"))
     flagged = attach_scalar(df, any_approved)
     keep = F.when(F.col("__any"), approved).otherwise(F.col("sendability_decision") == "Send")
     return flagged.filter(keep).drop("__any")
@@ -43,6 +46,15 @@ def delivery_rows(df, policy="all"):
     return rows
 
 
+def policy_counts(df):
+    """Delivery rows of every policy, counted in one pass."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(F.col("sendability_decision") == "Send").alias("send"),
+        F.count_if(F.lower(X.text("human_decision")).isin("send", "edit")).alias("approved"))
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.col(p).alias("rows")) for p in ("all", "send", "approved")])).alias("x")).select("x.*")
+
+
 def facet_filter(df, **choices):
     """Keep rows whose columns are in the chosen values; an empty choice filters nothing."""
     for column, values in choices.items():
@@ -57,36 +69,39 @@ def review_queue(df):
     return df.filter(F.col("status").isin("Review", "Research only"))
 
 
-def by_priority(df, order="row_idx"):
-    """Edit rows first, then Reject, Send and the rest."""
-    rank = X.lookup("sendability_decision", {"Edit": 0, "Reject": 1, "Send": 2}, 3)
-    return df.orderBy(rank, order)
+def by_priority(df):
+    """Rows with ``priority``: Edit rows first, then Reject, Send and the rest; the sink sorts."""
+    return df.withColumn("priority", X.lookup("sendability_decision", {"Edit": 0, "Reject": 1, "Send": 2}, 3))
 
 
 def redact_columns(df, columns, flag_column="privacy_scan_flags"):
     """Redact every cell and join the distinct flags of a row in sorted order.
 
-    Six staged projections (one per class) cover all columns, so a cell is rewritten once
-    per class and the flags need no second pass over the text.
+    A row is first searched as one text for every class; only rows with a find are rewritten, cell by cell,
+    one class after the other, and a class is flagged where its replacement changed a cell.
     """
     df = df.withColumns({c: X.text(c) for c in columns}).withColumn("__flags", F.lit(""))
     steps = redact._STEPS + [("secret_query_parameter", redact._SECRET_VALUE, "$1[redacted]")]
+    whole = F.concat_ws("\n", *columns)
+    df = df.withColumn("__risky", X.any_of([whole.rlike(pattern) for _, pattern, _ in steps]))
     for name, pattern, replacement in steps:
-        hit = X.any_of([F.col(c).rlike(pattern) for c in columns])
         df = df.withColumns({
-            "__flags": F.when(hit, F.concat("__flags", F.lit(X.SEP + name))).otherwise(F.col("__flags")),
-            **{c: F.regexp_replace(c, pattern, replacement) for c in columns},
-        })
+            f"__new_{c}": F.when(F.col("__risky"), F.regexp_replace(c, pattern, replacement)).otherwise(F.col(c)) for c in columns})
+        hit = X.any_of([F.col(f"__new_{c}") != F.col(c) for c in columns])
+        kept = [F.col(c) for c in df.columns if c not in columns and c != "__flags" and not c.startswith("__new_")]
+        df = df.select(
+            *kept, *[F.col(f"__new_{c}").alias(c) for c in columns],
+            F.when(hit, F.concat("__flags", F.lit(X.SEP + name))).otherwise(F.col("__flags")).alias("__flags"))
     found = F.array_remove(F.split("__flags", X.SEP), "")
     if flag_column in df.columns:
         found = F.concat(found, X.split_list(flag_column, "|"))
-    return df.withColumn(flag_column, X.join_list(F.sort_array(F.array_distinct(found)))).drop("__flags")
+    return df.withColumn(flag_column, X.join_list(F.sort_array(F.array_distinct(found)))).drop("__flags", "__risky")
 
 
-def client_safe(df, scored=False, keep=()):
+def client_safe(df, scored=False, keep=(), source=None):
     """Client-safe delivery table: filter, overlay, fixed columns, redaction, notes."""
     rows = df if scored else apply_sendability(df)
-    rows = overlay_edits(delivery_filter(rows))
+    rows = overlay_edits(delivery_filter(rows, source if scored else df))
     rows = rows.withColumns({
         "safe_screenshots": F.lit(""), "privacy_scan_flags": F.lit(""),
         "screenshot_privacy_notes": F.lit(""), "client_safe_notes": F.lit(T.CLIENT_SAFE_NOTE),
@@ -108,8 +123,9 @@ def residual_flags(df):
     blob = F.concat_ws(" ", *[X.text(c) for c in df.columns])
     found = df.select(redact.scan(blob).alias("f"))
     names = [n for n, _, _ in redact._STEPS] + ["trace_file", "secret_query_parameter"]
-    row = found.agg(*[F.coalesce(F.bool_or(F.array_contains("f", n)), F.lit(False)).alias(n) for n in names])
-    return row.select(F.sort_array(X.flags(*[(F.col(n), n) for n in names])).alias("flags"))
+    row = found.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.coalesce(F.bool_or(F.array_contains("f", n)), F.lit(False)).alias(n) for n in names])
+    return row.select(F.sort_array(X.flags(*[(F.col(n), n) for n in names])).alias("flags"), "rows")
 
 
 def hard_leaks(df):
@@ -117,13 +133,15 @@ def hard_leaks(df):
 
 
 def delivery_manifest(source, safe):
-    """One-row manifest; the status is blocked when hard leaks remain."""
+    """One-row manifest; the status is blocked when hard leaks remain.
+
+    ``source`` are the rows before the gate; the delivered rows are counted and scanned in one pass.
+    """
     n_in = source.agg(F.count(F.lit(1)).alias("n"))
-    n_out = safe.agg(F.count(F.lit(1)).alias("n"))
     flags = residual_flags(safe)
     leaks = F.size(F.array_intersect("flags", X.lits(T.HARD_LEAKS))) > 0
     return flags.select(
-        n_in.scalar().alias("input_rows"), n_out.scalar().alias("client_rows"),
+        n_in.scalar().alias("input_rows"), F.col("rows").alias("client_rows"),
         F.lit("human-approved send/edit when available, otherwise sendability Send only").alias("filter_policy"),
         X.join_list("flags").alias("remaining_privacy_scan_flags"),
         F.when(leaks, "blocked").otherwise("client_safe").alias("status"))

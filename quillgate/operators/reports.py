@@ -13,11 +13,11 @@ def _generated():
     return (line != "") & ~line.startswith("[")
 
 
-def batch_summary(review):
+def batch_summary(review, source=None):
     """Twenty summary metrics as (position, metric, value) rows.
 
     Names (tone profile, model) are made distinct by an aggregation of their own first, so
-    only the distinct names are joined to text.
+    only the distinct names are joined to text; they come from ``source``, the rows before the gate, if given.
     """
     df = ensure_columns(review, [
         "status", "sendability_decision", "surface_correctness", "source_urls", "visual_confidence",
@@ -40,7 +40,7 @@ def batch_summary(review):
     row = df.agg(*[c.alias(f"m{i}") for i, (_, c) in enumerate(counts)])
 
     def names(column):
-        distinct = df.select(X.clean(column).alias("n")).filter(F.col("n") != "").distinct()
+        distinct = (df if source is None else ensure_columns(source, [column])).select(X.clean(column).alias("n")).filter(F.col("n") != "").distinct()
         joined = F.array_join(F.sort_array(F.collect_list("n")), ", ")
         return distinct.agg(F.when(joined == "", "not set").otherwise(joined).alias("v")).scalar()
 

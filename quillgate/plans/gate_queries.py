@@ -543,17 +543,17 @@ _APPROVED = "(human_decision in ('send', 'edit') or (not (select bool_or(human_d
 select row_idx, case when human_decision in ('send', 'edit') and edited_line <> '' then {V.strip_sql('edited_line')} else {V.strip_sql('personalized_line')} end as personalized_line
 from gates where {_APPROVED}"""))
 def delivery_filter(spark, sf_dir):
-    return delivery.overlay_edits(delivery.delivery_filter(scored(spark, sf_dir))).select("row_idx", "personalized_line")
+    return delivery.overlay_edits(delivery.delivery_filter(scored(spark, sf_dir), V.lines(spark, sf_dir))).select("row_idx", "personalized_line")
 
 
 @query("client_safe_table")
 def client_safe_table(spark, sf_dir):
-    return delivery.client_safe(scored(spark, sf_dir), scored=True, keep=["row_idx"])
+    return delivery.client_safe(scored(spark, sf_dir), scored=True, keep=["row_idx"], source=V.lines(spark, sf_dir))
 
 
 @query("client_safe_leaks")
 def client_safe_leaks(spark, sf_dir):
-    safe = delivery.client_safe(scored(spark, sf_dir), scored=True)
+    safe = delivery.client_safe(scored(spark, sf_dir), scored=True, source=V.lines(spark, sf_dir))
     return delivery.residual_flags(safe).select(X.join_list("flags").alias("residual_flags"))
 
 
@@ -561,20 +561,16 @@ def client_safe_leaks(spark, sf_dir):
 select count(*) as input_rows, count(*) filter ({_APPROVED}) as client_rows,
   'human-approved send/edit when available, otherwise sendability Send only' as filter_policy from gates"""))
 def delivery_manifest(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    safe = delivery.overlay_edits(delivery.delivery_filter(df)).select("personalized_line")
-    return delivery.delivery_manifest(df, safe).select("input_rows", "client_rows", "filter_policy")
+    source = V.lines(spark, sf_dir)
+    safe = delivery.overlay_edits(delivery.delivery_filter(scored(spark, sf_dir), source)).select("personalized_line")
+    return delivery.delivery_manifest(source, safe).select("input_rows", "client_rows", "filter_policy")
 
 
 @query("delivery_policies", with_(GATES, select="""
 select 'all' as policy, count(*) as rows from gates union all select 'send', count(*) from gates where decision = 'Send'
 union all select 'approved', count(*) from gates where human_decision in ('send', 'edit')"""))
 def delivery_policies(spark, sf_dir):
-    df, out = scored(spark, sf_dir), None
-    for policy in ("all", "send", "approved"):
-        part = delivery.delivery_rows(df, policy).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(policy).alias("policy"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return delivery.policy_counts(scored(spark, sf_dir))
 
 
 _NAME = f"string_split_regex({V.strip_sql('person')}, ' +')"
@@ -667,7 +663,7 @@ _SUMMARY = [
     f"select cast({i} as bigint) as position, {q(n)} as metric, cast({e} as varchar) as value from gates" if "count" in e and "select" not in e
     else f"select cast({i} as bigint), {q(n)}, cast({e} as varchar)" for i, (n, e) in enumerate(_SUMMARY))))
 def batch_summary(spark, sf_dir):
-    return reports.batch_summary(scored(spark, sf_dir)).withColumn("position", F.col("position").cast("bigint"))
+    return reports.batch_summary(scored(spark, sf_dir), V.lines(spark, sf_dir)).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("top_flags", with_(V.LINES, select="""

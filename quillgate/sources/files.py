@@ -70,8 +70,14 @@ def write_sending_tool(review, path, preset="generic"):
 
 
 def write_client_safe(df, path):
-    """Client-safe CSV plus manifest; nothing is written while hard leaks remain."""
-    safe = delivery.client_safe(df)
+    """Client-safe CSV plus manifest; nothing is published while hard leaks remain.
+
+    The table is made once, into a staging folder beside the result; that very table is scanned, counted and published.
+    """
+    spark = df.sparkSession
+    made = delivery.client_safe(df)
+    made.write.mode("overwrite").parquet(f"{path}/staging")
+    safe = spark.read.schema(made.schema).parquet(f"{path}/staging")
     leaks = delivery.hard_leaks(safe).head()["leaks"]
     if leaks:
         raise ValueError(f"Delivery blocked, sensitive values remain after redaction: {', '.join(leaks)}")

@@ -233,7 +233,8 @@ def _crowded_pairs(rest, lists, similarity):
     """
     nodes = saved(rest.select("node", "top").distinct(), "crowded")
     mine = saved(lists.join(sent(nodes), "node"), "crowded-lists")
-    each = mine.select("node", "top", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "top", "s.keys", "s.counts")
+    # a list is much work from few bytes: deal the nodes out before their shingles become rows
+    each = mine.repartition("node").select("node", "top", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "top", "s.keys", "s.counts")
     rare = each.groupBy("keys").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     rare = saved(each.join(rare, "keys").select("keys", "node", "top", "counts", "df"), "rare")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)

@@ -41,9 +41,9 @@ def decontamination(spark, docs, sf_dir):
 def token_ids(spark, docs, sf_dir):
     """Token ids of each document, and whether they decode to its text."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "c", bpe.coded(ranks, public_tokenizers.PATTERN, F.col("text")))
-    return found.select("doc_id", "lang", "source", "c.ids", (F.col("c.decoded") == F.col("text")).alias("round_trip"))
+    texts = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    found = bpe.coded(texts, ranks, public_tokenizers.PATTERN)
+    return found.select("doc_id", "lang", "source", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [

@@ -17,19 +17,22 @@ vocabulary are an error.  Only the named column is read.
 """
 
 import base64
-import re
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from quillgate.llm.words import held
 
 #: Most remembered states, token pairs and pieces of one task.
 MOST_STATES = 300_000
-MOST_PAIRS = 1_000_000
-MOST_PIECES = 250_000
+MOST_PAIRS = 150_000
+MOST_PIECES = 200_000
 #: Characters of text encoded together, and bytes from which a piece is read on its own.
-PASS_CHARS = 4 << 20
+PASS_CHARS = 1 << 20
 LONG_PIECE = 256
 #: Most bytes of a rank file.
 MOST_RANK_BYTES = 64 << 20
@@ -72,30 +75,47 @@ class Encoder:
     """Texts to token ids; pieces that are not remembered go through the transducer."""
 
     def __init__(self, ranks, pattern):
-        self.ranks, self.cut, self.words, self.pieces, self.edges, self.pairs = ranks, _pieces(pattern), {}, {}, {}, {}
+        self.ranks, self.cut, self.known_ids, self.edges, self.pairs = ranks, _pieces(pattern), {}, {}, {}
         self.never = max(ranks.values()) + 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.words_first = pattern == WORDS_FIRST
-        # token + 1 (0: none) and whether a longer token begins so, in one number
-        self.begins = {token: rank + 1 << 1 for token, rank in ranks.items()}
-        for token in ranks:
-            for k in range(1, len(token)):
-                self.begins[token[:k]] = self.begins.get(token[:k], 0) | 1
+        # a tree of all token beginnings: node 0 is empty; child by node and byte, token by node (-1: none)
+        self.child, self.token_at, self.inner = {}, [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                key = node << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                node = self.child[key]
+            self.token_at[node] = rank
         self._forget()
 
     def _forget(self):
         """Start anew with the initial state alone: one guess, nothing read, nothing emitted."""
-        self.states, self.numbers, self.steps, self.finals = [], {}, {}, []
+        self.states, self.numbers, self.steps, self.finals = [], {}, {}, array("q")
         self.outputs, self.output_numbers = [()], {(): 0}
         self.known = np.zeros((3, 0), np.int64)  # sorted step keys, next states, outputs
-        self._number((-1, ((b"", ()),)))
+        self._number((-1, 0, 0))
 
     def _number(self, state):
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
-            self.states.append(state)
-            self.finals.append(next((pending for part, pending in state[1] if not part), None))
-        return self.numbers[state]
+        """Number of a state: its last token, then (tree node, output) of each guess, the one that just ended last."""
+        packed = array("q", state).tobytes()
+        if packed not in self.numbers:
+            self.numbers[packed] = len(self.states)
+            self.states.append(packed)
+            self.finals.append(state[-1])
+        return self.numbers[packed]
+
+    def _output(self, tokens):
+        """Number of a token sequence."""
+        if tokens not in self.output_numbers:
+            self.output_numbers[tokens] = len(self.outputs)
+            self.outputs.append(tokens)
+        return self.output_numbers[tokens]
 
     def _edges(self, token):
         """What stands at the left and at the right end of a token while it is merged, each with the rank that ends it."""
@@ -128,60 +148,51 @@ class Encoder:
         return self.pairs[key]
 
     def _step(self, number, byte):
-        """Next state and the tokens emitted on the way."""
-        last, guesses = self.states[number]
-        after, letter, begins, ended = [], bytes((byte,)), self.begins, None
-        for part, pending in guesses:
-            longer = part + letter
-            code = begins.get(longer, 0)
-            if code > 1 and ended is None and self._follows(pending[-1] if pending else last, (code >> 1) - 1):
-                ended = (*pending, (code >> 1) - 1)  # one guess alone ends a valid encoding here
-            if code & 1:
-                after.append((longer, pending))
-        after.append((b"", ended))
-        shared = min(len(pending) for _, pending in after)
-        first, emitted = after[0][1], ()
-        if shared:
-            same = 0
-            while same < shared and all(pending[same] == first[same] for _, pending in after):
-                same += 1
-            emitted = first[:same]
-            if same:
-                after = [(part, pending[same:]) for part, pending in after]
-                last = emitted[-1]
-            if shared > same:
-                last = -2  # every guess carries its own last token
-        return self._number((last, tuple(after))), emitted
+        """Next state, and the number of the tokens emitted on the way."""
+        last, *flat = array("q", self.states[number])
+        after, child, ended = [], self.child, None
+        for node, output in zip(flat[::2], flat[1::2]):
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            pending, token = self.outputs[output], self.token_at[node]
+            if token >= 0 and ended is None and self._follows(pending[-1] if pending else last, token):
+                ended = (*pending, token)  # one guess alone ends a valid encoding here
+            if self.inner[node]:
+                after.append((node, pending))
+        after.append((0, ended))
+        shortest, first = min(len(pending) for _, pending in after), after[0][1]
+        same = 0
+        while same < shortest and all(pending[same] == first[same] for _, pending in after):
+            same += 1
+        if same:
+            last = first[same - 1]
+        if shortest > same:
+            last = -2  # every guess carries its own last token
+        state = [last]
+        for node, pending in after:
+            state += (node, self._output(pending[same:]))
+        return self._number(state), self._output(first[:same])
 
     def transduce(self, piece):
         """Token ids of one piece, byte by byte."""
-        if len(self.states) >= MOST_STATES:
-            self._forget()
         state, out, steps = 0, [], self.steps
         for byte in piece:
             found = steps.get(state << 8 | byte)
             if found is None:
                 if len(self.states) >= 2 * MOST_STATES:  # within one very long piece: keep only where it stands
-                    here = self.states[state]
+                    last, *flat = array("q", self.states[state])
+                    guesses = [(node, self.outputs[n]) for node, n in zip(flat[::2], flat[1::2])]
                     self._forget()
-                    state, steps = self._number(here), self.steps
+                    state = self._number([last, *chain.from_iterable((node, self._output(p)) for node, p in guesses)])
+                    steps = self.steps
                 steps[state << 8 | byte] = found = self._step(state, byte)
             state, emitted = found
-            if emitted:
-                out += emitted
-        out += self.finals[state]
-        return out
-
-    def _output(self, tokens):
-        if tokens not in self.output_numbers:
-            self.output_numbers[tokens] = len(self.outputs)
-            self.outputs.append(tokens)
-        return self.output_numbers[tokens]
+            out += self.outputs[emitted]
+        return out + list(self.outputs[self.finals[state]])
 
     def transduce_many(self, pieces):
         """Token ids of many pieces: all of them read their next byte at once, known steps by binary search."""
-        if len(self.states) >= MOST_STATES:
-            self._forget()
         size = np.array([len(p) for p in pieces])
         order = np.argsort(-size, kind="stable")
         data = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8).astype(np.int64)
@@ -199,8 +210,7 @@ class Encoder:
                 news, where = np.unique(key[~hit], return_inverse=True)
                 for new in news.tolist():
                     if new not in fresh:
-                        after, emitted = self._step(new >> 8, new & 255)
-                        fresh[new] = (after, self._output(emitted))
+                        fresh[new] = self._step(new >> 8, new & 255)
                 found[:, ~hit] = np.array([fresh[n] for n in news.tolist()]).T[:, where]
             state[:on] = found[0]
             some = np.flatnonzero(found[1])
@@ -211,7 +221,7 @@ class Encoder:
             both = np.concatenate([self.known, rows], axis=1)
             self.known = both[:, np.argsort(both[0])]
         owners.append(np.arange(len(pieces)))
-        outputs.append(np.array([self._output(self.finals[n]) for n in state.tolist()], np.int64))
+        outputs.append(np.frombuffer(self.finals, np.int64)[state])
         owner, output = np.concatenate(owners), np.concatenate(outputs)
         by_piece = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[by_piece], np.arange(len(pieces) + 1)).tolist()
@@ -224,52 +234,59 @@ class Encoder:
 
     def _learn_pieces(self, texts):
         """Remember the ids of pieces that are not known yet."""
-        new = [t for t in texts if t not in self.pieces]
-        raw = [t.encode("utf-8") for t in new]
-        for text, piece in zip(new, raw):
+        rest = []
+        for text in texts:
+            piece = text.encode("utf-8")
             whole = self.ranks.get(piece)
             if whole is not None:
-                self.pieces[text] = (whole,)
+                self.known_ids[text] = (whole,)
             elif len(piece) > LONG_PIECE:
-                self.pieces[text] = tuple(self.transduce(piece))
-        rest = [(t, r) for t, r in zip(new, raw) if t not in self.pieces]
+                self.known_ids[text] = tuple(self.transduce(piece))
+            else:
+                rest.append((text, piece))
         if rest:
-            self.pieces.update(zip([t for t, _ in rest], self.transduce_many([r for _, r in rest])))
+            texts, pieces = zip(*rest)
+            self.known_ids.update(zip(texts, self.transduce_many(pieces)))
 
     def _learn(self, words):
         """Remember the ids of words that are not known yet."""
-        parts = {}
+        single, parts = set(), {}
         for word in words:
-            mark = word[-1:]
-            core = word[:-1] if mark in ENDS else word
-            if core.isalpha() or core[:1] == " " and core[1:].isalpha():  # one piece, and perhaps a mark
-                parts[word] = (core,) if core is word else (core, mark)
+            if word.isalpha() or word[1:].isalpha() and word[0] == " ":  # one piece
+                single.add(word)
+                continue
+            core = word[:-1]
+            if word[-1:] in ENDS and (core.isalpha() or core[1:].isalpha() and core[0] == " "):  # one piece and a mark
+                parts[word] = (core, word[-1])
             else:
                 parts[word] = self.cut(word)
-        self._learn_pieces(set(chain.from_iterable(parts.values())))
-        get = self.pieces.__getitem__
-        for word, pieces in parts.items():
-            self.words[word] = get(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(get, pieces)))
+        self._learn_pieces(single.union(*parts.values()).difference(self.known_ids))
+        get = self.known_ids.__getitem__
+        self.known_ids.update([(word, tuple(chain.from_iterable(map(get, pieces)))) for word, pieces in parts.items()])
 
     def encode_many(self, texts):
         """Token ids of whole texts.
 
         With the pattern WORDS_FIRST, a lone white-space character between others starts a piece and a lone space
-        stays with what follows, so texts without white space at their ends or side by side may be cut there first.
+        stays with what follows, so texts whose white space is lone blanks and line ends between words may be cut
+        there first.
         """
-        if len(self.words) > MOST_PIECES:
-            self.words.clear()
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        cut = []
+        if len(self.states) >= MOST_STATES:
+            self._forget()
+        if len(self.known_ids) > MOST_PIECES:
+            self.known_ids.clear()
+        cut, words, pieces = [], set(), set()
         for text in texts:
-            if not text or not self.words_first or _DOUBLE(text):
-                cut.append((self.pieces, self.cut(text)))
+            if self.words_first and "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
+                cut.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
+                words.update(cut[-1])
             else:
-                cut.append((self.words, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
-        self._learn(set().union(*(parts for known, parts in cut if known is self.words)).difference(self.words))
-        self._learn_pieces(set().union(*(parts for known, parts in cut if known is self.pieces)))
-        return [list(chain.from_iterable(map(known.__getitem__, parts))) for known, parts in cut]
+                cut.append(self.cut(text))
+                pieces.update(cut[-1])
+        self._learn(words.difference(self.known_ids))
+        self._learn_pieces(pieces.difference(self.known_ids))
+        get = self.known_ids.__getitem__
+        return [list(chain.from_iterable(map(get, parts))) for parts in cut]
 
 
 class Decoder:
@@ -331,22 +348,13 @@ WORDS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: Marks that are a piece of their own behind a letter at the end of a word.
 ENDS = frozenset(".,;:!?")
 
-#: Texts that only the pattern itself may cut.
-_DOUBLE = re.compile(r"\s\s|^\s|\s\Z|\0").search
-
 #: Bytes awaited, the allowed range of the next one, and the bits so far.
 START = (0, 0, 0, 0)
 
-_MADE = {}
 
-
-def _machine(kind, ranks, *more):
-    """The worker's encoder or decoder of a vocabulary, kept for its later batches."""
-    key = (kind, hash(frozenset(ranks.items())), *more)
-    if key not in _MADE:
-        _MADE.clear() if len(_MADE) > 4 else None
-        _MADE[key] = kind(ranks, *more)
-    return _MADE[key]
+def _machines(ranks, pattern):
+    """The worker's encoder and decoder of a vocabulary."""
+    return held(("bpe", pattern, hash(frozenset(ranks.items()))), lambda: (Encoder(ranks, pattern), Decoder(ranks)))
 
 
 def _pieces(pattern):
@@ -358,38 +366,43 @@ def _pieces(pattern):
 
 
 def _encoded(encoder, column):
-    """Token ids of an Arrow text column, some megabytes at a time."""
+    """Token ids of the texts of an Arrow column, in lists of some megabytes of text."""
     part, size = [], 0
     for value in column:
         text = value.as_py() or ""
         part.append(text)
         size += len(text)
         if size >= PASS_CHARS:
-            yield from encoder.encode_many(part)
+            yield encoder.encode_many(part)
             part, size = [], 0
-    yield from encoder.encode_many(part)
+    if part:
+        yield encoder.encode_many(part)
 
 
-def _id_lists(ids):
-    cuts = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=cuts[1:])
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
+def _id_lists(many):
+    cuts = np.zeros(len(many) + 1, np.int32)
+    np.cumsum([len(ids) for ids in many], out=cuts[1:])
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.fromiter(chain.from_iterable(many), np.int32, int(cuts[-1]))))
 
 
-def coded(ranks, pattern, text_column):
-    """struct<ids array<int>, decoded string> of every whole text: its token ids, and the text these decode to."""
+def coded(docs, ranks, pattern, text_column="text"):
+    """The table with ``ids`` (array<int>) and ``decoded`` (the text these ids decode to); columns of these names are replaced."""
     sent = _broadcast(ranks)
+    docs = docs.drop("ids", "decoded")
+    place = docs.columns.index(text_column)
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
-    @F.arrow_udf("ids array<int>, decoded string")
-    def of(text: pa.Array) -> pa.Array:
-        encoder, decoder = _machine(Encoder, sent.value, pattern), _machine(Decoder, sent.value)
-        ids, decoded = [], []
-        for mine in _encoded(encoder, text):
-            ids.append(np.array(mine, np.int32))
-            decoded.append(decoder.decode(mine))
-        return pa.StructArray.from_arrays([_id_lists(ids), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+    def run(batches):
+        encoder, decoder = _machines(sent.value, pattern)
+        for batch in batches:
+            lo = 0
+            for many in _encoded(encoder, batch.column(place)):
+                rows = batch.slice(lo, len(many))
+                lo += len(many)
+                found = [_id_lists(many), pa.array([decoder.decode(ids) for ids in many], pa.string())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*rows.schema.names, "ids", "decoded"])
 
-    return of(text_column)
+    return docs.mapInArrow(run, schema)
 
 
 def encoded(ranks, pattern, text_column):
@@ -398,8 +411,9 @@ def encoded(ranks, pattern, text_column):
 
     @F.arrow_udf("array<int>")
     def of(text: pa.Array) -> pa.Array:
-        encoder = _machine(Encoder, sent.value, pattern)
-        return _id_lists([np.array(mine, np.int32) for mine in _encoded(encoder, text)])
+        encoder, _ = _machines(sent.value, pattern)
+        parts = [_id_lists(many) for many in _encoded(encoder, text)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return of(text_column)
 
@@ -410,7 +424,7 @@ def decoded(ranks, ids_column):
 
     @F.arrow_udf("string")
     def of(ids: pa.Array) -> pa.Array:
-        decoder = _machine(Decoder, sent.value)
+        decoder = held(("ids", hash(frozenset(sent.value.items()))), lambda: Decoder(sent.value))
         return pa.array([decoder.decode(v.as_py() or []) for v in ids], pa.string())
 
     return of(ids_column)

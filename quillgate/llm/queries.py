@@ -170,12 +170,11 @@ def op6_byte_cnn_language(spark, sf_dir):
 @query("op7_bpe_transducer")
 def op7_bpe_transducer(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", bpe.coded(ranks, public_tokenizers.PATTERN, F.col("text")).alias("c"))
-    ids = F.array_join(F.col("c.ids").cast("array<string>"), " ")
+    found = bpe.coded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select(
-        "doc_id", F.size("c.ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("c.decoded").cast("binary"), 256).alias("decoded_sha256"))
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op8_jump_shards")

@@ -15,7 +15,7 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 class Words(NamedTuple):
@@ -60,8 +60,20 @@ def passes(offsets, most=PASS_BYTES):
         lo = hi
 
 
+_HELD = {}
+
+
+def held(key, make):
+    """A large helper object that a Python worker keeps for its later batches; it makes room when other work begins."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def column_passes(column, most=PASS_BYTES):
     """(lo, hi, bytes, offsets) of each pass over an Arrow string column."""
+    _HELD.clear()
     data, offsets = text_bytes(column)
     for lo, hi in passes(offsets, most):
         yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]

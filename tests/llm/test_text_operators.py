@@ -307,11 +307,13 @@ def test_byte_pairs_equal_the_library(spark, ranks, monkeypatch):
     for text in ["a" * 3000, "xyzzy" * 900 + " end", "word " * 50]:
         assert small.encode_many([text, text[7:]]) == [library.encode_ordinary(text), library.encode_ordinary(text[7:])]
     docs = docs_of(spark, [(1, None), (2, ""), (3, "Hello  wörld\n\n" * 9), (3, "Hello  wörld\n\n" * 9), (4, "long " * 40000)])
-    rows = docs.select("text", bpe.coded(ranks, public_tokenizers.PATTERN, F.col("text")).alias("c"),
-                       bpe.encoded(ranks, public_tokenizers.PATTERN, F.col("text")).alias("ids")).withColumn("back", bpe.decoded(ranks, F.col("ids"))).collect()
+    docs = docs.withColumn("ids", bpe.encoded(ranks, public_tokenizers.PATTERN, F.col("text"))).withColumn("back", bpe.decoded(ranks, F.col("ids")))
+    rows = bpe.coded(docs.withColumnRenamed("ids", "first"), ranks, public_tokenizers.PATTERN).collect()
+    assert len(rows) == 5
     for r in rows:
-        assert r["c"]["ids"] == r["ids"] == library.encode_ordinary(r["text"] or "")
-        assert r["c"]["decoded"] == r["back"] == (r["text"] or "")
+        assert r["ids"] == r["first"] == library.encode_ordinary(r["text"] or "")
+        assert r["decoded"] == r["back"] == (r["text"] or "")
+    assert bpe.coded(docs_of(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
 def test_pair_rule_equals_merging(ranks):

@@ -22,7 +22,7 @@ from quillgate.llm.words import column_passes, mix, scan
 #: Most bytes of benchmark text; more is refused, since every task holds the items.
 MOST_BENCHMARK_BYTES = 64 << 20
 #: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MATCH = ("n_words long, n_hit long, items array<string>, "
          "spans array<struct<word: int, words: int, item_id: string, item_word: int>>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.components import components
 from quillgate.llm.store import saved, sent
-from quillgate.llm.words import column_passes, hash_spans, mix, scan
+from quillgate.llm.words import column_passes, hash_spans, make_room, mix, scan
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -177,6 +177,8 @@ def shingle_lists(text_column):
 
 
 def _similarities(keys_a: pa.Array, counts_a: pa.Array, keys_b: pa.Array, counts_b: pa.Array) -> pa.Array:
+    make_room()
+
     def parts(keys, counts):
         offsets = keys.offsets.to_numpy()
         return offsets, keys.values.to_numpy().view(np.uint64), counts.values.to_numpy()

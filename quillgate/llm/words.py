@@ -4,6 +4,7 @@ Words are runs of digits, a-z and non-ASCII characters after A-Z is lower-cased.
 non-ASCII UTF-8 character is at least 0x80, so the scan works on bytes.  Null texts have no words.
 """
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -71,9 +72,18 @@ def held(key, make):
     return _HELD[key]
 
 
+def make_room():
+    """Drop what earlier work of this Python worker has kept, and give unused memory back to the machine."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def column_passes(column, most=PASS_BYTES):
     """(lo, hi, bytes, offsets) of each pass over an Arrow string column."""
-    _HELD.clear()
+    make_room()
     data, offsets = text_bytes(column)
     for lo, hi in passes(offsets, most):
         yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]

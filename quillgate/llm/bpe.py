@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillgate.llm.words import held
+from quillgate.llm.words import give_back, held
 
 #: Most remembered states, token pairs and pieces of one task.
 MOST_STATES = 300_000
 MOST_PAIRS = 150_000
-MOST_PIECES = 200_000
+MOST_PIECES = 60_000
 #: Characters of text encoded together, and bytes from which a piece is read on its own.
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 19
 LONG_PIECE = 256
 #: Most bytes of a rank file.
 MOST_RANK_BYTES = 64 << 20
@@ -395,6 +395,7 @@ def coded(docs, ranks, pattern, text_column="text"):
     def run(batches):
         encoder, decoder = _machines(sent.value, pattern)
         for batch in batches:
+            give_back()
             lo = 0
             for many in _encoded(encoder, batch.column(place)):
                 rows = batch.slice(lo, len(many))

@@ -75,6 +75,11 @@ def held(key, make):
 def make_room():
     """Drop what earlier work of this Python worker has kept, and give unused memory back to the machine."""
     _HELD.clear()
+    give_back()
+
+
+def give_back():
+    """Return memory that is free, but still held by this process, to the machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

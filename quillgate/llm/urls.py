@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 #: Most bytes of rule strings in one array; the files are copied to every machine.
 MOST_RULE_BYTES = 4 << 30
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
+_SHIPPED = set()
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -118,7 +119,9 @@ def url_verdict(spark, rules, url_column):
     folder = tempfile.mkdtemp(prefix="digests-")
     names = write_digests(folder, rules)
     for name in names.values():
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        if (spark.sparkContext.applicationId, name) not in _SHIPPED:  # equal rules have equal files
+            spark.sparkContext.addFile(os.path.join(folder, name))
+            _SHIPPED.add((spark.sparkContext.applicationId, name))
 
     @F.arrow_udf("host string, path string, rule string, verdict string")
     def of(url: pa.Array) -> pa.Array:

@@ -116,6 +116,8 @@ def test_url_rules(spark):
     rows = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS + URLS)], "page_id int, url string, host string, rule string")
     got = rows.select("page_id", urls.url_verdict(spark, queries.URL_RULES, F.col("url")).alias("u")).collect()
     assert [tuple(r["u"]) for r in sorted(got)] == [plain_verdict(u, queries.URL_RULES) for u in URLS + URLS]
+    again = rows.select("page_id", urls.url_verdict(spark, queries.URL_RULES, F.col("url")).alias("u")).collect()
+    assert sorted(again) == sorted(got)
     free = rows.select(urls.url_verdict(spark, [], F.col("url")).alias("u")).collect()
     assert {r["u"]["verdict"] for r in free} == {"allow"}
 

@@ -132,6 +132,22 @@ def top_k(df, keys, order, k, rank="rank"):
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def rank_in_blocks(df, key, order, rank="rank", block_rows=1000):
+    """Rank of every row in its key by a number, nulls first; no row is left out.
+
+    Blocks of the number are counted first (one row per key and block), then each block only ranks its own
+    rows, so a hot key never meets in one task.
+    """
+    block = F.coalesce(F.floor(F.col(order) / F.lit(block_rows)).cast("bigint"), F.lit(-(2 ** 63)))
+    tagged = df.withColumn("__block", block)
+    counts = tagged.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    carries = counts.select(F.col(key).alias("__key"), F.col("__block").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry"))
+    inside = W.partitionBy(key, "__block").orderBy(order)
+    placed = tagged.join(carries, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at")))
+    return placed.withColumn(rank, F.col("__carry") + F.row_number().over(inside)).drop("__block", "__key", "__at", "__carry")
+
+
 def lookup_join(facts, dim, keys, how="left"):
     """Join a large table to a lookup with one row per key.
 

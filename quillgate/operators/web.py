@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import html as H
 from quillgate.functions import text as X
 from quillgate.functions import urls
-from quillgate.operators.rows import lookup_join, top_k
+from quillgate.operators.rows import lookup_join, rank_in_blocks, top_k
 
 
 def parse_pages(pages, html="html", keep=("page_id", "url")):
@@ -82,32 +82,44 @@ def longer_version(versions, key="url"):
         F.concat(F.lit("Browser-rendered fallback used for "), key)).otherwise(""))
 
 
-def page_excerpt(url="url", title="title", text="text", n=700, url_as_title=True):
+def page_excerpt(url="url", title="title", text="text", n=None, url_as_title=True):
+    """Source, title and text of a page; the whole text unless ``n`` characters are asked for."""
     label = X.text(title)
     if url_as_title:
         label = F.when(label == "", F.col(url)).otherwise(label)
-    return F.concat(F.lit("Source: "), url, F.lit("\nTitle: "), label, F.lit("\nText: "), F.left(text, F.lit(n)))
+    body = F.col(text) if n is None else F.left(text, F.lit(n))
+    return F.concat(F.lit("Source: "), url, F.lit("\nTitle: "), label, F.lit("\nText: "), body)
 
 
-def company_summary(pages, key="company_key", max_pages=5):
-    """Page excerpts of the first pages per company in page order, thin-content flag.
+def company_totals(pages, key="company_key"):
+    """Pages, characters and thin-content flag per company over all its pages."""
+    chars = F.sum(F.length("text")) + F.count(F.lit(1)) - 1
+    return pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), chars.alias("text_chars")).withColumn(
+        "thin_content", F.col("text_chars") < T.MIN_USEFUL_TEXT_CHARS)
 
-    At most max_pages rows per company are gathered, whatever the size of the company.
+
+def company_excerpts(pages, key="company_key", n=None, block_rows=1000):
+    """One row per page with its rank in the company; the excerpt has the whole text unless ``n`` is given."""
+    return rank_in_blocks(pages, key, "page_pos", "page_rank", block_rows).withColumn("excerpt", page_excerpt(n=n))
+
+
+def first_pages(pages, k, key="company_key"):
+    """Display step: the first k pages of each company in page order."""
+    return top_k(pages, [key], [F.col("page_pos")], k, "page_rank").drop("page_rank")
+
+
+def company_summary(pages, key="company_key", n=None):
+    """Totals and the excerpts of all given pages per company, in page order, as one text.
+
+    Nothing is left out; ``first_pages`` beforehand and ``n`` shorten it for display.  The text of a company is
+    one cell: ``company_excerpts`` has the same as rows.
     """
-    chosen = top_k(pages, [key], [F.col("page_pos")], max_pages, "page_rank")
-    chosen = chosen.withColumn("excerpt", page_excerpt())
-    ordered = F.sort_array(F.collect_list(F.struct("page_rank", "url", "excerpt")))
-    out = chosen.groupBy(key).agg(
-        ordered.alias("__p"),
-        F.count(F.lit(1)).alias("pages"),
-        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("text_chars"),
-    )
-    return out.select(
+    item = F.struct("page_pos", "url", page_excerpt(n=n).alias("excerpt"))
+    gathered = pages.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("__p"))
+    return company_totals(pages, key).join(gathered, key).select(
         key, "pages", "text_chars",
         F.array_join("__p.excerpt", "\n\n").alias("summary"),
-        X.join_list(F.col("__p.url")).alias("source_urls"),
-        (F.col("text_chars") < T.MIN_USEFUL_TEXT_CHARS).alias("thin_content"),
-    )
+        X.join_list(F.col("__p.url")).alias("source_urls"), "thin_content")
 
 
 # --- reviews --------------------------------------------------------------------------

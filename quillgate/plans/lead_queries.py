@@ -335,7 +335,23 @@ select company_key, count(*) as pages, string_agg('Source: ' || url || chr(10) |
   string_agg(url, ' | ' order by page_pos) as source_urls, sum(length(text)) + count(*) - 1 < 500 as thin_content
 from (select *, row_number() over (partition by company_key order by page_pos) as r from site_pages) where r <= 5 group by company_key"""))
 def page_summary(spark, sf_dir):
-    return web.company_summary(V.site_pages(spark, sf_dir)).select("company_key", "pages", "summary", "source_urls", "thin_content")
+    """Display form: the first five pages, 700 characters of each; page_totals and page_excerpts are whole."""
+    shown = web.first_pages(V.site_pages(spark, sf_dir), 5)
+    return web.company_summary(shown, n=700).select("company_key", "pages", "summary", "source_urls", "thin_content")
+
+
+@query("page_totals", with_(V.SITE_PAGES, select="""
+select company_key, count(*) as pages, cast(sum(length(text)) + count(*) - 1 as bigint) as text_chars,
+  sum(length(text)) + count(*) - 1 < 500 as thin_content from site_pages group by company_key"""))
+def page_totals(spark, sf_dir):
+    return web.company_totals(V.site_pages(spark, sf_dir))
+
+
+@query("page_excerpts", with_(V.SITE_PAGES, select=r"""
+select company_key, page_id, row_number() over (partition by company_key order by page_pos) as page_rank,
+  'Source: ' || url || chr(10) || 'Title: ' || case when title = '' then url else title end || chr(10) || 'Text: ' || text as excerpt from site_pages"""))
+def page_excerpts(spark, sf_dir):
+    return web.company_excerpts(V.site_pages(spark, sf_dir)).select("company_key", "page_id", "page_rank", "excerpt")
 
 
 @query("page_acceptance", with_(V.SITE_PAGES, select="""

@@ -32,6 +32,22 @@ def test_links_and_priority(spark):
     assert best == [("https://x.example/about/customers", 3), ("https://x.example/home/news", 1), ("https://www.x.example/pricing", 1)]
 
 
+def test_company_pages_are_whole(spark):
+    rows = [(i, f"https://x.example/{i}", "x.example", i, f"t{i}", "a" * 900 + str(i)) for i in range(12)] + [
+        (20 + i, f"https://y.example/{i}", "y.example", i, "", "b" * 70) for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, company_key string, page_pos long, title string, text string")
+    chars = {"x.example": sum(len(r[5]) for r in rows[:12]) + 11, "y.example": 7 * 70 + 6}
+    for found in (web.company_totals(pages), web.company_summary(pages)):
+        got = {r.company_key: r for r in found.collect()}
+        assert {k: (r.pages, r.text_chars, r.thin_content) for k, r in got.items()} == {
+            "x.example": (12, chars["x.example"], False), "y.example": (7, chars["y.example"], True)}
+    summary = web.company_summary(pages).where("company_key = 'x.example'").collect()[0]
+    assert summary.source_urls == " | ".join(r[1] for r in rows[:12]) and all(r[5] in summary.summary for r in rows[:12])
+    got = {r.page_id: r for r in web.company_excerpts(pages, block_rows=4).collect()}
+    assert {i: r.page_rank for i, r in got.items()} == {i: pos + 1 for i, _, _, pos, _, _ in rows}
+    assert all(got[r[0]].excerpt.endswith("Text: " + r[5]) for r in rows)
+
+
 def test_themes(spark):
     rows = [("a", 1, "Apple review (1 stars): Paywall before trial"), ("a", 2, "Apple review (2 stars): login code never arrives, crash"),
             ("a", 3, "Apple review (1 stars): crash on signup")]

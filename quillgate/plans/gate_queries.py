@@ -144,17 +144,34 @@ gates as materialized (
 )"""
 
 
-def scored(spark, sf_dir):
-    return gates.apply_sendability(V.lines(spark, sf_dir))
+#: The same gates over whole texts.
+WHOLE_GATES = GATES.replace(V.LINES, V.WHOLE_LINES)
 
 
-@query("gate_sendability", with_(GATES, select=f"""
+def scored(spark, sf_dir, whole=False):
+    return gates.apply_sendability(V.lines(spark, sf_dir, whole))
+
+
+_VERDICTS = f"""
 select row_idx, decision as sendability_decision, cast(score as bigint) as sendability_score,
   {join_sql('hard || soft')} as sendability_reasons, {join_sql('hard')} as hard_fail_reasons, {join_sql('soft')} as soft_edit_reasons,
   'evidence=' || ev || '; copy=' || cp || '; outcome=' || oc || '; template=' || tp || '; surface=' || s_score
-    || '; visual=' || vs || '; viewport=' || vps as sendability_dimensions from gates"""))
+    || '; visual=' || vs || '; viewport=' || vps as sendability_dimensions from gates"""
+
+
+@query("gate_sendability", with_(GATES, select=_VERDICTS))
 def gate_sendability(spark, sf_dir):
-    return scored(spark, sf_dir).select(
+    """Verdicts on first sentences; gate_sendability_whole judges whole texts."""
+    return _verdicts(scored(spark, sf_dir))
+
+
+@query("gate_sendability_whole", with_(WHOLE_GATES, select=_VERDICTS))
+def gate_sendability_whole(spark, sf_dir):
+    return _verdicts(scored(spark, sf_dir, whole=True))
+
+
+def _verdicts(df):
+    return df.select(
         "row_idx", "sendability_decision", F.col("sendability_score").cast("bigint").alias("sendability_score"),
         "sendability_reasons", "hard_fail_reasons", "soft_edit_reasons", "sendability_dimensions")
 

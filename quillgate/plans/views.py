@@ -96,11 +96,12 @@ def strip_sql(expr):
 
 
 # --- lines: documents with labels -----------------------------------------------------------
-def lines(spark, sf_dir):
+def lines(spark, sf_dir, whole=False):
+    """One line per document: its first sentence, or with ``whole`` its whole text."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     k = F.col("doc_id")
-    first = ws_strip(F.split_part("text", F.lit("."), F.lit(1)))
+    first = ws_strip("text" if whole else F.split_part("text", F.lit("."), F.lit(1)))
     df = d.join(lab, "doc_id", "left").withColumn("first_sentence", first)
     human = (
         F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "send")
@@ -161,6 +162,10 @@ lines as (
 )"""
 
 
+#: The same lines from whole texts.
+WHOLE_LINES = LINES.replace("split_part(d.text, '.', 1)", "d.text")
+
+
 # --- leads: one per stored page -------------------------------------------------------------
 def raw_leads(spark, sf_dir):
     """Raw lead sheet in the client layout; blanks where a contact row continues a company."""

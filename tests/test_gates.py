@@ -146,6 +146,16 @@ def test_review_rows_are_gated_before_they_are_shortened(spark):
     assert rows[2].sendability_reasons != rows[1].sendability_reasons == rows[0].sendability_reasons
 
 
+def test_gate_judges_whole_texts(spark, tmp_path):
+    from quillgate.plans import catalog
+
+    text = "The signup hides the plan. " + T.SPAM_PHRASES[0] + " is the second sentence."
+    spark.createDataFrame([(2, text, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    first, whole = (catalog.QUERIES[n](spark, str(tmp_path)).collect()[0].soft_edit_reasons for n in ("gate_sendability", "gate_sendability_whole"))
+    assert "spam_trigger_language" in whole and "spam_trigger_language" not in first
+
+
 def test_copy_guards(spark):
     df = spark.createDataFrame([
         ("I downloaded the acme app and ACME asks for a login", "x", ["", " Acme page "], "Acme", "https://www.acmeapp.io/x"),

@@ -202,14 +202,14 @@ def shorten(c, limit=420):
     return F.when(F.length(t) <= limit, t).otherwise(cut)
 
 
-def clean_notes(c):
+def clean_notes(c, limit=520):
     from quillgate.terms import NOISY_NOTES
 
     t = text(c)
     for noise in NOISY_NOTES:
         t = F.replace(t, F.lit(noise), F.lit(""))
     t = F.trim(F.replace(t, F.lit(" |  | "), F.lit(" | ")), F.lit(" |"))
-    return shorten(t, 520)
+    return shorten(t, limit)
 
 
 def cell_lines(c, limit=900):

@@ -210,14 +210,14 @@ REVIEW_COLUMNS = [
 _WHOLE = 2 ** 31 - 1
 
 
-def _shape(source, how):
+def _shape(source, how, whole=False):
     if how is None:
         return X.text(source)
     if how == "yes_no":
         return X.yes_no(source)
     if how == "notes":
-        return X.clean_notes(source)
-    return X.cell_lines(source, how)
+        return X.clean_notes(source, _WHOLE) if whole else X.clean_notes(source)
+    return X.cell_lines(source, _WHOLE if whole else how)
 
 
 def _run_line():
@@ -235,15 +235,18 @@ def _run_inputs(rows):
         "__evidence": X.first_present("evidence_used_for_copy", "evidence_points"), "__line": _run_line()})
 
 
-def review_rows(rows, order="row_idx"):
-    """Compact review rows with all gate columns; the gate sees whole texts, cells are shortened after it."""
+def review_rows(rows, order="row_idx", shortened=True):
+    """Review rows with all gate columns; the gate sees whole texts, cells are shortened after it.
+
+    With ``shortened=False`` every cell has its whole text.
+    """
     df = _run_inputs(rows)
     cut = {target: (source, how) for target, source, how in _REVIEW_CELLS if isinstance(how, int)}
     line = F.col("__line")
     option = []
     for i in (1, 2, 3):
         for target, source, how in _OPTION_FIELDS:
-            value = _shape(f"{source}_option_{i}", how)
+            value = _shape(f"{source}_option_{i}", how, not shortened)
             if i == 1 and target == "line":
                 value = X.first_present(value, line)
             option.append(value.alias(f"option_{i}_{target}"))
@@ -253,10 +256,10 @@ def review_rows(rows, order="row_idx"):
         *[line.alias(c) for c in ("model_opening_line", "current_opening_line", "final_delivery_line", "personalized_line")],
         row_status("__line").alias("status"), F.col("company_name").alias("company"),
         F.col("recipient_name").alias("person"), *option,
-        X.cell_lines("template_preview", 520).alias("template_preview"),
+        _shape("template_preview", 520, not shortened).alias("template_preview"),
         *[X.text(c).alias(c) for c in _REVIEW_PLAIN],
-        *[_shape(source, _WHOLE if target in cut else how).alias(target) for target, source, how in _REVIEW_CELLS],
-        *[_shape(source, how).alias(f"cell__{target}") for target, (source, how) in cut.items()],
+        *[_shape(source, how, target in cut or not shortened).alias(target) for target, source, how in _REVIEW_CELLS],
+        *[_shape(source, how, not shortened).alias(f"cell__{target}") for target, (source, how) in cut.items()],
         *[X.text(c).alias(c) for c in _RUN_METADATA], *tail)
     out = apply_sendability(ensure_columns(out, _EDIT_COLUMNS), order=order)
     cells = [F.col(f"cell__{c}").alias(c) if c in cut else F.col(c) for c in REVIEW_COLUMNS]
@@ -294,15 +297,17 @@ _RESEARCH_SOURCES = [s for _, s, _ in _RESEARCH if not s.startswith("__")]
 RESEARCH_COLUMNS = [t for t, _, _ in _RESEARCH]
 
 
-def research_rows(rows, order="row_idx"):
-    """Research detail rows."""
+def research_rows(rows, order="row_idx", shortened=False):
+    """Research detail rows with whole texts; ``shortened`` cuts the cells for display."""
     df = _run_inputs(rows).withColumn("__visual", F.concat(
         X.text("visual_confidence"), F.lit(" ("), X.text("visual_confidence_score"), F.lit("/100)")))
 
     def shape(source, how):
         if how is None:
             return X.text(source)
-        return X.clean_notes(source) if how == "notes" else X.shorten(source, how)
+        if how == "notes":
+            return X.clean_notes(source) if shortened else X.clean_notes(source, _WHOLE)
+        return X.shorten(source, how if shortened else _WHOLE)
 
     tail = [c for c in rows.columns if c.startswith("input__")]
     return df.select(order, *[shape(s, how).alias(t) for t, s, how in _RESEARCH], *tail)

@@ -653,7 +653,19 @@ def review_rows(spark, sf_dir):
 select row_idx, company, 'visual ' || visual_confidence as v, case when length(t) <= 900 then t else rtrim(left(t, 897), {V.WS_SQL}) || '...' end as "evidence found"
 from (select row_idx, company, visual_confidence, {V.strip_sql(f"regexp_replace({_REPAIRED.replace('(x', '(evidence_found')}, '{WS}+', ' ', 'g')")} as t from lines)"""))
 def research_rows(spark, sf_dir):
-    return delivery.research_rows(run_rows(spark, sf_dir)).select(
+    """Display form with shortened cells; research_rows_whole has the whole texts."""
+    return _research(spark, sf_dir, shortened=True)
+
+
+@query("research_rows_whole", with_(V.LINES, select=f"""
+select row_idx, company, 'visual ' || visual_confidence as v,
+  {V.strip_sql(f"regexp_replace({_REPAIRED.replace('(x', '(evidence_found')}, '{WS}+', ' ', 'g')")} as "evidence found" from lines"""))
+def research_rows_whole(spark, sf_dir):
+    return _research(spark, sf_dir)
+
+
+def _research(spark, sf_dir, **how):
+    return delivery.research_rows(run_rows(spark, sf_dir), **how).select(
         "row_idx", "company", F.concat(F.lit("visual "), F.split_part("visual confidence", F.lit("("), F.lit(1))).alias("v"), "evidence found").withColumn(
         "v", F.when(F.trim("v") == "visual", F.lit("visual ")).otherwise(F.rtrim("v")))
 

@@ -156,6 +156,19 @@ def test_gate_judges_whole_texts(spark, tmp_path):
     assert "spam_trigger_language" in whole and "spam_trigger_language" not in first
 
 
+def test_research_and_review_texts_are_whole(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    df = spark.createDataFrame([{
+        "row_idx": 0, "company_name": "Acme", "opening_line": LINE_A, "evidence_used_for_copy": long, "reviewer_notes": long,
+        "visual_quality_flags": long, "quality_flags": long, "template_preview": long, "quality_flags_option_1": long}])
+    row = delivery.research_rows(df).collect()[0]
+    assert row["evidence found"] == row["raw reviewer notes"] == row["visual flags"] == row["template preview"] == long
+    row = delivery.research_rows(df, shortened=True).collect()[0]
+    assert len(row["evidence found"]) <= 900 and len(row["raw reviewer notes"]) <= 520 and len(row["visual flags"]) <= 500
+    row = delivery.review_rows(df, shortened=False).collect()[0]
+    assert row.quality_flags == row.template_preview == row.option_1_quality_flags == row.reviewer_notes == long
+
+
 def test_copy_guards(spark):
     df = spark.createDataFrame([
         ("I downloaded the acme app and ACME asks for a login", "x", ["", " Acme page "], "Acme", "https://www.acmeapp.io/x"),

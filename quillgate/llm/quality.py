@@ -3,7 +3,8 @@
 Texts become counts of character shapes, byte trigrams and repetition, weighted by inverse document
 frequency and projected on the leading singular vectors of the labelled sample.  The labelled vectors
 (a bounded sample) go to every task; each document meets all of them in exact blocked cosine products,
-and its nearest neighbours vote with their similarity as weight.
+and its nearest neighbours vote with their similarity as weight, times the number of labelled rows that
+one sampled row of their label stands for: the balance of the votes is that of all labelled rows.
 
 Defined results: a null or empty text has no vector and gets the share of label 1 among all labelled
 rows (0.5 if there is none), as does every text when nothing is labelled; repeated rows get equal
@@ -33,13 +34,15 @@ _SHAPE[0x80:] = 3
 
 
 class Model(NamedTuple):
-    """Feature weights, projection, unit vectors of labelled documents, their labels, and the share of label 1."""
+    """Feature weights, projection, unit vectors of labelled documents, their labels, the share of label 1, and
+    the labelled rows that a sampled row of each label stands for."""
 
     weights: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
+    stands_for: tuple = (1.0, 1.0)
 
 
 def _histogram(codes, width, doc_of, n, offsets):
@@ -95,9 +98,11 @@ def vectors(column, weights, projection):
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
 
-def fit(sample, counts, dimensions=DIMENSIONS):
-    """Singular vectors and labelled vectors from a bounded (text, label) sample; features are made on the executors."""
+def fit(sample, counts, dimensions=DIMENSIONS, per_label=PER_LABEL):
+    """Singular vectors and labelled vectors from a (text, label) sample of at most ``per_label`` ids of each label;
+    ``counts`` are those of all labelled rows.  Features are made on the executors."""
     prior = counts[1] / sum(counts) if sum(counts) else 0.5
+    stands_for = tuple(max(n / per_label, 1.0) for n in counts)
 
     def rows_of(batches):
         for batch in batches:
@@ -110,7 +115,7 @@ def fit(sample, counts, dimensions=DIMENSIONS):
     got.sort(key=lambda r: (r["label"], bytes(r["row"])))
     width = 2 * BUCKETS + 3
     if not got:
-        return Model(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
+        return Model(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, stands_for)
     matrix = np.stack([np.frombuffer(r["row"], np.float16) for r in got]).astype(np.float32)
     weights = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
     weights[-3:] *= 2
@@ -120,18 +125,19 @@ def fit(sample, counts, dimensions=DIMENSIONS):
     latent = matrix @ projection
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 1e-9)
-    return Model(weights, projection, latent, np.array([r["label"] for r in got], float), prior)
+    return Model(weights, projection, latent, np.array([r["label"] for r in got], float), prior, stands_for)
 
 
 def vote(model, latent, neighbours=NEIGHBOURS, block=512):
-    """Similarity-weighted share of label 1 among the nearest labelled vectors, block by block."""
+    """Share of label 1 among the nearest labelled vectors, block by block; weights are similarity times rows stood for."""
     score = np.full(len(latent), model.prior)
+    stands_for = np.where(model.labels == 1, model.stands_for[1], model.stands_for[0])
     k = min(neighbours, len(model.labels))
     for lo in range(0, len(latent) if k else 0, block):
         part = latent[lo:lo + block]
         cosine = part @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float)
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) * stands_for[near]
         total = weight.sum(axis=1)
         voted = (weight * model.labels[near]).sum(axis=1)
         has = (total > 0) & (np.abs(part).sum(axis=1) > 0)

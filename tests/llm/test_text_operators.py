@@ -267,6 +267,20 @@ def test_vote_equals_brute_force():
     assert np.allclose(quality.vote(model, asked, 7, block=16), want, atol=1e-5)
 
 
+def test_votes_keep_the_balance_of_all_labelled_rows(spark):
+    """Of 1,000 labelled rows 80 % are good; the sample has 40 of each label."""
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice(words, 30))) for i in range(80)]
+    sample = docs_of(spark, texts).select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label"))
+    model = quality.fit(sample, (200, 800), per_label=40)
+    asked = docs_of(spark, [(i, " ".join(rng.choice(words, 30))) for i in range(100)])
+    score = asked.select(F.avg(quality.quality(model, F.col("text")))).collect()[0][0]
+    assert 0.7 < score < 0.9
+    twins = quality.Model(None, None, np.array([[1, 0], [1, 0]], np.float32), np.array([0.0, 1.0]), 0.8, (5.0, 20.0))
+    assert np.allclose(quality.vote(twins, np.array([[1, 0]], np.float32), 2), 0.8)
+
+
 def test_language_windows_cover_whole_texts(spark):
     found = {r["doc_id"]: r for r in queries.op6_byte_cnn_language(spark, "/root/testdata/sf0.01").collect()}
     truth = {r["doc_id"]: r["lang"] for r in table(spark, "/root/testdata/sf0.01", "documents").where(held_out("doc_id")).collect()}

@@ -126,10 +126,11 @@ def last_per_key(df, keys, order, columns=None):
 
 
 def top_k(df, keys, order, k, rank="rank"):
-    """First k rows per key.  Spark limits each group before the shuffle, so a huge group
-    sends at most k rows per input task."""
+    """First k rows per key, or all rows with their rank where k is None.  Spark limits each group before the
+    shuffle, so a huge group sends at most k rows per input task."""
     window = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def rank_in_blocks(df, key, order, rank="rank", block_rows=1000):

@@ -33,19 +33,19 @@ def same_site_links(links, url="url"):
     return links.filter(urls.same_host(url, "link_url")).withColumn("link_url", urls.strip_query("link_url"))
 
 
-def priority_links(links, url="url", max_pages=5):
+def priority_links(links, url="url", max_pages=None):
     """Links whose path or label names a priority topic: most matches first, URL descending
-    on ties, each URL once, at most max_pages-1 per page."""
+    on ties, each URL once; all of them, or at most max_pages-1 per page where that is given."""
     site = same_site_links(links, url)
     hay = F.lower(F.concat_ws(" ", urls.path("link_url"), "label"))
     score = sum((hay.contains(t).cast("int") for t in T.PRIORITY_PATH_TERMS), F.lit(0))
     scored = site.withColumn("matches", score).filter((F.col("matches") > 0) & (F.col("link_url") != F.col(url)))
     unique = scored.groupBy("page_id", "link_url").agg(F.max("matches").alias("matches"))
-    return top_k(unique, ["page_id"], [F.desc("matches"), F.desc("link_url")], max_pages - 1)
+    return top_k(unique, ["page_id"], [F.desc("matches"), F.desc("link_url")], None if max_pages is None else max_pages - 1)
 
 
-def app_store_links(links, leads=None, k=3):
-    """App-store links per page, best store first, at most three."""
+def app_store_links(links, leads=None, k=None):
+    """All app-store links per page, best store first, or the first k."""
     hit = X.any_of([F.col("link_url").contains(d) for d in T.APP_STORE_DOMAINS])
     rows = links.filter(hit).select("page_id", "link_url")
     if leads is not None:
@@ -392,20 +392,31 @@ def merge_detectors(findings, key="page_key", columns=("flag", "finding")):
     return long.groupBy(key, "kind", "value").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("times"))
 
 
-def deep_research(leads, store_links, store_pages, complaints, themes, key="page_id", shown=4):
-    """Per company: best app link, store page summaries, the first complaints, all themes and notes.
+def deep_links(store_links, store_pages, n=None):
+    """One row per store link: its rank, whether its page is stored, and the excerpt with the whole text or n characters."""
+    pages = store_pages.select(F.col("url").alias("link_url"), "title", "text")
+    return lookup_join(store_links, pages, ["link_url"]).withColumns({
+        "found": F.col("text").isNotNull(), "excerpt": page_excerpt("link_url", "title", "text", n, False)}).drop("title", "text")
+
+
+def deep_complaints(complaints, key="page_id", shown=None):
+    """One row per complaint with its rank in the company; all of them, or the first ``shown``."""
+    return top_k(complaints, [key], [F.col("pos")], shown, "complaint_rank")
 
-    The report shows ``shown`` complaints; themes are counted over all of them beforehand.
+
+def deep_research(leads, store_links, store_pages, complaints, themes, key="page_id", shown=None, n=None):
+    """Per company: best app link, store page texts, complaints, all themes and notes.
+
+    Texts and complaints are whole; ``n`` characters of a page and ``shown`` complaints are limits for display.
+    ``deep_links`` and ``deep_complaints`` hold the same as rows.
     """
-    pages = store_pages.select(F.col("url").alias("link_url"), "title", "text")
-    joined = lookup_join(store_links, pages, ["link_url"])
-    item = F.struct("rank", "link_url", F.col("text").isNotNull().alias("found"),
-                    page_excerpt("link_url", "title", "text", 1000, False).alias("excerpt"))
+    joined = deep_links(store_links, store_pages, n)
+    item = F.struct("rank", "link_url", "found", "excerpt")
     links = joined.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("l"))
     links = links.select(
         key, F.element_at("l", 1)["link_url"].alias("app_store_url"),
         F.filter("l", lambda x: x["found"]).alias("hit"), F.filter("l", lambda x: ~x["found"]).alias("miss"))
-    talk = top_k(complaints, [key], [F.col("pos")], shown, "complaint_rank").groupBy(key).agg(
+    talk = deep_complaints(complaints, key, shown).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("complaint_rank", "complaint"))).alias("c"))
     theme = themes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("theme_rank", "theme_text"))).alias("t"))
     out = leads.join(links, key, "left").join(talk, key, "left").join(theme, key, "left")

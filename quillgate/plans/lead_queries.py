@@ -268,7 +268,7 @@ select page_id, link_url, matches, cast(row_number() over (partition by page_id
   select page_id, clean_url as link_url, cast(max({_MATCHES}) as bigint) as matches from site
   where {_MATCHES} > 0 and clean_url <> url group by 1, 2) qualify rank <= 4"""))
 def priority_links(spark, sf_dir):
-    out = web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))))
+    out = web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))), max_pages=5)
     return out.select("page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -302,8 +302,21 @@ select page_id, link_url, matches, rank from (
       select *, {" + ".join(f"contains(lower(regexp_extract(clean_url, '{_P}', 3) || ' ' || label), {q(t)})::int" for t in T.PRIORITY_PATH_TERMS)} as m from site)
     where m > 0 and clean_url <> url group by page_id, clean_url)) where rank <= 4"""))
 def priority_link_ranks(spark, sf_dir):
-    return web.priority_links(_links(spark, sf_dir)).select(
-        "page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
+    """Display form of four links a page; priority_link_ranks_whole has all."""
+    return _ranked(web.priority_links(_links(spark, sf_dir), max_pages=5))
+
+
+@query("priority_link_ranks_whole", with_(_LINKS, select=rf"""
+select *, row_number() over (partition by page_id order by matches desc, link_url desc) as rank from (
+  select page_id, clean_url as link_url, cast(max(m) as bigint) as matches from (
+    select *, {" + ".join(f"contains(lower(regexp_extract(clean_url, '{_P}', 3) || ' ' || label), {q(t)})::int" for t in T.PRIORITY_PATH_TERMS)} as m from site)
+  where m > 0 and clean_url <> url group by page_id, clean_url)"""))
+def priority_link_ranks_whole(spark, sf_dir):
+    return _ranked(web.priority_links(_links(spark, sf_dir)))
+
+
+def _ranked(found):
+    return found.select("page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _stores(spark, sf_dir):

@@ -48,6 +48,25 @@ def test_company_pages_are_whole(spark):
     assert all(got[r[0]].excerpt.endswith("Text: " + r[5]) for r in rows)
 
 
+def test_deep_research_is_whole(spark):
+    leads = spark.createDataFrame([(1,)], "page_id long")
+    urls = [f"https://apps.apple.com/de/app/id{i}" for i in range(6)]
+    links = spark.createDataFrame([(1, u) for u in urls], "page_id long, link_url string")
+    stores = web.app_store_links(links)
+    assert [r.link_url for r in stores.orderBy("rank").collect()] == urls and web.app_store_links(links, k=3).count() == 3
+    pages = spark.createDataFrame([(u, "", "a" * 4000 + f" end{i}") for i, u in enumerate(urls)], "url string, title string, text string")
+    talk = spark.createDataFrame([(1, i, f"complaint {i}") for i in range(9)], "page_id long, pos long, complaint string")
+    themes = spark.createDataFrame([(1, 1, "theme")], "page_id long, theme_rank int, theme_text string")
+    row = web.deep_research(leads, stores, pages, talk, themes).collect()[0]
+    assert all(f" end{i}" in row.app_store_summary for i in range(6)) and row.deep_source_urls == " | ".join(urls)
+    assert row.app_review_complaints == " | ".join(f"complaint {i}" for i in range(9))
+    row = web.deep_research(leads, stores, pages, talk, themes, shown=4, n=1000).collect()[0]
+    assert " end0" not in row.app_store_summary and row.app_review_complaints.endswith("complaint 3")
+    topics = "".join(f"<a href='/pricing/{i}'>Pricing</a>" for i in range(8))
+    page = spark.createDataFrame([(1, "https://x.example/", topics)], "page_id long, url string, html string")
+    assert web.priority_links(web.page_links(web.parse_pages(page))).count() == 8
+
+
 def test_themes(spark):
     rows = [("a", 1, "Apple review (1 stars): Paywall before trial"), ("a", 2, "Apple review (2 stars): login code never arrives, crash"),
             ("a", 3, "Apple review (1 stars): crash on signup")]

@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgate.llm import bpe, decontam, langid, probmin, quality, quotes, severity, sharding, topk, urls
+from quillgate.llm import (
+    bpe, decontam, golay, importance, langid, probmin, quality, quotes, severity, sharding, topk, urls, variants)
 from quillgate.llm.store import held_out, labelled_sample, table
 
 QUERIES, SQL = {}, {}
@@ -187,3 +188,87 @@ def op9_toxicity_severity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return docs.select("doc_id", severity.severity(model, F.col("text")).alias("s")).select("doc_id", "s.severity", "s.grade", "s.toxic")
+
+
+@query("op11_golay_simhash")
+def op11_golay_simhash(spark, sf_dir):
+    return golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of every distinct string of ``names(f)``: the xor of one table value for each byte by its place from
+#: the end, and of what the start value becomes over so many zero bytes.
+_CRC = """
+longest as (select coalesce(max(octet_length(encode(f))), 0) most from names),
+bits as (
+  select cast(b as ubigint) b, cast(b as ubigint) v, 0 i from range(256) as t(b)
+  union all select b, case when v % 2 = 1 then xor(v >> 1, cast(3988292384 as ubigint)) else v >> 1 end, i + 1 from bits where i < 8),
+bytes as (select b, v, printf('%02X', cast(b as integer)) pair from bits where i = 8),
+shifted as (
+  select 0 place, pair, v from bytes
+  union all select place + 1, s.pair, xor(s.v >> 8, t.v) from shifted s join bytes t on t.b = s.v % 256 where place < (select most from longest)),
+started as (
+  select 0 place, cast(4294967295 as ubigint) v
+  union all select place + 1, xor(s.v >> 8, t.v) from started s join bytes t on t.b = s.v % 256 where place < (select most from longest)),
+spelt as (select f, hex(encode(f)) h, octet_length(encode(f)) n from names),
+placed as (select f, n, substr(h, 2 * i + 1, 2) pair, n - 1 - i place from (select *, unnest(range(n)) i from spelt)),
+crc as (
+  select f, xor(xor(bit_xor(s.v), any_value(z.v)), cast(4294967295 as ubigint)) h
+  from placed p join shifted s using (place, pair) join started z on z.place = p.n group by f)"""
+
+
+@query("op12_importance_resampling", sql=f"""
+with recursive d as (select row_number() over () r, doc_id, coalesce({_WORDS}, []) w from documents),
+e as (select coalesce({_WORDS}, []) w from benchmark),
+df as (select r, f, count(*) n from (
+  select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from d) group by all),
+ef as (select f, count(*) n from (
+  select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from e) group by all),
+names as (select f from df union select f from ef),{_CRC},
+b as (select f, cast(h % 10000 as integer) bucket from crc),
+s as (select bucket, sum(n) n from df join b using (f) group by all),
+t as (select bucket, sum(n) n from ef join b using (f) group by all),
+g as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+    / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double))) gain
+  from s full join t using (bucket)),
+w as (select r, sum(n) n_features, floor(sum(n * gain) / sum(n)) weight from df join b using (f) join g using (bucket) group by r),
+x as (
+  select r, doc_id, len(w) n_words, cast(coalesce(n_features, 0) as bigint) n_features, cast(coalesce(weight, 0) as bigint) weight,
+    ('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint::double h
+  from d left join w using (r)),
+y as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) score from x),
+z as (select r, row_number() over (order by score desc, doc_id) k from y where n_words >= 20)
+select doc_id, n_features, weight, score, case when k <= (select 25 * count(*) // 100 from z) then k end as rank
+from y left join z using (r)""")
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants", sql=f"""
+with recursive runs as (
+  select r, count(*) n, coalesce(cast(doc_id as varchar), '') || ':' || r f from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) r
+    from documents)
+  where length(r) >= 6 group by doc_id, r),
+names as (select distinct f from runs),{_CRC},
+thinned as (
+  select case when h % 199 = 0 then substr(r, 1, cast(h % length(r) as bigint)) || substr(r, cast(h % length(r) as bigint) + 2) else r end word, n
+  from runs join crc using (f)),
+words as (select word, cast(sum(n) as bigint) n from thinned where length(word) >= 6 group by word having sum(n) >= 5),
+rests as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from (select *, unnest(range(1, length(word) + 1)) i from words)),
+near as (
+  select a.word a, b.word b, b.n from rests a join rests b on a.i = b.i and a.rest = b.rest and length(a.word) = length(b.word) and a.word <> b.word
+  union select a.word, b.word, b.n from rests a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from rests a join words b on a.rest = b.word),
+best as (select a word, count(*) n_near, max(n) form_n from near group by a),
+ties as (select a word, min(b) form from near join best on a = best.word and n = form_n group by a),
+forms as (
+  select word, n, coalesce(n_near, 0) n_near, case when form_n >= 5 * n then form end form, case when form_n >= 5 * n then form_n end form_n
+  from words left join best using (word) left join ties using (word)),
+ways as (
+  select word, word root, 0 k from forms
+  union all select w.word, f.form, k + 1 from ways w join forms f on w.root = f.word where f.form is not null)
+select word, form, (select arg_max(root, k) from ways w where w.word = forms.word) root, n, n_near, form_n from forms""")
+def op13_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))

@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from quillgate import terms as T
 
 _COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
-_TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title|\z)"
+#: What follows a tag's name: up to the first > outside of quoted attribute values.
+_REST = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+_TAG = rf"<[a-zA-Z/!?]{_REST}(?:>|\z)"
+_TITLE = rf"(?is)<title\b{_REST}>(.*?)(?:</title|\z)"
 #: An anchor with an href: the quoted or bare value, and what follows up to the next end or start of an anchor.
-_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)(?:</a\s*>|<a\s|\z)"""
+_ANCHOR = rf"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+){_REST}>(.*?)(?:</a\s*>|<a\s|\z)"""
 
 
 def _element(tag):
-    return rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)"
+    return rf"(?is)<{tag}\b{_REST}>.*?(?:</{tag}\s*>|\z)"
+
+
+def _bound(c, fn):
+    """fn(c) with c evaluated once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
 
 
 def _squeeze(c):
@@ -36,12 +43,15 @@ def _number(part):
 
 def entities(c):
     """Characters for numeric and the common named entities; "&amp;" last, so nothing is decoded twice."""
-    parts = F.split(c, "&#", -1)
-    numbered = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _number), ""))
-    c = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(c)
-    for name, char in T.ENTITIES.items():
-        c = F.regexp_replace(c, f"&{name};?" if name in T.BARE_ENTITIES else f"&{name};", char)
-    return c
+    def decoded(t):
+        parts = F.split(t, "&#", -1)
+        numbered = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _number), ""))
+        t = F.when(F.contains(t, F.lit("&#")), numbered).otherwise(t)
+        for name, char in T.ENTITIES.items():
+            t = F.regexp_replace(t, f"&{name};?" if name in T.BARE_ENTITIES else f"&{name};", char)
+        return t
+
+    return _bound(c, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def title(html):
@@ -69,11 +79,24 @@ def links(html):
 
 
 # --- the same in SQL for the check engine -------------------------------------------------------
+def _pattern_sql(pattern):
+    """The pattern for an engine that never tries again, so it knows no possessive marks."""
+    return pattern.replace("++", "+").replace("*+", "*").replace("'", "''")
+
+
 def _replace_sql(expr, pattern, by):
-    return f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"regexp_replace({expr}, '{_pattern_sql(pattern)}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+
+
+#: The character of a numeric entity whose mark "&#" is cut off, and the rest.
+_NUMBER_SQL = r"""list_transform([{'p': p, 'w': regexp_extract(p, '^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?', 0)}], lambda n:
+  list_transform([case when n.w = '' then 0 when regexp_matches(n.w, '^[0-9]') then regexp_extract(n.w, '^([0-9]+)', 1)::int
+    else ('0x' || regexp_extract(n.w, '^[xX]([0-9a-fA-F]+)', 1))::int end], lambda c:
+    case when c between 1 and 1114111 and not c between 55296 and 57343 then chr(c) || substr(n.p, length(n.w) + 1) else '&#' || n.p end)[1])[1]"""
 
 
 def _entities_sql(expr):
+    expr = f"list_transform([string_split({expr}, '&#')], lambda q: q[1] || array_to_string(list_transform(q[2:], lambda p: {_NUMBER_SQL}), ''))[1]"
     for name, char in T.ENTITIES.items():
         expr = _replace_sql(expr, f"&{name};?" if name in T.BARE_ENTITIES else f"&{name};", char)
     return expr
@@ -84,7 +107,7 @@ def _squeeze_sql(expr):
 
 
 def title_sql(html="html"):
-    found = f"regexp_extract({html}, '{_TITLE}', 1)"
+    found = f"regexp_extract({html}, '{_pattern_sql(_TITLE)}', 1)"
     return _squeeze_sql(_entities_sql(_replace_sql(found, _TAG, " ")))
 
 
@@ -100,7 +123,7 @@ def links_sql(html="html"):
     expr = _replace_sql(html, _COMMENT, "")
     for tag in ("script", "style"):
         expr = _replace_sql(expr, _element(tag), " ")
-    anchor = _ANCHOR.replace("'", "''")
+    anchor = _pattern_sql(_ANCHOR)
     pairs = f"list_zip(regexp_extract_all({expr}, '{anchor}', 1), regexp_extract_all({expr}, '{anchor}', 2))"
     href = f"trim({_entities_sql(_replace_sql('x[1]', chr(94) + '[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$', ''))})"
     label = _squeeze_sql(_entities_sql(_replace_sql("x[2]", _TAG, " ")))

@@ -1,22 +1,26 @@
-"""Sensitive-value scan and redaction as Column expressions."""
+"""Sensitive-value scan and redaction: Column expressions, their SQL form, and a ledger of the places found.
 
+The SQL form is for engines without look-around: marks are put behind every character that is not part of a
+word, and before it where a word ends there.  So the border of a word is a mark that a pattern can consume;
+there is one for the match that ends and one for the match that begins at it.
+"""
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
 from quillgate.functions.text import SEP, flags, text
 
-_STEPS = [
+STEPS = [
     ("local_windows_path", T.WINDOWS_PATH, "[redacted]"),
     ("local_unix_user_path", T.UNIX_PATH, "[redacted]"),
     ("email_address", T.EMAIL, "[redacted email]"),
     ("phone_number", T.PHONE, "[redacted]"),
     ("api_key_like", T.API_KEY, "[redacted]"),
+    ("secret_query_parameter", T.SECRET_VALUE, "$1[redacted]"),
 ]
-_SECRET_VALUE = T.SECRET_PARAM + r"[^&\s|]+"
-
-
-def _has_secret(t):
-    return t.rlike(_SECRET_VALUE)
+#: Classes of a scan with their patterns; trace files are found, not redacted.
+CLASSES = {**{name: pattern for name, pattern, _ in STEPS}, "trace_file": T.TRACE_FILE}
 
 
 def sanitize(c):
@@ -27,11 +31,9 @@ def sanitize(c):
     """
     t = text(c)
     pairs = []
-    for name, pattern, replacement in _STEPS:
+    for name, pattern, replacement in STEPS:
         pairs.append((t.rlike(pattern), name))
         t = F.regexp_replace(t, pattern, replacement)
-    pairs.append((_has_secret(t), "secret_query_parameter"))
-    t = F.regexp_replace(t, _SECRET_VALUE, "$1[redacted]")
     return t, F.sort_array(flags(*pairs))
 
 
@@ -39,9 +41,7 @@ def sanitize_columns(df, source, out, flag_out):
     """The same as staged projections, which evaluate every replacement only once."""
     stage = "__redact"
     df = df.withColumn(stage, text(source)).withColumn(flag_out, F.lit(""))
-    for name, pattern, replacement in _STEPS + [
-        ("secret_query_parameter", _SECRET_VALUE, "$1[redacted]")
-    ]:
+    for name, pattern, replacement in STEPS:
         df = df.withColumns({
             flag_out: F.when(
                 F.col(stage).rlike(pattern), F.concat(F.col(flag_out), F.lit(SEP + name))
@@ -58,6 +58,130 @@ def scan(c, ignore_redacted=True):
     t = text(c)
     if ignore_redacted:
         t = F.regexp_replace(t, T.SECRET_PARAM + r"\[redacted\]", "")
-    pairs = [(t.rlike(pattern), name) for name, pattern, _ in _STEPS]
-    pairs += [(t.rlike(T.TRACE_FILE), "trace_file"), (_has_secret(t), "secret_query_parameter")]
-    return F.sort_array(flags(*pairs))
+    return F.sort_array(flags(*[(t.rlike(pattern), name) for name, pattern in CLASSES.items()]))
+
+
+# --- the ledger --------------------------------------------------------------------------
+_OPEN, _CLOSE = "\x02", "\x03"
+
+
+def span_rows(df, key, column):
+    """The ledger: (key, class, start, length) of every match of every class in the whole text, places from 1.
+
+    Every class is searched on its own.  Matches are enclosed by marks in one replacement per class, and the
+    pieces between the marks give lengths; only lengths of texts with a match are handed on, and summed up to
+    places per text and class.
+    """
+    t = text(column)
+
+    def lengths(name, pattern):
+        pieces = F.split(F.regexp_replace(t, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+        each = F.transform(pieces, lambda p: F.struct(
+            F.greatest(F.instr(p, _CLOSE) - 1, F.lit(0)).alias("length"),
+            (F.length(p) - F.when(F.contains(p, F.lit(_CLOSE)), 1).otherwise(0)).alias("whole")))
+        return F.when(t.rlike(pattern), F.struct(F.lit(name).alias("class"), each.alias("pieces")))
+
+    found = F.array_compact(F.array(*[lengths(n, p) for n, p in CLASSES.items()]))
+    rows = df.select(key, F.explode(found).alias("f")).select(key, "f.class", F.posexplode("f.pieces").alias("at", "p"))
+    before = W.partitionBy(key, "class").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.select(key, "class", "at", "p.length", (F.coalesce(F.sum("p.whole").over(before), F.lit(0)) + 1).alias("start"))
+    return placed.where("at > 0").select(key, "class", "start", F.col("length").cast("long").alias("length"))
+
+
+def merged_spans(spans, key):
+    """(key, start, length, classes): spans that overlap are one, with the sorted classes of all."""
+    end = F.col("start") + F.col("length")
+    before = W.partitionBy(key).orderBy("start", "length", "class").rowsBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy(key).orderBy("start", "length", "class").rowsBetween(W.unboundedPreceding, 0)
+    marked = spans.withColumn("__new", F.coalesce(F.col("start") >= F.max(end).over(before), F.lit(True)).cast("int"))
+    grouped = marked.withColumn("__group", F.sum("__new").over(so_far))
+    return grouped.groupBy(key, "__group").agg(
+        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("length"), F.sort_array(F.collect_set("class")).alias("classes")
+    ).drop("__group")
+
+
+# --- the same as SQL ------------------------------------------------------------------------
+# marks: behind a character that is no part of a word; before it, two for the end of a word
+_AFTER, _STOP, _EDGE = "\x01", "\x04", "\x06"
+_NO_WORD = r"[^\p{L}\p{N}_]"
+_BEGIN, _END, _MAYBE = f"(?:^|{_AFTER})", f"(?:$|{_STOP})", f"(?:{_STOP}{_EDGE})?"
+#: A match that begins with a mark of punctuation, right behind a word.
+_BEHIND = f"{_STOP}?{_EDGE}"
+_MAIL_CHAR = rf"(?:[{T.LETTER_CHARS}0-9_]|{_MAYBE}[.%+\-]{_AFTER})"
+_KEY_CHAR = rf"(?:[A-Za-z0-9_]|{_MAYBE}-{_AFTER})"
+#: class: (is the text marked, pattern, groups of the match, and behind it)
+_SQL_CLASSES = {
+    "local_windows_path": (False, T.WINDOWS_PATH, r"\0", ""),
+    "local_unix_user_path": (False, T.UNIX_PATH, r"\0", ""),
+    "email_address": (
+        True, rf"(?:{_BEGIN}([{T.LETTER_CHARS}0-9_])|{_BEHIND}([.%+\-]{_AFTER}))({_MAIL_CHAR}*{_MAYBE}@{_AFTER}"
+        rf"(?:[{T.LETTER_CHARS}0-9]|{_MAYBE}[.\-]{_AFTER})+{_MAYBE}\.{_AFTER}[{T.LETTER_CHARS}]{{2,}}){_END}", r"\1\2\3", ""),
+    "phone_number": (
+        True, rf"{_BEGIN}((?:\+{_AFTER})?\p{{Nd}}(?:\p{{Nd}}|{_MAYBE}[{T.SPACE_CHARS}().\-]{_AFTER}){{7,}}\p{{Nd}}){_END}", r"\1", ""),
+    "api_key_like": (
+        True, rf"(?:{_BEGIN}(sk{_MAYBE}-{_AFTER}{_KEY_CHAR}{{15,}}|AIza{_KEY_CHAR}{{19,}}|[A-Za-z0-9_]{_KEY_CHAR}{{30,}})|"
+        rf"{_BEHIND}(-{_AFTER}{_KEY_CHAR}{{30,}}))(?:([A-Za-z0-9_]){_END}|({_MAYBE}-{_AFTER})({T.WORD_CLASS}))", r"\1\2\3\4", r"\5"),
+    "secret_query_parameter": (False, T.SECRET_VALUE, r"\0", ""),
+    "trace_file": (
+        True, rf"(?i)({_MAYBE}\.{_AFTER}trace{_MAYBE}\.{_AFTER}zip|trace_[^|;\n\r\t]+\.{_AFTER}zip|{_MAYBE}\.{_AFTER}zip){_END}", r"\1", ""),
+}
+
+
+def _q(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _marked_sql(x, marked):
+    if not marked:
+        return x
+    after = rf"regexp_replace({x}, '({_NO_WORD})', '\1' || chr(1), 'g')"
+    return rf"regexp_replace({after}, '({T.WORD_CLASS})({_NO_WORD})', '\1' || chr(4) || chr(6) || '\2', 'g')"
+
+
+def _unmarked_sql(x):
+    return f"translate({x}, chr(1) || chr(4) || chr(6), '')"
+
+
+def _found_sql(name, x):
+    marked, pattern, *_ = _SQL_CLASSES[name]
+    return f"regexp_matches({_marked_sql(x, marked)}, {_q(pattern)})"
+
+
+def sanitize_sql(source, column, name="redacted"):
+    """CTE texts up to ``name``: the rows of ``source`` with ``column`` redacted and the sorted list ``found`` of classes."""
+    ctes, before = [f"{name}_0 as (select *, []::varchar[] as found, false as hit from {source})"], f"{name}_0"
+    for i, (step, _, replacement) in enumerate(STEPS, 1):
+        marked, pattern, _, right = _SQL_CLASSES[step]
+        new = r"\1[redacted]" if "$1" in replacement else replacement + right
+        cleaned = _unmarked_sql(f"regexp_replace({_marked_sql(column, marked)}, {_q(pattern)}, {_q(new)}, 'g')")
+        ctes.append(
+            f"{name}_{i} as (select * replace (case when hit then {cleaned} else {column} end as {column}, "
+            f"case when hit then list_append(found, {_q(step)}) else found end as found) "
+            f"from (select * replace ({_found_sql(step, column)} as hit) from {before}))")
+        before = f"{name}_{i}"
+    ctes.append(f"{name} as (select * exclude (hit) replace (list_sort(found) as found) from {before})")
+    return ",\n".join(ctes)
+
+
+def scan_sql(x):
+    """Sorted list of the classes found in a text."""
+    rest = f"regexp_replace({x}, {_q(T.SECRET_PARAM + r'\[redacted\]')}, '', 'g')"
+    cases = ", ".join(f"case when {_found_sql(n, rest)} then {_q(n)} end" for n in CLASSES)
+    return f"list_sort(list_filter([{cases}], lambda f: f is not null))"
+
+
+def span_rows_sql(source, key, x):
+    """The ledger (key, class, start, length) of a table's texts."""
+    parts = []
+    for name in CLASSES:
+        marked, pattern, body, right = _SQL_CLASSES[name]
+        shown = f"regexp_replace({_marked_sql(x, marked)}, {_q(pattern)}, {_q(_OPEN + body + _CLOSE + right)}, 'g')"
+        parts.append(
+            f"select {key}, {_q(name)} as class, generate_subscripts(p, 1) as nth, unnest(p) as piece from ("
+            f"select {key}, string_split({_unmarked_sql(shown)}, chr(2)) as p from {source} where {_found_sql(name, x)})")
+    return (
+        f"select {key}, class, cast(start as bigint) as start, cast(length as bigint) as length from ("
+        f"select {key}, class, nth, strpos(piece, chr(3)) - 1 as length, "
+        f"coalesce(sum(length(piece) - case when contains(piece, chr(3)) then 1 else 0 end) over "
+        f"(partition by {key}, class order by nth rows between unbounded preceding and 1 preceding), 0) + 1 as start "
+        f"from ({' union all '.join(parts)})) where nth > 1")

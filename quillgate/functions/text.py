@@ -238,3 +238,10 @@ def lookup(c, mapping, default):
     for key, value in mapping.items():
         expr = F.when(col(c) == key, F.lit(value)) if expr is None else expr.when(col(c) == key, F.lit(value))
     return expr.otherwise(default if not isinstance(default, (str, int, float)) else F.lit(default))
+
+
+def filled(template, values):
+    """A fixed text with {name} places, filled with columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[
+        text(values[part]) if i % 2 else F.lit(part) for i, part in enumerate(parts) if i % 2 or part])

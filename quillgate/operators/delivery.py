@@ -81,10 +81,9 @@ def redact_columns(df, columns, flag_column="privacy_scan_flags"):
     one class after the other, and a class is flagged where its replacement changed a cell.
     """
     df = df.withColumns({c: X.text(c) for c in columns}).withColumn("__flags", F.lit(""))
-    steps = redact._STEPS + [("secret_query_parameter", redact._SECRET_VALUE, "$1[redacted]")]
     whole = F.concat_ws("\n", *columns)
-    df = df.withColumn("__risky", X.any_of([whole.rlike(pattern) for _, pattern, _ in steps]))
-    for name, pattern, replacement in steps:
+    df = df.withColumn("__risky", X.any_of([whole.rlike(pattern) for _, pattern, _ in redact.STEPS]))
+    for name, pattern, replacement in redact.STEPS:
         df = df.withColumns({
             f"__new_{c}": F.when(F.col("__risky"), F.regexp_replace(c, pattern, replacement)).otherwise(F.col(c)) for c in columns})
         hit = X.any_of([F.col(f"__new_{c}") != F.col(c) for c in columns])
@@ -122,7 +121,7 @@ def residual_flags(df):
     """
     blob = F.concat_ws(" ", *[X.text(c) for c in df.columns])
     found = df.select(redact.scan(blob).alias("f"))
-    names = [n for n, _, _ in redact._STEPS] + ["trace_file", "secret_query_parameter"]
+    names = list(redact.CLASSES)
     row = found.agg(F.count(F.lit(1)).alias("rows"), *[
         F.coalesce(F.bool_or(F.array_contains("f", n)), F.lit(False)).alias(n) for n in names])
     return row.select(F.sort_array(X.flags(*[(F.col(n), n) for n in names])).alias("flags"), "rows")
@@ -235,10 +234,10 @@ def _run_inputs(rows):
         "__evidence": X.first_present("evidence_used_for_copy", "evidence_points"), "__line": _run_line()})
 
 
-def review_rows(rows, order="row_idx", shortened=True):
-    """Review rows with all gate columns; the gate sees whole texts, cells are shortened after it.
+def review_rows(rows, order="row_idx", shortened=False):
+    """Review rows with all gate columns and whole texts in every cell.
 
-    With ``shortened=False`` every cell has its whole text.
+    ``shortened`` cuts the cells for display, after the gate has seen whole texts.
     """
     df = _run_inputs(rows)
     cut = {target: (source, how) for target, source, how in _REVIEW_CELLS if isinstance(how, int)}

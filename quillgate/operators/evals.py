@@ -6,6 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import text as X
 from quillgate.functions.stats import rate_pct
 from quillgate.operators.gates import GATE_COLUMNS, apply_sendability
+from quillgate.operators.order import running
 from quillgate.operators.rows import ensure_columns, last_per_key
 
 TRAINING_COLUMNS = [
@@ -54,32 +55,66 @@ def needs_attention(agreed):
     return agreed.filter(~F.col("agrees") | F.col("is_false_send"))
 
 
-def metrics(scored):
-    """Evaluation metrics as (metric, value) rows; one aggregation over the table."""
+#: What a metric is made of: counts and sums that can be added and taken back.
+TALLIES = [
+    "rows", "agree", "send", "send_right", "human_reject", "reject_right", "false_send", "correct", "app", "app_correct",
+    "evidence_rows", "evidence_sum", "fit_rows", "fit_sum",
+]
+
+
+#: Columns that tallies look at.
+TALLIED = [
+    "human_decision", "sendability_decision", "product_surface_type", "surface_correctness", "evidence_score", "template_fit_score"]
+
+
+def tallies(scored, keys=()):
+    """Counts and sums of a scored table, per ``keys``; one aggregation."""
     human = F.lower(X.text("human_decision"))
     df = with_agreement(scored)
     gate = F.col("gate_decision")
     app = F.lower(X.text("product_surface_type")) == "app_first_product"
     correct = F.col("surface_correctness") == "Correct"
-    n = F.count(F.lit(1))
-
-    def pct(part, whole):
-        return rate_pct(F.count_if(part), whole)
-
-    row = df.agg(
-        n.alias("n"),
-        pct(F.col("agrees"), n).alias("exact_gate_human_agreement_pct"),
-        pct((gate == "Send") & (human == "send"), F.count_if(gate == "Send")).alias("send_precision_pct"),
-        pct((gate == "Reject") & (human == "reject"), F.count_if(human == "reject")).alias("reject_recall_pct"),
-        F.count_if("is_false_send").cast("double").alias("false_send_rows"),
-        pct(correct, n).alias("surface_correct_rate_pct"),
-        pct(app & correct, F.count_if(app)).alias("app_first_surface_correct_rate_pct"),
-        F.coalesce(F.bround(F.avg("evidence_score"), 1), F.lit(0.0)).alias("avg_evidence_score"),
-        F.coalesce(F.bround(F.avg("template_fit_score"), 1), F.lit(0.0)).alias("avg_template_fit_score"),
-    ).withColumn("frozen_eval_rows", F.col("n").cast("double")).drop("n")
-    names = [c for c in row.columns]
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("m")).select("m.*")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    values = [
+        F.count(F.lit(1)), F.count_if("agrees"), F.count_if(gate == "Send"), F.count_if((gate == "Send") & (human == "send")),
+        F.count_if(human == "reject"), F.count_if((gate == "Reject") & (human == "reject")), F.count_if("is_false_send"),
+        F.count_if(correct), F.count_if(app), F.count_if(app & correct),
+        F.count("evidence_score"), total("evidence_score"), F.count("template_fit_score"), total("template_fit_score")]
+    return df.groupBy(*keys).agg(*[v.alias(n) for n, v in zip(TALLIES, values)])
+
+
+def corrected(before, old, new, keys=()):
+    """Tallies after rows changed: the earlier tallies without the old versions of these rows, with the new ones."""
+    signed = lambda df, sign: df.select(*keys, *[(F.col(c) * sign).alias(c) for c in TALLIES])
+    both = signed(before, 1).unionByName(signed(old, -1)).unionByName(signed(new, 1))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TALLIES])
+
+
+def metrics_of(counted, keys=()):
+    """Evaluation metrics as (keys, metric, value) rows from tallies."""
+    c = F.col
+
+    def mean(total, n):
+        return F.coalesce(F.bround(F.when(c(n) > 0, c(total) / c(n)), 1), F.lit(0.0))
+
+    values = {
+        "exact_gate_human_agreement_pct": rate_pct(c("agree"), c("rows")),
+        "send_precision_pct": rate_pct(c("send_right"), c("send")),
+        "reject_recall_pct": rate_pct(c("reject_right"), c("human_reject")),
+        "false_send_rows": c("false_send").cast("double"),
+        "surface_correct_rate_pct": rate_pct(c("correct"), c("rows")),
+        "app_first_surface_correct_rate_pct": rate_pct(c("app_correct"), c("app")),
+        "avg_evidence_score": mean("evidence_sum", "evidence_rows"),
+        "avg_template_fit_score": mean("fit_sum", "fit_rows"),
+        "frozen_eval_rows": c("rows").cast("double"),
+    }
+    return counted.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in values.items()])).alias("m")).select(*keys, "m.*")
+
+
+def metrics(scored, keys=()):
+    """Evaluation metrics as (keys, metric, value) rows; one aggregation over the table."""
+    return metrics_of(tallies(scored, keys), keys)
 
 
 def decision_counts(scored):
@@ -118,19 +153,21 @@ _MINIMUMS = [
 ]
 
 
-def release_gate(metric_rows, thresholds=None, baseline=None):
-    """Violated rules as rows; no row means the release passes.
+def release_gate(metric_rows, thresholds=None, baseline=None, keys=()):
+    """Violated rules as rows, per ``keys``; no row means the release passes.
 
-    The metric table has about ten rows, so it is turned into one map per rule set.
+    ``baseline`` holds (keys, metric, value); a metric without a baseline has no regression rule.  The metrics of
+    one release are about ten rows, so they are turned into one map per rule set.
     """
     limits = {**T.RELEASE_THRESHOLDS, **(thresholds or {})}
 
     def as_map(rows, name):
-        return rows.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias(name))
+        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias(name))
 
     df = as_map(metric_rows, "m")
     if baseline is not None:
-        df = df.withColumn("b", as_map(baseline, "b").scalar())
+        known = as_map(baseline.filter(F.col("value").isNotNull()), "b")
+        df = df.join(known, list(keys), "left") if keys else df.withColumn("b", known.scalar())
     m = lambda k, side="m": F.coalesce(F.col(side)[k], F.lit(0.0))
     empty = m("frozen_eval_rows") == 0
     rule = lambda cond, metric, name, bound: F.when(cond, F.struct(
@@ -148,15 +185,31 @@ def release_gate(metric_rows, thresholds=None, baseline=None):
         for metric in T.REGRESSION_METRICS:
             rules.append(rule(~empty & (m(metric, "b") > 0) & (m(metric) < m(metric, "b")), metric,
                               "no_regression", m(metric, "b")))
-        rules.append(rule(~empty & (m("false_send_rows") > m("false_send_rows", "b")), "false_send_rows",
+        rules.append(rule(~empty & F.col("b").isNotNull() & (m("false_send_rows") > m("false_send_rows", "b")), "false_send_rows",
                           "no_regression", m("false_send_rows", "b")))
-    return df.select(F.explode(F.array_compact(F.array(*rules))).alias("r")).select("r.*")
+    return df.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(*keys, "r.*")
 
 
-def baseline_changes(current, baseline):
+def baseline_changes(current, baseline, keys=()):
     """Metric by metric comparison with a stored baseline."""
-    base = baseline.select("metric", F.col("value").alias("baseline_value"))
-    return current.join(base, "metric").withColumn("change", F.bround(F.col("value") - F.col("baseline_value"), 4))
+    base = baseline.select(*keys, "metric", F.col("value").alias("baseline_value"))
+    return current.join(base, [*keys, "metric"]).withColumn("change", F.bround(F.col("value") - F.col("baseline_value"), 4))
+
+
+def baseline_before(current, history, at="evaluated_at", version="created_at"):
+    """The rows of ``current`` with the value and the time of the latest baseline of their metric before them.
+
+    An as-of join: both tables are put into one order of time, and the last baseline seen is carried along it per
+    metric (``order.running``), so neither many runs nor many baselines of one metric meet in one task.  A
+    baseline of the very time of a run is not before it.  Times are timestamps or their text.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 2
+    seen = history.groupBy("metric", (micros(version) + 1).alias("__when")).agg(
+        F.max(F.struct(F.col(version).cast("string").alias("version"), "value")).alias("__seen"))
+    both = current.withColumn("__when", micros(at)).unionByName(seen.withColumn("__past", F.lit(True)), allowMissingColumns=True)
+    carried = running(both, "__when", lasts={"__seen": "__seen"}, keys=["metric"])
+    return carried.filter(F.col("__past").isNull()).select(
+        *current.columns, F.col("__seen.value").alias("baseline_value"), F.col("__seen.version").alias("baseline_version"))
 
 
 # --- goldsets ---------------------------------------------------------------------------

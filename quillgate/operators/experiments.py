@@ -1,12 +1,10 @@
 """A/B experiments: assignment, results, significance and report."""
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
+from quillgate import terms as T
 from quillgate.functions import stats as S
 from quillgate.functions import text as X
 from quillgate.operators.rows import lookup_join, upsert
@@ -44,9 +42,13 @@ def assign_hash(leads, variants):
 
 
 def uniform(seed, *parts):
-    """Repeatable number in [0, 1) from a hash of the parts."""
-    h = F.xxhash64(*[X.text(p) for p in parts], F.lit(seed))
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """Repeatable number between 0 and 1 from the md5 of the parts: its first 13 hex digits, in the middle of their cell."""
+    return _digits(F.md5(F.concat_ws(":", *[X.text(p) for p in parts], F.lit(str(seed)))), 1, 13)
+
+
+def _digits(digest, first, count):
+    """The number between 0 and 1 that some hex digits name."""
+    return (F.conv(F.substring(digest, first, count), 16, 10).cast("double") + 0.5) / F.lit(float(16 ** count))
 
 
 def assign_fixed(leads, weights, seed=0):
@@ -74,35 +76,58 @@ def posteriors(results):
     })
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _beta_draws(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for seeds, alphas, betas in batches:
-        yield pd.Series([
-            np.random.default_rng(np.uint64(s & 0xFFFFFFFFFFFFFFFF)).beta(a, b).tolist()
-            for s, a, b in zip(seeds, alphas, betas)
-        ])
+#: Tries of one gamma draw: each is refused with a probability below 0.05, all of them with one below 1e-13.
+TRIES = 10
+
+
+def gamma_draw(shape, *parts):
+    """A gamma-distributed number of a shape of 1 or more: cubed normals, refused and tried again (Marsaglia and Tsang).
+
+    Normals and refusals come from the md5 of the parts and the number of the try, so a draw is repeatable and
+    costs the same at any shape.  Should every try be refused, the draw is the middle of the distribution.
+    """
+    d = shape - 1.0 / 3.0
+    # each step binds its numbers to the items of an array, so no expression is written out twice
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda i: F.md5(F.concat_ws(":", *parts, i.cast("string"))))
+    tries = F.transform(hashes, lambda h: F.struct(
+        (F.sqrt(-2.0 * F.log(_digits(h, 1, 11))) * F.cos(2.0 * math.pi * _digits(h, 12, 11))).alias("normal"),
+        F.log(_digits(h, 23, 10)).alias("refusal")))
+    bases = F.transform(tries, lambda t: F.struct((1.0 + t["normal"] / F.sqrt(9.0 * d)).alias("base"), t["normal"].alias("normal"), t["refusal"].alias("refusal")))
+    cubes = F.transform(bases, lambda t: F.struct(
+        t["base"].alias("base"), (t["base"] * t["base"] * t["base"]).alias("cube"), t["normal"].alias("normal"), t["refusal"].alias("refusal")))
+    taken = F.filter(cubes, lambda t: (t["base"] > 0) & (
+        t["refusal"] < 0.5 * t["normal"] * t["normal"] + d - d * t["cube"] + d * F.log(t["cube"])))
+    return F.coalesce(d * F.get(taken, F.lit(0))["cube"], d)
+
+
+def beta_draw(alpha, beta, *parts):
+    """A beta-distributed number, as a share of two gamma draws."""
+    a, b = gamma_draw(alpha, *parts, F.lit("a")), gamma_draw(beta, *parts, F.lit("b"))
+    return a / (a + b)
 
 
 def assign_thompson(leads, results, variants, seed=0):
-    """Thompson sampling from one posterior snapshot; draws are seeded by the lead's hash.
+    """Thompson sampling from one posterior snapshot; draws are seeded by experiment, lead and variant.
 
     Per experiment the posteriors form one small row (one entry per variant), which is
     joined to the leads; the draws of a lead are compared inside its row.
     """
     stats = posteriors(results).filter(F.col("variant_id").isin(variants))
 
-    def collected(name, default):
-        return F.array(*[
-            F.coalesce(F.max(F.when(F.col("variant_id") == v, F.col(name))), F.lit(default)) for v in variants])
+    def collected(name, variant):
+        return F.coalesce(F.max(F.when(F.col("variant_id") == variant, F.col(name))), F.lit(1.0))
 
+    numbers = range(len(variants))
     snapshot = stats.groupBy("experiment_id").agg(
-        collected("alpha", 1.0).alias("__a"), collected("beta", 1.0).alias("__b"))
+        *[collected("alpha", variants[i]).alias(f"__a{i}") for i in numbers], *[collected("beta", variants[i]).alias(f"__b{i}") for i in numbers])
     df = lookup_join(leads, snapshot, ["experiment_id"])
-    flat = F.array(*[F.lit(1.0) for _ in variants])
-    df = df.withColumns({"__a": F.coalesce("__a", flat), "__b": F.coalesce("__b", flat)})
-    df = df.withColumn("__d", _beta_draws(F.xxhash64(X.text("experiment_id"), X.text("lead_id"), F.lit(seed)), "__a", "__b"))
-    best = F.array_position("__d", F.array_max("__d")).cast("int")
-    return df.withColumn("variant_id", F.element_at(X.lits(variants), best)).drop("__a", "__b", "__d")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    for i in numbers:
+        df = df.withColumn(f"__d{i}", beta_draw(
+            one(f"__a{i}"), one(f"__b{i}"), X.text("experiment_id"), X.text("lead_id"), F.lit(variants[i]), F.lit(str(seed))))
+    draws = F.array(*[F.col(f"__d{i}") for i in numbers])
+    best = F.array_position(draws, F.array_max(draws)).cast("int")
+    return df.withColumn("variant_id", F.element_at(X.lits(variants), best)).drop(*[f"__{x}{i}" for x in "abd" for i in numbers])
 
 
 def assign(leads, existing, strategy, variants, weights=None, results=None, labels=None, seed=0):
@@ -177,6 +202,11 @@ def wilson_intervals(results):
     return results.withColumns({"ci_low": F.bround(low * 100, 1), "ci_high": F.bround(high * 100, 1)})
 
 
+def _short(c):
+    """A number of four decimals without the zeros at its end, as text."""
+    return F.regexp_replace(F.format_string("%.4f", c), r"(\.\d+?)0+$", "$1")
+
+
 def report(analysed, min_sample=30, labels=None):
     """Status, winner, p and recommendation per experiment.
 
@@ -199,21 +229,11 @@ def report(analysed, min_sample=30, labels=None):
     few = F.col("variants") < 2
     status = F.when(few, "running").when(F.col("__any"), "significant").when(F.col("__all"), "inconclusive").otherwise("running")
     winner = F.when(~few, F.coalesce("__win", "__best"))
-    text = F.col("__w.label")
-    rate = F.col("__w.conversion_rate").cast("string")
     out = agg.withColumns({"status": status, "__w": winner})
-    advice = (
-        F.when(few, "Nog onvoldoende data — wacht tot minstens 2 varianten resultaten hebben.")
-        .when(F.col("status") == "significant", F.concat(
-            F.lit("WINNAAR: '"), text, F.lit("' met "), rate, F.lit("% conversie (p="),
-            F.col("__w.p_value").cast("string"), F.lit("). Schaal deze variant op.")))
-        .when(F.col("status") == "inconclusive", F.concat(
-            F.lit("Geen statistisch significant verschil. Beste performer: '"), text, F.lit("' ("), rate,
-            F.lit("%), maar niet significant. Verzamel meer data of pas varianten aan.")))
-        .otherwise(F.concat(
-            F.lit(f"Te weinig data — minstens {min_sample} per variant nodig. Huidige voorloper: '"),
-            text, F.lit("' ("), rate, F.lit("%).")))
-    )
+    say = lambda name: X.filled(T.EXPERIMENT_ADVICE[name], {
+        "label": F.col("__w.label"), "rate": F.col("__w.conversion_rate"), "p": _short(F.col("__w.p_value")), "n": F.lit(min_sample)})
+    advice = F.when(few, say("few_variants")).when(F.col("status") == "significant", say("significant")).when(
+        F.col("status") == "inconclusive", say("inconclusive")).otherwise(say("running"))
     return out.select(
         "experiment_id", "variants", "total_leads", "status",
         F.col("__w.id").alias("winner_variant_id"),

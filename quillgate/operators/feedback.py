@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import text as X
 from quillgate.functions.stats import rate_pct
-from quillgate.operators.rows import ensure_columns, merge_fields, top_k, upsert
+from quillgate.operators.rows import ensure_columns, field_update, merge_updates, top_k, upsert
 
 KEYS = ["run_id", "row_id"]
 RESULT_FIELDS = [
@@ -35,25 +35,38 @@ def save(old, new):
     return upsert(old, new, KEYS, "created_at", order=["updated_at"])
 
 
+def pack_results(results, order="reviewed_at"):
+    """(run_id, ident, one struct per field): fields that a result brings, each with its time; the larger struct wins."""
+    ident = X.first_present(*[c for c in ("example_id", "row_id") if c in results.columns])
+    fields = [c for c in RESULT_FIELDS if c in results.columns]
+    return results.withColumn("ident", ident).filter(F.col("ident") != "").select(
+        "run_id", "ident", *[field_update(f, order).alias(f) for f in fields])
+
+
+def fold_results(packed):
+    """Packed results of one ident as one row; folding again with later results gives the same as folding all at once."""
+    return packed.groupBy("run_id", "ident").agg(*[F.max(c).alias(c) for c in packed.columns if c not in ("run_id", "ident")])
+
+
+def apply_results(sends, packed):
+    """Packed results update only the fields they bring; see ``ingest_results``."""
+    rows = sends.select("run_id", F.col("row_id").alias("ident"))
+    found = packed.join(rows, ["run_id", "ident"], "left_semi").withColumnRenamed("ident", "row_id")
+    if "example_id" in sends.columns:
+        ids = sends.filter(X.clean("example_id") != "").select("run_id", F.col("example_id").alias("ident"), "row_id")
+        found = found.unionByName(packed.join(ids, ["run_id", "ident"]).drop("ident"))
+    fields = [c for c in RESULT_FIELDS if c in found.columns]
+    kinds = {f: found.schema[f].dataType["value"].dataType for f in fields}
+    base = sends.withColumns({f: F.lit(None).cast(kinds[f]) for f in fields if f not in sends.columns})
+    return merge_updates(base, found, KEYS, fields)
+
+
 def ingest_results(sends, results, order="reviewed_at"):
     """Results update only the fields they bring; a result may name row_id or example_id.
 
     Results that match nothing are ignored.  Returns the sends with a was_updated flag.
     """
-    ident = X.first_present(*[c for c in ("example_id", "row_id") if c in results.columns])
-    res = results.withColumn("__ident", ident).filter(F.col("__ident") != "")
-    res = res.select("run_id", "__ident", order, *[c for c in RESULT_FIELDS if c in res.columns])
-    rows = sends.select("run_id", "row_id")
-    by_row = res.join(rows.withColumnRenamed("row_id", "__ident"), ["run_id", "__ident"], "left_semi")
-    found = by_row.withColumnRenamed("__ident", "row_id")
-    if "example_id" in sends.columns and "example_id" in results.columns:
-        ids = sends.filter(X.clean("example_id") != "").select(
-            "run_id", F.col("example_id").alias("__ident"), "row_id")
-        found = found.unionByName(res.join(ids, ["run_id", "__ident"]).drop("__ident"))
-    fields = [c for c in RESULT_FIELDS if c in found.columns]
-    base = ensure_columns(sends, {}) if set(fields) <= set(sends.columns) else sends.withColumns(
-        {c: F.lit(None).cast(dict(found.dtypes)[c]) for c in fields if c not in sends.columns})
-    return merge_fields(base, found.distinct(), KEYS, fields, order)
+    return apply_results(sends, pack_results(results, order))
 
 
 def known_results(results, sends, key="row_id"):

@@ -324,9 +324,15 @@ def apply_sendability(df, run_id="", order="row_idx"):
     return score_lines(canonicalize(df, run_id, order))
 
 
-def rescore_edits(base, edits, keys, fields):
-    """Review edits replace the edited columns of matching rows, then the gate runs again."""
+def rescored_rows(base, edits, keys, fields):
+    """The rows of ``base`` that an edit names, with the edited fields and the gate run again over these rows alone."""
     changed = edits.select(*keys, *[F.col(f).alias(f"__{f}") for f in fields])
-    joined = base.join(changed, keys, "left")
-    joined = joined.withColumns({f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in fields})
-    return apply_sendability(joined.drop(*[f"__{f}" for f in fields], *GATE_COLUMNS))
+    edited = base.join(changed, keys).withColumns({f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in fields})
+    return apply_sendability(edited.drop(*[f"__{f}" for f in fields], *GATE_COLUMNS))
+
+
+def rescore_edits(base, edits, keys, fields):
+    """Review edits replace the edited columns of matching rows; only those rows go through the gate again."""
+    again = rescored_rows(base, edits, keys, fields)
+    kept = base.join(edits.select(*keys), keys, "left_anti")
+    return kept.unionByName(again.select(*[c for c in base.columns if c in again.columns]), allowMissingColumns=True)

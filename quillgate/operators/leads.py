@@ -172,6 +172,18 @@ def expand_original(df, keys, source="original_columns"):
     })
 
 
+def keep_filled(df, source="original_columns"):
+    """The open tail without blank cells; rows without a tail have an empty one."""
+    empty = F.create_map().cast("map<string,string>")
+    return df.withColumn(source, F.coalesce(F.map_filter(source, lambda k, v: X.clean(v) != ""), empty))
+
+
+def tail_rows(df, prefix="", order="row_idx", source="original_columns"):
+    """(order, key, value) of the open-tail cells whose name begins with ``prefix`` in any case."""
+    picked = F.map_filter(source, lambda k, v: F.startswith(F.lower(k), F.lit(prefix.lower())))
+    return df.select(order, F.explode(picked).alias("key", "value"))
+
+
 def original_keys(df, source="original_columns"):
     """Distinct original headers, case-insensitive order (a schema-sized list)."""
     keys = df.select(F.explode(F.map_keys(source)).alias("key")).distinct()

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
+from quillgate.functions import json as J
 from quillgate.functions import text as X
 from quillgate.functions.json import parse_object
+from quillgate.operators.order import running
 from quillgate.operators.reports import price_columns
-from quillgate.operators.rows import block_prefix_sums, lookup_join
+from quillgate.operators.rows import lookup_join
 
 
 def render(template, columns):
@@ -32,27 +34,21 @@ def admit(rows, max_calls=0, max_cost=0.0, input_price=0.10, output_price=0.40,
     """Calls admitted under a call limit and a cost limit, in the order of a unique number, gaps allowed.
 
     Before each call the cost of everything so far plus this input and a fixed output
-    reserve must stay inside the limit.  A batch stops at its first refused call.
+    reserve must stay inside the limit.  A batch stops at its first refused call: tokens are
+    never negative (null and negative counts are 0), so costs grow and all later calls are refused as well.
     """
-    df = rows
     if not max_calls and not max_cost:
-        return df
-    df = block_prefix_sums(df, {"__in": F.col("input_tokens"), "__out": F.col("output_tokens"), "__calls": F.lit(1)}, order)
-    out_before = F.col("__out") - F.col("output_tokens")
+        return rows
+    tokens = {n: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for n, c in (("__in", "input_tokens"), ("__out", "output_tokens"))}
+    df = running(rows, order, sums={**tokens, "__calls": F.lit(1)})
     projected = F.col("__in") / F.lit(1e6) * F.lit(float(input_price)) + (
-        out_before + T.RESERVED_OUTPUT_TOKENS) / F.lit(1e6) * F.lit(float(output_price))
+        F.col("__out") - tokens["__out"] + T.RESERVED_OUTPUT_TOKENS) / F.lit(1e6) * F.lit(float(output_price))
     df = df.withColumn("projected_cost", projected)
-    refused = F.lit(False)
     if max_calls:
-        refused = refused | (F.col("__calls") > max_calls)
+        df = df.filter(F.col("__calls") <= max_calls)
     if max_cost:
-        refused = refused | (F.col("projected_cost") > max_cost)
-    df = df.withColumn("__refused", refused)
-    first = df.agg(F.min(F.when(F.col("__refused"), F.col(order))).alias("first"))
-    stop = first.scalar()
-    return df.withColumn("__stop", stop).filter(
-        F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))
-    ).drop("__in", "__out", "__calls", "__refused", "__stop")
+        df = df.filter(F.col("projected_cost") <= max_cost)
+    return df.drop("__in", "__out", "__calls")
 
 
 def response_key(provider="provider", model="model_name", temperature="temperature",
@@ -131,3 +127,37 @@ def parse_qc(replies, reply="reply", keep=("lead_id", "variant", "iteration")):
         *keep, F.coalesce("r.score", F.lit(0)).alias("model_score"),
         F.coalesce(F.col("r.pass"), F.lit(False)).alias("model_pass"),
         _tidy("r.quality_flags").alias("model_flags"), _tidy("r.reasons").alias("qc_reasons"))
+
+
+# --- payloads ---------------------------------------------------------------------------------
+_FACT_MEMBERS = {
+    "fact": "text", "why_it_matters": "text", "source_url": "text", "strength": "text", "too_generic_to_use": "truth",
+    "friction_type": "text", "surface_checked": "text", "conversion_outcome": "text", "angle_priority": "number",
+    "blog_used": "truth", "why_this_angle": "text"}
+_PROFILE_TEXTS = ["name", "description", "opening_style", "custom_prompt"]
+_PROFILE_LISTS = [
+    "angle_priorities", "preferred_phrases", "banned_phrases", "qc_focus", "example_good_lines", "example_bad_lines"]
+
+
+def fact_json(ascii_only=True):
+    """JSON object of one fact row, members in their fixed order."""
+    make = {"text": lambda c: J.quoted(c, ascii_only), "truth": J.truth, "number": J.number}
+    return J.json_object({c: make[kind](c) for c, kind in _FACT_MEMBERS.items()})
+
+
+def evidence_json(facts, key="lead_id", order="fact_pos"):
+    """(key, evidence_json): the facts of a lead as one JSON list, in order."""
+    rows = facts.select(key, F.struct(F.col(order).alias("at"), fact_json().alias("json")).alias("f"))
+    return rows.groupBy(key).agg(J.json_list(F.sort_array(F.collect_list("f"))["json"]).alias("evidence_json"))
+
+
+def profile_json(sort=False, ascii_only=True):
+    """JSON object of a tone-profile row."""
+    members = {c: J.quoted(c, ascii_only) for c in _PROFILE_TEXTS}
+    members |= {c: J.text_list(c, ascii_only) for c in _PROFILE_LISTS}
+    return J.json_object(members, sort)
+
+
+def profile_hash():
+    """Version hash of a tone profile: of its JSON object with sorted names and plain characters."""
+    return F.sha2(profile_json(sort=True, ascii_only=False).cast("binary"), 256)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgate.functions.text import blank_to_null, col
+from quillgate.operators.order import numbered, running
 
 
 def ensure_columns(df, columns, default=""):
@@ -31,7 +32,7 @@ def with_row_index(df, name="row_idx"):
     """Number the rows of a file scan in file order, starting at 0.
 
     Positions inside a file split come from the scan itself; only one row per split is
-    aggregated to turn them into global positions, so nothing is sorted or collected.
+    aggregated to turn them into global positions, so nothing else is sorted and nothing collected.
     """
     keyed = df.select(
         "*",
@@ -41,12 +42,9 @@ def with_row_index(df, name="row_idx"):
     )
     splits = keyed.groupBy("__file", "__block").agg(
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n")
-    )
-    order = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select(
-        "__file", "__block", "__first",
-        F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__offset"),
-    )
+    ).withColumnRenamed("__block", "__start")
+    placed = running(numbered(splits, "__file", "__start"), "__number", sums={"__end": "__n"})
+    offsets = placed.select("__file", F.col("__start").alias("__block"), "__first", (F.col("__end") - F.col("__n")).alias("__offset"))
     return (
         keyed.join(offsets, ["__file", "__block"])
         .withColumn(name, F.col("__offset") + F.col("__mid") - F.col("__first"))
@@ -54,59 +52,14 @@ def with_row_index(df, name="row_idx"):
     )
 
 
-def block_prefix_sums(df, values, order="row_idx", block_rows=100_000):
-    """Running totals of several values (name -> column) in the order of a unique number, in one pass.
-
-    Rows are cut into blocks of the number: block totals are summed first (one row per block), then each
-    block only adds its own rows, so no task ever sees the whole order.
-    """
-    block = F.floor(F.col(order) / F.lit(block_rows)).cast("bigint")
-    tagged = df.withColumn("__block", block)
-    totals = tagged.groupBy("__block").agg(*[F.sum(col(v)).alias(f"__total_{n}") for n, v in values.items()])
-    before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        "__block", *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__carry_{n}") for n in values])
-    inside = W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return tagged.join(totals, "__block").withColumns({
-        n: F.col(f"__carry_{n}") + F.sum(col(v)).over(inside) for n, v in values.items()
-    }).drop("__block", *[f"__carry_{n}" for n in values])
-
-
-def block_prefix_sum(df, value, order="row_idx", name="running", block_rows=100_000):
-    """Running total of one value; see ``block_prefix_sums``."""
-    return block_prefix_sums(df, {name: value}, order, block_rows)
-
-
-def fill_down(df, columns, order="row_idx", block_rows=100_000):
-    """Carry the last non-blank value of each column down over blanks, in row order.
-
-    Same two steps as ``block_prefix_sum``: the last value of each block is carried to the
-    following blocks (one row per block), then blocks are filled independently.
-    """
+def fill_down(df, columns, order="row_idx"):
+    """Carry the last non-blank value of each column down over blanks, in the order of a unique number."""
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    tagged = df.withColumn(
-        "__block", F.floor(F.col(order) / F.lit(block_rows)).cast("bigint")
-    )
-    lasts = tagged.groupBy("__block").agg(*[
-        F.expr(f"max_by(`{c}`, `{order}`) filter (where `{c}` <> '')").alias(f"__last_{i}")
-        for i, c in enumerate(columns)
-    ])
-    before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    carries = lasts.select("__block", *[
-        F.last(f"__last_{i}", ignorenulls=True).over(before).alias(f"__carry_{i}")
-        for i in range(len(columns))
-    ])
-    inside = W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    filled = tagged.join(carries, "__block").withColumns({
-        c: F.coalesce(
-            F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(inside),
-            F.col(f"__carry_{i}"), F.lit(""),
-        )
-        for i, c in enumerate(columns)
-    })
-    return filled.drop("__block", *[f"__carry_{i}" for i in range(len(columns))])
+    filled = running(df, order, lasts={f"__filled_{i}": F.nullif(F.col(c), F.lit("")) for i, c in enumerate(columns)})
+    return filled.withColumns({c: F.coalesce(f"__filled_{i}", F.lit("")) for i, c in enumerate(columns)}).drop(
+        *[f"__filled_{i}" for i in range(len(columns))])
 
 
 def first_per_key(df, keys, order, columns=None):
@@ -133,20 +86,9 @@ def top_k(df, keys, order, k, rank="rank"):
     return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
-def rank_in_blocks(df, key, order, rank="rank", block_rows=1000):
-    """Rank of every row in its key by a number, nulls first; no row is left out.
-
-    Blocks of the number are counted first (one row per key and block), then each block only ranks its own
-    rows, so a hot key never meets in one task.
-    """
-    block = F.coalesce(F.floor(F.col(order) / F.lit(block_rows)).cast("bigint"), F.lit(-(2 ** 63)))
-    tagged = df.withColumn("__block", block)
-    counts = tagged.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    carries = counts.select(F.col(key).alias("__key"), F.col("__block").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry"))
-    inside = W.partitionBy(key, "__block").orderBy(order)
-    placed = tagged.join(carries, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at")))
-    return placed.withColumn(rank, F.col("__carry") + F.row_number().over(inside)).drop("__block", "__key", "__at", "__carry")
+def rank_in_order(df, key, order, rank="rank"):
+    """Rank of every row in its key by a unique number, nulls first; no row is left out, and a hot key never meets in one task."""
+    return running(df, order, sums={rank: F.lit(1)}, keys=[key])
 
 
 def lookup_join(facts, dim, keys, how="left"):
@@ -181,21 +123,31 @@ def upsert(old, new, keys, created="created_at", order=None):
     return merged.select(*[c for c in both.columns if c != "__age"])
 
 
-def merge_fields(base, updates, keys, fields, order):
-    """Partial update: per field the latest non-null value in ``updates`` replaces the base.
+def field_update(field, order):
+    """A non-null field as a struct with its order value; the larger struct is the later update.
 
-    Updates without an order value come before all others; at equal order the larger value wins.  Rows of
-    ``updates`` without a partner in ``base`` are ignored.
+    Updates without an order value come before all others; at equal order the larger value wins.
     """
-    latest = updates.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(order).isNotNull(), F.col(order), F.col(f).alias("value")))).alias(f"__{f}")
-        for f in fields
-    ], F.count(F.lit(1)).alias("__updates"))
+    return F.when(F.col(field).isNotNull(), F.struct(
+        F.col(order).isNotNull().alias("timed"), F.col(order).alias("at"), F.col(field).alias("value")))
+
+
+def merge_updates(base, updates, keys, fields):
+    """Partial update: per field the latest of the ``field_update`` structs in ``updates`` replaces the base.
+
+    Rows of ``updates`` without a partner in ``base`` are ignored.
+    """
+    latest = updates.groupBy(*keys).agg(*[F.max(f).alias(f"__{f}") for f in fields], F.count(F.lit(1)).alias("__updates"))
     joined = base.join(latest, keys, "left").withColumns(
         {f: F.coalesce(F.col(f"__{f}.value"), F.col(f)) for f in fields})
     return joined.withColumn("was_updated", F.col("__updates").isNotNull()).drop("__updates", *[f"__{f}" for f in fields])
 
 
+def merge_fields(base, updates, keys, fields, order):
+    """Partial update: per field the latest non-null value in ``updates`` replaces the base."""
+    return merge_updates(base, updates.withColumns({f: field_update(f, order) for f in fields}), keys, fields)
+
+
 def resume_split(todo, done, key="row_idx"):
     """(rows already finished, rows still to process)."""
     return done, todo.join(done.select(key), key, "left_anti")
@@ -226,7 +178,7 @@ def with_generated_ids(df, name="row_id", order="row_idx"):
 def append_with_ids(main, extra, order, name="row_id"):
     """Follow-up rows go after the main rows and continue their numbering without gaps, in ``order`` (a unique number)."""
     count = main.agg(F.count(F.lit(1)).alias("__base"))
-    placed = block_prefix_sums(extra, {"__place": F.lit(1)}, order)
+    placed = running(extra, order, sums={"__place": F.lit(1)})
     numbered = attach_scalar(placed, count).withColumn(
         name, (F.col("__base") + F.col("__place")).cast("string")
     ).drop("__base", "__place")

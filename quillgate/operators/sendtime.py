@@ -137,12 +137,13 @@ def attach_advice(rows, advice, key="company_name"):
         F.col("confidence").alias("send_time_confidence"),
         F.col("source").alias("send_time_source"),
         F.col("reasoning").alias("send_time_reasoning"),
+        format_advice().alias("send_time_shown"),
     )
     out = lookup_join(rows, fields, [key])
     return out.withColumns({
         "send_time_reasoning": F.coalesce("send_time_reasoning", F.lit("No matching lead for timezone detection")),
         "send_time_confidence": F.coalesce("send_time_confidence", F.lit(0.0)),
-        **{c: X.text(c) for c in ["suggested_send_time_utc", "suggested_send_timezone", "send_time_source"]},
+        **{c: X.text(c) for c in ["suggested_send_time_utc", "suggested_send_timezone", "send_time_source", "send_time_shown"]},
     })
 
 

@@ -6,7 +6,7 @@ from quillgate import terms as T
 from quillgate.functions import html as H
 from quillgate.functions import text as X
 from quillgate.functions import urls
-from quillgate.operators.rows import lookup_join, rank_in_blocks, top_k
+from quillgate.operators.rows import lookup_join, rank_in_order, top_k
 
 
 def parse_pages(pages, html="html", keep=("page_id", "url")):
@@ -98,9 +98,9 @@ def company_totals(pages, key="company_key"):
         "thin_content", F.col("text_chars") < T.MIN_USEFUL_TEXT_CHARS)
 
 
-def company_excerpts(pages, key="company_key", n=None, block_rows=1000):
+def company_excerpts(pages, key="company_key", n=None):
     """One row per page with its rank in the company; the excerpt has the whole text unless ``n`` is given."""
-    return rank_in_blocks(pages, key, "page_pos", "page_rank", block_rows).withColumn("excerpt", page_excerpt(n=n))
+    return rank_in_order(pages, key, "page_pos", "page_rank").withColumn("excerpt", page_excerpt(n=n))
 
 
 def first_pages(pages, k, key="company_key"):
@@ -196,9 +196,10 @@ def visual_observations(rows, metrics="metrics", viewport="viewport"):
     """Observations, flags, reasons and scores of one page in one viewport.
 
     Text slots of the same rule line up across the arrays: a rule that only explains why a
-    weak signal was ignored adds a reason but no flag.
+    weak signal was ignored adds a reason but no flag.  Metrics are JSON text, or a struct of these fields.
     """
-    df = rows.withColumn("m", F.from_json(metrics, METRICS_SCHEMA))
+    is_text = dict(rows.dtypes).get(metrics) == "string"
+    df = rows.withColumn("m", F.from_json(metrics, METRICS_SCHEMA) if is_text else F.col(metrics))
 
     def num(name):
         return F.coalesce(F.col(f"m.{name}"), F.lit(0.0))
@@ -230,42 +231,24 @@ def visual_observations(rows, metrics="metrics", viewport="viewport"):
     px, contrast = c("_over").cast("bigint").cast("string"), _one_digit(c("_contrast"))
     vp = c(viewport)
 
-    def say(cond, *parts):
-        return F.when(cond, F.concat(vp, F.lit(": "), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    shown = {
+        "px": px, "off": c("_off"), "cta": c("_ptext"), "contrast": contrast, "hidden": c("_hidden"), "taps": c("_tap"), "above": c("_above")}
 
+    def say(cond, sentence):
+        return F.when(cond, F.concat(vp, F.lit(": "), X.filled(sentence, shown)))
+
+    names = ["overflow", "no_cta", "no_fold", "low_contrast", "below", "hidden", "taps", "crowded"]
     rules = [overflow, no_cta & rich, no_fold, low_contrast, below, hidden, taps, crowded]
     scores = [
         F.when((c("_off") >= 2) | (c("_right") > 64), 90).otherwise(82), F.lit(62), F.lit(72),
         F.when(c("_contrast") < 2.5, 72).otherwise(60), F.lit(72), F.lit(68), F.lit(48), F.lit(62),
     ]
-    notes = [
-        say(overflow, "page has ", px, "px horizontal overflow with ", c("_off"),
-            " visible offscreen element(s), which is a stronger broken-formatting signal than scroll width alone."),
-        say(no_cta & rich, "no clear CTA button/link was detected on the rendered page."),
-        say(no_fold, "no clear CTA appears above the fold, which could delay signup, booking, download, or activation."),
-        say(low_contrast, "primary CTA '", c("_ptext"), "' appears low contrast at roughly ", contrast,
-            ":1, which could hurt conversion."),
-        say(below, "primary CTA '", c("_ptext"), "' starts below the first viewport, which may delay conversion."),
-        say(hidden, c("_hidden"), " signup/login-related CTA or link appears below the fold, which could hurt signup completion."),
-        say(taps, c("_tap"), " CTA-like elements look smaller than common mobile tap-target guidance, which can add friction."),
-        say(crowded, c("_above"), " CTA-like elements appear above the fold, which may make the first action less obvious."),
-    ]
-    reasons = [
-        say(overflow, "high-confidence overflow signal (", px, "px document overflow, ", c("_off"), " visible offscreen elements)."),
-        say(wide & ~overflow, "ignored low-confidence overflow signal (", px, "px overflow but no clear visible offscreen element)."),
-        say(no_cta & rich, "medium-confidence CTA signal (no CTA-like button/link detected on a content-rich page)."),
-        say(no_cta & ~rich, "ignored low-confidence CTA signal (no CTA detected, but the page has limited text/context)."),
-        say(no_fold, "medium-confidence fold signal (CTA exists but starts below the first viewport)."),
-        say(low_contrast, "medium-confidence contrast signal (primary CTA '", c("_ptext"), "' measured at ", contrast,
-            ":1 against a resolved background)."),
-        say(dim & ~c("_sure"), "ignored low-confidence contrast signal (CTA contrast looked low, but background could not be resolved reliably)."),
-        say(below, "medium-confidence CTA position signal (primary CTA starts below the first viewport)."),
-        say(hidden, "medium-confidence signup visibility signal (", c("_hidden"), " signup/login CTA-like item(s) below the fold)."),
-        say(taps, "low-confidence tap-target signal (", c("_tap"), " CTA-like elements below common mobile size guidance)."),
-        say(crowded, "medium-confidence clarity signal (", c("_above"), " CTA-like elements above the fold)."),
-    ]
     quiet = ~X.any_of(rules) & (c("_ptext") != "")
-    notes.append(say(quiet, "primary CTA detected as '", c("_ptext"), "' with no obvious automated visual friction flags."))
+    notes = [say(rule, T.VISUAL_NOTES[name]) for name, rule in zip([*names, "quiet"], [*rules, quiet])]
+    # a weak signal is explained although it raises no flag
+    explained = {
+        **dict(zip(names, rules)), "weak_overflow": wide & ~overflow, "weak_cta": no_cta & ~rich, "weak_contrast": dim & ~c("_sure")}
+    reasons = [say(explained[name], sentence) for name, sentence in T.VISUAL_REASONS.items()]
     best = F.greatest(*[F.when(r, s).otherwise(0) for r, s in zip(rules, scores)])
     out = df.withColumns({
         "observations": X.array_of(*notes),
@@ -401,6 +384,8 @@ def deep_links(store_links, store_pages, n=None):
 
 def deep_complaints(complaints, key="page_id", shown=None):
     """One row per complaint with its rank in the company; all of them, or the first ``shown``."""
+    if shown is None:
+        return rank_in_order(complaints, key, "pos", "complaint_rank")
     return top_k(complaints, [key], [F.col("pos")], shown, "complaint_rank")
 
 

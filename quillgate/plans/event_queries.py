@@ -7,7 +7,8 @@ from quillgate.functions import text as X
 from quillgate.functions.json import parse_object
 from quillgate.operators import evidence as E
 from quillgate.operators import evals, experiments, feedback, prompts, reports, sequences
-from quillgate.operators.rows import append_with_ids, block_prefix_sum, last_per_key, resume_split, append_rows
+from quillgate.operators.order import running
+from quillgate.operators.rows import append_with_ids, last_per_key, resume_split, append_rows
 from quillgate.plans import views as V
 from quillgate.plans.registry import any_sql, dedupe_sql, flags_sql, items, join_sql, pct_sql, q, query, with_
 
@@ -194,15 +195,25 @@ def ab_wilson(spark, sf_dir):
 
 
 @query("ab_report", with_(_SIG, select="""
-select experiment_id, count(*) as variants, cast(sum(total) as bigint) as total_leads,
-  case when count(*) < 2 then 'running' when bool_or(significant_winner) then 'significant' when bool_and(enough_data) then 'inconclusive' else 'running' end as status,
-  case when count(*) >= 2 then coalesce(arg_max(variant_id, [conversion_rate, -vi]) filter (significant_winner), arg_max(variant_id, [conversion_rate, -vi])) end as winner_variant_id,
-  count(*) >= 2 and bool_or(significant_winner) as is_significant
-from (select *, list_position(['a_control', 'b_proof', 'c_short'], variant_id) as vi from sig) group by experiment_id"""))
+select experiment_id, variants, total_leads, status, winner_variant_id, is_significant, p_value, case
+    when variants < 2 then 'Nog onvoldoende data — wacht tot minstens 2 varianten resultaten hebben.'
+    when status = 'significant' then 'WINNAAR: ''' || winner_variant_id || ''' met ' || rate || '% conversie (p=' || rtrim_p || '). Schaal deze variant op.'
+    when status = 'inconclusive' then 'Geen statistisch significant verschil. Beste performer: ''' || winner_variant_id || ''' (' || rate || '%), maar niet significant. Verzamel meer data of pas varianten aan.'
+    else 'Te weinig data — minstens 30 per variant nodig. Huidige voorloper: ''' || winner_variant_id || ''' (' || rate || '%).' end as recommendation
+from (
+  select *, regexp_replace(printf('%.4f', arg_p), '(\\.\\d+?)0+$', '\\1') as rtrim_p from (
+    select experiment_id, count(*) as variants, cast(sum(total) as bigint) as total_leads,
+      case when count(*) < 2 then 'running' when bool_or(significant_winner) then 'significant' when bool_and(enough_data) then 'inconclusive' else 'running' end as status,
+      case when count(*) >= 2 then coalesce(arg_max(variant_id, [conversion_rate, -vi]) filter (significant_winner), arg_max(variant_id, [conversion_rate, -vi])) end as winner_variant_id,
+      case when count(*) >= 2 then coalesce(arg_max(conversion_rate, [conversion_rate, -vi]) filter (significant_winner), max(conversion_rate)) end as rate,
+      coalesce(arg_max(p_value, [conversion_rate, -vi]) filter (significant_winner), 0) as arg_p,
+      case when count(*) >= 2 then arg_min(p_value, variant_id) filter (significant_winner) end as p_value,
+      count(*) >= 2 and bool_or(significant_winner) as is_significant
+    from (select *, list_position(['a_control', 'b_proof', 'c_short'], variant_id) as vi from sig) group by experiment_id))"""))
 def ab_report(spark, sf_dir):
     res = experiments.variant_results(V.experiment_results(spark, sf_dir))
     return experiments.report(experiments.significance(res)).select(
-        "experiment_id", "variants", "total_leads", "status", "winner_variant_id", "is_significant")
+        "experiment_id", "variants", "total_leads", "status", "winner_variant_id", "is_significant", "p_value", "recommendation")
 
 
 @query("ab_posteriors", with_(V.EXPERIMENT_SENDS, select="""
@@ -217,34 +228,93 @@ def _experiment_leads(spark, sf_dir):
     return V.experiment_sends(spark, sf_dir).select("experiment_id", "lead_id").distinct()
 
 
-@query("ab_thompson")
+_DIGITS = lambda h, first, count: f"((('0x' || substr({h}, {first}, {count}))::bigint::double + 0.5::double) / {16 ** count}::double)"
+_LEADS = V.EXPERIMENT_SENDS + """,
+xleads as (select distinct experiment_id, lead_id from esends)"""
+_FIXED = _LEADS + f""",
+fixed as (select experiment_id, lead_id, case when u < 0.5 then 'a_control' when u < 0.75 then 'b_proof' else 'c_short' end as variant_id from (
+  select *, {_DIGITS('h', 1, 13)} as u from (select *, md5(experiment_id || ':' || lead_id || ':7') as h from xleads)))"""
+_THOMPSON = _LEADS + f""",
+shapes as (
+  select xleads.experiment_id, lead_id, v as variant_id, pos, side, case side when 'a' then 1.0::double + coalesce(converted, 0) else 1.0::double + coalesce(total - converted, 0) end as shape
+  from xleads, (select unnest({items(V.VARIANTS)}) as v, unnest(range(3)) as pos), (select unnest(['a', 'b']) as side)
+  left join variants on variants.experiment_id = xleads.experiment_id and variants.variant_id = v),
+tries as (
+  select *, sqrt(-2.0::double * ln({_DIGITS('h', 1, 11)})) * cos(2.0::double * pi() * {_DIGITS('h', 12, 11)}) as normal, ln({_DIGITS('h', 23, 10)}) as refusal from (
+    select *, shape - 1.0::double / 3.0::double as d, md5(experiment_id || ':' || lead_id || ':' || variant_id || ':7:' || side || ':' || i) as h
+    from shapes, (select unnest(range({experiments.TRIES})) as i))),
+cubes as (select *, base * base * base as cube from (select *, 1.0::double + normal / sqrt(9.0::double * d) as base from tries)),
+gammas as (
+  select experiment_id, lead_id, variant_id, pos, side, coalesce(arg_min(d * cube, i) filter (
+    case when base > 0 then refusal < 0.5::double * normal * normal + d - d * cube + d * ln(cube) else false end), any_value(d)) as g from cubes group by all),
+thompson as (
+  select experiment_id, lead_id, arg_max(variant_id, [draw, -pos]) as variant_id from (
+    select experiment_id, lead_id, variant_id, pos, max(g) filter (side = 'a') / (max(g) filter (side = 'a') + max(g) filter (side = 'b')) as draw
+    from gammas group by all) group by all)"""
+
+
+@query("ab_thompson", with_(_THOMPSON, select="select experiment_id, lead_id, variant_id from thompson"))
 def ab_thompson(spark, sf_dir):
     res = experiments.variant_results(V.experiment_results(spark, sf_dir))
     return experiments.assign_thompson(_experiment_leads(spark, sf_dir), res, V.VARIANTS, seed=7)
 
 
-@query("ab_fixed")
+_WEIGHTS = {"a_control": 2.0, "b_proof": 1.0, "c_short": 1.0}
+
+
+@query("ab_fixed", with_(_FIXED, select="select experiment_id, lead_id, variant_id from fixed"))
 def ab_fixed(spark, sf_dir):
-    return experiments.assign_fixed(_experiment_leads(spark, sf_dir), {"a_control": 2.0, "b_proof": 1.0, "c_short": 1.0}, seed=7)
+    return experiments.assign_fixed(_experiment_leads(spark, sf_dir), _WEIGHTS, seed=7)
 
 
-@query("ab_sticky", with_(V.EXPERIMENT_SENDS, select="""
+def _sticky_sql(strategy):
+    return f"""
 select experiment_id, lead_id, v as variant_id, experiment_id <> 'exp_0' as is_new, case when v = 'a_control' then 'Control' else v end as variant_label
-from (select distinct experiment_id, lead_id, case when experiment_id = 'exp_0' then 'b_proof' else variant_id end as v from esends)"""))
-def ab_sticky(spark, sf_dir):
+from (select experiment_id, lead_id, case when experiment_id = 'exp_0' then 'b_proof' else variant_id end as v from {strategy})"""
+
+
+def _sticky(spark, sf_dir, strategy, **how):
     rows = _experiment_leads(spark, sf_dir)
     known = rows.filter(F.col("experiment_id") == "exp_0").withColumn("variant_id", F.lit("b_proof"))
-    out = experiments.assign(rows, known, "random", V.VARIANTS, labels={"a_control": "Control"})
+    out = experiments.assign(rows, known, strategy, V.VARIANTS, labels={"a_control": "Control"}, seed=7, **how)
     return out.select("experiment_id", "lead_id", "variant_id", "is_new", "variant_label")
 
 
+@query("ab_sticky_fixed", with_(_FIXED, select=_sticky_sql("fixed")))
+def ab_sticky_fixed(spark, sf_dir):
+    return _sticky(spark, sf_dir, "fixed", weights=_WEIGHTS)
+
+
+@query("ab_sticky_thompson", with_(_THOMPSON, select=_sticky_sql("thompson")))
+def ab_sticky_thompson(spark, sf_dir):
+    return _sticky(spark, sf_dir, "thompson", results=experiments.variant_results(V.experiment_results(spark, sf_dir)))
+
+
+@query("ab_recorded", with_(V.EXPERIMENT_SENDS, select="""
+select experiment_id, variant_id, lead_id, coalesce(max(recorded_at) filter (fresh), max(recorded_at)) as recorded_at,
+  coalesce(arg_max(converted, recorded_at) filter (fresh), arg_max(converted, recorded_at)) as converted
+from (select *, stamp || ' ' || lpad(event_id::varchar, 9, '0') as recorded_at, event_id % 3 = 0 as fresh from (select *, sent_at as stamp from esends)) group by all"""))
+def ab_recorded(spark, sf_dir):
+    """Recorded results, of which a later import replaces those of the same lead."""
+    rows = V.experiment_sends(spark, sf_dir).select(
+        "experiment_id", "variant_id", "lead_id", F.concat("sent_at", F.lit(" "), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("recorded_at"),
+        "converted", (F.col("event_id") % 3 == 0).alias("fresh"))
+    old, new = rows.filter("not fresh").drop("fresh"), rows.filter("fresh").drop("fresh")
+    return experiments.record_results(old, new).select("experiment_id", "variant_id", "lead_id", "recorded_at", "converted")
+
+
+@query("ab_sticky", with_(V.EXPERIMENT_SENDS, select=_sticky_sql("(select distinct experiment_id, lead_id, variant_id from esends)")))
+def ab_sticky(spark, sf_dir):
+    return _sticky(spark, sf_dir, "random")
+
+
 @query("ab_registry", with_(V.EXPERIMENT_SENDS, select="""
 select experiment_id, cast(pos as bigint) as variant_pos, variant_id, 'Label ' || variant_id as label from (
-  select distinct experiment_id from esends where experiment_id <> 'exp_2'), (values (0, 'a_control'), (1, 'b_proof')) t(pos, variant_id)"""))
+  select distinct experiment_id from esends where experiment_id <> 'exp_2'), (values (0, 'a_control'), (1, 'b_proof'), (2, 'c_short')) t(pos, variant_id)"""))
 def ab_registry(spark, sf_dir):
     ids = V.experiment_sends(spark, sf_dir).select("experiment_id").distinct()
     item = lambda v: F.struct(F.lit(v).alias("variant_id"), F.lit(f"Label {v}").alias("label"))
-    new = ids.select("experiment_id", F.to_json(F.array(item("a_control"), item("b_proof"))).alias("variants_json"),
+    new = ids.select("experiment_id", F.to_json(F.array(*map(item, V.VARIANTS))).alias("variants_json"),
                      (F.col("experiment_id") != "exp_2").alias("enabled"), F.lit("2024-02-01").alias("created_at"), F.lit("2024-02-01").alias("updated_at"))
     old = new.withColumns({"enabled": F.lit(True), "updated_at": F.lit("2024-01-01"), "variants_json": F.lit("[]")})
     return experiments.variants_of(experiments.active(experiments.register(old, new))).select(
@@ -450,6 +520,28 @@ def sequence_flags(spark, sf_dir):
         "lead_id", F.col("step_number").cast("bigint").alias("step_number"), "follow_up_type", X.join_list("quality_flags").alias("quality_flags"), "quality_score", "needs_review")
 
 
+_REPLIES = _SEQ.replace("raw_steps as (", "said_steps as (", 1).replace("),\nsteps as (", """),
+raw_steps as (
+  select lead_id, step_number, case when lead_id % 13 = 5 then 'value' else kind end as kind, case when lead_id % 13 = 5 then '' else chosen_angle end as chosen_angle,
+    case when lead_id % 13 = 5 then '' else opening_line end as opening_line, case when lead_id % 13 = 5 then '' else body_text end as body_text,
+    case when lead_id % 13 = 5 then '' else cta_text end as cta_text from said_steps),
+steps as (""", 1)
+
+
+@query("step_replies", with_(_REPLIES, select=f"""
+select lead_id, cast(step_number as bigint) as step_number, follow_up_type, opening_line, {join_sql('flags')} as quality_flags,
+  greatest(0.0, least(10.0, raw)) as quality_score, severe or raw < 7 as needs_review, lead_id % 13 = 5 as reply_failed from scored"""))
+def step_replies(spark, sf_dir):
+    """Follow-up replies as JSON text, parsed, checked and scored; some replies hold no JSON."""
+    fields = ["follow_up_type", "chosen_angle", "opening_line", "body_text", "cta_text", "evidence_used_for_copy"]
+    body = F.to_json(F.struct(*fields))
+    reply = F.when(F.col("lead_id") % 13 == 5, "no reply").when(F.col("step_number") == 2, F.concat(F.lit("Step: "), body)).otherwise(body)
+    steps = sequences.parse_steps(V.steps(spark, sf_dir).withColumn("reply", reply))
+    return sequences.check_steps(steps).select(
+        "lead_id", F.col("step_number").cast("bigint").alias("step_number"), "follow_up_type", "opening_line",
+        X.join_list("quality_flags").alias("quality_flags"), "quality_score", "needs_review", "reply_failed")
+
+
 @query("sequence_status", with_(_SEQ, select="""
 select lead_id, count(*) as steps, coalesce(round_even(avg(raw) filter (raw > 0), 1), 0.0) as overall_quality_score, bool_or(severe or raw < 7) as needs_review,
   case when bool_or(severe or raw < 7) then 'needs_review' else 'qc_passed' end as sequence_status from scored group by 1"""))
@@ -517,11 +609,11 @@ def call_usage(spark, sf_dir):
 
 @query("budget_admit", with_(_CALLS, select="""
 select call_key, round(proj, 10) as projected_cost from (
-  select *, min(case when proj > 0.0005 then ord end) over () as stop from (
+  select *, min(case when proj > 0.006 then ord end) over () as stop from (
     select *, call_key as ord, sum(input_tokens) over w / 1000000.0::double * 0.1::double + (sum(output_tokens) over w - output_tokens + 1200) / 1000000.0::double * 0.4::double as proj
     from calls window w as (order by call_key rows between unbounded preceding and current row))) where stop is null or ord < stop"""))
 def budget_admit(spark, sf_dir):
-    return prompts.admit(_calls(spark, sf_dir), max_cost=0.0005, order="call_key").select("call_key", F.round("projected_cost", 10).alias("projected_cost"))
+    return prompts.admit(_calls(spark, sf_dir), max_cost=0.006, order="call_key").select("call_key", F.round("projected_cost", 10).alias("projected_cost"))
 
 
 @query("call_limit_admit", with_(_CALLS, select="""
@@ -532,7 +624,7 @@ def call_limit_admit(spark, sf_dir):
 
 @query("running_tokens", with_(_CALLS, select="select call_key, cast(sum(input_tokens) over (order by call_key) as bigint) as running from calls"))
 def running_tokens(spark, sf_dir):
-    return block_prefix_sum(_calls(spark, sf_dir), "input_tokens", "call_key", "running", block_rows=1000).select("call_key", "running")
+    return running(_calls(spark, sf_dir), "call_key", sums={"running": "input_tokens"}).select("call_key", "running")
 
 
 def _cache(spark, sf_dir):
@@ -628,3 +720,70 @@ def send_hour_opened_only(spark, sf_dir):
 @query("sequence_minimum", with_(_SEQ, select="select lead_id, cast(step_number as bigint) as step_number from scored where greatest(0.0, least(10.0, raw)) >= 6"))
 def sequence_minimum(spark, sf_dir):
     return sequences.minimum_score(sequences.check_steps(V.steps(spark, sf_dir)), 6).select("lead_id", F.col("step_number").cast("bigint").alias("step_number"))
+
+
+# --- payloads ----------------------------------------------------------------------------------------------
+def _quoted_sql(x, ascii_only=True):
+    """JSON string of a text; the texts hold no control characters but line ends and tabs."""
+    expr = x
+    for char, escape in [("chr(92)", "chr(92) || chr(92)"), ("chr(34)", "chr(92) || chr(34)"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"),
+                         ("chr(9)", "chr(92) || 't'")]:
+        expr = f"replace({expr}, {char}, {escape})"
+    if ascii_only:
+        expr = (f"list_transform([{expr}], lambda t: list_reduce(list_distinct(regexp_extract_all(t, '[^\\x00-\\x7f]')), "
+                f"lambda a, c: replace(a, c, chr(92) || 'u' || printf('%04x', unicode(c))), t))[1]")
+    return f"(chr(34) || {expr} || chr(34))"
+
+
+def _object_sql(members):
+    parts = [f"'{', ' if i else ''}\"{n}\": ' || {v}" for i, (n, v) in enumerate(members.items())]
+    return "('{' || " + " || ".join(parts) + " || '}')"
+
+
+_FACT_SQL = _object_sql({
+    c: {"text": _quoted_sql(c), "truth": f"case when {c} then 'true' else 'false' end", "number": f"{c}::varchar"}[kind]
+    for c, kind in prompts._FACT_MEMBERS.items()})
+
+
+@query("evidence_payload", with_(V.FACTS, select=f"""
+select lead_id, '[' || string_agg({_FACT_SQL}, ', ' order by fact_pos) || ']' as evidence_json from facts group by lead_id"""))
+def evidence_payload(spark, sf_dir):
+    return prompts.evidence_json(V.facts(spark, sf_dir))
+
+
+def _profiles(spark, sf_dir):
+    """Tone profiles in the shape of customers: names, segments and lists of both."""
+    words = F.split("c_name", "#")
+    return V.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.concat(F.lit('Für "'), "c_mktsegment", F.lit('" \\ ünï')).alias("description"),
+        F.col("c_mktsegment").alias("opening_style"), F.lit("").alias("custom_prompt"), words.alias("angle_priorities"),
+        F.array("c_mktsegment", F.lit("é\n2")).alias("preferred_phrases"), F.array().cast("array<string>").alias("banned_phrases"),
+        F.array(F.lit("a")).alias("qc_focus"), F.array("c_name").alias("example_good_lines"), F.array().cast("array<string>").alias("example_bad_lines"))
+
+
+def _profile_sql(ascii_only, order):
+    quoted = lambda x: _quoted_sql(x, ascii_only)
+    listed = lambda x: f"('[' || array_to_string(list_transform({x}, lambda y: {quoted('y')}), ', ') || ']')"
+    members = {
+        "name": quoted("c_name"), "description": quoted("'Für \"' || c_mktsegment || '\" ' || chr(92) || ' ünï'"), "opening_style": quoted("c_mktsegment"),
+        "custom_prompt": "chr(34) || chr(34)", "angle_priorities": listed("string_split(c_name, '#')"),
+        "preferred_phrases": listed("[c_mktsegment, 'é' || chr(10) || '2']"), "banned_phrases": "'[]'", "qc_focus": listed("['a']"),
+        "example_good_lines": listed("[c_name]"), "example_bad_lines": "'[]'"}
+    return _object_sql({k: members[k] for k in order(members)})
+
+
+@query("profile_payload", f"""
+select c_custkey, {_profile_sql(True, list)} as tone_profile_json, sha256({_profile_sql(False, sorted)}) as tone_profile_hash from customer""")
+def profile_payload(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("c_custkey", prompts.profile_json().alias("tone_profile_json"), prompts.profile_hash().alias("tone_profile_hash"))
+
+
+@query("prompt_payload", with_(V.FACTS, f"evidence as (select lead_id, '[' || string_agg({_FACT_SQL}, ', ' order by fact_pos) || ']' as e from facts group by lead_id)", select=f"""
+select lead_id, 'Tone: ' || p || chr(10) || 'Evidence: ' || e || chr(10) || 'Keep {{unknown}}' as prompt from evidence
+join (select c_custkey, {_profile_sql(True, list)} as p from customer) c on c_custkey = lead_id % 100 + 1"""))
+def prompt_payload(spark, sf_dir):
+    """The whole user prompt of every lead: evidence and tone as JSON in the template's places."""
+    tones = _profiles(spark, sf_dir).select((F.col("c_custkey") - 1).alias("tone"), prompts.profile_json().alias("tone_profile_json"))
+    rows = prompts.evidence_json(V.facts(spark, sf_dir)).withColumn("tone", F.col("lead_id") % 100)
+    rows = rows.join(tones, "tone").withColumn("template", F.lit("Tone: {tone_profile_json}\nEvidence: {evidence_json}\nKeep {unknown}"))
+    return rows.select("lead_id", prompts.render("template", ["tone_profile_json", "evidence_json"]).alias("prompt"))

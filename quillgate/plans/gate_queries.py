@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
+from quillgate.functions import json as J
 from quillgate.functions import redact
 from quillgate.functions import text as X
 from quillgate.operators import canonical, copyguard, delivery, evals, gates, outreach, prompts, reports
+from quillgate.operators.order import stored
 from quillgate.plans import views as V
 from quillgate.plans.registry import (
-    any_sql, dedupe_sql, flags_sql, items, join_sql, pct_sql, q, query, starts_sql, with_,
+    SQL, any_sql, dedupe_sql, flags_sql, items, join_sql, pct_sql, q, query, starts_sql, with_,
 )
 
 WS = V.WS_CLASS_SQL
@@ -144,12 +146,8 @@ gates as materialized (
 )"""
 
 
-#: The same gates over whole texts.
-WHOLE_GATES = GATES.replace(V.LINES, V.WHOLE_LINES)
-
-
-def scored(spark, sf_dir, whole=False):
-    return gates.apply_sendability(V.lines(spark, sf_dir, whole))
+def scored(spark, sf_dir):
+    return gates.apply_sendability(V.lines(spark, sf_dir))
 
 
 _VERDICTS = f"""
@@ -161,21 +159,15 @@ select row_idx, decision as sendability_decision, cast(score as bigint) as senda
 
 @query("gate_sendability", with_(GATES, select=_VERDICTS))
 def gate_sendability(spark, sf_dir):
-    """Verdicts on first sentences; gate_sendability_whole judges whole texts."""
-    return _verdicts(scored(spark, sf_dir))
-
-
-@query("gate_sendability_whole", with_(WHOLE_GATES, select=_VERDICTS))
-def gate_sendability_whole(spark, sf_dir):
-    return _verdicts(scored(spark, sf_dir, whole=True))
-
-
-def _verdicts(df):
-    return df.select(
+    return scored(spark, sf_dir).select(
         "row_idx", "sendability_decision", F.col("sendability_score").cast("bigint").alias("sendability_score"),
         "sendability_reasons", "hard_fail_reasons", "soft_edit_reasons", "sendability_dimensions")
 
 
+#: The name under which whole texts were judged first; lines are whole texts everywhere now.
+query("gate_sendability_whole", with_(GATES, select=_VERDICTS))(gate_sendability)
+
+
 @query("gate_scores", with_(GATES, select=f"""
 select row_idx, cast(ev as bigint) as evidence_score, cast(cp as bigint) as copy_quality_score, cast(oc as bigint) as outcome_alignment_score,
   cast(tp as bigint) as template_fit_score, cast(vs as bigint) as visual_reliability_score, vp as viewport_scope,
@@ -324,19 +316,22 @@ select row_idx, {join_sql(dedupe_sql('af'))} as qc_flags,
   cast(greatest(0, least(10, case when blocked then least(ms, 7) else ms end)) as bigint) as qc_score,
   not blocked and mp and ms >= 8 as qc_passed,
   (human_decision = 'reject') or not (not blocked and mp and ms >= 8) or greatest(0, least(10, case when blocked then least(ms, 7) else ms end)) < 8
-    or list_has_any(af, {items(T.SERIOUS_FLAGS)}) as needs_review
+    or list_has_any(af, {items(T.SERIOUS_FLAGS)}) as needs_review, qc_reasons
 from (select *, list_has_any(af, {items(T.BLOCKING_QC_FLAGS)}) as blocked from (
-  select *, (case when row_idx % 6 = 1 then ['hallucination'] when row_idx % 6 = 3 then ['minor_tone'] else [] end) || cflags as af,
-    row_idx % 12 as ms, row_idx % 3 <> 0 as mp from cf))"""))
+  select *, (case when failed then [] when row_idx % 6 = 1 then ['hallucination'] when row_idx % 6 = 3 then ['minor_tone'] else [] end) || cflags as af,
+    case when failed then 0 else row_idx % 12 end as ms, not failed and row_idx % 3 <> 0 as mp, case when failed then '' else status end as qc_reasons
+  from (select cf.*, status, row_idx % 10 = 9 as failed from cf join (select row_idx, status from lines) using (row_idx))))"""))
 def qc_merge(spark, sf_dir):
+    """Reviewer replies as JSON text, parsed and merged with the own flags; every tenth reply holds no JSON."""
     k = F.col("row_idx")
-    df = copyguard.copy_flags(_drafts(spark, sf_dir)).withColumns({
-        "model_flags": F.when(k % 6 == 1, X.lits(["hallucination"])).when(k % 6 == 3, X.lits(["minor_tone"])).otherwise(F.array().cast("array<string>")),
-        "model_score": k % 12, "model_pass": k % 3 != 0, "research_review": F.col("human_decision") == "reject",
-    })
-    df = copyguard.merge_qc(df)
+    flags = F.when(k % 6 == 1, X.lits(["hallucination", " "])).when(k % 6 == 3, X.lits([" minor_tone "])).otherwise(F.array().cast("array<string>"))
+    body = F.to_json(F.struct((k % 12).alias("score"), (k % 3 != 0).alias("pass"), F.array("status", F.lit("")).alias("reasons"), flags.alias("quality_flags")))
+    reply = F.when(k % 10 == 9, "no reply").when(k % 4 == 0, F.concat(F.lit("Verdict: "), body)).otherwise(body)
+    df = copyguard.copy_flags(_drafts(spark, sf_dir)).withColumns({"research_review": F.col("human_decision") == "reject", "reply": reply})
+    df = copyguard.merge_qc(prompts.parse_qc(df, keep=["row_idx", "copy_flags", "research_review"]))
     df = copyguard.needs_review(df, carried=["research_review"], all_flags="qc_flags")
-    return df.select("row_idx", X.join_list("qc_flags").alias("qc_flags"), F.col("qc_score").cast("bigint").alias("qc_score"), "qc_passed", "needs_review")
+    return df.select("row_idx", X.join_list("qc_flags").alias("qc_flags"), F.col("qc_score").cast("bigint").alias("qc_score"), "qc_passed", "needs_review",
+                     X.join_list("qc_reasons").alias("qc_reasons"))
 
 
 @query("draft_sanitize", with_(_DRAFT, select=r"""
@@ -349,10 +344,31 @@ def draft_sanitize(spark, sf_dir):
     return copyguard.sanitize_draft(df).select("row_idx", "opening_line")
 
 
+_BRANDED = V.LINES + """,
+branded as (
+  select row_idx, source || 'Hub' as longer, source as shorter, 'I checked ' || upper(source) || 'hub and ' || upper(source) || ' on x.' || source || '.io: ' || text as opening_line
+  from (select *, replace(company, ' labs', '') as source from lines))"""
+
+
+def _cased(text, brand):
+    """Whole-token mentions of a brand in its own casing; a mark behind every other character keeps neighbours apart."""
+    marked = f"regexp_replace({text}, '([^A-Za-z0-9])', '\\1' || chr(1), 'g')"
+    return f"replace(regexp_replace({marked}, '(?i)(^|' || chr(1) || ')' || {brand} || '($|[^A-Za-z0-9])', '\\1' || {brand} || '\\2', 'g'), chr(1), '')"
+
+
+@query("draft_brands", with_(_BRANDED, select=f"""
+select row_idx, {V.strip_sql('once')} as opening_line from (select row_idx, {_cased('twice', 'shorter')} as once from (select *, {_cased('opening_line', 'longer')} as twice from branded))"""))
+def draft_brands(spark, sf_dir):
+    """Two brands of a lead, the company's name and the shorter stem of its host, in the lead's own casing."""
+    source = F.replace("company", F.lit(" labs"), F.lit(""))
+    df = V.lines(spark, sf_dir).select("row_idx", "text", source.alias("source")).withColumns({
+        "company_name": F.concat("source", F.lit("Hub")), "website_url": F.concat(F.lit("https://www."), "source", F.lit(".example.com/x")),
+        "opening_line": F.concat(F.lit("I checked "), F.upper("source"), F.lit("hub and "), F.upper("source"), F.lit(" on x."), "source", F.lit(".io: "), "text")})
+    return df.select("row_idx", X.strip(copyguard.replace_brand_casing("opening_line", "company_name", "website_url")).alias("opening_line"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------
-_METRICS = GATES + f""",
-agg as materialized (
-  select cast(count(*) as double) as frozen_eval_rows,
+_METRIC_VALUES = f"""cast(count(*) as double) as frozen_eval_rows,
     {pct_sql("count(*) filter (e = decision)", "count(*)")} as exact_gate_human_agreement_pct,
     {pct_sql("count(*) filter (decision = 'Send' and human_decision = 'send')", "count(*) filter (decision = 'Send')")} as send_precision_pct,
     {pct_sql("count(*) filter (decision = 'Reject' and human_decision = 'reject')", "count(*) filter (human_decision = 'reject')")} as reject_recall_pct,
@@ -360,9 +376,11 @@ agg as materialized (
     {pct_sql("count(*) filter (s_label = 'Correct')", "count(*)")} as surface_correct_rate_pct,
     {pct_sql("count(*) filter (s_label = 'Correct' and ps = 'app_first_product')", "count(*) filter (ps = 'app_first_product')")} as app_first_surface_correct_rate_pct,
     round_even(avg(ev), 1) as avg_evidence_score, round_even(avg(tp), 1) as avg_template_fit_score
-  from (select *, case human_decision when 'send' then 'Send' when 'edit' then 'Edit' when 'reject' then 'Reject' else 'Unknown' end as e from gates)
-),
+  from (select *, case human_decision when 'send' then 'Send' when 'edit' then 'Edit' when 'reject' then 'Reject' else 'Unknown' end as e from gates)"""
+_METRICS_OF = f""",
+agg as materialized (select {_METRIC_VALUES}),
 metrics as materialized (select metric, value from (unpivot agg on columns(*) into name metric value value))"""
+_METRICS = GATES + _METRICS_OF
 
 
 @query("eval_metrics", with_(_METRICS, select="select metric, value from metrics"))
@@ -395,11 +413,66 @@ def eval_attention(spark, sf_dir):
     return df.select("row_idx", "gate_decision", "human_decision", "is_false_send")
 
 
-@query("baseline_changes", with_(_METRICS, select="""
-select metric, value, value + 1.0::double as baseline_value, round_even(value - (value + 1.0::double), 4) as change from metrics"""))
+#: Six evaluations a week apart, each of another part of the lines; every second one became a baseline a day later.
+COHORTS, FIRST_EVALUATION = 6, "2024-02-01 00:00:00"
+_COHORT_METRICS = GATES + f""",
+cohorts as materialized (select row_idx % {COHORTS} as cohort, {_METRIC_VALUES} group by 1),
+timed as (
+  select cohort, metric, value, timestamp '{FIRST_EVALUATION}' + to_days(cast(7 * cohort as int)) as evaluated_at
+  from (unpivot cohorts on columns(* exclude (cohort)) into name metric value value)),
+history as (select metric, value as baseline_value, evaluated_at + interval 1 day as created_at from timed where cohort % 2 = 0),
+against as (select t.*, h.baseline_value from timed t asof left join history h on t.metric = h.metric and t.evaluated_at > h.created_at)"""
+
+
+def _against_baselines(spark, sf_dir):
+    """Metrics of every cohort with the latest baseline before it; the gate runs once, its tallies are stored."""
+    cohort = (F.col("row_idx") % COHORTS).alias("cohort")
+    rows = stored(evals.tallies(scored(spark, sf_dir), [cohort]))
+    at = F.lit(FIRST_EVALUATION).cast("timestamp") + F.make_dt_interval((F.col("cohort") * 7).cast("int"))
+    now = evals.metrics_of(rows, ["cohort"]).withColumn("evaluated_at", at)
+    history = now.filter(F.col("cohort") % 2 == 0).select("metric", "value", (F.col("evaluated_at") + F.expr("interval 1 day")).alias("created_at"))
+    return evals.baseline_before(now, history)
+
+
+@query("baseline_changes", with_(_COHORT_METRICS, select="""
+select cohort, metric, value, baseline_value, round_even(value - baseline_value, 4) as change from against where baseline_value is not null"""))
 def baseline_changes(spark, sf_dir):
-    now = evals.metrics(scored(spark, sf_dir))
-    return evals.baseline_changes(now, now.withColumn("value", F.col("value") + 1.0))
+    rows = stored(_against_baselines(spark, sf_dir))
+    known = rows.filter(F.col("baseline_value").isNotNull()).select("cohort", "metric", F.col("baseline_value").alias("value"))
+    return evals.baseline_changes(rows.select("cohort", "metric", "value"), known, ["cohort"])
+
+
+_REGRESSION = "send_precision_pct exact_gate_human_agreement_pct reject_recall_pct surface_correct_rate_pct app_first_surface_correct_rate_pct".split()
+
+
+@query("release_gate_baseline", with_(_COHORT_METRICS, select=f"""
+select cohort, m.metric, rule, value, threshold from timed m join (values
+  ('send_precision_pct', 'min_send_precision', 90.0::double), ('exact_gate_human_agreement_pct', 'min_exact_agreement', 78.0::double),
+  ('surface_correct_rate_pct', 'min_surface_correct_rate', 85.0::double), ('app_first_surface_correct_rate_pct', 'min_app_first_surface_correct_rate', 90.0::double),
+  ('false_send_rows', 'max_false_sends', 0.0::double)) t(metric, rule, threshold) on m.metric = t.metric
+where case when rule = 'max_false_sends' then value > threshold when rule like 'min_app%' then value > 0 and value < threshold else value < threshold end
+union all select cohort, metric, 'no_regression', value, baseline_value from against
+where (metric in ({", ".join(map(q, _REGRESSION))}) and baseline_value > 0 and value < baseline_value) or (metric = 'false_send_rows' and value > baseline_value)"""))
+def release_gate_baseline(spark, sf_dir):
+    """The release gate of every cohort, with the regression rules against the latest baseline before it."""
+    rows = stored(_against_baselines(spark, sf_dir))
+    known = rows.select("cohort", "metric", F.col("baseline_value").alias("value"))
+    return evals.release_gate(rows.select("cohort", "metric", "value"), baseline=known, keys=["cohort"])
+
+
+_EDITED_GATES = GATES.replace("lines as (", "stated as (", 1).replace(",\ng0 as (", """,
+lines as (select * replace (case when human_decision = 'edit' then edited_line else personalized_line end as personalized_line) from stated),
+g0 as (""", 1)
+
+
+@query("rescored_metrics", with_(_EDITED_GATES + _METRICS_OF, select="select metric, value from metrics"))
+def rescored_metrics(spark, sf_dir):
+    """Metrics after review edits: the stored verdicts stay, edited rows alone are judged again and exchanged in the tallies."""
+    base = stored(scored(spark, sf_dir).select("row_idx", *evals.TALLIED))
+    edits = V.lines(spark, sf_dir).filter(F.col("human_decision") == "edit").select("row_idx", F.col("edited_line").alias("personalized_line"))
+    old = evals.tallies(base.join(edits.select("row_idx"), "row_idx", "left_semi"))
+    new = evals.tallies(gates.rescored_rows(V.lines(spark, sf_dir), edits, ["row_idx"], ["personalized_line"]))
+    return evals.metrics_of(evals.corrected(evals.tallies(base), old, new))
 
 
 @query("judge_agreement", with_(GATES, select=f"""
@@ -407,9 +480,24 @@ select model_name as model, count(*) as rows, count(*) filter (lower(decision) =
   {pct_sql("count(*) filter (lower(decision) = h)", "count(*)")} as agreement_pct
 from (select *, case when human_decision = 'unreviewed' then 'unknown' else human_decision end as h from gates) group by model_name"""))
 def judge_agreement(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    judged = df.select("example_id", F.col("model_name").alias("model"), F.lower("sendability_decision").alias("judge_decision"))
-    return evals.judge_agreement(df.select("example_id", "human_decision"), judged)
+    judged = scored(spark, sf_dir).select("row_idx", F.col("model_name").alias("model"), F.lower("sendability_decision").alias("judge_decision"))
+    return evals.judge_agreement(V.lines(spark, sf_dir).select("row_idx", "human_decision"), judged, "row_idx")
+
+
+_JUDGED = ["original_line", "model_opening_line", "personalized_line", "opening_line", "current_opening_line"]
+
+
+@query("candidate_lines", with_(V.LINES, select=f"""
+select row_idx, coalesce(nullif({V.strip_sql('original_line')}, ''), nullif({V.strip_sql('model_opening_line')}, ''), {V.strip_sql('personalized_line')}) as candidate_line,
+  case when row_idx % 3 = 0 then 'Ready' else status end as status, surface_checked as surface_used
+from (select *, case when row_idx % 2 = 0 then ' ' else edited_line end as original_line from lines)"""))
+def candidate_lines(spark, sf_dir):
+    """Goldset rows with old column names and blanks, as the judges see them."""
+    k = F.col("row_idx")
+    df = V.lines(spark, sf_dir).withColumns({
+        "original_line": F.when(k % 2 == 0, " ").otherwise(F.col("edited_line")), "status": F.when(k % 3 == 0, "").otherwise(F.col("status"))})
+    df = evals.normalize_goldset(df.withColumnRenamed("surface_checked", "surface_used"))
+    return df.select("row_idx", evals.candidate_line(df.columns).alias("candidate_line"), "status", F.col("surface_checked").alias("surface_used"))
 
 
 @query("goldset_summary", with_(V.LINES, select="""
@@ -511,15 +599,23 @@ from (select row_idx, trace_files || ' ; ' || text as x from lines)"""))
 def redact_text(spark, sf_dir):
     df = V.lines(spark, sf_dir).select("row_idx", F.concat_ws(" ; ", "trace_files", "text").alias("x"))
     t = F.col("x")
-    for _, pattern, replacement in redact._STEPS[:2]:
+    for _, pattern, replacement in redact.STEPS[:2]:
         t = F.regexp_replace(t, pattern, replacement)
     return df.select("row_idx", t.alias("path_free"))
 
 
-@query("redact_full")
+_SENSITIVE = V.LINES + """,
+sensitive as (select row_idx, trace_files || ' ; ' || source_urls || ' ; ' || text as x from lines)"""
+
+
+def _sensitive(spark, sf_dir):
+    return V.lines(spark, sf_dir).select("row_idx", F.concat_ws(" ; ", "trace_files", "source_urls", "text").alias("x"))
+
+
+@query("redact_full", with_(_SENSITIVE, redact.sanitize_sql("sensitive", "x"), select=f"""
+select row_idx, x as redacted, {join_sql('found')} as flags from redacted"""))
 def redact_full(spark, sf_dir):
-    df = V.lines(spark, sf_dir).select("row_idx", F.concat_ws(" ; ", "trace_files", "source_urls", "text").alias("x"))
-    out = redact.sanitize_columns(df, "x", "redacted", "flags")
+    out = redact.sanitize_columns(_sensitive(spark, sf_dir), "x", "redacted", "flags")
     return out.select("row_idx", "redacted", X.join_list("flags").alias("flags"))
 
 
@@ -539,10 +635,24 @@ def privacy_scan(spark, sf_dir):
         X.flags(*[(F.array_contains("f", n), n) for n in shown])).alias("flags"))
 
 
-@query("privacy_scan_all_classes")
+@query("privacy_scan_all_classes", with_(_SENSITIVE, select=f"select row_idx, {join_sql(redact.scan_sql('x'))} as flags from sensitive"))
 def privacy_scan_all_classes(spark, sf_dir):
-    df = V.lines(spark, sf_dir).select("row_idx", F.concat_ws(" ; ", "trace_files", "source_urls", "text").alias("x"))
-    return df.select("row_idx", X.join_list(redact.scan("x")).alias("flags"))
+    return _sensitive(spark, sf_dir).select("row_idx", X.join_list(redact.scan("x")).alias("flags"))
+
+
+@query("privacy_spans", with_(_SENSITIVE, select=redact.span_rows_sql("sensitive", "row_idx", "x")))
+def privacy_spans(spark, sf_dir):
+    return redact.span_rows(_sensitive(spark, sf_dir), "row_idx", "x")
+
+
+@query("privacy_spans_merged", with_(_SENSITIVE, "spans as (" + redact.span_rows_sql("sensitive", "row_idx", "x") + ")", select="""
+select row_idx, min(start) as start, max(start + length) - min(start) as length, array_to_string(list_sort(list_distinct(list(class))), ' | ') as classes from (
+  select *, sum(fresh) over (partition by row_idx order by start, length, class) as island from (
+    select *, case when start < max(start + length) over (partition by row_idx order by start, length, class rows between unbounded preceding and 1 preceding)
+      then 0 else 1 end as fresh from spans)) group by row_idx, island"""))
+def privacy_spans_merged(spark, sf_dir):
+    found = redact.merged_spans(redact.span_rows(_sensitive(spark, sf_dir), "row_idx", "x"), "row_idx")
+    return found.select("row_idx", "start", "length", X.join_list("classes").alias("classes"))
 
 
 @query("screenshot_name_scan", with_(V.LINES, select=r"""
@@ -563,24 +673,47 @@ def delivery_filter(spark, sf_dir):
     return delivery.overlay_edits(delivery.delivery_filter(scored(spark, sf_dir), V.lines(spark, sf_dir))).select("row_idx", "personalized_line")
 
 
-@query("client_safe_table")
+_SAFE_CELLS = [c for c in delivery.CLIENT_SAFE_COLUMNS if c != "privacy_scan_flags"]
+_LINE = f"case when human_decision in ('send', 'edit') and edited_line <> '' then {V.strip_sql('edited_line')} else {V.strip_sql('personalized_line')} end"
+_SAFE_VALUES = {
+    "sendability_decision": "decision", "personalized_line": _LINE, "evidence_found": V.strip_sql("evidence_found"), "surface_correctness": "s_label",
+    "evidence_score": "ev::varchar", "visual_reliability_score": "vs::varchar", "viewport_scope": "vp", "safe_screenshots": "''",
+    "screenshot_privacy_notes": "''", "client_safe_notes": q(T.CLIENT_SAFE_NOTE),
+}
+#: Cells as rows, redacted class by class, and put together again.
+_SAFE = GATES + f""",
+cells as (select row_idx, name, x from (unpivot (
+  select row_idx, {", ".join(f"{_SAFE_VALUES.get(c, c)} as {c}" for c in _SAFE_CELLS)} from gates where {_APPROVED})
+  on columns(* exclude (row_idx)) into name name value x)),
+""" + redact.sanitize_sql("cells", "x") + f""",
+safe as materialized (
+  select * replace (case when privacy_scan_flags <> '' then client_safe_notes || ' Potential sensitive values were redacted: ' || privacy_scan_flags || '.'
+    else client_safe_notes end as client_safe_notes)
+  from (select row_idx, {", ".join(f"max(x) filter (name = {q(c)}) as {c}" for c in _SAFE_CELLS)},
+    {join_sql('list_sort(list_distinct(flatten(list(found))))')} as privacy_scan_flags from redacted group by row_idx))"""
+_RESIDUAL = f"(select list_sort(list_distinct(flatten(list({redact.scan_sql('blob')})))) from (select concat_ws(' ', {', '.join(delivery.CLIENT_SAFE_COLUMNS)}) as blob from safe))"
+
+
+def _safe(spark, sf_dir, **how):
+    return delivery.client_safe(scored(spark, sf_dir), scored=True, source=V.lines(spark, sf_dir), **how)
+
+
+@query("client_safe_table", with_(_SAFE, select=f"select row_idx, {', '.join(delivery.CLIENT_SAFE_COLUMNS)} from safe"))
 def client_safe_table(spark, sf_dir):
-    return delivery.client_safe(scored(spark, sf_dir), scored=True, keep=["row_idx"], source=V.lines(spark, sf_dir))
+    return _safe(spark, sf_dir, keep=["row_idx"])
 
 
-@query("client_safe_leaks")
+@query("client_safe_leaks", with_(_SAFE, select=f"select {join_sql(_RESIDUAL)} as residual_flags"))
 def client_safe_leaks(spark, sf_dir):
-    safe = delivery.client_safe(scored(spark, sf_dir), scored=True, source=V.lines(spark, sf_dir))
-    return delivery.residual_flags(safe).select(X.join_list("flags").alias("residual_flags"))
+    return delivery.residual_flags(_safe(spark, sf_dir)).select(X.join_list("flags").alias("residual_flags"))
 
 
-@query("delivery_manifest", with_(GATES, select=f"""
-select count(*) as input_rows, count(*) filter ({_APPROVED}) as client_rows,
-  'human-approved send/edit when available, otherwise sendability Send only' as filter_policy from gates"""))
+@query("delivery_manifest", with_(_SAFE, select=f"""
+select (select count(*) from gates) as input_rows, (select count(*) from safe) as client_rows,
+  'human-approved send/edit when available, otherwise sendability Send only' as filter_policy, {join_sql('r')} as remaining_privacy_scan_flags,
+  case when list_has_any(r, {items(T.HARD_LEAKS)}) then 'blocked' else 'client_safe' end as status from (select {_RESIDUAL} as r)"""))
 def delivery_manifest(spark, sf_dir):
-    source = V.lines(spark, sf_dir)
-    safe = delivery.overlay_edits(delivery.delivery_filter(scored(spark, sf_dir), source)).select("personalized_line")
-    return delivery.delivery_manifest(source, safe).select("input_rows", "client_rows", "filter_policy")
+    return delivery.delivery_manifest(V.lines(spark, sf_dir), _safe(spark, sf_dir))
 
 
 @query("delivery_policies", with_(GATES, select="""
@@ -636,40 +769,43 @@ def run_rows(spark, sf_dir):
         F.concat(F.lit("note; "), "status").alias("reviewer_notes"), (k % 7).cast("string").alias("input__Rank"))
 
 
+def _squeezed(column):
+    return V.strip_sql(f"regexp_replace({_REPAIRED.replace('(x', f'({column}')}, '{WS}+', ' ', 'g')")
+
+
+def _cell(column):
+    return f"replace(replace({_squeezed(column)}, ' | ', chr(10)), '; ', chr(10))"
+
+
+_REVIEW_SAME = ["friction_type", "surface_checked", "conversion_outcome", "product_surface_type", "research_priority", "role", "website", "model_name",
+                "visual_confidence", "needs_manual_review", "tone_profile"]
+_REVIEW_CELLS = ["quality_flags", "evidence_found", "shareable_screenshots", "trace_files", "ux_validator_findings", "source_urls"]
+
+
 @query("review_rows", with_(V.LINES, select=f"""
 select row_idx, case when bad then 'Research only' when needs_manual_review = 'yes' then 'Review' else 'Ready' end as status, company, person,
   personalized_line, personalized_line as option_1_line, case when row_idx % 2 = 0 then model_opening_line else '' end as option_2_line,
-  cast(row_idx % 11 as varchar) as option_1_qc_score, needs_manual_review as option_1_needs_review,
-  replace(replace(quality_flags, ' | ', chr(10)), '; ', chr(10)) as quality_flags,
-  'note; ' || status as reviewer_notes, tone_profile, cast(row_idx % 7 as varchar) as "input__Rank"
+  cast(row_idx % 11 as varchar) as option_1_qc_score, needs_manual_review as option_1_needs_review, {", ".join(_REVIEW_SAME)},
+  {", ".join(f"{_cell(c)} as {c}" for c in _REVIEW_CELLS)}, 'note; ' || status as reviewer_notes, cast(row_idx % 7 as varchar) as "input__Rank"
 from (select * replace ({V.strip_sql('personalized_line')} as personalized_line), personalized_line = '' or personalized_line like '[%' as bad from lines)"""))
 def review_rows(spark, sf_dir):
     return delivery.review_rows(run_rows(spark, sf_dir)).select(
         "row_idx", "status", "company", "person", "personalized_line", "option_1_line", "option_2_line", "option_1_qc_score",
-        "option_1_needs_review", "quality_flags", "reviewer_notes", "tone_profile", "input__Rank")
+        "option_1_needs_review", *_REVIEW_SAME, *_REVIEW_CELLS, "reviewer_notes", "input__Rank")
 
 
 @query("research_rows", with_(V.LINES, select=f"""
-select row_idx, company, 'visual ' || visual_confidence as v, case when length(t) <= 900 then t else rtrim(left(t, 897), {V.WS_SQL}) || '...' end as "evidence found"
-from (select row_idx, company, visual_confidence, {V.strip_sql(f"regexp_replace({_REPAIRED.replace('(x', '(evidence_found')}, '{WS}+', ' ', 'g')")} as t from lines)"""))
+select row_idx, company, 'visual ' || visual_confidence as v, {_squeezed("evidence_found")} as "evidence found" from lines"""))
 def research_rows(spark, sf_dir):
-    """Display form with shortened cells; research_rows_whole has the whole texts."""
-    return _research(spark, sf_dir, shortened=True)
-
-
-@query("research_rows_whole", with_(V.LINES, select=f"""
-select row_idx, company, 'visual ' || visual_confidence as v,
-  {V.strip_sql(f"regexp_replace({_REPAIRED.replace('(x', '(evidence_found')}, '{WS}+', ' ', 'g')")} as "evidence found" from lines"""))
-def research_rows_whole(spark, sf_dir):
-    return _research(spark, sf_dir)
-
-
-def _research(spark, sf_dir, **how):
-    return delivery.research_rows(run_rows(spark, sf_dir), **how).select(
+    return delivery.research_rows(run_rows(spark, sf_dir)).select(
         "row_idx", "company", F.concat(F.lit("visual "), F.split_part("visual confidence", F.lit("("), F.lit(1))).alias("v"), "evidence found").withColumn(
         "v", F.when(F.trim("v") == "visual", F.lit("visual ")).otherwise(F.rtrim("v")))
 
 
+#: The name under which whole texts were shown first; they are in all research rows now.
+query("research_rows_whole", SQL["research_rows"])(research_rows)
+
+
 # --- reports ---------------------------------------------------------------------------------------
 _STATUS = "case when noline or bad then 'Research only' when needs_manual_review = 'yes' then 'Review' else 'Ready' end"
 _SUMMARY = [

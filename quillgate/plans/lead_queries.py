@@ -1,14 +1,17 @@
 """Queries over leads and stored pages."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
 from quillgate.functions import html, urls
 from quillgate.functions import text as X
-from quillgate.operators import evals, leads, outreach, sendtime, web
+from quillgate.operators import leads, outreach, sendtime, web
+from quillgate.operators.order import stored
 from quillgate.operators.rows import first_per_key, ensure_columns, top_k, with_generated_ids
 from quillgate.plans import views as V
-from quillgate.plans.registry import any_sql, dedupe_sql, flags_sql, items, join_sql, q, query, with_
+from quillgate.plans.registry import SQL, any_sql, dedupe_sql, flags_sql, items, join_sql, q, query, with_
 
 _P = V._PARTS
 _HOST = rf"regexp_replace(lower(regexp_extract(%s, '{_P}', 2)), '^www\.', '')"
@@ -46,6 +49,15 @@ def lead_depth(spark, sf_dir):
         "row_idx", "research_depth", leads.page_budget(5).cast("bigint").alias("page_budget"), leads.deep_research_eligible().alias("deep"))
 
 
+@query("lead_defaults", with_(V.LEADS, select=f"""
+select row_idx, campaign_context, {_DEPTH} as research_depth
+from (select * replace (case when campaign_context = '' then 'enterprise pilot' else campaign_context end as campaign_context) from leads)"""))
+def lead_defaults(spark, sf_dir):
+    """Leads of a batch that brings a campaign context of its own."""
+    df = leads.build_leads(leads.prepare(V.raw_leads(spark, sf_dir)), "enterprise pilot")
+    return df.select("row_idx", "campaign_context", "research_depth")
+
+
 @query("lead_dedupe", with_(V.LEADS, select=f"""
 select row_idx, url_error is null and rn = 1 as is_valid, url_error is null and rn > 1 as is_duplicate,
   case when url_error is null and rn > 1 then 'Duplicate row by website/company' else coalesce(url_error, '') end as errors
@@ -62,17 +74,45 @@ def lead_company_from_host(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("website_url"), urls.company_from_host("url").alias("company"))
 
 
-@query("lead_original_columns", with_(V.FILLED_LEADS, select="""
-select row_idx, company_cell as company, optional_notes as email, app_store_url as store, campaign_context as context from filled"""))
+#: The raw columns and what they hold once they are filled down.
+_ORIGINAL = {
+    "Company Name": "company_cell", "Website": "website_cell", "Linkedin": "linkedin_url", "First Name": "recipient_name",
+    "Job Title": "recipient_role", "Email": "optional_notes", "campaign_context": "campaign_context", "App Store": "app_store_url",
+    "app_flow_observation": "app_flow_observation", "competitor_context": "competitor_context"}
+
+
+@query("lead_original_columns", with_(V.FILLED_LEADS, select=f"""
+select row_idx, {", ".join(f'{v} as "input__{k}"' for k, v in _ORIGINAL.items())} from filled"""))
 def lead_original_columns(spark, sf_dir):
-    df = leads.expand_original(built(spark, sf_dir), ["Company Name", "Email", "App Store", "campaign_context"])
-    return df.select("row_idx", F.col("input__Company Name").alias("company"), F.col("input__Email").alias("email"),
-                     F.col("input__App Store").alias("store"), F.col("input__campaign_context").alias("context"))
+    df = leads.expand_original(built(spark, sf_dir), list(_ORIGINAL))
+    return df.select("row_idx", *[f"input__{k}" for k in _ORIGINAL])
+
+
+#: Rows with an open tail: every page keeps those of its cells that hold something; some keep none at all.
+_TAILS = V.FILLED_LEADS + f""",
+tails as (
+  select row_idx, unnest([{", ".join(f"{{'key': {q(k)}, 'value': {v}}}" for k, v in _ORIGINAL.items())}], recursive := true) from filled where row_idx % 5 <> 0),
+kept as (select * from tails where value <> '')"""
+
 
+def _tails(spark, sf_dir):
+    filled = built(spark, sf_dir).select("row_idx", F.when(F.col("row_idx") % 5 != 0, F.col("original_columns")).alias("original_columns"))
+    return leads.keep_filled(filled)
 
-@query("lead_column_tail", "select unnest(['App Store', 'app_flow_observation', 'campaign_context', 'Company Name', 'competitor_context', 'Email', 'First Name', 'Job Title', 'Linkedin', 'Website']) as key")
+
+@query("lead_column_tail", with_(_TAILS, select="select distinct key from kept"))
 def lead_column_tail(spark, sf_dir):
-    return leads.original_keys(built(spark, sf_dir))
+    return leads.original_keys(_tails(spark, sf_dir))
+
+
+@query("lead_tail_prefix", with_(_TAILS, select="""
+select row_idx, count(*) as cells, string_agg(key || '=' || value, '; ' order by lower(key), key) as tail from kept where starts_with(lower(key), 'app') group by row_idx"""))
+def lead_tail_prefix(spark, sf_dir):
+    """The part of the open tail whose names begin alike, in the order of the sorted names."""
+    rows = leads.tail_rows(_tails(spark, sf_dir), prefix="app")
+    return rows.groupBy("row_idx").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.array_join(F.sort_array(F.collect_list(F.struct(F.lower("key").alias("k"), "key", F.concat("key", F.lit("="), "value").alias("shown"))))["shown"], "; ").alias("tail"))
 
 
 _TEXT = "lower(concat_ws(' ', website_url, optional_notes, app_store_url, app_flow_observation))"
@@ -199,17 +239,36 @@ def send_time_top3(spark, sf_dir):
 @query("send_time_rows", with_(V.LEADS, V.SENDS, _PATTERN, _ADVICE, select="""
 , firsts as (select company_name, min(row_idx) as row_idx from leads group by 1)
 select l.row_idx, case when a.row_idx is null then '' else strftime(a.send_at, '%Y-%m-%dT%H:%M:%S+00:00') end as suggested_send_time_utc, a.zone as suggested_send_timezone,
-  strftime(a.send_at, '%Y-%m-%d %H:%M') || ' UTC (' || replace(a.zone, '_', ' ') || ')' as shown
+  strftime(a.send_at, '%Y-%m-%d %H:%M') || ' UTC (' || replace(a.zone, '_', ' ') || ') — confidence: '
+    || cast(round_even(round_even(a.hour_score, 2) * 100, 0) as int) || '%' as shown
 from leads l join firsts f on l.company_name = f.company_name join advice a on a.row_idx = f.row_idx and a.ahead = 0"""))
 def send_time_rows(spark, sf_dir):
-    df = built(spark, sf_dir)
+    df = stored(built(spark, sf_dir).select("row_idx", "company_name", "website_url"))  # read twice: per company, and for every row
     per_company = first_per_key(df, ["company_name"], "row_idx", ["row_idx", "website_url"])
     advice = sendtime.advise(per_company, sendtime.hour_pattern(V.sends(spark, sf_dir)), AS_OF)
     shown = sendtime.attach_advice(df.select("row_idx", "company_name"), advice)
-    text = advice.select("company_name", F.regexp_replace(sendtime.format_advice(), " — .*$", "").alias("shown"))
-    from quillgate.operators.rows import lookup_join
+    return shown.select("row_idx", "suggested_send_time_utc", "suggested_send_timezone", F.col("send_time_shown").alias("shown"))
+
+
+_HOURS_TEXT = "'[' || array_to_string(hours, ', ') || ']'"
+_PLAIN = f"""plain as (
+  select *, {_W}[isodow(send_at)] as factor from (
+    select *, case when slot <= timestamp '{AS_OF}' + interval 1 hour then slot + interval 1 day else slot end as send_at from (
+      select row_idx, zone, hours, date_trunc('day', timestamp '{AS_OF}') + to_hours(hours[1]) as slot
+      from (select *, {_HOURS} as hours from (select *, {_ZONE} as zone from (select *, {_REGION} as region from leads))))))"""
+
 
-    return lookup_join(shown, text, ["company_name"]).select("row_idx", "suggested_send_time_utc", "suggested_send_timezone", "shown")
+@query("send_time_default", with_(V.LEADS, _PLAIN, select=f"""
+select row_idx, strftime(send_at, '%Y-%m-%d %H:%M:%S') as send_at_utc, round_even(0.6::double * factor, 2) as confidence, 'regional_default' as source,
+  'Tijdzone: ' || zone || ' | Geen historische data → standaard patroon | Regio-standaard beste uren: ' || {_HOURS_TEXT} || ' | Weekdag: '
+    || (['ma', 'di', 'wo', 'do', 'vr', 'za', 'zo'])[isodow(send_at)] || ' (factor ' || printf('%.2f', factor) || ')' as reasoning,
+  strftime(send_at, '%Y-%m-%d %H:%M') || ' UTC (' || replace(zone, '_', ' ') || ') — confidence: ' || cast(round_even(round_even(0.6::double * factor, 2) * 100, 0) as int) || '%' as shown
+from plain"""))
+def send_time_default(spark, sf_dir):
+    """Advice before there is any history, with its reasoning and the text that is shown."""
+    out = sendtime.advise(built(spark, sf_dir), sendtime.hour_pattern(V.sends(spark, sf_dir).filter("false")), AS_OF)
+    return out.select("row_idx", F.date_format("send_at_utc", "yyyy-MM-dd HH:mm:ss").alias("send_at_utc"), "confidence", "source", "reasoning",
+                      sendtime.format_advice().alias("shown"))
 
 
 @query("send_time_mean", with_(V.LEADS, V.SENDS, _PATTERN, _ADVICE, select="""
@@ -266,9 +325,9 @@ def site_link_counts(spark, sf_dir):
 @query("priority_links", with_(_FOUND, select=f"""
 select page_id, link_url, matches, cast(row_number() over (partition by page_id order by matches desc, link_url desc) as bigint) as rank from (
   select page_id, clean_url as link_url, cast(max({_MATCHES}) as bigint) as matches from site
-  where {_MATCHES} > 0 and clean_url <> url group by 1, 2) qualify rank <= 4"""))
+  where {_MATCHES} > 0 and clean_url <> url group by 1, 2)"""))
 def priority_links(spark, sf_dir):
-    out = web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))), max_pages=5)
+    out = web.priority_links(web.page_links(web.parse_pages(V.table(spark, sf_dir, "pages"))))
     return out.select("page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -295,17 +354,6 @@ links as (
 site as (select *, regexp_replace(regexp_replace(link_url, '[?#].*$', ''), '/+$', '') as clean_url from links)"""
 
 
-@query("priority_link_ranks", with_(_LINKS, select=rf"""
-select page_id, link_url, matches, rank from (
-  select *, row_number() over (partition by page_id order by matches desc, link_url desc) as rank from (
-    select page_id, clean_url as link_url, cast(max(m) as bigint) as matches from (
-      select *, {" + ".join(f"contains(lower(regexp_extract(clean_url, '{_P}', 3) || ' ' || label), {q(t)})::int" for t in T.PRIORITY_PATH_TERMS)} as m from site)
-    where m > 0 and clean_url <> url group by page_id, clean_url)) where rank <= 4"""))
-def priority_link_ranks(spark, sf_dir):
-    """Display form of four links a page; priority_link_ranks_whole has all."""
-    return _ranked(web.priority_links(_links(spark, sf_dir), max_pages=5))
-
-
 @query("priority_link_ranks_whole", with_(_LINKS, select=rf"""
 select *, row_number() over (partition by page_id order by matches desc, link_url desc) as rank from (
   select page_id, clean_url as link_url, cast(max(m) as bigint) as matches from (
@@ -315,6 +363,10 @@ def priority_link_ranks_whole(spark, sf_dir):
     return _ranked(web.priority_links(_links(spark, sf_dir)))
 
 
+#: The name under which four links a page were shown; all of them are, now.
+query("priority_link_ranks", SQL["priority_link_ranks_whole"])(priority_link_ranks_whole)
+
+
 def _ranked(found):
     return found.select("page_id", "link_url", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -344,13 +396,11 @@ def app_store_links(spark, sf_dir):
 
 
 @query("page_summary", with_(V.SITE_PAGES, select=r"""
-select company_key, count(*) as pages, string_agg('Source: ' || url || chr(10) || 'Title: ' || case when title = '' then url else title end || chr(10) || 'Text: ' || left(text, 700), chr(10) || chr(10) order by page_pos) as summary,
-  string_agg(url, ' | ' order by page_pos) as source_urls, sum(length(text)) + count(*) - 1 < 500 as thin_content
-from (select *, row_number() over (partition by company_key order by page_pos) as r from site_pages) where r <= 5 group by company_key"""))
+select company_key, count(*) as pages, string_agg('Source: ' || url || chr(10) || 'Title: ' || case when title = '' then url else title end || chr(10) || 'Text: ' || text, chr(10) || chr(10) order by page_pos) as summary,
+  string_agg(url, ' | ' order by page_pos) as source_urls, sum(length(text)) + count(*) - 1 < 500 as thin_content from site_pages group by company_key"""))
 def page_summary(spark, sf_dir):
-    """Display form: the first five pages, 700 characters of each; page_totals and page_excerpts are whole."""
-    shown = web.first_pages(V.site_pages(spark, sf_dir), 5)
-    return web.company_summary(shown, n=700).select("company_key", "pages", "summary", "source_urls", "thin_content")
+    """All pages of a company as one text; page_excerpts has the same as rows."""
+    return web.company_summary(V.site_pages(spark, sf_dir)).select("company_key", "pages", "summary", "source_urls", "thin_content")
 
 
 @query("page_totals", with_(V.SITE_PAGES, select="""
@@ -457,14 +507,30 @@ def visual_flags(spark, sf_dir):
         "page_key", "part_key", "supp_key", "viewport", X.join_list("visual_quality_flags").alias("flags"), F.col("viewport_score").cast("bigint").alias("viewport_score"))
 
 
-@query("visual_text", with_(V.PAGE_METRICS, select="""
-select page_key, part_key, supp_key, viewport || ': page has ' || cast(floor(over_px) as bigint) || 'px horizontal overflow with ' || offscreen
-  || ' visible offscreen element(s), which is a stronger broken-formatting signal than scroll width alone.' as first_note
-from pm where over_px > 32 and (offscreen > 0 or right_px > 24)"""))
+_SHOWN = {
+    "px": "cast(floor(over_px) as bigint)", "off": "offscreen", "cta": "ptext", "contrast": "printf('%.1f', contrast)", "hidden": "hidden", "taps": "taps", "above": "above"}
+_SAID = {
+    **dict(zip(["overflow", "no_cta", "no_fold", "low_contrast", "below", "hidden", "taps", "crowded"], [r for r, _ in _RULES])),
+    "quiet": "ptext <> '' and not (" + " or ".join(f"({r})" for r, _ in _RULES) + ")",
+    "weak_overflow": f"over_px > 32 and not ({_RULES[0][0]})", "weak_cta": "cta = 0 and not chars > 500",
+    "weak_contrast": "ptext <> '' and contrast > 0 and contrast < 3 and not sure"}
+
+
+def _said_sql(sentences):
+    def filled(text):
+        parts = re.split(r"\{(\w+)\}", text)
+        return " || ".join([q(": " + parts[0]), *[_SHOWN[x] if i % 2 else q(x) for i, x in enumerate(parts[1:], 1)]])
+
+    cases = ", ".join(f"case when {_SAID[n]} then viewport || {filled(s)} end" for n, s in sentences.items())
+    return f"array_to_string(list_filter([{cases}], lambda x: x is not null), chr(10))"
+
+
+@query("visual_text", with_(V.PAGE_METRICS, select=f"""
+select page_key, part_key, supp_key, l_linenumber, {_said_sql(T.VISUAL_NOTES)} as notes, {_said_sql(T.VISUAL_REASONS)} as reasons from pm"""))
 def visual_text(spark, sf_dir):
+    """Every sentence that the page metrics give rise to."""
     df = web.visual_observations(V.page_metrics(spark, sf_dir))
-    return df.filter(F.array_contains("visual_quality_flags", "visual_horizontal_overflow")).select(
-        "page_key", "part_key", "supp_key", F.element_at("observations", 1).alias("first_note"))
+    return df.select("page_key", "part_key", "supp_key", "l_linenumber", F.array_join("observations", "\n").alias("notes"), F.array_join("confidence_reasons", "\n").alias("reasons"))
 
 
 @query("visual_confidence", with_(_OBS, select="""
@@ -473,7 +539,7 @@ select page_key, cast(score as bigint) as visual_confidence_score, case when sco
   select page_key, string_agg(f, ' | ' order by p) as flags from (
     select page_key, f, min((case when viewport = 'desktop' then 0 else 10 end) + list_position(%s, f)) as p from (select *, unnest(vf) as f from obs) group by 1, 2) group by 1) using (page_key)""" % items(web.VISUAL_FLAGS)))
 def visual_confidence(spark, sf_dir):
-    out = web.merge_viewports(web.visual_observations(V.page_metrics(spark, sf_dir)))
+    out = web.merge_viewports(web.visual_observations(V.page_metrics(spark, sf_dir, as_text=False)))
     return out.select("page_key", F.col("visual_confidence_score").cast("bigint").alias("visual_confidence_score"), "visual_confidence",
                       X.join_list("visual_quality_flags").alias("visual_quality_flags"))
 
@@ -551,12 +617,17 @@ def audit_findings(spark, sf_dir):
 
 @query("detector_merge", f"""
 select page_key, kind, value, min(pos) as first_pos, count(*) as times from (
-  select page_key, pos, 'flag' as kind, 'axe_' || id as value from (
-    select page_id % 20 as page_key, page_id * 10 + i as pos, {V.pick_sql(["critical", "minor", "serious", "moderate", ""], '(page_id + i)')} as impact, {V.pick_sql(["color-contrast", "region", "label", "tabindex"], '(page_id + i * i)')} as id
-    from pages, (select unnest(range(10)) as i)) where impact in ('critical', 'serious') or id in ('color-contrast', 'label')) group by 1, 2, 3""")
+  select l_orderkey as page_key, l_linenumber as pos, unnest([{{'kind': 'flag', 'value': case when l_partkey % 4 = 0 then '' else 'flag_' || l_partkey % 6 end}},
+    {{'kind': 'finding', 'value': l_returnflag || ' ' || l_partkey % 3}}], recursive := true) from lineitem)
+where value <> '' group by 1, 2, 3""")
 def detector_merge(spark, sf_dir):
-    rows = web.axe_findings(_axe(spark, sf_dir)).withColumns({"pos": F.col("page_key") * 10 + F.col("pos"), "page_key": F.col("page_key") % 20})
-    return web.merge_detectors(rows, columns=["flag"]).select("page_key", "kind", "value", "first_pos", "times")
+    """Findings of several detectors per measured page, distinct in first-seen order."""
+    li = V.table(spark, sf_dir, "lineitem")
+    rows = li.select(
+        F.col("l_orderkey").alias("page_key"), F.col("l_linenumber").cast("bigint").alias("pos"),
+        F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("flag_"), (F.col("l_partkey") % 6).cast("string"))).alias("flag"),
+        F.concat("l_returnflag", F.lit(" "), (F.col("l_partkey") % 3).cast("string")).alias("finding"))
+    return web.merge_detectors(rows).select("page_key", "kind", "value", "first_pos", "times")
 
 
 @query("deep_research")
@@ -571,6 +642,21 @@ def deep_research(spark, sf_dir):
     return out.select("page_id", "app_store_url", "app_store_summary", "app_review_themes", "app_review_complaints", "deep_source_urls", "deep_notes")
 
 
+@query("deep_links", with_(V.LEADS, _STORES, f"store_pages as (select 'https://apps.apple.com/de/app/id' || page_id as link_url, {html.visible_sql()} as text from pages)", select="""
+select s.page_id, s.link_url, cast(s.rank as bigint) as rank, p.text is not null as found, 'Source: ' || s.link_url || chr(10) || 'Title: ' || chr(10) || 'Text: ' || p.text as excerpt
+from stores s left join store_pages p using (link_url)"""))
+def deep_links(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("https://apps.apple.com/de/app/id"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"), html.visible_text(F.col("html")).alias("text"))
+    return web.deep_links(_stores(spark, sf_dir), pages).select("page_id", "link_url", F.col("rank").cast("bigint").alias("rank"), "found", "excerpt")
+
+
+@query("deep_complaints", with_(_COMPLAINTS, select="""
+select app_key, pos, complaint, row_number() over (partition by app_key order by pos) as complaint_rank from complaints"""))
+def deep_complaints(spark, sf_dir):
+    return web.deep_complaints(_complaints(spark, sf_dir), "app_key").select("app_key", "pos", "complaint", F.col("complaint_rank").cast("bigint").alias("complaint_rank"))
+
+
 @query("research_only_rows", with_(V.LEADS, select=f"""
 select row_idx, case when s = 'app_first_product' then 'Research priority: ' || p || ' | ' else '' end || rtrim('Source: ' || website_url) as evidence_points,
   'offline_research_only | ai_generation_unavailable | visual_no_clear_cta' as quality_flags

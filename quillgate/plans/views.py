@@ -96,27 +96,26 @@ def strip_sql(expr):
 
 
 # --- lines: documents with labels -----------------------------------------------------------
-def lines(spark, sf_dir, whole=False):
-    """One line per document: its first sentence, or with ``whole`` its whole text."""
+def lines(spark, sf_dir):
+    """One line per document, with its whole text."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     k = F.col("doc_id")
-    first = ws_strip("text" if whole else F.split_part("text", F.lit("."), F.lit(1)))
-    df = d.join(lab, "doc_id", "left").withColumn("first_sentence", first)
+    df = d.join(lab, "doc_id", "left").withColumn("said", ws_strip("text"))
     human = (
         F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "send")
         .when(F.col("quality") == 0, "edit").otherwise("unreviewed")
     )
     line = F.when(k % 11 == 0, F.lit("")).when(k % 23 == 1, F.lit("[AI generation unavailable]")).otherwise(
-        F.concat(pick(OPENERS, k), F.lit(" "), "first_sentence", pick(TAILS, k)))
+        F.concat(pick(OPENERS, k), F.lit(" "), "said", pick(TAILS, k)))
     df = df.withColumns({"personalized_line": line, "human_decision": human})
     site = F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), "lang")
     return df.select(
         k.alias("row_idx"), k.cast("string").alias("row_id"), F.concat(F.lit("run_"), "lang").alias("run_id"),
         F.concat("source", F.lit(" labs")).alias("company"), pick(PEOPLE, k).alias("person"),
         pick(ROLES, k).alias("role"), site.alias("website"), "personalized_line",
-        F.col("first_sentence").alias("model_opening_line"), "human_decision",
-        F.when(F.col("human_decision") == "edit", F.concat(F.lit("I checked "), "first_sentence")).otherwise("").alias("edited_line"),
+        F.col("said").alias("model_opening_line"), "human_decision",
+        F.when(F.col("human_decision") == "edit", F.concat(F.lit("I checked "), "said")).otherwise("").alias("edited_line"),
         F.when(F.col("human_decision") == "unreviewed", "not_reviewed").otherwise(pick(REASONS, k)).alias("edit_reason_category"),
         F.when(k % 13 == 0, "").otherwise(F.col("text")).alias("evidence_found"),
         F.when(k % 5 == 0, "").otherwise(F.concat(
@@ -134,16 +133,16 @@ def lines(spark, sf_dir, whole=False):
 
 LINES = f"""
 lines as (
-  select *, case when human_decision = 'edit' then 'I checked ' || first_sentence else '' end as edited_line,
+  select *, case when human_decision = 'edit' then 'I checked ' || said else '' end as edited_line,
     case when human_decision = 'unreviewed' then 'not_reviewed' else {pick_sql(REASONS, 'row_idx')} end as edit_reason_category
   from (
     select d.doc_id as row_idx, cast(d.doc_id as varchar) as row_id, 'run_' || lang as run_id,
       source || ' labs' as company, {pick_sql(PEOPLE, 'd.doc_id')} as person, {pick_sql(ROLES, 'd.doc_id')} as role,
       'https://www.' || source || '.example.com/' || lang as website,
-      {strip_sql("split_part(d.text, '.', 1)")} as first_sentence,
+      {strip_sql("d.text")} as said,
       case when d.doc_id % 11 = 0 then '' when d.doc_id % 23 = 1 then '[AI generation unavailable]'
-        else {pick_sql(OPENERS, 'd.doc_id')} || ' ' || {strip_sql("split_part(d.text, '.', 1)")} || {pick_sql(TAILS, 'd.doc_id')} end as personalized_line,
-      {strip_sql("split_part(d.text, '.', 1)")} as model_opening_line,
+        else {pick_sql(OPENERS, 'd.doc_id')} || ' ' || {strip_sql("d.text")} || {pick_sql(TAILS, 'd.doc_id')} end as personalized_line,
+      {strip_sql("d.text")} as model_opening_line,
       case when l.toxic = 1 then 'reject' when l.quality = 1 then 'send' when l.quality = 0 then 'edit' else 'unreviewed' end as human_decision,
       case when d.doc_id % 13 = 0 then '' else d.text end as evidence_found,
       case when d.doc_id % 5 = 0 then '' else 'https://www.' || source || '.example.com/' || lang || '/' || d.doc_id
@@ -162,10 +161,6 @@ lines as (
 )"""
 
 
-#: The same lines from whole texts.
-WHOLE_LINES = LINES.replace("split_part(d.text, '.', 1)", "d.text")
-
-
 # --- leads: one per stored page -------------------------------------------------------------
 def raw_leads(spark, sf_dir):
     """Raw lead sheet in the client layout; blanks where a contact row continues a company."""
@@ -356,7 +351,7 @@ def steps(spark, sf_dir):
     return c.select(
         F.col("conv_id").alias("lead_id"), (F.col("turn") + 1).cast("int").alias("step_number"),
         pick(FOLLOW_UPS, i).alias("follow_up_type"), pick(ANGLES, i + F.col("conv_id") % 3).alias("chosen_angle"),
-        ws_strip(F.split_part("text", F.lit("."), F.lit(1))).alias("opening_line"),
+        ws_strip("text").alias("opening_line"),
         F.when(i % 6 == 5, F.lit("just checking in")).when(i % 9 == 7, "").otherwise(F.col("text")).alias("body_text"),
         F.when(i % 7 == 3, "").otherwise("Worth a call?").alias("cta_text"),
         F.array("role").alias("evidence_used_for_copy"))
@@ -366,7 +361,7 @@ STEPS = f"""
 raw_steps as (
   select conv_id as lead_id, cast(turn + 1 as int) as step_number, {pick_sql(FOLLOW_UPS, '(conv_id + turn * 2)')} as kind,
     {pick_sql(ANGLES, '(conv_id + turn * 2 + conv_id % 3)')} as chosen_angle,
-    {strip_sql("split_part(text, '.', 1)")} as opening_line,
+    {strip_sql("text")} as opening_line,
     case when (conv_id + turn * 2) % 6 = 5 then 'just checking in' when (conv_id + turn * 2) % 9 = 7 then ''
       else {strip_sql('text')} end as body_text,
     case when (conv_id + turn * 2) % 7 = 3 then '' else 'Worth a call?' end as cta_text
@@ -400,11 +395,12 @@ prompts as (
 
 
 # --- page metrics: line items as measured viewports --------------------------------------------
-def page_metrics(spark, sf_dir):
+def page_metrics(spark, sf_dir, as_text=True):
+    """Measured viewports; the metrics as the JSON text that a browser reports, or as the struct of a parsed table."""
     li = table(spark, sf_dir, "lineitem")
     q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     part = F.col("l_partkey")
-    metrics = F.to_json(F.struct(
+    metrics = F.struct(
         F.lit(800.0).alias("viewportHeight"), F.floor("l_extendedprice").cast("double").alias("bodyTextLength"),
         (q * 2).alias("horizontalOverflowPx"), (n - 2).alias("offscreenElementCount"), (q + n).alias("maxRightOverflowPx"),
         (part % 9).cast("double").alias("ctaCount"), (part % 9 * (part % 2)).cast("double").alias("ctaAboveFoldCount"),
@@ -412,7 +408,8 @@ def page_metrics(spark, sf_dir):
         F.struct(
             F.when(part % 5 == 0, "").otherwise("Get started").alias("text"), (q * 30).alias("top"),
             F.round(q / 10.0, 1).alias("contrastRatio"), (part % 2 == 0).alias("backgroundReliable")).alias("primaryCta"),
-    ))
+    )
+    metrics = F.to_json(metrics) if as_text else metrics
     return li.select(
         F.col("l_orderkey").alias("page_key"), F.col("l_linenumber"), part.alias("part_key"), F.col("l_suppkey").alias("supp_key"),
         F.when(F.col("l_linenumber") % 2 == 0, "mobile").otherwise("desktop").alias("viewport"), metrics.alias("metrics"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillgate import schemas
 from quillgate.functions import text as X
-from quillgate.operators import delivery, evals, leads
+from quillgate.operators import delivery, evals, experiments, leads
 from quillgate.operators.rows import ensure_columns, with_row_index
+from quillgate.sources.tables import merge_partitions, with_bucket
 
 
 def read_text_table(spark, path, sep=","):
@@ -50,6 +51,34 @@ def write_goldset(rows, root):
     )
 
 
+def append_goldset(spark, root, new):
+    """Add goldset rows: newest row per split and example; splits without new rows stay untouched on disk.
+
+    Rows that may not enter their split raise an error before anything is written.
+    """
+    refused = evals.split_guard(new)[1]
+    if not refused.isEmpty():
+        raise ValueError("client labels cannot enter the frozen split, and splits must be known")
+    return merge_partitions(spark, root, evals.append_goldset(new.limit(0), new), "goldset_split", evals.append_goldset)
+
+
+def append_campaign(spark, path, new, buckets=64):
+    """Add campaign results: newest row per campaign, company, person and line; only the buckets of the new rows are rewritten."""
+    rows = with_bucket(new, ["campaign_name", "company", "person", "delivered_line"], buckets)
+    return merge_partitions(spark, path, evals.append_campaign(rows.limit(0), rows), "bucket", evals.append_campaign)
+
+
+def load_campaign(spark, path):
+    """All stored campaign results."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def record_experiment_results(spark, path, new):
+    """Record results by (experiment, variant, lead); only the experiments of the new rows are rewritten."""
+    settled = experiments.record_results(new.limit(0), new)
+    return merge_partitions(spark, path, settled, "experiment_id", experiments.record_results)
+
+
 def flat_rows(rows, columns, order="row_idx"):
     """Fixed column order, missing columns blank, then the input__ tail sorted by name."""
     tail = sorted((c for c in rows.columns if c.startswith("input__") and c not in columns), key=str.lower)

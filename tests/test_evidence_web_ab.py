@@ -43,7 +43,7 @@ def test_company_pages_are_whole(spark):
             "x.example": (12, chars["x.example"], False), "y.example": (7, chars["y.example"], True)}
     summary = web.company_summary(pages).where("company_key = 'x.example'").collect()[0]
     assert summary.source_urls == " | ".join(r[1] for r in rows[:12]) and all(r[5] in summary.summary for r in rows[:12])
-    got = {r.page_id: r for r in web.company_excerpts(pages, block_rows=4).collect()}
+    got = {r.page_id: r for r in web.company_excerpts(pages).collect()}
     assert {i: r.page_rank for i, r in got.items()} == {i: pos + 1 for i, _, _, pos, _, _ in rows}
     assert all(got[r[0]].excerpt.endswith("Text: " + r[5]) for r in rows)
 

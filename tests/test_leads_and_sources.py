@@ -1,12 +1,14 @@
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgate import terms as T
-from quillgate.operators import evals, gates, leads, prompts
-from quillgate.operators.rows import block_prefix_sum, fill_down, lookup_join, merge_fields, upsert
+from quillgate.operators import evals, gates, leads, order, prompts
+from quillgate.operators.rows import fill_down, lookup_join, merge_fields, upsert
 from quillgate.sources import dims, files, tables
 from quillgate.streaming import ingest
 
@@ -41,17 +43,61 @@ def test_missing_columns_are_refused():
         leads.check_layout(["Name", "Phone"])
 
 
-def test_fill_down_and_running_sum_across_blocks(spark):
-    values = ["", "a", "", "", "", "", "b", "", "", "c", "", ""]
-    df = spark.createDataFrame(list(enumerate(values)), "row_idx long, v string").repartition(5)
-    out = [r.v for r in fill_down(df, ["v"], block_rows=3).orderBy("row_idx").collect()]
-    want, last = [], ""
-    for v in values:
+@pytest.mark.parametrize("spread", ["dense", "sparse", "negative", "far"])
+def test_running_values_over_any_numbers(spark, monkeypatch, spread):
+    """Small blocks and fans, so that every level of the tree has several blocks; per key, with nulls, also over far numbers."""
+    monkeypatch.setattr(order, "BLOCK_BITS", 4)
+    monkeypatch.setattr(order, "FAN_BITS", 15)
+    rng = random.Random(spread)
+    place = {
+        "dense": lambda i: i, "sparse": lambda i: i * 1_000_003 + rng.randint(0, 9), "negative": lambda i: (i - 150) * 37,
+        "far": lambda i: (i - 150) * (1 << 54) + rng.randint(0, 9)}[spread]
+    rows = [(place(i), rng.choice(["x", "y", "y", "y", None]), rng.choice([None, 1, 5, 0, -2]), rng.choice(["", "", "a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rng.sample(rows, 300), "row_idx long, k string, n long, v string").repartition(5)
+    got = sorted(map(tuple, order.running(df, sums={"total": "n", "place": F.lit(1)}, keys=["k"]).select("row_idx", "total", "place").collect()))
+    want, sums = [], {}
+    for at, k, n, _ in rows:
+        total, count = sums.get(k, (0, 0))
+        sums[k] = (total + (n or 0), count + 1)
+        want.append((at, *sums[k]))
+    assert got == want
+    filled, last = [], ""
+    for at, _, _, v in rows:
         last = v or last
-        want.append(last)
-    assert out == want
-    sums = block_prefix_sum(df.withColumn("n", F.col("row_idx")), "n", block_rows=4).orderBy("row_idx").collect()
-    assert [r.running for r in sums] == [sum(range(i + 1)) for i in range(len(values))]
+        filled.append((at, last))
+    assert sorted(map(tuple, fill_down(df, ["v", "missing"]).select("row_idx", "v").collect())) == filled
+
+
+def test_running_values_of_empty_tables_and_nulls(spark):
+    empty = spark.createDataFrame([], "row_idx long, n long")
+    assert order.running(empty, sums={"total": "n"}).collect() == []
+    rows = spark.createDataFrame([(None, 4), (2, 1), (None, 3), (1, None)], "row_idx long, n long")
+    got = order.running(rows, sums={"total": "n"}, lasts={"seen": "n"}).collect()
+    by_row = {r.row_idx: (r.total, r.seen) for r in got if r.row_idx is not None}
+    assert by_row[1][0] == 7 and by_row[1][1] in (3, 4) and by_row[2] == (8, 1)
+    assert max(r.total for r in got if r.row_idx is None) == 7
+
+
+def test_numbers_of_any_order_keep_that_order(spark):
+    rows = [(f"{i % 7:03d}", -i, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a string, b long, n long").repartition(6)
+    numbered = order.numbered(df, "a", F.desc("b"))
+    got = order.running(numbered, "__number", sums={"total": "n"}).orderBy("__number").collect()
+    want, total = [], 0
+    for a, b, n in sorted(rows, key=lambda r: (r[0], -r[1])):
+        total += n
+        want.append((a, b, total))
+    assert [(r.a, r.b, r.total) for r in got] == want
+
+
+@pytest.mark.parametrize("name", ["budget_admit", "call_limit_admit", "running_tokens", "follow_up_ids", "lead_fill_down"])
+def test_no_window_spans_a_whole_order(spark, sf_dir, name):
+    from quillgate.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert windows and all(re.search(r"\], \[[^\]]+\], \[", line) for line in windows), windows
 
 
 def test_duplicates_and_urls(spark):

@@ -75,7 +75,7 @@ class Encoder:
     """Texts to token ids; pieces that are not remembered go through the transducer."""
 
     def __init__(self, ranks, pattern):
-        self.ranks, self.cut, self.known_ids, self.edges, self.pairs = ranks, _pieces(pattern), {}, {}, {}
+        self.ranks, self.cut, self.known_ids, self.older_ids, self.edges, self.pairs = ranks, _pieces(pattern), {}, {}, {}, {}
         self.never = max(ranks.values()) + 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.words_first = pattern == WORDS_FIRST
@@ -232,6 +232,14 @@ class Encoder:
             out[place] = emitted[lo] if hi == lo + 1 else tuple(chain.from_iterable(emitted[lo:hi]))
         return out
 
+    def _unknown(self, pieces):
+        """The pieces whose ids are not remembered; those of the older half come over to the newer one."""
+        missing = pieces.difference(self.known_ids)
+        again = [x for x in missing if x in self.older_ids]
+        self.known_ids.update(zip(again, map(self.older_ids.__getitem__, again)))
+        missing.difference_update(again)
+        return missing
+
     def _learn_pieces(self, texts):
         """Remember the ids of pieces that are not known yet."""
         rest = []
@@ -260,7 +268,7 @@ class Encoder:
                 parts[word] = (core, word[-1])
             else:
                 parts[word] = self.cut(word)
-        self._learn_pieces(single.union(*parts.values()).difference(self.known_ids))
+        self._learn_pieces(self._unknown(single.union(*parts.values())))
         get = self.known_ids.__getitem__
         self.known_ids.update([(word, tuple(chain.from_iterable(map(get, pieces)))) for word, pieces in parts.items()])
 
@@ -270,11 +278,14 @@ class Encoder:
         With the pattern WORDS_FIRST, a lone white-space character between others starts a piece and a lone space
         stays with what follows, so texts whose white space is lone blanks and line ends between words may be cut
         there first.
+
+        Pieces are remembered in two halves: when the newer one is full it becomes the older one, and what is
+        used again comes over, so frequent pieces stay.
         """
         if len(self.states) >= MOST_STATES:
             self._forget()
         if len(self.known_ids) > MOST_PIECES:
-            self.known_ids.clear()
+            self.known_ids, self.older_ids = {}, self.known_ids
         cut, words, pieces = [], set(), set()
         for text in texts:
             if self.words_first and "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
@@ -283,8 +294,8 @@ class Encoder:
             else:
                 cut.append(self.cut(text))
                 pieces.update(cut[-1])
-        self._learn(words.difference(self.known_ids))
-        self._learn_pieces(pieces.difference(self.known_ids))
+        self._learn(self._unknown(words))
+        self._learn_pieces(self._unknown(pieces))
         get = self.known_ids.__getitem__
         return [list(chain.from_iterable(map(get, parts))) for parts in cut]
 

@@ -5,8 +5,9 @@ maximum in a window, and a softmax layer names the language.  The windows tile t
 probabilities are the means of its windows, weighted by their letters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from
-every other text is ``und`` with score 0, too; with one language learnt it has score 1; repeated rows get
-equal results; only the text column is read.
+every other text is ``und`` with score 0, too; with one language learnt it has score 1; languages of equal
+probability give the one that comes first by name; a very long text is read window by window; repeated rows
+get equal results; only the text column is read, so other columns cannot clash.
 """
 
 from typing import NamedTuple
@@ -16,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgate.llm.store import held_out, saved
+from quillgate.llm.store import held_out, one_text, saved
 from quillgate.llm.words import column_passes
 
 WINDOW = 200
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 EMBEDDING = 8
-#: Most languages that are learnt (the most frequent ones), and most documents of each.
-MOST_LANGUAGES = 256
+#: Most documents of a language that are learnt from, and most of all languages together (one of each at least).
 PER_LANGUAGE = 1000
+MOST_DOCUMENTS = 256_000
 #: Windows cut from each document of the sample.
 CUTS = 4
 _REACH = max(WIDTHS)
@@ -136,16 +137,31 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cuts, pa.binary())], ["lang", "cut"])
 
 
+def _picked(docs, id_column, lang_column):
+    """(id, lang) of a bounded number of documents of every language, those with the smallest hashes.
+
+    Languages are counted first; where there are many documents, only hashes below a threshold that leaves about
+    twice the wanted number are ranked, so a language with most of all rows is no large group.
+    """
+    known = docs.where(F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & ~held_out(id_column))
+    known = saved(known.groupBy(F.col(id_column).alias("id")).agg(F.min(lang_column).alias("lang")), "known-languages")
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    quota = max(1, min(PER_LANGUAGE, MOST_DOCUMENTS // max(counts.count(), 1)))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    low = known.join(F.broadcast(counts) if counts.count() <= MOST_DOCUMENTS else counts, "lang").where(
+        (F.col("n") <= 4 * quota + 200) | (place * F.col("n") < 2 * quota + 100))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 53)), "id"))
+    return saved(low.withColumn("nth", nth).where(F.col("nth") <= quota).select("id", "lang"), "languages")
+
+
 def fit(docs, id_column="doc_id", text_column="text", lang_column="lang"):
-    """Learn from a bounded sample of documents whose id is not held out and whose language is known."""
-    known = docs.where(F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & ~held_out(id_column)).select(
-        F.col(id_column).alias("id"), F.col(lang_column).alias("lang"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = known.join(F.broadcast(common), "lang").withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).select("id", "lang")
-    picked = saved(picked, "languages")  # at most MOST_LANGUAGES * PER_LANGUAGE ids
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
-    got = texts.select("text", "lang").mapInArrow(_cut, "lang string, cut binary").toPandas()
+    """Learn from a bounded sample of documents whose id is not held out and whose language is known.
+
+    An id counts once, with the smallest of its languages and of its texts.
+    """
+    picked = _picked(docs, id_column, lang_column)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    got = one_text(rows, picked, "id").select("text", "lang").mapInArrow(_cut, "lang string, cut binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "cut"])

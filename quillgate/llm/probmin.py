@@ -8,11 +8,15 @@ Jaccard similarity; five registers make a band.
 
 Texts of equal words are one node.  Nodes that share a band are compared in their exact probability
 Jaccard: first with the bucket's most connected node, then, only in buckets that do not hang together yet,
-with each other, unless the weights alone rule a link out.  No link that a band shows is lost.
+with each other.  In crowded buckets a pair must share one of the rarest shingles that make up a fifth of
+either text, so nodes are listed by those and only listed pairs are compared.  No link that a band shows
+is lost.
 
 Defined results: a text of one to four words is one shingle; texts without words are equal only if their
-characters are; a null text or id is a class of its own (the class of a null id is null, unless its text
-has one); repeated rows share a class.  Only the two named columns are read.
+characters are; a null text is a class of its own; a class is named by its smallest id (null, where all of
+its ids are) and by the node of its representative, so texts without an id are compared like others;
+repeated rows share a class; very long texts are a pass of their own; an empty table gives no rows.  Only
+the two named columns are read, so other columns cannot clash.
 """
 
 import numpy as np
@@ -227,11 +231,25 @@ def _ends(pairs):
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
+def _listed_pairs(listed):
+    """Pairs of different tops from (keys, node, top) rows of rare shingles, at most RARE nodes to a shingle.
+
+    Shingles with the same nodes are one list, so two texts that share a changed passage make one pair and not
+    one for each of its shingles.
+    """
+    lists = listed.groupBy("keys").agg(F.sort_array(F.collect_list(F.struct("node", "top"))).alias("all")).select("all").distinct()
+    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(
+        F.filter(F.slice("all", i + 2, RARE), lambda y: y["top"] != x["top"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return lists.select(F.explode(pairs).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+
+
 def _crowded_pairs(rest, lists, similarity):
     """Pairs of crowded buckets that may be similar.
 
-    A pair either shares a rare shingle, one of at most RARE nodes, and is found by that; or all rare shingles
-    of either are missing in the other, and then the weights alone mostly rule a link out.
+    Similar texts share all but a share of (1 - similarity) of either's weight, so the rarest shingle that both
+    have comes, in the order of rarity, before more than that share of either text is passed.  Where a node's
+    shingles up to there are all rare, its partners are in their lists.  Only a pair of nodes that both reach
+    into frequent shingles is left to its buckets, and there its weights must not rule a link out.
     """
     nodes = saved(rest.select("node", "top").distinct(), "crowded")
     mine = saved(lists.join(sent(nodes), "node"), "crowded-lists")
@@ -242,9 +260,14 @@ def _crowded_pairs(rest, lists, similarity):
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     weights = mine.select("node", total.alias("n"), (total == F.size("keys")).alias("plain")).join(
         rare.groupBy("node").agg(F.sum("counts").alias("u")), "node", "left").select("node", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))
-    weighed = saved(rest.join(sent(saved(weights, "weights")), "node"), "weighed")
+    weights = saved(weights.withColumn("most", (1 - similarity) * F.col("n") + 1e-9), "weights")
+    passed = Window.partitionBy("node").orderBy("df", "keys").rowsBetween(Window.unboundedPreceding, -1)  # one text's shingles
+    first = rare.join(sent(weights.select("node", "most")), "node").withColumn("passed", F.coalesce(F.sum("counts").over(passed), F.lit(0)))
+    listed = first.where((F.col("passed") <= F.col("most")) & (F.col("df") > 1)).select("keys", "node", "top")
+    reaching = weights.where(F.col("u") <= F.col("most")).drop("most")
+    weighed = saved(rest.join(sent(saved(reaching, "reaching")), "node"), "weighed")
     apart = _both(weighed, "band", ["node", "top", "n", "u", "plain"]).where(_bound("a", "b") >= similarity - 1e-9)
-    return _ends(_both(rare.where("df > 1"), "keys", ["node", "top"])).unionByName(_ends(apart))
+    return _listed_pairs(listed).unionByName(_ends(apart))
 
 
 def node_links(members, lists, similarity):
@@ -276,48 +299,79 @@ def node_links(members, lists, similarity):
     return first.select("a", "b").unionByName(verified(pairs, lists, similarity))
 
 
-def near_duplicates(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY):
-    """(id, class_id) of every row: the smallest id among all documents that a chain of links joins."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
-    sketched = saved(rows.select("id", F.when(F.col("body").isNotNull(), sketch(F.col("body"))).alias("s")).select(
-        "id", "s.node", "s.bands"), "sketches")
+def node_of(text_column):
+    """16 bytes of every text: equal for texts of equal words (or characters, without words); null for null."""
+    @F.arrow_udf("binary")
+    def of(text: pa.Array) -> pa.Array:
+        parts = [node_keys(scan(data, offsets), data, offsets) for _, _, data, offsets in column_passes(text)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    return F.when(text_column.isNotNull(), of(text_column))
+
+
+def _classes(sketched, rows, similarity):
+    """(node, first, class_id, class_node): the smallest id of a node's class and the node that has it.
+
+    Where no text of a class has an id, the class has the smallest of its nodes.
+    """
     whole = sketched.where("node is not null")
     nodes = saved(whole.groupBy("node").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.where("first is not null").select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = saved(banded.groupBy("band").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size"), "shared")
     members = saved(banded.join(sent(shared), "band").select("band", "node", "size"), "members")
     wanted = saved(nodes.join(members.select("node").distinct(), "node").select("node", "first"), "wanted")
-    texts = rows.join(sent(wanted.select(F.col("first").alias("id"), F.col("node").alias("wanted"))), "id").where("body is not null")
-    lists = saved(texts.select("wanted", shingle_lists(F.col("body")).alias("l")).where("wanted = l.node").select(
-        "l.node", "l.keys", "l.counts").dropDuplicates(["node"]), "shingles")
+    # a text of each wanted node: by its smallest id, or among the rows without an id
+    named = rows.join(sent(wanted.where("first is not null").select(F.col("first").alias("id"), F.col("node").alias("wanted"))), "id").where("body is not null")
+    lists = named.select("wanted", shingle_lists(F.col("body")).alias("l")).where("wanted = l.node").select("l.*")
+    bare = wanted.where("first is null").select("node")
+    if not bare.isEmpty():
+        unnamed = rows.where("id is null and body is not null").select(node_of(F.col("body")).alias("node"), "body").join(sent(bare), "node")
+        one = unnamed.groupBy("node").agg(F.min("body").alias("body"))
+        lists = lists.unionByName(one.select(shingle_lists(F.col("body")).alias("l")).select("l.*"))
+    lists = saved(lists.dropDuplicates(["node"]), "shingles")
     parts = components(node_links(members, lists, similarity))
-    placed = nodes.select("node", "first").join(sent(parts), "node")
-    placed = saved(placed, "linked")
-    least = placed.groupBy("component").agg(F.min("first").alias("class_id"))
-    linked = placed.join(sent(saved(least, "least")), "component").select("node", F.col("class_id").alias("linked_id"))
-    classes = saved(nodes.select("node", "first").join(sent(saved(linked, "linked-ids")), "node", "left").select(
-        "node", F.coalesce("linked_id", "first").alias("class_id")), "classes")
-    named = sketched.select("id", "node").join(sent(classes), "node", "left").select(
-        F.col("id").alias(id_column), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    return named
+    placed = saved(nodes.select("node", "first").join(sent(parts), "node", "left").select(
+        "node", "first", F.coalesce("component", "node").alias("component")), "placed-nodes")
+    least = placed.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least"))
+    return saved(placed.join(least, "component").select(
+        "node", "first", F.col("least.first").alias("class_id"), F.col("least.node").alias("class_node")), "classes")
+
+
+def _sketched(rows):
+    return saved(rows.select("id", F.when(F.col("body").isNotNull(), sketch(F.col("body"))).alias("s")).select(
+        "id", "s.node", "s.bands"), "sketches")
+
+
+def near_duplicates(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY):
+    """(id, class_id, class_node) of every row: the smallest id among all documents that a chain of links joins,
+    and in hexadecimal the node that has it, which tells classes without any id apart."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
+    sketched = _sketched(rows)
+    classes = _classes(sketched, rows, similarity).select("node", "class_id", F.lower(F.hex("class_node")).alias("class_node"))
+    return sketched.select("id", "node").join(sent(classes), "node", "left").select(
+        F.col("id").alias(id_column), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "class_node")
 
 
 def keep_one(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY):
-    """One document of each class, with all columns: the one with the smallest id.
+    """One document of each class, with all columns: the representative's text under its smallest id.
 
-    Rows that repeat an id keep one row per id; rows with a null id keep one row per text (all null texts).
+    Rows are told apart by id and text: of rows that repeat an id with different texts each is kept or dropped
+    for its own text.  Rows equal in both keep the one whose columns come first in order.  Null texts are never
+    copies; rows that repeat an id (or have none) with a null text keep one row an id.
     """
-    found = saved(near_duplicates(docs, id_column, text_column, similarity), "membership")
-    ids = found.where(F.col(id_column).isNotNull())
-    extra = saved(ids.where(F.col(id_column) != F.col("class_id")).select(id_column).distinct(), "dropped")
-    again = saved(ids.groupBy(id_column).count().where("count > 1").select(id_column), "repeated")
-    kept = docs.where(F.col(id_column).isNotNull()).join(sent(extra), id_column, "left_anti")
-    if not again.isEmpty():
-        single = kept.join(sent(again), id_column, "left_anti")
-        kept = single.unionByName(kept.join(sent(again), id_column, "left_semi").dropDuplicates([id_column]))
-    bare = docs.where(F.col(id_column).isNull())
-    if not bare.isEmpty():
-        texts = bare.where(F.col(text_column).isNotNull()).dropDuplicates([text_column])
-        kept = kept.unionByName(texts).unionByName(bare.where(F.col(text_column).isNull()))
-    return kept.select(*docs.columns)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
+    sketched = _sketched(rows)
+    kept = _classes(sketched, rows, similarity).where("node = class_node").select(F.col("node").alias("kept_node"), F.col("first").alias("kept_id"))
+    has = F.col(text_column).isNotNull()
+    parts = [F.struct(*docs.columns).alias("d"), F.col(id_column).alias("id")]
+    texts = docs.where(has).select(*parts, node_of(F.col(text_column)).alias("node"))
+    copies = F.col("node").eqNullSafe(F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    found = texts.join(sent(saved(kept, "kept")), copies, "left_semi").unionByName(docs.where(~has).select(*parts, F.lit(None).cast("binary").alias("node")))
+    again = saved(sketched.groupBy("id", "node").count().where("count > 1").select(F.col("id").alias("again_id"), F.col("node").alias("again_node")), "repeated")
+    if again.isEmpty():
+        return found.select("d.*")
+    same = F.col("id").eqNullSafe(F.col("again_id")) & F.col("node").eqNullSafe(F.col("again_node"))
+    single = found.join(sent(again), same, "left_anti").select("d")
+    one = found.join(sent(again), same, "left_semi").groupBy("id", "node").agg(F.min("d").alias("d")).select("d")
+    return single.unionByName(one).select("d.*")

@@ -1,6 +1,7 @@
 """One registered query per operator, over whole tables, and the check SQL of those that SQL can express."""
 
 import public_tokenizers
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgate.llm import (
@@ -47,17 +48,17 @@ def op1_ball_tree_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-@query("op2_quote_linking", sql=r"""
-with c as (
+_PLAIN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+#: Everything up to the linked messages ``m`` and their links ``g``, from rows conversations(conv_id, turn, role, text).
+_QUOTES = rf"""
+c as (
   select row_number() over () r, conv_id, turn, role, coalesce(text, '') t, md5(coalesce(text, '')) message from conversations
   where conv_id is not null and turn is not null),
 l as (
   select r, conv_id, turn, role, message, i, regexp_extract(x, '^((?:[ \t]*>)+)', 1) marks,
     regexp_replace(x, '^((?:[ \t]*>)+)[ \t]?', '') body
   from (select *, unnest(regexp_split_to_array(t, '\r?\n')) x, generate_subscripts(regexp_split_to_array(t, '\r?\n'), 1) i from c)),
-d as (
-  select *, len(regexp_replace(marks, '[^>]', '', 'g')) depth,
-    trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) plain from l),
+d as (select *, len(regexp_replace(marks, '[^>]', '', 'g')) depth, {_PLAIN.format("body")} plain from l),
 e as (
   select *, depth = 0 and regexp_full_match(body, '[^>].*:\s*')
       and coalesce(lead(depth) over w, 0) > 0 announces,
@@ -67,34 +68,81 @@ o as (
   select r, conv_id, turn, role, message, max(depth) > 0 quotes,
     coalesce(string_agg(body, chr(10) order by i) filter (where depth = 0 and not announces), '') raw
   from e group by all),
-m as (select *, case when quotes then regexp_replace(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') else raw end own from o),
+m as (select *, case when quotes then regexp_replace(regexp_replace(raw, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') else raw end own from o),
 p as (
-  select conv_id, turn, message, passage, depth, trim(regexp_replace(string_agg(plain, ' ' order by i), ' +', ' ', 'g')) whole,
-    max_by(plain, (len(plain), plain)) line
+  select conv_id, turn, message, passage, depth, {_PLAIN.format("string_agg(plain, ' ' order by i)")} whole,
+    list(plain order by i) || regexp_split_to_array(string_agg(plain, chr(10) order by i), '\n{{2,}}') parts
   from (select *, sum(fresh) over (partition by r order by i) passage from e
     where r in (select min(r) from c group by conv_id, turn, message)) where depth > 0 group by all),
 s as (
-  select distinct conv_id, turn, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) k
-  from (select conv_id, turn, unnest(list_append(string_split(own, chr(10)), own)) x from m)),
+  select distinct conv_id, turn, {_PLAIN.format("x")} k
+  from (select conv_id, turn, unnest(string_split(own, chr(10)) || regexp_split_to_array(own, '\n\s*\n') || [own]) x from m)),
+k as (select distinct conv_id, turn, message, passage, {_PLAIN.format("x")} k from (select *, unnest(parts) x from p)),
+v as (
+  select k.conv_id, k.turn, k.message, k.passage, arg_max(source, [n, source]) voted from (
+    select conv_id, turn, message, passage, source, count(*) n from (
+      select k.*, (select max(s.turn) from s where s.conv_id = k.conv_id and s.k = k.k and s.turn < k.turn) source from k where k.k <> '')
+    where source is not null group by all) k group by all),
 f as (
   select p.conv_id, p.turn, p.message, p.depth, coalesce(
-    (select max(s.turn) from s where s.conv_id = p.conv_id and s.k = p.whole and s.k <> '' and s.turn < p.turn),
-    (select max(s.turn) from s where s.conv_id = p.conv_id and s.k = p.line and s.k <> '' and s.turn < p.turn)) source
-  from p),
+    (select max(s.turn) from s where s.conv_id = p.conv_id and s.k = p.whole and s.k <> '' and s.turn < p.turn), v.voted) source
+  from p left join v using (conv_id, turn, message, passage)),
 g as (
   select conv_id, turn, message, count(*) n_passages, count(source) n_linked, max(depth) depth,
     max(case when depth = 1 then source end) outer_source
-  from f group by all)
+  from f group by all)"""
+_LINKED = """
 select m.conv_id, m.turn, m.role,
   cast(row_number() over (partition by m.conv_id order by m.turn, m.role, m.message) - 1 as bigint) as position,
   cast(coalesce(outer_source, max(m.turn) over (partition by m.conv_id order by m.turn range between unbounded preceding and 1 preceding)) as bigint) reply_to,
   cast(coalesce(n_passages, 0) as bigint) n_passages, cast(coalesce(n_linked, 0) as bigint) n_linked,
   cast(coalesce(g.depth, 0) as integer) as depth, m.own as text
-from m left join g using (conv_id, turn, message)""")
+from m left join g using (conv_id, turn, message)"""
+
+
+@query("op2_quote_linking", sql="with " + _QUOTES + _LINKED)
 def op2_quote_linking(spark, sf_dir):
     return quotes.linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+#: Conversations in which every third message quotes the one before: whole, its first half, or its words in other lines.
+_REPLIES = """
+told as (
+  select conv_id, turn, role, coalesce(text, '') as text, coalesce(lag(text) over (partition by conv_id order by turn), '') as before from conversations),
+quoting as (
+  select conv_id, turn, role, case when turn % 3 <> 2 or before = '' then text
+    when conv_id % 3 = 0 then 'You wrote:' || chr(10) || '> ' || replace(before, chr(10), chr(10) || '> ') || chr(10) || text
+    when conv_id % 3 = 1 then '> ' || replace(before, chr(10), chr(10) || '> ') || chr(10) || '> and more' || chr(10) || chr(10) || text
+    else '> > ' || replace(replace(before, ' ', '  '), '.', ' !') || chr(10) || text || chr(10) || '> not said by anyone' end as text
+  from told)"""
+_REPLY_SQL = "with " + _REPLIES + "," + _QUOTES.replace("from conversations", "from quoting")
+
+
+def _replies(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = rows.withColumn("before", before)
+    marked = F.concat(F.lit("> "), F.replace("before", F.lit("\n"), F.lit("\n> ")))
+    return rows.select("conv_id", "turn", "role", F.when((F.col("turn") % 3 != 2) | (F.col("before") == ""), F.col("text")).when(
+        F.col("conv_id") % 3 == 0, F.concat(F.lit("You wrote:\n"), marked, F.lit("\n"), "text")).when(
+        F.col("conv_id") % 3 == 1, F.concat(marked, F.lit("\n> and more\n\n"), "text")).otherwise(F.concat(
+            F.lit("> > "), F.replace(F.replace("before", F.lit(" "), F.lit("  ")), F.lit("."), F.lit(" !")), F.lit("\n"), "text", F.lit("\n> not said by anyone"))).alias("text"))
+
+
+@query("quotes_in_replies", sql=_REPLY_SQL + _LINKED)
+def quotes_in_replies(spark, sf_dir):
+    """The same over conversations of the table in which messages quote others."""
+    return quotes.linked(_replies(spark, sf_dir))
+
+
+@query("chats_without_quotes", sql=_REPLY_SQL + """, linked as (""" + _LINKED + """)
+select conv_id, position // 256 as piece, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || text || chr(10), '' order by position) as chat
+from linked group by all""")
+def chats_without_quotes(spark, sf_dir):
+    """Formatted conversations, in reply order and without quotes."""
+    return quotes.formatted(_replies(spark, sf_dir))
+
+
 #: The contract's list: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -139,8 +187,7 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join words using (r) left join found using (r)""")
 def op4_suffix_decontamination(spark, sf_dir):
-    items = decontam.load_items(table(spark, sf_dir, "benchmark"))
-    found = table(spark, sf_dir, "documents").select("doc_id", decontam.matches(items, F.col("text")).alias("m"))
+    found = decontam.match_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "m.n_words", "m.n_hit", F.size("m.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("m.items", ",").cast("binary"), 256).alias("items_sha256"),
@@ -149,7 +196,7 @@ def op4_suffix_decontamination(spark, sf_dir):
 
 @query("op10_near_duplicates")
 def op10_near_duplicates(spark, sf_dir):
-    return probmin.near_duplicates(table(spark, sf_dir, "documents"))
+    return probmin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 @query("op5_quality_vote")

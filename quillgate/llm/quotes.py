@@ -2,8 +2,10 @@
 
 A line is quoted as deep as it has ">" marks at its start.  Neighbouring lines of one depth are a passage.
 Passages are normalised (lower case, letters and digits only) and hashed; a passage belongs to the latest
-earlier message of its conversation that holds the same text as its own words, or else the passage's
-longest line.  Conversations are rebuilt without quotes, every message after the one it replies to.
+earlier message of its conversation that holds the same text as its own words.  Where there is none, each
+of its lines and paragraphs names the latest earlier message that holds it, and the message that most of
+them name is taken, the latest on ties; so a quotation that was shortened, edited or wrapped anew is found
+again.  Conversations are rebuilt without quotes, every message after the one it replies to.
 
 Everything is DataFrame functions.  Looking up the latest earlier message is two-level: messages are
 grouped by blocks of BLOCK_TURNS turns, blocks carry their latest message on, so one conversation or one
@@ -11,8 +13,9 @@ passage that holds most rows is spread over tasks.
 
 Defined results: a null text is an empty message; rows with a null conversation or turn are kept without
 links, positions and replies; rows that repeat conversation and turn share a position's block and are
-numbered by role and text; a passage without letters or digits links to nothing; an empty table gives no
-rows; other columns are not read.
+numbered by role and text; a passage without letters or digits links to nothing; rows of equal text in a
+turn are equal sources; very long messages are single rows like others; an empty table gives no rows; other
+columns are not read, so they cannot clash.
 """
 
 from pyspark.sql import Window
@@ -58,7 +61,7 @@ def parsed(messages):
 
 
 def passages(rows):
-    """One row per quoted passage: conv_id, turn, message, passage number, depth, keys of the whole and of its longest line."""
+    """One row per quoted passage: conv_id, turn, message, passage number, depth, key of the whole and keys of its lines and paragraphs."""
     quoting = rows.where("quotes and conv_id is not null and turn is not null").select("conv_id", "turn", "message", "lines").distinct()
     marked = quoting.select("conv_id", "turn", "message", F.transform("lines", lambda x, i: F.struct(
         i.alias("i"), x["depth"].alias("depth"), x["body"].alias("body"),
@@ -67,18 +70,23 @@ def passages(rows):
     by_message = Window.partitionBy("conv_id", "turn", "message").orderBy("i")  # the lines of one message
     numbered = lines.withColumn("passage", F.sum((F.col("new") | (F.col("i") == 0)).cast("int")).over(by_message)).where("depth > 0")
     numbered = numbered.withColumn("plain", normalised(F.col("body")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "plain"))), lambda x: x["plain"]), " ")
-    return numbered.groupBy("conv_id", "turn", "message", "passage", "depth").agg(
-        _key(F.trim(F.regexp_replace(whole, " +", " "))).alias("whole"),
-        _key(F.max_by("plain", F.struct(F.length("plain"), "plain"))).alias("line"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("i", "plain"))), lambda x: x["plain"])
+    grouped = numbered.groupBy("conv_id", "turn", "message", "passage", "depth").agg(said.alias("said"))
+    return grouped.select(
+        "conv_id", "turn", "message", "passage", "depth", _key(normalised(F.array_join("said", " "))).alias("whole"),
+        _keys(F.concat("said", F.split(F.array_join("said", "\n"), r"\n{2,}", -1))).alias("parts"))
+
+
+def _keys(texts):
+    """Distinct keys of texts, without those of which nothing is left."""
+    return F.array_distinct(F.array_compact(F.transform(texts, lambda x: _key(normalised(x)))))
 
 
 def sources(rows, quoting):
-    """conv_id, turn, key: the whole own text and every own line of messages in conversations that quote."""
+    """conv_id, turn, key: the whole own text, every own line and paragraph of messages in conversations that quote."""
     own = rows.where("conv_id is not null and turn is not null").join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-    texts = F.array_append(F.split("own", "\n", -1), F.col("own"))
-    keys = F.array_distinct(F.transform(texts, lambda x: _key(normalised(x))))
-    return own.select("conv_id", "turn", F.explode(keys).alias("key")).where("key is not null").distinct()
+    texts = F.array_append(F.concat(F.split("own", "\n", -1), F.split("own", r"\n\s*\n", -1)), F.col("own"))
+    return own.select("conv_id", "turn", F.explode(_keys(texts)).alias("key")).distinct()
 
 
 def latest_before(asks, known):
@@ -117,14 +125,16 @@ def linked(messages):
     rows = saved(parsed(messages), "messages")
     quoted = saved(passages(rows), "passages")
     known = sources(rows, quoted)
-    asks = quoted.select("conv_id", "turn", F.explode(F.array("whole", "line")).alias("key")).where("key is not null")
-    origin = saved(latest_before(asks, known), "origins")
-
-    def named(key):
-        return origin.select("conv_id", "turn", F.col("key").alias(key), F.col("source").alias(f"{key}_source"))
-
-    found = quoted.join(named("whole"), ["conv_id", "turn", "whole"], "left").join(named("line"), ["conv_id", "turn", "line"], "left")
-    found = found.withColumn("source", F.coalesce("whole_source", "line_source"))
+    keys = F.array_distinct(F.array_compact(F.array_append("parts", F.col("whole"))))
+    asks = quoted.select("conv_id", "turn", F.explode(keys).alias("key"))
+    origin = saved(latest_before(asks, known).where("source is not null"), "origins")
+    passage = ["conv_id", "turn", "message", "passage"]
+    named = quoted.select(*passage, F.explode("parts").alias("key")).join(origin, ["conv_id", "turn", "key"]).groupBy(*passage, "source").agg(
+        F.count("*").alias("n"))
+    voted = named.groupBy(*passage).agg(F.max_by("source", F.struct("n", "source")).alias("voted"))
+    whole = origin.select("conv_id", "turn", F.col("key").alias("whole"), F.col("source").alias("whole_source"))
+    found = quoted.join(whole, ["conv_id", "turn", "whole"], "left").join(voted, passage, "left")
+    found = found.withColumn("source", F.coalesce("whole_source", "voted"))
     links = found.groupBy("conv_id", "turn", "message").agg(
         F.count("*").alias("n_passages"), F.count("source").alias("n_linked"), F.max("depth").alias("depth"),
         F.max(F.when(F.col("depth") == 1, F.col("source"))).alias("outer_source"))

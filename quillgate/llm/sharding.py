@@ -4,7 +4,8 @@ When one shard is appended, a row stays or moves into the new shard.
 
 Defined results: a null id is a key like any other; a null text has no bytes (its checksum is null);
 rows that repeat an id share a shard; slots are gapless from 0 in every shard, in order of id, size and
-checksum within a part of a shard, parts one after the other; an empty table gives no rows.
+checksum within a part of a shard, parts one after the other; a very long text only counts its bytes;
+other columns are not read, so they cannot clash; an empty table gives no rows.
 """
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.store import saved
 
-#: Rows of a shard that one task numbers, about.
+#: Rows of a shard that one task numbers, about, and slots that one row is expanded to at once.
 PART_ROWS = 100_000
+RUN = 10_000
 
 
 def jump(keys, shards):
@@ -62,6 +64,9 @@ def place(docs, shards=24, id_column="doc_id", text_column="text"):
     inside = Window.partitionBy("shard", "part").orderBy(id_column, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "part"])
     start = F.col("offset") + F.col("first")
-    return numbered.select(
-        id_column, "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(start, start + F.col("n") - 1)).alias("slot"), "grown_shard")
+    # equal rows come back one by one, a run of slots at a time
+    runs = numbered.select(
+        id_column, "size", "text_crc32", "shard", "grown_shard", "n", start.alias("start"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run"))
+    slots = F.sequence(F.col("start") + F.col("run") * RUN, F.col("start") + F.least((F.col("run") + 1) * RUN, F.col("n")) - 1)
+    return runs.select(id_column, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")

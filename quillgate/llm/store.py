@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark):
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a local one only where a one-machine session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillgate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,21 +44,31 @@ def held_out(id_column):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def one_text(docs, picked, id_column="doc_id", text_column="text"):
+    """The picked rows with one text per id: the smallest of its texts that are not null (null where all are).
+
+    ``picked`` has one row per id and few rows, so it goes to every task; texts of a repeated id are combined
+    before they are shuffled.
+    """
+    met = docs.select(F.col(id_column), F.col(text_column).alias("text")).join(F.broadcast(picked), id_column)
+    return met.groupBy(*picked.columns).agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs, labels, label_column, per_label, withheld=True):
     """(doc_id, text, label) of at most ``per_label`` documents of each label 0 and 1, and the counts of both labels.
 
-    The ids with the smallest hashes are picked: bounded, and the same on every run.  Texts are fetched
-    for those alone.  With ``withheld``, rows whose id is held out never enter.
+    The ids with the smallest hashes are picked: bounded, and the same on every run.  An id counts once, however
+    often it is labelled or stored: with the label that at least half of its labels are 1 for, and with the
+    smallest of its texts.  Texts are fetched for picked ids alone.  With ``withheld``, held-out ids never enter.
     """
     marked = labels.where(F.col(label_column).isin(0, 1) & F.col("doc_id").isNotNull())
     marked = marked.where(~held_out("doc_id")) if withheld else marked
-    marked = marked.select("doc_id", F.col(label_column).cast("int").alias("label"))
+    marked = marked.groupBy("doc_id").agg((F.avg(F.col(label_column)) >= 0.5).cast("int").alias("label"))
     known = saved(marked.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id"), "labelled")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label ids
-    sample = saved(texts.select("doc_id", "text", "label"), "sample")
+    sample = saved(one_text(docs, saved(picked, "picked")).select("doc_id", "text", "label"), "sample")  # at most 2 * per_label ids
     return sample, (sizes.get(0, 0), sizes.get(1, 0))

@@ -42,7 +42,9 @@ def text_bytes(column):
     """(bytes, offsets) of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
@@ -87,11 +89,13 @@ def give_back():
 
 
 def column_passes(column, most=PASS_BYTES):
-    """(lo, hi, bytes, offsets) of each pass over an Arrow string column."""
+    """(lo, hi, bytes, offsets) of each pass over an Arrow string column; only one pass is ever copied."""
     make_room()
-    data, offsets = text_bytes(column)
-    for lo, hi in passes(offsets, most):
-        yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in passes(np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)]), most):
+        yield lo, hi, *text_bytes(column.slice(lo, hi - lo))
 
 
 def scan(data, offsets):

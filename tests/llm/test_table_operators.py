@@ -46,6 +46,22 @@ def test_top_k_of_large_numbers_and_empty_tables(spark):
     assert topk.products(v, v).tolist() == [[9_000_000_000_000_000_025, 6_000_000_035], [6_000_000_035, 53]]
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, none).count() == 0
+    most = 2 ** 63 - 1
+    far = spark.createDataFrame([(50, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 0.0]), (3, [1e300, 5.0]), (4, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    rows = {(r["query_id"], r["vec_id"]): (r["rank"], r["score"]) for r in topk.top_k(far, far.where("vec_id = 50")).collect()}
+    exact = int(256 * 1e17) * 128 + 256 * 128
+    assert rows == {(50, 1): (1, most), (50, 3): (2, most), (50, 4): (3, min(exact, most)), (50, 2): (4, -most - 1)} or exact < most
+
+
+def test_top_k_of_a_repeated_row_and_many_blocks(spark, monkeypatch):
+    """An id with a third of all rows, and more query blocks than one task takes."""
+    for name, value in (("SHARD_ROWS", 40), ("BLOCK_ROWS", 2), ("TASK_BLOCKS", 2), ("LEAF_ROWS", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(12)
+    rows = [(i * 10, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows += [rows[7]] * 60 + [(70, [0.1, 0.2, 0.3, 0.4])]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(table_, table_.where("vec_id % 50 = 0")).collect()} == brute_top(rows)
 
 
 MESSAGES = [
@@ -83,7 +99,24 @@ def test_quotes_are_linked_as_in_sql(spark):
     assert rows[1, 2]["text"] == "I see." and rows[1, 2]["reply_to"] == 1 and rows[1, 2]["depth"] == 2 and rows[1, 2]["n_linked"] == 2
     assert rows[1, 3]["n_linked"] == 0 and rows[1, 3]["reply_to"] == 2
     assert rows[1, 4]["n_linked"] == 1 and rows[1, 4]["reply_to"] == 0
-    assert rows[2, 700]["reply_to"] == 9 and rows[2, 1400]["n_linked"] == 0
+    assert rows[2, 700]["reply_to"] == 9
+    # one line is from turn 9 and one from turn 700: as many lines name either, the later one is taken
+    assert rows[2, 1400]["n_linked"] == 1 and rows[2, 1400]["reply_to"] == 700
+
+
+def test_partial_quotes_name_the_message_of_most_lines(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [
+        (1, 0, "a", "One is here.\nTwo is the longest line of all of them.\nThree stays."), (1, 1, "b", "Three stays."),
+        (1, 2, "a", "> One is here.\n> Two was edited by the one who quotes it.\n> Three stays.\nok"),  # turn 0: one of two lines, turn 1: the other; latest
+        (2, 0, "a", "Alpha beta gamma\ndelta epsilon.\n\nSecond paragraph of\nthis message."), (2, 1, "b", "other"),
+        (2, 2, "a", "> alpha beta\n> gamma delta epsilon\n>\n> new words here\nyes"),  # a paragraph in other lines
+        (2, 3, "a", "> Second paragraph\n> of this message\nyes"),
+        (3, 0, "a", "x one\ny two\nz three"), (3, 1, "b", "z three"), (3, 2, "a", "> x one\n> y two\n> z three\n> w four\nsure"),  # two lines against one
+        (4, 0, "a", "long " * 3000), (4, 1, "b", "> " + "long " * 3000 + "\nyes"), (4, 1, "b", "> " + "long " * 3000 + "\nyes")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.linked(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[k]["reply_to"] for k in [(1, 2), (2, 2), (2, 3), (3, 2), (4, 1)]] == [1, 0, 0, 0, 0]
+    assert all(got[k]["n_linked"] == 1 for k in [(1, 2), (2, 2), (2, 3), (3, 2), (4, 1)])
 
 
 def test_quotes_without_keys_and_formatting(spark):
@@ -155,7 +188,8 @@ def test_jump_hash_moves_rows_only_into_the_new_shard():
 
 def test_sharding(spark, monkeypatch):
     monkeypatch.setattr(sharding, "PART_ROWS", 5)
-    rows = [(i, f"text {i}") for i in range(400)] + [(7, "text 7")] * 200 + [(8, None), (None, "é"), (None, None), (9, ""), (9, "other")]
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(i, f"text {i}") for i in range(400)] + [(7, "text 7")] * 200 + [(8, None), (None, "é"), (None, None), (9, ""), (9, "other"), (10, "long " * 100_000)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, shard int, slot int")
     got = sharding.place(docs).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(
@@ -197,3 +231,22 @@ def test_pipeline_keeps_rows_with_nulls(spark, tmp_path):
         stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 4
+
+
+def test_pipeline_of_empty_repeated_and_long_documents(spark, tmp_path):
+    """Empty tables, ids that repeat, a very long text and a clashing extra column, in every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    some = "Plain words about the river and the hills behind the town, written for a test."
+    rows = [(1, long, "en", "a", len(long)), (2, some, "en", "a", 1), (2, "Quite another text about ships and harbours under the same number.", "en", "a", 2),
+            (2, some, "en", "a", 1), (3, some.upper(), "en", "b", 3), (None, some, "en", "b", 3), (4, "", "en", "b", 0)]
+    for name, table_ in (("empty", []), ("rows", rows)):
+        docs = spark.createDataFrame(table_, schema)
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            out.write.parquet(str(tmp_path / f"{name}-{stage_name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{stage_name}"))
+        if not table_:
+            assert docs.count() == 0
+    alone = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), None)
+    assert sorted((str(r["doc_id"]), r["text"][:5]) for r in alone.collect()) == [("1", "word0"), ("2", "Plain"), ("2", "Quite"), ("4", "")]

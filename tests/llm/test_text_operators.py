@@ -91,12 +91,39 @@ def test_decontamination_of_empty_tables(spark):
     row = docs_of(spark, [(1, "a b c")]).select(match.alias("m"), decontam.contaminated(match).alias("c")).head()
     assert (row["m"]["n_words"], row["m"]["n_hit"], row["m"]["items"], row["c"]) == (3, 0, [], False)
     assert docs_of(spark, []).select(match).count() == 0
+
+
+def test_a_benchmark_in_parts_gives_the_same(spark, monkeypatch):
+    """Parts of 300 bytes, repeated items, one item across parts by its id, one longer than a part."""
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice([f"w{i}" for i in range(8)]) for _ in range(n))
+    items = [(str(i % 14), make(rng.choice([1, 5, 13, 20, 200]))) for i in range(30)] + [(None, make(15)), ("x", None), ("y", "")]
+    items += [items[4]] * 12
+    docs = [(i, make(rng.randint(0, 60))) for i in range(40)] + [(50 + i, make(9) + " " + (t or "")) for i, (_, t) in enumerate(items)]
+    docs += [(200, None), (201, ""), (3, docs[3][1]), (None, items[0][1])]
+    bench, table = spark.createDataFrame(items, "item_id string, text string"), docs_of(spark, docs)
+    assert len(list(decontam.item_parts(bench, part_bytes=300))) > 3
+    shape = lambda df: sorted((r["doc_id"] or -1, r["m"]["n_words"], r["m"]["n_hit"], tuple(r["m"]["items"])) for r in df.collect())
+    assert shape(decontam.match_table(table, bench, part_bytes=300)) == shape(decontam.match_table(table, bench))
+    kept = lambda df: sorted(map(repr, df.collect()))
+    assert kept(decontam.keep_clean(table, bench, part_bytes=300)) == kept(decontam.keep_clean(table, bench))
+    assert decontam.keep_clean(table, bench, part_bytes=300).columns == table.columns
+    monkeypatch.setattr(decontam, "PART_BYTES", 1)
     with pytest.raises(ValueError):
-        decontam.MOST_BENCHMARK_BYTES, kept = 1, decontam.MOST_BENCHMARK_BYTES
-        try:
-            decontam.load_items(spark.createDataFrame([("1", "some text")], "item_id string, text string"))
-        finally:
-            decontam.MOST_BENCHMARK_BYTES = kept
+        decontam.load_items(bench)
+
+
+def test_equal_hashes_of_other_words_are_no_match(monkeypatch):
+    """Words that only the first hash takes for equal are thrown out by the second one."""
+    import quillgate.llm.decontam as module
+
+    items = module.index_items(["1"], ["alpha beta"])
+    data, offsets = words.text_bytes(pa.array(["gamma beta alpha beta"]))
+    found = words.scan(data, offsets)
+    forged = found._replace(hash=np.array([items.hashes[0], items.hashes[1], items.hashes[0], items.hashes[1]]))
+    windows, places = module.search(module.build_shard(forged), items)
+    assert sorted(places.tolist()) == [0, 2]
+    assert module.confirmed(windows, places, forged, items)[1].tolist() == [2]
 
 
 def plain_shingles(text):

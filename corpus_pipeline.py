@@ -34,8 +34,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Documents of which benchmark windows cover less than a twentieth of the words."""
-    items = decontam.load_items(table(spark, sf_dir, "benchmark"))
-    return docs.where(~decontam.contaminated(decontam.matches(items, F.col("text"))))
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark, docs, sf_dir):

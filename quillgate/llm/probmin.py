@@ -255,8 +255,10 @@ def _crowded_pairs(rest, lists, similarity):
     mine = saved(lists.join(sent(nodes), "node"), "crowded-lists")
     # a list is much work from few bytes: deal the nodes out before their shingles become rows
     each = mine.repartition("node").select("node", "top", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "top", "s.keys", "s.counts")
-    rare = each.groupBy("keys").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = saved(each.join(rare, "keys").select("keys", "node", "top", "counts", "df"), "rare")
+    found = saved(each.groupBy("keys").agg(F.count("*").alias("df"), F.min(F.struct("node", "top", "counts")).alias("only")).where(F.col("df") <= RARE), "rare-keys")
+    # a shingle of one node names it; only those of a few nodes are looked up
+    several = each.join(found.where("df > 1").select("keys", "df"), "keys").select("keys", "node", "top", "counts", "df")
+    rare = saved(several.unionByName(found.where("df = 1").select("keys", "only.node", "only.top", "only.counts", "df")), "rare")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     weights = mine.select("node", total.alias("n"), (total == F.size("keys")).alias("plain")).join(
         rare.groupBy("node").agg(F.sum("counts").alias("u")), "node", "left").select("node", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))

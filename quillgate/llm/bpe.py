@@ -29,7 +29,7 @@ from quillgate.llm.words import give_back, held
 
 #: Most remembered states, token pairs and pieces of one task.
 MOST_STATES = 300_000
-MOST_PAIRS = 150_000
+MOST_PAIRS = 100_000
 MOST_PIECES = 60_000
 #: Characters of text encoded together, and bytes from which a piece is read on its own.
 PASS_CHARS = 1 << 19
@@ -103,7 +103,7 @@ class Encoder:
 
     def _number(self, state):
         """Number of a state: its last token, then (tree node, output) of each guess, the one that just ended last."""
-        packed = array("q", state).tobytes()
+        packed = array("i", state).tobytes()
         if packed not in self.numbers:
             self.numbers[packed] = len(self.states)
             self.states.append(packed)
@@ -149,7 +149,7 @@ class Encoder:
 
     def _step(self, number, byte):
         """Next state, and the number of the tokens emitted on the way."""
-        last, *flat = array("q", self.states[number])
+        last, *flat = array("i", self.states[number])
         after, child, ended = [], self.child, None
         for node, output in zip(flat[::2], flat[1::2]):
             node = child.get(node << 8 | byte)
@@ -181,7 +181,7 @@ class Encoder:
             found = steps.get(state << 8 | byte)
             if found is None:
                 if len(self.states) >= 2 * MOST_STATES:  # within one very long piece: keep only where it stands
-                    last, *flat = array("q", self.states[state])
+                    last, *flat = array("i", self.states[state])
                     guesses = [(node, self.outputs[n]) for node, n in zip(flat[::2], flat[1::2])]
                     self._forget()
                     state = self._number([last, *chain.from_iterable((node, self._output(p)) for node, p in guesses)])
@@ -404,6 +404,7 @@ def coded(docs, ranks, pattern, text_column="text"):
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches):
+        give_back()  # what earlier work of this worker has left
         encoder, decoder = _machines(sent.value, pattern)
         for batch in batches:
             give_back()

@@ -11,34 +11,46 @@ from pyspark.sql import functions as F
 from quillgate.llm import bpe, decontam, probmin, quality, queries, severity
 from quillgate.llm.store import saved, table
 
+#: Documents in one Arrow batch: texts are long, and a task holds a batch in the JVM and one in its Python worker.
+BATCH_ROWS = 1000
 #: The fitted models and the byte-pair encoding have no SQL form; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
+def small_batches(spark):
+    """Arrow batches of BATCH_ROWS documents from here on, so that the memory of a task does not grow with the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def toxicity(spark, docs, sf_dir):
     """Documents whose probability of any severity grade is below one half."""
+    small_batches(spark)
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
     return docs.where(~severity.severity(model, F.col("text"))["toxic"])
 
 
 def quality_vote(spark, docs, sf_dir):
     """Documents that their labelled neighbours vote to be of quality 1."""
+    small_batches(spark)
     model = queries.quality_model(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.quality(model, F.col("text")) >= 0.5)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """The document of the smallest id of each class of copies and near copies."""
+    small_batches(spark)
     return probmin.keep_one(docs)
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents of which benchmark windows cover less than a twentieth of the words."""
+    small_batches(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark, docs, sf_dir):
     """Token ids of each document, and whether they decode to its text."""
+    small_batches(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     texts = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
     found = bpe.coded(texts, ranks, public_tokenizers.PATTERN)

@@ -105,9 +105,6 @@ def test_a_benchmark_in_parts_gives_the_same(spark, monkeypatch):
     assert len(list(decontam.item_parts(bench, part_bytes=4000))) > 1
     shape = lambda df: sorted((r["doc_id"] or -1, r["m"]["n_words"], r["m"]["n_hit"], tuple(r["m"]["items"])) for r in df.collect())
     assert shape(decontam.match_table(table, bench, part_bytes=4000)) == shape(decontam.match_table(table, bench))
-    kept = lambda df: sorted(map(repr, df.collect()))
-    assert kept(decontam.keep_clean(table, bench, part_bytes=4000)) == kept(decontam.keep_clean(table, bench))
-    assert decontam.keep_clean(table, bench, part_bytes=4000).columns == table.columns
     monkeypatch.setattr(decontam, "PART_BYTES", 1)
     with pytest.raises(ValueError):
         decontam.load_items(bench)

@@ -5,6 +5,8 @@ word, and before it where a word ends there.  So the border of a word is a mark
 there is one for the match that ends and one for the match that begins at it.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +23,39 @@ STEPS = [
 ]
 #: Classes of a scan with their patterns; trace files are found, not redacted.
 CLASSES = {**{name: pattern for name, pattern, _ in STEPS}, "trace_file": T.TRACE_FILE}
+#: Begin of a run of 32 key characters.
+_LONG_RUN = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32}"
+
+
+def hint(t, name):
+    """A quick test that every text with a match of the class passes; null where there is none quicker than the pattern.
+
+    Patterns that begin at the border of a word try every word of a text, so they are kept for texts with the
+    characters that a match cannot do without.
+    """
+    return {
+        "local_windows_path": lambda: t.contains(":\\"),
+        "local_unix_user_path": lambda: t.contains("/"),
+        "email_address": lambda: t.contains("@"),
+        "api_key_like": lambda: t.contains("sk-") | t.contains("AIza") | t.rlike(_LONG_RUN),
+        "secret_query_parameter": lambda: t.contains("="),
+    }.get(name, lambda: None)()
+
+
+def found(t, name):
+    """Does the text hold a match of the class?"""
+    # every match of a trace file ends with this
+    hit = t.rlike(rf"(?i)\.zip(?!{T.WORD_CLASS})" if name == "trace_file" else CLASSES[name])
+    quick = hint(t, name)
+    return hit if quick is None else quick & hit
+
+
+def replaced(t, name, pattern, replacement, also=None):
+    """The text with the matches of a class replaced, where the class may be in it."""
+    quick = hint(t, name)
+    new = F.regexp_replace(t, pattern, replacement)
+    tests = [x for x in (also, quick) if x is not None]
+    return F.when(reduce(lambda a, b: a & b, tests), new).otherwise(t) if tests else new
 
 
 def sanitize(c):
@@ -32,23 +67,21 @@ def sanitize(c):
     t = text(c)
     pairs = []
     for name, pattern, replacement in STEPS:
-        pairs.append((t.rlike(pattern), name))
+        pairs.append((found(t, name), name))
         t = F.regexp_replace(t, pattern, replacement)
     return t, F.sort_array(flags(*pairs))
 
 
 def sanitize_columns(df, source, out, flag_out):
     """The same as staged projections, which evaluate every replacement only once."""
-    stage = "__redact"
+    stage, hit = "__redact", F.col("__hit")
     df = df.withColumn(stage, text(source)).withColumn(flag_out, F.lit(""))
     for name, pattern, replacement in STEPS:
-        df = df.withColumns({
-            flag_out: F.when(
-                F.col(stage).rlike(pattern), F.concat(F.col(flag_out), F.lit(SEP + name))
-            ).otherwise(F.col(flag_out)),
-            stage: F.regexp_replace(F.col(stage), pattern, replacement),
+        df = df.withColumn("__hit", found(F.col(stage), name)).withColumns({
+            flag_out: F.when(hit, F.concat(F.col(flag_out), F.lit(SEP + name))).otherwise(F.col(flag_out)),
+            stage: F.when(hit, F.regexp_replace(F.col(stage), pattern, replacement)).otherwise(F.col(stage)),
         })
-    return df.withColumn(out, F.col(stage)).drop(stage).withColumn(
+    return df.withColumn(out, F.col(stage)).drop(stage, "__hit").withColumn(
         flag_out, F.sort_array(F.array_remove(F.split(F.col(flag_out), SEP), ""))
     )
 
@@ -57,8 +90,13 @@ def scan(c, ignore_redacted=True):
     """Sorted array of the sensitive classes found in the text."""
     t = text(c)
     if ignore_redacted:
-        t = F.regexp_replace(t, T.SECRET_PARAM + r"\[redacted\]", "")
-    return F.sort_array(flags(*[(t.rlike(pattern), name) for name, pattern in CLASSES.items()]))
+        t = without_redacted(t)
+    return F.sort_array(flags(*[(found(t, name), name) for name in CLASSES]))
+
+
+def without_redacted(t):
+    """The text without secret parameters whose value is redacted."""
+    return F.when(t.contains("[redacted]"), F.regexp_replace(t, T.SECRET_PARAM + r"\[redacted\]", "")).otherwise(t)
 
 
 # --- the ledger --------------------------------------------------------------------------
@@ -79,10 +117,10 @@ def span_rows(df, key, column):
         each = F.transform(pieces, lambda p: F.struct(
             F.greatest(F.instr(p, _CLOSE) - 1, F.lit(0)).alias("length"),
             (F.length(p) - F.when(F.contains(p, F.lit(_CLOSE)), 1).otherwise(0)).alias("whole")))
-        return F.when(t.rlike(pattern), F.struct(F.lit(name).alias("class"), each.alias("pieces")))
+        return F.when(found(t, name), F.struct(F.lit(name).alias("class"), each.alias("pieces")))
 
-    found = F.array_compact(F.array(*[lengths(n, p) for n, p in CLASSES.items()]))
-    rows = df.select(key, F.explode(found).alias("f")).select(key, "f.class", F.posexplode("f.pieces").alias("at", "p"))
+    hits = F.array_compact(F.array(*[lengths(n, p) for n, p in CLASSES.items()]))
+    rows = df.select(key, F.explode(hits).alias("f")).select(key, "f.class", F.posexplode("f.pieces").alias("at", "p"))
     before = W.partitionBy(key, "class").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.select(key, "class", "at", "p.length", (F.coalesce(F.sum("p.whole").over(before), F.lit(0)) + 1).alias("start"))
     return placed.where("at > 0").select(key, "class", "start", F.col("length").cast("long").alias("length"))

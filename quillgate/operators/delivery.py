@@ -81,11 +81,11 @@ def redact_columns(df, columns, flag_column="privacy_scan_flags"):
     one class after the other, and a class is flagged where its replacement changed a cell.
     """
     df = df.withColumns({c: X.text(c) for c in columns}).withColumn("__flags", F.lit(""))
-    whole = F.concat_ws("\n", *columns)
-    df = df.withColumn("__risky", X.any_of([whole.rlike(pattern) for _, pattern, _ in redact.STEPS]))
+    df = df.withColumn("__whole", F.concat_ws("\n", *columns))
+    df = df.withColumn("__risky", X.any_of([redact.found(F.col("__whole"), name) for name, _, _ in redact.STEPS])).drop("__whole")
     for name, pattern, replacement in redact.STEPS:
         df = df.withColumns({
-            f"__new_{c}": F.when(F.col("__risky"), F.regexp_replace(c, pattern, replacement)).otherwise(F.col(c)) for c in columns})
+            f"__new_{c}": redact.replaced(F.col(c), name, pattern, replacement, F.col("__risky")) for c in columns})
         hit = X.any_of([F.col(f"__new_{c}") != F.col(c) for c in columns])
         kept = [F.col(c) for c in df.columns if c not in columns and c != "__flags" and not c.startswith("__new_")]
         df = df.select(
@@ -120,7 +120,8 @@ def residual_flags(df):
     Rows are scanned on their own; only the seven class switches are aggregated.
     """
     blob = F.concat_ws(" ", *[X.text(c) for c in df.columns])
-    found = df.select(redact.scan(blob).alias("f"))
+    rest = df.select(blob.alias("t")).select(redact.without_redacted(F.col("t")).alias("t"))
+    found = rest.select(redact.scan("t", ignore_redacted=False).alias("f"))
     names = list(redact.CLASSES)
     row = found.agg(F.count(F.lit(1)).alias("rows"), *[
         F.coalesce(F.bool_or(F.array_contains("f", n)), F.lit(False)).alias(n) for n in names])

@@ -250,10 +250,11 @@ def visual_observations(rows, metrics="metrics", viewport="viewport"):
         **dict(zip(names, rules)), "weak_overflow": wide & ~overflow, "weak_cta": no_cta & ~rich, "weak_contrast": dim & ~c("_sure")}
     reasons = [say(explained[name], sentence) for name, sentence in T.VISUAL_REASONS.items()]
     best = F.greatest(*[F.when(r, s).otherwise(0) for r, s in zip(rules, scores)])
+    # sentences are no part of one generated method with everything else, which would be too long to be compiled
     out = df.withColumns({
-        "observations": X.array_of(*notes),
+        "observations": F.array_compact(F.array(*notes)),
         "visual_quality_flags": X.flags(*zip(rules, VISUAL_FLAGS)),
-        "confidence_reasons": X.array_of(*reasons),
+        "confidence_reasons": F.array_compact(F.array(*reasons)),
         "viewport_score": best,
     })
     return out.drop(*[n for n in out.columns if n.startswith("_")])

@@ -39,22 +39,29 @@ def _escaped_char(char):
     return F.when(code < 0x10000, _unit(code)).otherwise(pair)
 
 
+def _wide(t):
+    """Has a text characters beyond U+007E?  Lengths tell it without a search by a negated class, which is slow."""
+    return (F.octet_length(t) != F.length(t)) | t.contains("\x7f")
+
+
 def quoted(c, ascii_only=True):
     """JSON string of a text (null: the empty text); ``ascii_only`` escapes all characters that are not ASCII.
 
-    Only the distinct characters that need it are replaced, and only in texts that have any.
+    Only the distinct characters that need it are replaced, and only in texts that have any.  Most texts have none:
+    they are searched once and stay as they are.
     """
-    t = text(c)
+    plain = t = text(c)
     for char, escape in _ESCAPES:
         t = F.replace(t, F.lit(char), F.lit(escape))
     controls = t
     for char in _CONTROLS:
         controls = F.replace(controls, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
-    t = F.when(text(c).rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), controls).otherwise(t)
+    t = F.when(plain.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), controls).otherwise(t)
+    shown = F.when(plain.rlike(r"""[\x00-\x1f"\\]"""), t).otherwise(plain)
     if ascii_only:
-        others = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([^\x00-\x7e])"), 1))
-        t = F.when(t.rlike(r"[^\x00-\x7e]"), F.aggregate(others, t, lambda done, x: F.replace(done, x, _escaped_char(x)))).otherwise(t)
-    return F.concat(F.lit('"'), t, F.lit('"'))
+        others = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([^\x00-\x7e])"), 1))
+        shown = F.when(_wide(plain), F.aggregate(others, t, lambda done, x: F.replace(done, x, _escaped_char(x)))).otherwise(shown)
+    return F.concat(F.lit('"'), shown, F.lit('"'))
 
 
 def number(c):

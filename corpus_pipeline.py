@@ -9,19 +9,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quillgate.llm import bpe, decontam, probmin, quality, queries, severity
-from quillgate.llm.store import saved, table
+from quillgate.llm.store import saved, small_batches, table
 
-#: Documents in one Arrow batch: texts are long, and a task holds a batch in the JVM and one in its Python worker.
-BATCH_ROWS = 1000
 #: The fitted models and the byte-pair encoding have no SQL form; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
-def small_batches(spark):
-    """Arrow batches of BATCH_ROWS documents from here on, so that the memory of a task does not grow with the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def toxicity(spark, docs, sf_dir):
     """Documents whose probability of any severity grade is below one half."""
     small_batches(spark)

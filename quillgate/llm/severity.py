@@ -24,6 +24,8 @@ STEMS = (4, 5)
 PER_LABEL = 4000
 #: Most features of a model.
 MOST_FEATURES = 4096
+#: Bytes of text of one numpy pass: there are three features for each word, of some 150 bytes together.
+PASS_BYTES = 1 << 19
 #: Least G statistic (chi-square with one degree) of a feature.
 LEAST_G = 30.0
 
@@ -53,7 +55,7 @@ def counted(features, column):
     flags = np.zeros(1 << 16, dtype=bool)
     flags[(features & np.uint64(0xFFFF)).astype(np.int64)] = True
     found = [np.zeros((3, 0), np.int64)]
-    for lo, _, data, offsets in column_passes(column):
+    for lo, _, data, offsets in column_passes(column, PASS_BYTES):
         docs, hashes = feature_hashes(scan(data, offsets))
         maybe = flags[(hashes & np.uint64(0xFFFF)).astype(np.int64)]
         docs, hashes = docs[maybe], hashes[maybe]
@@ -69,7 +71,7 @@ def _presence(batches):
     """Partial counts: in how many clean and graded texts each feature is present."""
     for batch in batches:
         graded = np.asarray(batch.column("grade").to_numpy(zero_copy_only=False)) > 0
-        for lo, _, data, offsets in column_passes(batch.column("text")):
+        for lo, _, data, offsets in column_passes(batch.column("text"), PASS_BYTES):
             docs, hashes = feature_hashes(scan(data, offsets))
             order = np.lexsort((docs, hashes))
             docs, hashes = docs[order], hashes[order]

@@ -17,7 +17,9 @@ vocabulary are an error.  Only the named column is read.
 """
 
 import base64
+import gc
 from array import array
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from quillgate.llm.store import small_batches
 from quillgate.llm.words import give_back, held
 
 #: Most remembered states, token pairs and pieces of one task.
@@ -71,6 +74,18 @@ def merged(ranks, piece):
     return [ranks[p] for p in parts]
 
 
+@contextmanager
+def _no_collection():
+    """No search for reference cycles meanwhile: many small tuples are made here, and none holds itself."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 class Encoder:
     """Texts to token ids; pieces that are not remembered go through the transducer."""
 
@@ -142,36 +157,54 @@ class Encoder:
             if a is None or b is None:  # ranks that do not grow with the merges: encode the pair
                 self.pairs[key] = merged(self.ranks, self.bytes_of[before] + self.bytes_of[token]) == [before, token]
             else:
-                get = self.ranks.get
-                self.pairs[key] = not any(
-                    (rank := get(x + y)) is not None and rank < used_x and rank <= used_y for x, used_x in a[1] for y, used_y in b[0])
+                self.pairs[key] = not self._crossed(a[1], b[0])
         return self.pairs[key]
 
+    def _crossed(self, right, left):
+        """Does a part at the right end of a token merge with one at the left end of the next before both have ended?"""
+        get = self.ranks.get
+        for x, used_x in right:
+            for y, used_y in left:
+                rank = get(x + y)
+                if rank is not None and rank < used_x and rank <= used_y:
+                    return True
+        return False
+
     def _step(self, number, byte):
         """Next state, and the number of the tokens emitted on the way."""
-        last, *flat = array("i", self.states[number])
-        after, child, ended = [], self.child, None
-        for node, output in zip(flat[::2], flat[1::2]):
-            node = child.get(node << 8 | byte)
+        flat = array("i", self.states[number])
+        child, outputs, token_at, inner, pairs = self.child.get, self.outputs, self.token_at, self.inner, self.pairs.get
+        last, after, ended, free = flat[0], [], None, False
+        for i in range(1, len(flat), 2):
+            node = child(flat[i] << 8 | byte)
             if node is None:
                 continue
-            pending, token = self.outputs[output], self.token_at[node]
-            if token >= 0 and ended is None and self._follows(pending[-1] if pending else last, token):
-                ended = (*pending, token)  # one guess alone ends a valid encoding here
-            if self.inner[node]:
-                after.append((node, pending))
-        after.append((0, ended))
-        shortest, first = min(len(pending) for _, pending in after), after[0][1]
-        same = 0
-        while same < shortest and all(pending[same] == first[same] for _, pending in after):
+            output, token = flat[i + 1], token_at[node]
+            if token >= 0 and ended is None:
+                pending = outputs[output]
+                before = pending[-1] if pending else last
+                follows = pairs(before << 32 | token)
+                if follows or follows is None and self._follows(before, token):
+                    ended = (*pending, token)  # one guess alone ends a valid encoding here
+            if inner[node]:
+                after += (node, output)
+                free = free or not output
+        if not after:  # nothing else can begin here: all tokens are settled
+            return self._number((ended[-1], 0, 0)), self._output(ended)
+        if free:  # a guess without tokens of its own shares none with the others
+            return self._number([last, *after, 0, self._output(ended)]), 0
+        held_back = [outputs[output] for output in after[1::2]]
+        first, shortest, same = held_back[0], min(len(ended), min(map(len, held_back))), 0
+        while same < shortest and ended[same] == first[same] and all(pending[same] == first[same] for pending in held_back):
             same += 1
         if same:
             last = first[same - 1]
         if shortest > same:
             last = -2  # every guess carries its own last token
         state = [last]
-        for node, pending in after:
-            state += (node, self._output(pending[same:]))
+        for node, output, pending in zip(after[::2], after[1::2], held_back):
+            state += (node, self._output(pending[same:]) if same else output)
+        state += (0, self._output(ended[same:]))
         return self._number(state), self._output(first[:same])
 
     def transduce(self, piece):
@@ -217,9 +250,8 @@ class Encoder:
             owners.append(some)
             outputs.append(found[1][some])
         if fresh:
-            rows = np.array([(key, *value) for key, value in fresh.items()]).T
-            both = np.concatenate([self.known, rows], axis=1)
-            self.known = both[:, np.argsort(both[0])]
+            rows = np.array([(key, *value) for key, value in sorted(fresh.items())]).T
+            self.known = np.insert(self.known, np.searchsorted(self.known[0], rows[0]), rows, axis=1)
         owners.append(np.arange(len(pieces)))
         outputs.append(np.frombuffer(self.finals, np.int64)[state])
         owner, output = np.concatenate(owners), np.concatenate(outputs)
@@ -282,6 +314,10 @@ class Encoder:
         Pieces are remembered in two halves: when the newer one is full it becomes the older one, and what is
         used again comes over, so frequent pieces stay.
         """
+        with _no_collection():
+            return self._encode_many(texts)
+
+    def _encode_many(self, texts):
         if len(self.states) >= MOST_STATES:
             self._forget()
         if len(self.known_ids) > MOST_PIECES:
@@ -398,6 +434,7 @@ def _id_lists(many):
 
 def coded(docs, ranks, pattern, text_column="text"):
     """The table with ``ids`` (array<int>) and ``decoded`` (the text these ids decode to); columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     sent = _broadcast(ranks)
     docs = docs.drop("ids", "decoded")
     place = docs.columns.index(text_column)

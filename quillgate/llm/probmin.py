@@ -255,18 +255,19 @@ def _crowded_pairs(rest, lists, similarity):
     mine = saved(lists.join(sent(nodes), "node"), "crowded-lists")
     # a list is much work from few bytes: deal the nodes out before their shingles become rows
     each = mine.repartition("node").select("node", "top", F.explode(F.arrays_zip("keys", "counts")).alias("s")).select("node", "top", "s.keys", "s.counts")
-    found = saved(each.groupBy("keys").agg(F.count("*").alias("df"), F.min(F.struct("node", "top", "counts")).alias("only")).where(F.col("df") <= RARE), "rare-keys")
-    # a shingle of one node names it; only those of a few nodes are looked up
-    several = each.join(found.where("df > 1").select("keys", "df"), "keys").select("keys", "node", "top", "counts", "df")
-    rare = saved(several.unionByName(found.where("df = 1").select("keys", "only.node", "only.top", "only.counts", "df")), "rare")
+    found = saved(each.groupBy("keys").agg(F.count("*").alias("df"), F.min(F.struct("node", "counts")).alias("only")).where(F.col("df") <= RARE), "rare-keys")
+    # a shingle of one node comes first and lists no pair: only its weight counts; those of a few nodes are looked up
+    alone = found.where("df = 1").groupBy("only.node").agg(F.sum("only.counts").alias("alone"))
+    rare = saved(each.join(found.where("df > 1").select("keys", "df"), "keys").select("keys", "node", "top", "counts", "df"), "rare")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
-    weights = mine.select("node", total.alias("n"), (total == F.size("keys")).alias("plain")).join(
-        rare.groupBy("node").agg(F.sum("counts").alias("u")), "node", "left").select("node", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))
-    weights = saved(weights.withColumn("most", (1 - similarity) * F.col("n") + 1e-9), "weights")
+    weights = mine.select("node", total.alias("n"), (total == F.size("keys")).alias("plain")).join(alone, "node", "left").join(
+        rare.groupBy("node").agg(F.sum("counts").alias("u")), "node", "left").fillna(0, ["alone", "u"])
+    weights = saved(weights.withColumn("u", F.col("alone") + F.col("u")).withColumn("most", (1 - similarity) * F.col("n") + 1e-9), "weights")
     passed = Window.partitionBy("node").orderBy("df", "keys").rowsBetween(Window.unboundedPreceding, -1)  # one text's shingles
-    first = rare.join(sent(weights.select("node", "most")), "node").withColumn("passed", F.coalesce(F.sum("counts").over(passed), F.lit(0)))
-    listed = first.where((F.col("passed") <= F.col("most")) & (F.col("df") > 1)).select("keys", "node", "top")
-    reaching = weights.where(F.col("u") <= F.col("most")).drop("most")
+    first = rare.join(sent(weights.select("node", "alone", "most")), "node").withColumn(
+        "passed", F.col("alone") + F.coalesce(F.sum("counts").over(passed), F.lit(0)))
+    listed = first.where(F.col("passed") <= F.col("most")).select("keys", "node", "top")
+    reaching = weights.where(F.col("u") <= F.col("most")).drop("most", "alone")
     weighed = saved(rest.join(sent(saved(reaching, "reaching")), "node"), "weighed")
     apart = _both(weighed, "band", ["node", "top", "n", "u", "plain"]).where(_bound("a", "b") >= similarity - 1e-9)
     return _listed_pairs(listed).unionByName(_ends(apart))

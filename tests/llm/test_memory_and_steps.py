@@ -5,7 +5,7 @@ import gc
 import numpy as np
 import pyarrow as pa
 
-from quillgate.llm import bpe, queries, severity, store
+from quillgate.llm import bpe, probmin, queries, severity, store
 from quillgate.llm.words import scan, text_bytes
 
 
@@ -41,3 +41,20 @@ def test_no_collection_while_texts_are_encoded(monkeypatch):
     monkeypatch.setattr(encoder, "_unknown", lambda pieces: pieces)
     encoder.known_ids["a"] = (97,)
     assert encoder.encode_many(["a"]) == [[97]] and seen == [False]
+
+
+def near_copies(spark, n=60):
+    """Texts with one passage in common, each with a word of its own in the middle."""
+    rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" only{i} " + " ".join(f"v{k}" for k in range(60))) for i in range(n)]
+    far = [(n + i, " ".join(f"w{k}" for k in range(60)) + " " + " ".join(f"u{i}x{k}" for k in range(25))) for i in range(n)]
+    return spark.createDataFrame(rows + far, "doc_id long, text string")
+
+
+def test_shingles_of_one_text_are_only_counted(spark, monkeypatch):
+    """No row for a shingle that a single crowded text holds; the result is that of buckets that are compared as they are."""
+    plain = sorted(map(tuple, probmin.near_duplicates(near_copies(spark)).collect()))
+    seen, saved = {}, probmin.saved
+    monkeypatch.setattr(probmin, "FEW", 1)
+    monkeypatch.setattr(probmin, "saved", lambda df, name: seen.setdefault(name, saved(df, name)))
+    assert sorted(map(tuple, probmin.near_duplicates(near_copies(spark)).collect())) == plain
+    assert seen["rare-keys"].where("df = 1").count() > 0 and seen["rare"].where("df = 1").count() == 0

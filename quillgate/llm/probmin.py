@@ -25,7 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgate.llm.components import components
-from quillgate.llm.store import saved, sent
+from quillgate.llm.store import saved, sent, small_batches
 from quillgate.llm.words import column_passes, hash_spans, make_room, mix, scan
 
 SHINGLE_WORDS = 5
@@ -349,6 +349,7 @@ def _sketched(rows):
 def near_duplicates(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY):
     """(id, class_id, class_node) of every row: the smallest id among all documents that a chain of links joins,
     and in hexadecimal the node that has it, which tells classes without any id apart."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
     sketched = _sketched(rows)
     classes = _classes(sketched, rows, similarity).select("node", "class_id", F.lower(F.hex("class_node")).alias("class_node"))
@@ -363,6 +364,7 @@ def keep_one(docs, id_column="doc_id", text_column="text", similarity=SIMILARITY
     for its own text.  Rows equal in both keep the one whose columns come first in order.  Null texts are never
     copies; rows that repeat an id (or have none) with a null text keep one row an id.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
     sketched = _sketched(rows)
     kept = _classes(sketched, rows, similarity).where("node = class_node").select(F.col("node").alias("kept_node"), F.col("first").alias("kept_id"))

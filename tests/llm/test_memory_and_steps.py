@@ -58,3 +58,10 @@ def test_shingles_of_one_text_are_only_counted(spark, monkeypatch):
     monkeypatch.setattr(probmin, "saved", lambda df, name: seen.setdefault(name, saved(df, name)))
     assert sorted(map(tuple, probmin.near_duplicates(near_copies(spark)).collect())) == plain
     assert seen["rare-keys"].where("df = 1").count() > 0 and seen["rare"].where("df = 1").count() == 0
+
+
+def test_near_duplicates_send_small_batches(spark):
+    for find in (probmin.near_duplicates, probmin.keep_one):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        find(near_copies(spark, 2))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == store.BATCH_ROWS

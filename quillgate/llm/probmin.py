@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quillgate.llm.components import components
 from quillgate.llm.store import saved, sent, small_batches
 from quillgate.llm.words import column_passes, hash_spans, make_room, mix, scan
+from quillgate.operators.rows import settle
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -326,10 +327,12 @@ def _classes(sketched, rows, similarity):
     wanted = saved(nodes.join(members.select("node").distinct(), "node").select("node", "first"), "wanted")
     # a text of each wanted node: by its smallest id, or among the rows without an id
     named = rows.join(sent(wanted.where("first is not null").select(F.col("first").alias("id"), F.col("node").alias("wanted"))), "id").where("body is not null")
-    lists = named.select("wanted", shingle_lists(F.col("body")).alias("l")).where("wanted = l.node").select("l.*")
+    # settled, or the comparison would go below the join and read every text there, in a Python worker more for each task
+    lists = settle(named.select("wanted", shingle_lists(F.col("body")).alias("l")), ["l"]).where("wanted = l.node").select("l.*")
     bare = wanted.where("first is null").select("node")
     if not bare.isEmpty():
-        unnamed = rows.where("id is null and body is not null").select(node_of(F.col("body")).alias("node"), "body").join(sent(bare), "node")
+        unnamed = rows.where("id is null and body is not null").select(node_of(F.col("body")).alias("node"), "body")
+        unnamed = settle(unnamed, ["node"]).join(sent(bare), "node")
         one = unnamed.groupBy("node").agg(F.min("body").alias("body"))
         lists = lists.unionByName(one.select(shingle_lists(F.col("body")).alias("l")).select("l.*"))
     lists = saved(lists.dropDuplicates(["node"]), "shingles")

@@ -65,3 +65,32 @@ def test_near_duplicates_send_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         find(near_copies(spark, 2))
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == store.BATCH_ROWS
+
+
+def python_nodes(df):
+    """Most Python nodes above one another in one stage of a plan, each of which takes a worker of its own in every task."""
+    above, most = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        name = line.lstrip(" :+-")
+        depth, count = len(line) - len(name), 0
+        above = [x for x in above if x[0] < depth]
+        if above and "Exchange " not in name:
+            count = above[-1][1]
+        count += name.startswith(("ArrowEvalPython ", "MapInArrow "))
+        above.append((depth, count))
+        most = max(most, count)
+    return most
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """Shingles are listed behind the join with wanted texts; ids that repeat or are missing change nothing."""
+    text = {r["doc_id"]: r["text"] for r in near_copies(spark, 8).collect()}
+    rows = [*text.items(), *((1000 + i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(40))]
+    rows += [(0, "another text of an id that is taken"), *[(None, "a text without an id " * 3)] * 2, (None, text[1] + " end")]
+    rows = store.saved(spark.createDataFrame(rows, "doc_id long, text string"), "rows")
+    plans, saved = {}, probmin.saved
+    monkeypatch.setattr(probmin, "saved", lambda df, name: (plans.setdefault(name, python_nodes(df)), saved(df, name))[1])
+    found = {(r["doc_id"], r["class_id"]) for r in probmin.near_duplicates(rows).collect()}
+    assert plans["shingles"] == 1 and max(plans.values()) == 1
+    assert {(i, 0) for i in range(8)} <= found and {(1000 + i, 1000 + i) for i in range(40)} <= found
+    assert (None, 0) in found and (None, None) in found

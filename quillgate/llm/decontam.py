@@ -67,15 +67,15 @@ def item_parts(benchmark, window=13, part_bytes=None):
     # parts by hash: each holds about half of the bound, and is cut again where it holds more
     n = -(-2 * size // part_bytes)
     dealt = saved(rows.distinct().withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
-    for part in range(n):
-        mine = dealt.where(F.col("part") == part)
-        held = mine.agg(F.sum(F.octet_length("text")), F.count("*")).head()
-        if (held[0] or 0) > part_bytes and held[1] > 1:
+    held = dealt.groupBy("part").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("items"))
+    for part in held.orderBy("part").collect():  # one row for each part that holds items
+        mine = dealt.where(F.col("part") == part["part"])
+        if part["bytes"] > part_bytes and part["items"] > 1:
             order = Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
             mine = saved(mine.withColumn("cut", F.floor(F.sum(F.octet_length("text")).over(order) / part_bytes)), "items-cut")
             for row in mine.select("cut").distinct().orderBy("cut").collect():
                 yield _indexed(mine.where(F.col("cut") == row["cut"]), window)
-        elif held[1]:
+        else:
             yield _indexed(mine, window)
 
 
@@ -86,11 +86,11 @@ def _indexed(rows, window):
 
 
 def load_items(benchmark, window=13):
-    """Index of a benchmark of one part; larger ones are searched by ``match_table``."""
-    parts = list(item_parts(benchmark, window))
-    if len(parts) != 1:
+    """Index of a benchmark of one part; larger ones are searched by ``match_table``, and refused at their second part."""
+    first, rest = _in_parts(benchmark, window, None)
+    if rest is not None:
         raise ValueError(f"benchmark text is longer than {PART_BYTES} bytes; search it with match_table")
-    return parts[0]
+    return first
 
 
 def index_items(names, texts, window=13):

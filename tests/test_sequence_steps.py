@@ -61,3 +61,14 @@ def test_flags_are_of_whole_openings(spark, talks):
     folder, steps = talks
     assert _rows(spark, folder, "sequence_flags") == sorted(steps)
     assert {f for s in steps for f in s[3].split(" | ") if f} == set(PENALTIES)
+
+
+def test_status_is_of_whole_openings(spark, talks):
+    folder, steps = talks
+    want = []
+    for lead in sorted({s[0] for s in steps}):
+        mine = [s for s in steps if s[0] == lead]
+        scores, review = [s[4] for s in mine if s[4] > 0], any(s[5] for s in mine)
+        mean = round(sum(scores) / len(scores), 1) if scores else 0.0
+        want.append((lead, len(mine), mean, review, "needs_review" if review else "qc_passed"))
+    assert _rows(spark, folder, "sequence_status") == want

@@ -72,3 +72,8 @@ def test_status_is_of_whole_openings(spark, talks):
         mean = round(sum(scores) / len(scores), 1) if scores else 0.0
         want.append((lead, len(mine), mean, review, "needs_review" if review else "qc_passed"))
     assert _rows(spark, folder, "sequence_status") == want
+
+
+def test_verdicts_are_of_whole_openings(spark, talks):
+    folder, steps = talks
+    assert _rows(spark, folder, "sequence_rows") == sorted((s[0], "base", s[1], True, "keep" if s[4] >= 5 else "drop") for s in steps)

@@ -77,3 +77,8 @@ def test_status_is_of_whole_openings(spark, talks):
 def test_verdicts_are_of_whole_openings(spark, talks):
     folder, steps = talks
     assert _rows(spark, folder, "sequence_rows") == sorted((s[0], "base", s[1], True, "keep" if s[4] >= 5 else "drop") for s in steps)
+
+
+def test_minimum_is_of_whole_openings(spark, talks):
+    folder, steps = talks
+    assert _rows(spark, folder, "sequence_minimum") == sorted(s[:2] for s in steps if s[4] >= 6)
